@@ -1,0 +1,8 @@
+"""Training-data operators. Nothing else in the package imports this folder."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package installed: what a task calls is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
