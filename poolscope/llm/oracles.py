@@ -16,4 +16,18 @@ ORACLES = {
         k AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
         SELECT k.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, k.doc_id = component_id AS kept FROM k LEFT JOIN n ON n.doc_id = k.doc_id
     """,
+    "op10_substring_dedup": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+        r AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+        c AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM g WHERE s IN (SELECT s FROM r)) GROUP BY doc_id),
+        k AS (
+            SELECT doc_id, list(x ORDER BY p) AS kept
+            FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w) t
+            WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(ps) AS p FROM c) u WHERE u.doc_id = t.doc_id AND u.p = t.p)
+            GROUP BY doc_id
+        )
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+        FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+    """,
 }
