@@ -35,7 +35,7 @@ def connected(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             break
         sign, k = tuple(now), k + 1
         both = edges.union(edges.select("v", "u"))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v")
         small = _least(large)
         edges = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

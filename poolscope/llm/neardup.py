@@ -7,6 +7,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -19,9 +20,11 @@ REGISTERS, BASE, RATE = 256, 1.001, 20.0
 #: Registers in a band. At similarity 0.75, no band of the 51 agrees for 1 pair in 900,000.
 ROWS = 5
 #: A pair goes on to the exact check unless its likelihood at every similarity over the threshold is below exp(-SLACK) of its best.
-SLACK = 20.0
-#: Differing low bits, of one for each register, beyond which a pair of a bucket is no candidate: 6 standard deviations over the mean at 0.75.
-FAR_BITS = 66
+SLACK = 12.0
+#: Differing low bits, of one for each register, beyond which a pair of a bucket is no candidate: 4.9 standard deviations over the mean at 0.75.
+FAR_BITS = 58
+#: Pairs of a document that are checked before any components are known, and ids that may be sent to every task.
+FIRST, FEW = 4, 50_000
 SEED = W.odd(4, 21)
 BAND = W.odd(8, 22)
 
@@ -123,8 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked where 100 * intersection >= percent * union; component_id is the smallest doc_id reachable, kept marks the document that has it.
 
     1. One pass makes each document's SetSketch. Equal sets become one representative before anything else.
-    2. Representatives meet in buckets of `rows` registers. In a bucket each is paired with the smallest id alone, so pairs grow with the rows.
-    3. Pairs whose joint likelihood allows the threshold are checked on full sets, for each document its likeliest first; links give components.
+    2. Representatives meet in buckets of `rows` registers. In a bucket each is paired with the smallest and the largest id, so pairs grow with the rows.
+    3. Pairs whose joint likelihood allows the threshold are checked on full sets, for each document its likeliest few first; links give components.
     4. In buckets that still hold several components, pairs across components (close in size and in register bits) and the other pairs from 3 follow.
        So every pair that shares a bucket is checked or already connected: no bucket is capped.
 
@@ -137,51 +140,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = scratch.keep(docs.mapInArrow(partial(_sketch, k=words, rows=rows), SKETCH), "sketch")
     alike = ["d1", "d2", "n"]
     classes = scratch.keep(sketch.filter("n > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep")), "classes")
-    wide = sketch.join(classes.select(*(F.col(c).alias(f"c_{c}") for c in alike), F.col("rep").alias("c_rep")), F.expr("doc_id = c_rep and d1 = c_d1 and d2 = c_d2 and n = c_n"), "left_semi").withColumnRenamed("doc_id", "id")
+    wide = sketch.join(classes.select(*(F.col(c).alias(f"c_{c}") for c in alike), F.col("rep").alias("c_rep")).hint("merge"), F.expr("doc_id = c_rep and d1 = c_d1 and d2 = c_d2 and n = c_n"), "left_semi").withColumnRenamed("doc_id", "id")
     wide = scratch.keep(wide, "representatives")
-    row = wide.select("id", "n", "bits", F.explode("bands").alias("h"))
-    buckets = scratch.keep(row.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z"), "buckets")
-    members = scratch.keep(row.join(buckets, "h"), "members")
-    star = scratch.keep(members.filter("id > a").select("a", F.col("id").alias("b")).distinct(), "star")
+    row = wide.select("id", F.explode("bands").alias("h"))
+    buckets = scratch.keep(row.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z"), "buckets")
+    members = scratch.keep(row.join(buckets.hint("merge"), "h"), "members")
+    pairs = members.select(F.explode(F.array(F.struct("a", F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("z").alias("b")))).alias("x")).select("x.*")
+    star = scratch.keep(pairs.filter("a < b").distinct(), "star")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        side = lambda x: wide.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"k{x}"))
+        side = lambda x: wide.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"k{x}")).hint("merge")
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(partial(_likely, threshold=percent / 100), "a long, b long, j double")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+        ids = F.broadcast(ids) if name != "sets" and ids.count() <= FEW else ids.hint("merge")
         return scratch.keep(docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=words), "id long, s array<long>"), name)
 
     def linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")).hint("merge")
         both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return scratch.keep(both.filter(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select(F.col("a").alias("u"), F.col("b").alias("v")), name)
 
-    likeliest = scratch.keep(likely(star), "likely")
-    first = likeliest.groupBy("b").agg(F.max(F.struct("j", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    sets = sets_of(likeliest, "sets")
-    links = linked(first, sets, "links")
+    order = Wd.partitionBy("b").orderBy(F.desc("j"), "a")
+    likeliest = scratch.keep(likely(star).withColumn("k", F.row_number().over(order)), "likely")
+    links = linked(likeliest.filter(f"k <= {FIRST}").select("a", "b"), sets_of(likeliest.filter(f"k <= {FIRST}"), "sets"), "links")
     parts = scratch.keep(connected(scratch, links, "first"), "parts")
 
-    def labelled(pairs: DataFrame, *ids: str) -> DataFrame:
+    def labelled(rows: DataFrame, *ids: str) -> DataFrame:
         for x in ids:
-            pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-        return pairs
-
-    rest = labelled(likeliest.join(first, ["a", "b"], "left_anti").select("a", "b"), "a", "b").filter("ca <> cb").select("a", "b")
-    placed = scratch.keep(labelled(members.select("h", "id", "n", "bits"), "id"), "placed")
-    mixed = scratch.keep(placed.groupBy("h").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("h"), "mixed")
-    open_ = scratch.keep(placed.join(mixed, "h", "left_semi"), "open")
+            rows = rows.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge"), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        return rows
+
+    rest = labelled(likeliest.filter(f"k > {FIRST}").select("a", "b"), "a", "b").filter("ca <> cb").select("a", "b")
+    placed = scratch.keep(labelled(members.select("h", "id"), "id"), "placed")
+    mixed = placed.groupBy("h").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("h")
+    open_ = placed.join(scratch.keep(mixed, "mixed").hint("merge"), "h", "left_semi").join(wide.select("id", "n", "bits").hint("merge"), "id")
+    open_ = scratch.keep(open_, "open")
     side = lambda x: open_.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"), F.col("cid").alias(f"c{x}"))
     apart = " + ".join(f"bit_count(bitsx[{i}] ^ bitsy[{i}])" for i in range(REGISTERS // 64))
-    across = side("x").join(side("y"), "h").filter(f"cx < cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {apart} <= {FAR_BITS}")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    across = side("x").hint("merge").join(side("y"), "h").filter(f"cx < cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {apart} <= {FAR_BITS}")
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
     rest = scratch.keep(rest.union(likely(across).select("a", "b")), "rest")
     if not rest.isEmpty():
-        links = links.union(linked(rest, sets_of(rest, "more-sets"), "more-links"))
-        parts = scratch.keep(connected(scratch, links, "second"), "all-parts")
-    scratch.drop("representatives", "buckets", "members", "star", "likely", "sets", "placed", "mixed", "open", "rest", "more-sets")
+        more = linked(rest, sets_of(rest, "more-sets"), "more-links")
+        if not more.isEmpty():
+            parts = scratch.keep(connected(scratch, links.union(more), "second"), "all-parts")
+    scratch.drop("representatives", "buckets", "members", "star", "likely", "sets", "sets-ids", "placed", "mixed", "open", "rest", "more-sets", "more-sets-ids")
     out = sketch.select("doc_id", *alike).join(classes, alike, "left")
     out = out.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
