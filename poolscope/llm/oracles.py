@@ -41,4 +41,15 @@ ORACLES = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id
     """,
+    "op3_benchmark_decontamination": rf"""
+        WITH t AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        w AS (SELECT k, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM t),
+        s AS (
+            SELECT DISTINCT k, id, array_to_string(ws[i : i + 4], chr(31)) AS g
+            FROM (SELECT k, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+        ), n AS (SELECT id, count(*) AS n FROM s WHERE k = 'b' GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, any_value(n.n)::BIGINT AS n_item
+        FROM s d JOIN s b ON d.g = b.g AND d.k = 'd' AND b.k = 'b' JOIN n ON n.id = b.id
+        GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n.n)
+    """,
 }
