@@ -52,4 +52,29 @@ ORACLES = {
         FROM s d JOIN s b ON d.g = b.g AND d.k = 'd' AND b.k = 'b' JOIN n ON n.id = b.id
         GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n.n)
     """,
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p),
+        d AS (
+            SELECT page_id, payload_bytes, array_to_string([
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1) for i in range(32)
+            ], '') AS payload_digest FROM h
+        ), f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM d GROUP BY ALL)
+        SELECT page_id, d.payload_bytes::BIGINT AS payload_bytes, d.payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d JOIN f USING (payload_digest, payload_bytes)
+    """,
+    "op6_chat_formatting": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), t AS (
+            SELECT *, length(text) + length(regexp_replace(text, '[^\\<>\[\]]', '', 'g')) AS n, length(role) + length(regexp_replace(role, '[^\\<>\[\]]', '', 'g')) AS m FROM c
+        )
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 11 + m END)::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
 }
