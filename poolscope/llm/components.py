@@ -7,35 +7,31 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rows of one node are dealt over so many tasks.
-SALTS = 16
-
-
-def _least(rows: DataFrame) -> DataFrame:
-    """Each row (u, v) with m, the smallest v of its u. A node with very many rows is dealt over SALTS tasks; its minimum goes to each."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", "m", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("s"))
-    return rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(least, ["u", "s"])
-
-
 def connected(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node reachable over links (u, v), for each node that has a link.
 
     Each round joins every node's larger neighbours to its smallest neighbour, then its smaller ones, which halves the depth of the trees;
-    it ends when a round changes nothing. Links stay distributed: only a count and a checksum reach the driver.
+    it ends when a round changes nothing. Smallest neighbours come from a partial aggregation and are written before they are joined, so that a node with
+    very many links is split by the join. Links stay distributed: only a count and a checksum reach the driver.
     """
+
+    def least(rows: DataFrame, step: str) -> DataFrame:
+        """Each row (u, v) with m, the smallest v of its u."""
+        found = scratch.keep(rows.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}-{step}")
+        return rows.join(found.hint("merge"), "u")
+
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     sign, k = None, 0
     while True:
         edges = scratch.keep(edges, f"{name}-{k}")
         now = edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
         if k:
-            scratch.drop(f"{name}-{k - 1}")
+            scratch.drop(f"{name}-{k - 1}", f"{name}-{k}-large", f"{name}-{k}-small")
         if sign == tuple(now) or not now[0]:
             break
         sign, k = tuple(now), k + 1
         both = edges.union(edges.select("v", "u"))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v")
-        small = _least(large)
+        large = least(both, "large").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v")
+        small = least(large, "small")
         edges = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -21,10 +21,8 @@ REGISTERS, BASE, RATE = 256, 1.001, 20.0
 ROWS = 5
 #: A pair goes on to the exact check unless its likelihood at every similarity over the threshold is below exp(-SLACK) of its best.
 SLACK = 12.0
-#: Differing low bits, of one for each register, beyond which a pair of a bucket is no candidate: 4.9 standard deviations over the mean at 0.75.
-FAR_BITS = 58
-#: Pairs of a document that are checked before any components are known, and ids that may be sent to every task.
-FIRST, FEW = 4, 50_000
+#: Pairs of a document that are checked before any components are known, and documents of a tile.
+FIRST, TILE = 4, 1024
 SEED = W.odd(4, 21)
 BAND = W.odd(8, 22)
 
@@ -66,7 +64,7 @@ def _bands(registers: np.ndarray, rows: int) -> np.ndarray:
     return W.mix(h + np.arange(1, m // rows + 1, dtype=U) * BAND[7])
 
 
-SKETCH = "doc_id long, n int, d1 long, d2 long, registers binary, bits array<long>, bands array<long>"
+SKETCH = "doc_id long, n int, d1 long, d2 long, registers binary, bands array<long>"
 
 
 def _sketch(batches, k: int, rows: int):
@@ -77,9 +75,9 @@ def _sketch(batches, k: int, rows: int):
             registers = setsketch(s, at)
             sums = [np.concatenate([[U(0)], np.cumsum(W.mix(s ^ x))]) for x in SEED[2:4]]
             full = np.diff(at) > 0
-            bands, bits = W.signed(_bands(registers, rows)), np.packbits((W.mix(registers.astype(U) + U(1)) & U(1)).astype(bool), axis=1).view(np.int64)
+            bands = W.signed(_bands(registers, rows))
             lists = lambda x: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * x.shape[1])]).astype(np.int32), x[full].ravel())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), *(pa.array(W.signed(c[at[1:]] - c[at[:-1]])) for c in sums), pa.array([r.tobytes() if f else None for r, f in zip(registers, full, strict=True)], pa.binary()), lists(bits), lists(bands)], ["doc_id", "n", "d1", "d2", "registers", "bits", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), *(pa.array(W.signed(c[at[1:]] - c[at[:-1]])) for c in sums), pa.array([r.tobytes() if f else None for r, f in zip(registers, full, strict=True)], pa.binary()), lists(bands)], ["doc_id", "n", "d1", "d2", "registers", "bands"])
 
 
 def likelihood(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +109,65 @@ def _likely(batches, threshold: float):
         yield pa.RecordBatch.from_arrays([a, b, pa.array(j)], ["a", "b", "j"]).filter(keep)
 
 
+class _Union:
+    """Which of a few numbered things are joined so far."""
+
+    def __init__(self, n: int):
+        self.to = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.to[x] != x:
+            self.to[x] = x = self.to[self.to[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.to[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _meet(table: pa.Table, threshold: float) -> pa.Table:
+    """Likely pairs of one tile of one bucket, as few as join the same clusters: columns id, cluster, n, registers, i, j, t."""
+    ids, cluster, n, t = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "cluster", "n", "t"))
+    registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    number = np.unique(cluster, return_inverse=True)[1]
+    same = bool((t == t[0]).all()) and table.column("i")[0] == table.column("j")[0]
+    joined, out = _Union(int(number.max()) + 1), []
+    for x in range(len(ids) - 1):
+        y = np.arange(x + 1, len(ids))
+        y = y[(number[y] != number[x]) & (100 * np.minimum(n[y], n[x]) >= 100 * threshold * np.maximum(n[y], n[x])) & (same | (t[y] != t[x]))]
+        if len(y):
+            ok = likelihood(registers[[x] * len(y)], registers[y], n[[x] * len(y)].astype(float), n[y].astype(float), threshold)[1] <= SLACK
+            out += [(ids[x], ids[i]) for i in y[ok] if joined.join(int(number[x]), int(number[i]))]
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
+
+
+def _check(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the strays of one tile and all documents of another, as few as join the same components: columns id, component, probe, s."""
+    ids, component, probe = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "component", "probe"))
+    lists = table.column("s").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(np.asarray(lists.offsets))
+    code = np.unique(np.asarray(lists.flatten()), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(code, kind="stable")
+    at = np.searchsorted(code[order], np.arange(int(code.max()) + 2))
+    at_doc = np.concatenate([[0], np.cumsum(sizes)])
+    number = np.unique(component, return_inverse=True)[1]
+    joined, out = _Union(int(number.max()) + 1), []
+    for x in np.flatnonzero(probe):
+        own = code[at_doc[x] : at_doc[x + 1]]
+        many = at[own + 1] - at[own]
+        place = np.repeat(at[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        both = np.bincount(owner[order[place]], minlength=len(ids))
+        for y in np.flatnonzero((100 * both >= percent * (sizes[x] + sizes - both)) & (number != number[x])):
+            if joined.join(int(number[x]), int(number[y])):
+                out.append((ids[x], ids[y]))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
+
+
 def _sets(batches, k: int):
     for batch in batches:
         ids = batch.column(0)
@@ -127,9 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass makes each document's SetSketch. Equal sets become one representative before anything else.
     2. Representatives meet in buckets of `rows` registers. In a bucket each is paired with the smallest and the largest id, so pairs grow with the rows.
-    3. Pairs whose joint likelihood allows the threshold are checked on full sets, for each document its likeliest few first; links give components.
-    4. In buckets that still hold several components, pairs across components (close in size and in register bits) and the other pairs from 3 follow.
-       So every pair that shares a bucket is checked or already connected: no bucket is capped.
+       Pairs whose joint likelihood allows the threshold join clusters; in buckets where several clusters meet, all pairs across them are estimated, and
+       as many returned as join the same clusters. So a cluster holds every pair that shares a bucket and may be linked: no bucket is capped.
+    3. Of each document's pairs the likeliest few are checked on full sets; links give components.
+    4. In a cluster that is more than one component, every document outside the largest is compared with all others on full sets, by counting shared
+       shingles, and as many links returned as join the same components. Large buckets and clusters are dealt over tiles; rows never grow with pairs.
 
     Text null, empty or without words: n_shingles 0, linked with nothing, kept. doc_id null: component_id null, kept, linked with nothing. Rows that repeat
     a doc_id are one document's: each row is returned, with that id's component. An empty table gives no rows. Other columns are not read.
@@ -153,41 +212,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(partial(_likely, threshold=percent / 100), "a long, b long, j double")
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-        ids = F.broadcast(ids) if name != "sets" and ids.count() <= FEW else ids.hint("merge")
-        return scratch.keep(docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=words), "id long, s array<long>"), name)
-
-    def linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")).hint("merge")
-        both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return scratch.keep(both.filter(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select(F.col("a").alias("u"), F.col("b").alias("v")), name)
-
     order = Wd.partitionBy("b").orderBy(F.desc("j"), "a")
     likeliest = scratch.keep(likely(star).withColumn("k", F.row_number().over(order)), "likely")
-    links = linked(likeliest.filter(f"k <= {FIRST}").select("a", "b"), sets_of(likeliest.filter(f"k <= {FIRST}"), "sets"), "links")
-    parts = scratch.keep(connected(scratch, links, "first"), "parts")
-
-    def labelled(rows: DataFrame, *ids: str) -> DataFrame:
-        for x in ids:
-            rows = rows.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge"), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-        return rows
-
-    rest = labelled(likeliest.filter(f"k > {FIRST}").select("a", "b"), "a", "b").filter("ca <> cb").select("a", "b")
-    placed = scratch.keep(labelled(members.select("h", "id"), "id"), "placed")
-    mixed = placed.groupBy("h").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("h")
-    open_ = placed.join(scratch.keep(mixed, "mixed").hint("merge"), "h", "left_semi").join(wide.select("id", "n", "bits").hint("merge"), "id")
-    open_ = scratch.keep(open_, "open")
-    side = lambda x: open_.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"), F.col("cid").alias(f"c{x}"))
-    apart = " + ".join(f"bit_count(bitsx[{i}] ^ bitsy[{i}])" for i in range(REGISTERS // 64))
-    across = side("x").hint("merge").join(side("y"), "h").filter(f"cx < cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {apart} <= {FAR_BITS}")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
-    rest = scratch.keep(rest.union(likely(across).select("a", "b")), "rest")
-    if not rest.isEmpty():
-        more = linked(rest, sets_of(rest, "more-sets"), "more-links")
-        if not more.isEmpty():
-            parts = scratch.keep(connected(scratch, links.union(more), "second"), "all-parts")
-    scratch.drop("representatives", "buckets", "members", "star", "likely", "sets", "sets-ids", "placed", "mixed", "open", "rest", "more-sets", "more-sets-ids")
+    clusters = scratch.keep(connected(scratch, likeliest.select(F.col("a").alias("u"), F.col("b").alias("v")), "near"), "clusters")
+    # buckets in which several clusters meet
+    placed = members.select("h", "id").join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).hint("merge"), "id", "left")
+    placed = scratch.keep(placed.withColumn("cluster", F.coalesce("cluster", "id")), "placed")
+    mixed = placed.groupBy("h").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("many")).filter("least < most")
+    mixed = scratch.keep(mixed.select("h", F.ceil(F.col("many") / TILE).cast("int").alias("tiles")), "mixed")
+    meeting = placed.join(mixed.hint("merge"), "h").join(wide.select("id", "n", "registers").hint("merge"), "id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    meeting = meeting.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).select("h", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "cluster", "n", "registers")
+    met = scratch.keep(meeting.groupBy("h", "i", "j").applyInArrow(lambda t: _meet(t, percent / 100), "u long, v long"), "met")
+    if not met.isEmpty():
+        near = likeliest.select(F.col("a").alias("u"), F.col("b").alias("v")).union(met)
+        clusters = scratch.keep(connected(scratch, near, "nearer"), "all-clusters")
+    sets = scratch.keep(docs.join(clusters.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(partial(_sets, k=words), "id long, s array<long>"), "sets")
+    # each document and its likeliest partners, on full sets
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")).hint("merge")
+    tried = likeliest.filter(f"k <= {FIRST}").select("a", "b").join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    links = scratch.keep(tried.filter(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    parts = scratch.keep(connected(scratch, links, "linked"), "parts")
+    # clusters that are not yet one component: what is outside the largest component against everything
+    inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(parts.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
+    inside = scratch.keep(inside.withColumn("component", F.coalesce("component", "id")), "inside")
+    most = inside.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("x"), F.sum("n").alias("n")).filter("x.n < n")
+    most = scratch.keep(most.select("cluster", F.col("x.component").alias("main"), F.col("x.n").alias("n"), (F.col("n") - F.col("x.n")).alias("strays")), "split")
+    open_ = inside.join(most.hint("merge"), "cluster").withColumn("stray", F.col("component") != F.col("main"))
+    open_ = open_.withColumn("ts", F.ceil(F.col("strays") / TILE).cast("int")).withColumn("tm", F.ceil(F.col("n") / TILE).cast("int"))
+    open_ = open_.withColumn("t", F.when(F.col("stray"), F.pmod(F.xxhash64("id"), F.col("ts"))).otherwise(F.col("ts") + F.pmod(F.xxhash64("id"), F.col("tm"))).cast("int"))
+    role = lambda i, j, probe: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(probe).alias("probe"))
+    asked = F.transform(F.expr("sequence(0, ts - 1)"), lambda i: role(i, F.col("t"), False))
+    asking = F.transform(F.expr("sequence(0, ts + tm - 1)"), lambda j: role(F.col("t"), j, True))
+    # a stray that asks in its own tile stands there once
+    both = F.when(F.col("stray"), F.concat(asking, F.filter(asked, lambda x: x["i"] != F.col("t")))).otherwise(asked)
+    open_ = open_.select("cluster", "id", "component", F.explode(both).alias("x")).select("cluster", "id", "component", "x.*").join(sets.hint("merge"), "id")
+    more = scratch.keep(open_.groupBy("cluster", "i", "j").applyInArrow(lambda t: _check(t, percent), "u long, v long"), "more-links")
+    if not more.isEmpty():
+        parts = scratch.keep(connected(scratch, links.union(more), "all"), "all-parts")
+    scratch.drop("representatives", "buckets", "members", "star", "likely", "placed", "mixed", "met", "clusters", "all-clusters", "sets", "inside", "split")
     out = sketch.select("doc_id", *alike).join(classes, alike, "left")
     out = out.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
