@@ -122,7 +122,7 @@ def _format(batches, layouts):
             layout = known.get(fingerprint(paths(record)))
             own = turns(record, layout) if layout else None
             formatted, spans = render(own) if layout else (None, None)
-            rows.append((record.get("conversation_id"), record.get("part"), layout and layout["name"], own and len(own), formatted, spans and [{"a": a, "b": b} for a, b in spans] if layout else None))
+            rows.append((record.get("conversation_id"), record.get("part"), layout and layout["name"], len(own) if layout else None, formatted, spans and [{"a": a, "b": b} for a, b in spans] if layout else None))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FORMATTED.split(", ", 5)])

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from . import files
 from .scratch import Scratch
 
-#: Samples of a row of the image, bytes of a shard, compression, and digests that one task remembers.
-WIDTH, SHARD_BYTES, LEVEL, REMEMBERED = 64, 256 << 20, 6, 200_000
+#: Samples of a row of the image, bytes of a shard and of a slice that one task reads, compression, and digests that one task remembers.
+WIDTH, SHARD_BYTES, SLICE_BYTES, LEVEL, REMEMBERED = 64, 256 << 20, 16 << 20, 6, 200_000
 #: Fixed values of the image format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEAD = len(SIGNATURE) + 25
@@ -150,7 +150,11 @@ def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 
 
 def _distinct(index: DataFrame) -> DataFrame:
-    return index.select("digest", "shard", "offset", "length").distinct().repartition(F.col("shard")).sortWithinPartitions("shard", "offset")
+    rows = index.select("digest", "shard", "offset", "length").distinct()
+    # a slice of a shard is a task's work: dealt by number, since the rows themselves are small
+    slices = rows.withColumn("slice", F.floor(F.col("offset") / SLICE_BYTES))
+    many = 2 * max(1, slices.select("shard", "slice").distinct().count())
+    return slices.repartition(many, "shard", "slice").drop("slice").sortWithinPartitions("shard", "offset")
 
 
 def metadata(index: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     1. A source's target is met by whole epochs over it and a part of one more. Documents are dealt to blocks by a hash of their id, and an epoch has
        the blocks in a permutation of its own. The part is the beginning of its epoch: its last block is found from sums of groups of blocks, and of
-       that block (of about `block` documents) comes each document that still fits, in random order.
+       that block (of about `block` documents) comes each document that still fits, the longest first, and the next if that is nearer.
     2. The numbers of blocks so fixed are split over 2^levels shards (split_quotas), and each shard takes the next blocks of each source's sequence:
        shards' blocks are disjoint, and shards are as mixed as chance makes them.
     3. position orders a shard's rows at random.
@@ -145,10 +145,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = scratch.keep(units.groupBy("sid", "rank").agg(F.sum("size").alias("size"), F.first("part").alias("part")).withColumn("group", F.floor(F.col("rank") / GROUP)), "blocks")
     groups = last(blocks.groupBy("sid", "group").agg(F.sum("size").alias("size"), F.first("part").alias("part")), "group")
     edge = scratch.keep(last(blocks.drop("part").join(groups, ["sid", "group"]), "rank").withColumnRenamed("rank", "edge"), "edge")
-    fit = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["out"], F.array(x["doc_id"])).alias("out"))).otherwise(a)
-    one = F.struct(F.xxhash64(F.lit(seed + 9), "doc_id").alias("h"), "doc_id", "size")
+    one = F.struct((-F.col("size")).alias("less"), F.xxhash64(F.lit(seed + 9), "doc_id").alias("h"), "doc_id", "size")
     inside = units.drop("part").join(edge, "sid").filter("rank = edge").groupBy("sid").agg(F.array_sort(F.collect_list(one)).alias("all"), F.first("part").alias("part"))
-    taken = F.aggregate("all", F.struct(F.col("part").cast("double").alias("left"), F.array().cast("array<long>").alias("out")), fit)["out"]
+
+    def fit(a: Column, x: Column) -> Column:
+        taken = F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["out"], F.array(x["doc_id"])).alias("out"), a["over"].alias("over"))
+        return F.when(x["size"] <= a["left"], taken).otherwise(F.struct(a["left"].alias("left"), a["out"].alias("out"), x.alias("over")))
+
+    def nearest(a: Column) -> Column:
+        more = a["over"].isNotNull() & (a["over"]["size"] - a["left"] < a["left"])
+        return F.when(more, F.concat(a["out"], F.array(a["over"]["doc_id"]))).otherwise(a["out"])
+
+    start = F.struct(F.col("part").cast("double").alias("left"), F.array().cast("array<long>").alias("out"), F.lit(None).cast("struct<less:long,h:long,doc_id:long,size:long>").alias("over"))
+    taken = F.aggregate("all", start, fit, nearest)
     inside = inside.select("sid", F.explode(taken).alias("doc_id"), F.lit(1).alias("extra"))
     copies = units.join(edge.select("sid", "edge"), "sid", "left").alias("u").join(inside.alias("i"), F.expr("u.sid = i.sid and u.doc_id <=> i.doc_id"), "left")
     copies = copies.select("u.*", (F.col("full") + F.when(F.col("rank") < F.col("edge"), 1).otherwise(0) + F.coalesce("extra", F.lit(0))).alias("copies"))

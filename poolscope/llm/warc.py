@@ -228,19 +228,20 @@ def arc_to_warc(arcs: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     record, dates, types and digests from its fields and bytes. Of records with equal payloads of at least `least` bytes, that with the smallest page id
     (nulls last, then by place) is the response; the others revisit it. Groups of equal payloads meet as digests only, after a partial aggregation.
     """
-    paths = arcs.select("path").repartition(F.col("path"))
+    many = 2 * max(1, arcs.count())  # files are dealt by number: their names say nothing of their sizes
+    paths = arcs.select("path").repartition(many, "path")
     index = scratch.keep(paths.mapInArrow(_index_arc, "path string, k long, page_id long, payload_bytes long, digest string"), "arc-index")
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "k")
     first = scratch.keep(index.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.min(place).alias("to"), F.count("*").alias("n")).filter("n > 1"), "responses")
     revisits = index.join(first, ["digest", "payload_bytes"]).filter("path <> to.path or k <> to.k")
     revisits = revisits.groupBy("path").agg(F.collect_list(F.struct("k", F.col("to.path").alias("to_path"), F.col("to.k").alias("to_k"))).alias("revisits"))
-    work = paths.join(revisits, "path", "left").repartition(F.col("path"))
+    work = paths.join(revisits, "path", "left").repartition(many, "path")
     return scratch.keep(work.mapInArrow(partial(_convert, folder=scratch.path("warc")), "path string, records long"), "warc-files")
 
 
 def read_warc(warcs: DataFrame) -> DataFrame:
     """One row per response or revisit of the WARC files in column path; a response's digest is checked against its payload."""
-    return warcs.select("path").repartition(F.col("path")).mapInArrow(_read_warc, WARC_ROWS)
+    return warcs.select("path").repartition(2 * max(1, warcs.count()), "path").mapInArrow(_read_warc, WARC_ROWS)
 
 
 def archive(pages: DataFrame, least: int = 0, **columns) -> DataFrame:
