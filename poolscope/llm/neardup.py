@@ -132,13 +132,19 @@ def _meet(table: pa.Table, threshold: float) -> pa.Table:
     registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     number = np.unique(cluster, return_inverse=True)[1]
     same = bool((t == t[0]).all()) and table.column("i")[0] == table.column("j")[0]
-    joined, out = _Union(int(number.max()) + 1), []
+    joined, out, root = _Union(int(number.max()) + 1), [], number.copy()
     for x in range(len(ids) - 1):
         y = np.arange(x + 1, len(ids))
-        y = y[(number[y] != number[x]) & (100 * np.minimum(n[y], n[x]) >= 100 * threshold * np.maximum(n[y], n[x])) & (same | (t[y] != t[x]))]
+        y = y[(root[y] != root[x]) & (n[y] >= threshold * n[x]) & (n[x] >= threshold * n[y]) & (same | (t[y] != t[x]))]
+        if len(y):
+            # agreeing registers beyond any doubt too few for the threshold: 7 standard deviations
+            y = y[(registers[y] == registers[x]).mean(1) >= threshold - 0.2]
         if len(y):
             ok = likelihood(registers[[x] * len(y)], registers[y], n[[x] * len(y)].astype(float), n[y].astype(float), threshold)[1] <= SLACK
-            out += [(ids[x], ids[i]) for i in y[ok] if joined.join(int(number[x]), int(number[i]))]
+            new = [(ids[x], ids[i]) for i in y[ok] if joined.join(int(number[x]), int(number[i]))]
+            if new:
+                out += new
+                root = np.array([joined.find(int(k)) for k in number])
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from poolscope.llm import chat, decontam, langid, linededup, media, mixing, neardup, queries, secrets, substring, warc, words
+from poolscope.llm import chat, components, decontam, langid, linededup, media, mixing, neardup, queries, secrets, substring, warc, words
 from poolscope.llm.scratch import Scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +76,23 @@ def test_near_duplicates(spark, monkeypatch):
         assert got[i] == (n, c, i == c)
 
 
+@pytest.mark.parametrize("local", [500_000, 40])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(60)] + [(100, int(x)) for x in rng.integers(100, 400, 80)] + [(500, 500)] + [(int(a), int(b)) for a, b in rng.integers(600, 900, (150, 2))]
+    to = {x: x for p in links if p[0] != p[1] for x in p}
+    for _ in to:
+        for a, b in links:
+            if a != b:
+                to[a] = to[b] = min(to[a], to[b])
+    scratch = Scratch(spark, "components-test")
+    got = components.connected(scratch, scratch.keep(spark.createDataFrame(links, "u long, v long").repartition(8), "links"), "c").collect()
+    assert {r["node"]: r["component"] for r in got} == to and len(got) == len(to)
+    none = components.connected(scratch, spark.createDataFrame([], "u long, v long"), "none")
+    assert none.collect() == []
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(table(spark, [])).collect() == []
     rows = [(None, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (2, None, None, None, None)]
