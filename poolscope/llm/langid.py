@@ -45,22 +45,20 @@ class Pieces:
             while self.ids[at] >= 0:
                 at = (at + 1) % (1 << SLOTS)
             self.ids[at], self.keys[at] = i, x
-        self.runs = 0
-        full = np.flatnonzero(self.ids < 0)
-        self.runs = int(np.diff(np.concatenate([[-1], full])).max()) if len(full) else 1 << SLOTS
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash; self.count where there is none."""
         at = (h >> U(64 - SLOTS)).astype(np.int64)
         out = np.full(h.shape, self.count, np.int32)
-        for _ in range(self.runs):
-            ids = self.ids[at]
-            hit = (ids >= 0) & (self.keys[at] == h)
-            out[hit] = ids[hit]
-            if not ((ids >= 0) & ~hit).any():
-                break
-            at = (at + 1) & ((1 << SLOTS) - 1)
-        return out
+        ids = self.ids[at]
+        open_ = np.flatnonzero(ids.ravel() >= 0)
+        at, flat, to = at.ravel()[open_], h.ravel()[open_], out.ravel()
+        while len(open_):
+            ids, hit = self.ids[at], self.keys[at] == flat
+            to[open_[hit]] = ids[hit]
+            go = ~hit & (ids >= 0)
+            open_, at, flat = open_[go], (at[go] + 1) & ((1 << SLOTS) - 1), flat[go]
+        return to.reshape(h.shape)
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """[word, end, length]: the piece that ends there with so many characters. A single character without a piece is the unknown one (count + 1)."""
@@ -102,8 +100,14 @@ def forward(pieces: Pieces, p: np.ndarray, words: list[str], expected: np.ndarra
         lens = np.array([len(w) + 1 for w in own])
         a, scale = np.zeros((n, wide, p.shape[1])), np.zeros((n, wide, p.shape[1]))
         a[:, 0] = 1
+        found = np.ascontiguousarray((at != pieces.count).transpose(1, 2, 0))
         for j in range(1, wide):
-            s = sum(a[:, j - k] * np.exp(scale[:, j - k] - scale[:, j - 1]) * p[at[:, j, k - 1]] if j > 32 else a[:, j - k] * p[at[:, j, k - 1]] for k in range(1, min(longest, j) + 1))
+            s = np.zeros((n, p.shape[1]))
+            for k in range(1, min(longest, j) + 1):
+                has = np.flatnonzero(found[j, k - 1])
+                if len(has):
+                    x = a[has, j - k] * p[at[has, j, k - 1]]
+                    s[has] += x * np.exp(scale[has, j - k] - scale[has, j - 1]) if j > 32 else x
             if j >= 32:  # long words: each position has a scale of its own
                 top = np.maximum(s, 1e-300)
                 a[:, j], scale[:, j] = s / top, scale[:, j - 1] + np.log(top)
