@@ -142,7 +142,7 @@ def masked_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.slice(text.tokens(F.col("text")), 1, SPEC.use_tokens).alias("tokens"), F.col("lang").alias("country"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"), F.col("lang").alias("country"))
 
 
 def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
