@@ -20,7 +20,7 @@ HINTS = ("pass", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "grammar")
 #: What the automata score: a run of such characters that is long enough and has a digit and a letter.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-#: Documents to learn from (about), credentials of a kind, confidence of the merging test, counts added to every step, share of labelled ones that may score below the threshold.
+#: Documents to count characters in (about), credentials of a kind, confidence of the merging test, counts added to every step, share of labelled ones that may score below the threshold.
 SAMPLE, CREDENTIALS, ALPHA, ADDED, BELOW = 4000, 800, 0.05, 0.1, 0.05
 #: Nats a character by which a format must beat ordinary text.
 MARGIN = 0.5
@@ -166,15 +166,15 @@ def _characters(batches):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = CREDENTIALS) -> dict:
-    """Automata and thresholds by kind, from at most `most` distinct credentials of a kind in about `sample` documents, both chosen by hashes.
+    """Automata and thresholds by kind, from at most `most` distinct credentials of a kind, chosen by a hash from those of all documents.
 
-    Only those credentials and the counts of characters reach the driver.
+    Characters are counted in about `sample` documents. Only those credentials and the counts of characters reach the driver.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     many = docs.count()
     part = docs.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(1, many))).select("text")
     first = Wd.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    found = part.mapInArrow(_labelled, "kind string, value string").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("kind", "value").collect()
+    found = docs.select("text").mapInArrow(_labelled, "kind string, value string").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("kind", "value").collect()
     counts = {r[0]: r[1] for r in part.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n")).collect()}
     total = sum(counts.values()) + 64
     usual = {c: log((counts.get(c, 0) + 1) / total) for c in {*counts, *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."}}

@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 from math import log, sqrt
 
 import pytest
+from pyspark.sql import functions as F
 
+from poolscope.llm import secrets
 from poolscope.plans.queries import QUERIES
 from poolscope.sources.tables import table
 
@@ -47,3 +49,13 @@ def test_tfidf_covers_whole_texts(spark, tokens):
         x = {w: n * idf[w] for w, n in Counter(t).items() if w in idf}
         norm = sqrt(sum(v * v for v in x.values()))
         assert got[i] == pytest.approx({w: v / norm for w, v in x.items()}, abs=2e-6)
+
+
+def test_rare_credentials_are_learned(spark):
+    """A format in documents that a sample of 4,000 by hash would leave out."""
+    docs = spark.range(8000, numPartitions=4).withColumnRenamed("id", "doc_id")
+    out = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) >= 500_000
+    key = F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)))
+    docs = docs.withColumn("text", F.when(out & (F.col("doc_id") % 100 == 0), F.concat(F.lit("key "), key, F.lit(" here"))).otherwise("plain words here"))
+    assert 20 < docs.filter("text like '%AKIA%'").count() < 60
+    assert len(secrets.train(docs)["kinds"]) == 1
