@@ -251,8 +251,11 @@ def scenario_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def support_count(spark: SparkSession, d: str) -> DataFrame:
-    rows = loans(spark, d).join(pools.pool(loans(spark, d)), "id")
-    return features.support(rows.withColumn("x", F.col("n").cast("double")).withColumn("z", F.col("hours").cast("double")), "x", "z", is_train())
+    """channel, endpoint, n: support around the scenario endpoints of volume and similarity, by channel."""
+    rows = model_rows(spark, d).select("year", "c", "h", "v", "g").persist()
+    out = [(channel, *r) for channel, (x, y) in {"current": ("c", "h"), "recent": ("v", "g")}.items() for r in features.support(rows, x, y, is_train()).collect()]
+    rows.unpersist()
+    return spark.createDataFrame(out, "channel string, endpoint string, n long")
 
 
 def regime_by_year(spark: SparkSession, d: str) -> DataFrame:

@@ -4,11 +4,12 @@ import re
 from collections import Counter, defaultdict
 from math import log, sqrt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from poolscope.llm import secrets
-from poolscope.plans.queries import QUERIES
+from poolscope.plans.queries import QUERIES, model_rows
 from poolscope.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +60,14 @@ def test_rare_credentials_are_learned(spark):
     docs = docs.withColumn("text", F.when(out & (F.col("doc_id") % 100 == 0), F.concat(F.lit("key "), key, F.lit(" here"))).otherwise("plain words here"))
     assert 20 < docs.filter("text like '%AKIA%'").count() < 60
     assert len(secrets.train(docs)["kinds"]) == 1
+
+
+def test_support_is_of_volume_and_similarity(spark):
+    rows = [r for r in model_rows(spark, SF).select("year", "c", "h", "v", "g").collect() if r["year"] <= 2000]
+    want = {}
+    for channel, pair in (("current", "ch"), ("recent", "vg")):
+        q = {x: np.quantile([r[x] for r in rows if r[x] is not None], [0.25, 0.75]) for x in pair}
+        for k, endpoint in enumerate(("low", "high")):
+            want[channel, endpoint] = sum(all(r[x] is not None and abs(r[x] - q[x][k]) <= 0.1 * (q[x][1] - q[x][0]) for x in pair) for r in rows)
+    got = QUERIES["support_count"](spark, SF).collect()
+    assert {(r["channel"], r["endpoint"]): r["n"] for r in got} == want and len(got) == 4 and sum(want.values()) > 0
