@@ -207,13 +207,15 @@ def recent_homogeneity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def homogeneity_audit(spark: SparkSession, d: str) -> DataFrame:
-    rows = texted(spark, d)
-    vectors = _vectors(rows)
-    focal = rows.orderBy(F.xxhash64("id"), "id").limit(200)
+    """Sweep against pairs: 200 focal listings by use in three pools, 50 by description in two."""
     parts = {}
-    for kind in ("current", "recent", "mirror14d"):
-        swept, paired = hom.homogeneity(rows, vectors, kind), hom.pairwise(rows, vectors, focal, kind)
-        parts[kind] = hom.audit(swept, paired).select("checks", (F.col("max_error") < 1e-9).alias("passed"))
+    for field, many, kinds in (("use", 200, ("current", "recent", "mirror14d")), ("description", 50, ("current", "recent"))):
+        rows = texted(spark, d, field=field)
+        vectors = _vectors(rows)
+        focal = rows.orderBy(F.xxhash64("id"), "id").limit(many)
+        for kind in kinds:
+            swept, paired = hom.homogeneity(rows, vectors, kind), hom.pairwise(rows, vectors, focal, kind)
+            parts[kind if field == "use" else f"{field}_{kind}"] = hom.audit(swept, paired).select("checks", (F.col("max_error") < 1e-9).alias("passed"))
     return effects.labelled(parts, "pool")
 
 
@@ -324,12 +326,13 @@ def group_effects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def robustness(spark: SparkSession, d: str) -> DataFrame:
-    """The interaction under other pools and texts: recent, 14 and 16 days, completed only, recurring language removed."""
+    """The interaction under other pools and texts: recent, 14 and 16 days, completed only, recurring language removed, masked use and masked description."""
     rows = texted(spark, d)
+    masked = {field: texted(spark, d, field=field, mask=True) for field in ("use", "description")}
     phrases = text.recurring_phrases(rows, "tokens", 30, SPEC.phrase_countries)
     plain = rows.join(text.residual(rows, "tokens", phrases), "id")
     out = {}
-    for name, base, kind in (("recent", rows, "recent"), ("mirror14d", rows, "mirror14d"), ("mirror16d", rows, "mirror16d"), ("completed", rows, "completed"), ("residual", plain.drop("tokens").withColumnRenamed("residual", "tokens"), "recent")):
+    for name, base, kind in (("recent", rows, "recent"), ("mirror14d", rows, "mirror14d"), ("mirror16d", rows, "mirror16d"), ("completed", rows, "completed"), ("residual", plain.drop("tokens").withColumnRenamed("residual", "tokens"), "recent"), ("masked_use", masked["use"], "recent"), ("masked_description", masked["description"], "recent")):
         vectors = _vectors(base)
         now = hom.homogeneity(base, vectors).select("id", pools.saturation().alias("c"), "h")
         lag = hom.homogeneity(base, vectors, kind)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poolscope.operators.text import masked, tokens
 from poolscope.plans.spec import SPEC, Spec
 
 
@@ -40,14 +41,16 @@ def loans(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("u1", F.col("u0") + F.col("hours") * F.lit(3_600_000_000))
 
 
-def texted(spark: SparkSession, folder: str, spec: Spec = SPEC) -> DataFrame:
-    """loans() with tokens: the first words of the text at id modulo the number of texts."""
+def texted(spark: SparkSession, folder: str, spec: Spec = SPEC, field: str = "use", mask: bool = False) -> DataFrame:
+    """loans() with tokens of the text at id modulo the number of texts: its first words as use, all of them as description; masked before it is split."""
+    if field not in ("use", "description"):
+        raise ValueError(field)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     many = docs.count()
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    short = docs.select("doc_id", F.slice(words, 1, spec.use_tokens).alias("tokens"))
+    words = tokens(masked(F.col("text")) if mask else F.col("text"))
+    own = docs.select("doc_id", (F.slice(words, 1, spec.use_tokens) if field == "use" else words).alias("tokens"))
     rows = loans(spark, folder)
-    return rows.join(short, F.pmod("id", F.lit(many)) == F.col("doc_id")).drop("doc_id")
+    return rows.join(own, F.pmod("id", F.lit(many)) == F.col("doc_id")).drop("doc_id")
 
 
 def is_train(spec: Spec = SPEC) -> Column:

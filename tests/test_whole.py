@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from poolscope.llm import secrets
 from poolscope.plans.queries import QUERIES, model_rows
-from poolscope.sources.tables import table
+from poolscope.sources.tables import table, texted
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,12 @@ def test_support_is_of_volume_and_similarity(spark):
             want[channel, endpoint] = sum(all(r[x] is not None and abs(r[x] - q[x][k]) <= 0.1 * (q[x][1] - q[x][0]) for x in pair) for r in rows)
     got = QUERIES["support_count"](spark, SF).collect()
     assert {(r["channel"], r["endpoint"]): r["n"] for r in got} == want and len(got) == 4 and sum(want.values()) > 0
+
+
+def test_description_is_the_whole_text_and_masks_come_first(spark, tokens):
+    assert {r["id"] % len(tokens): r["tokens"] for r in texted(spark, SF, field="description").collect()} == {i: t for i, t in tokens.items()}
+    assert all(r["tokens"] == tokens[r["id"] % len(tokens)][:30] for r in texted(spark, SF).collect())
+    plain, hidden = (texted(spark, SF, field="description", mask=m).select("tokens") for m in (False, True))
+    digits = F.size(F.filter("tokens", lambda w: w.rlike("^[0-9]+$")))
+    counts = [df.agg(F.sum(digits)).first()[0] for df in (plain, hidden)]
+    assert counts[0] > 100 and counts[1] < counts[0] / 10
