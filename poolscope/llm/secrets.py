@@ -7,6 +7,7 @@ from collections import Counter
 from functools import partial
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Wd
@@ -20,8 +21,8 @@ HINTS = ("pass", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "grammar")
 #: What the automata score: a run of such characters that is long enough and has a digit and a letter.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-#: Documents to count characters in (about), credentials of a kind, confidence of the merging test, counts added to every step, share of labelled ones that may score below the threshold.
-SAMPLE, CREDENTIALS, ALPHA, ADDED, BELOW = 4000, 800, 0.05, 0.1, 0.05
+#: Credentials of a kind, confidence of the merging test, counts added to every step, share of labelled ones that may score below the threshold.
+CREDENTIALS, ALPHA, ADDED, BELOW = 800, 0.05, 0.1, 0.05
 #: Nats a character by which a format must beat ordinary text.
 MARGIN = 0.5
 
@@ -157,25 +158,24 @@ def _labelled(batches):
 
 
 def _characters(batches):
-    total = Counter()
+    total = np.zeros(256, np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total.update(text or "")
-    rows = sorted((c, n) for c, n in total.items() if c.isascii() and (c.isalnum() or c in "+/_=-."))
+        for text in batch.column(0):
+            # In UTF-8, bytes below 128 are ASCII characters and nothing else.
+            total += np.bincount(np.frombuffer(text.as_buffer() or b"", np.uint8), minlength=256)
+    rows = [(chr(c), int(n)) for c, n in enumerate(total[:128]) if n and (chr(c).isalnum() or chr(c) in "+/_=-.")]
     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["c", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = CREDENTIALS) -> dict:
+def train(docs: DataFrame, text_col: str = "text", most: int = CREDENTIALS) -> dict:
     """Automata and thresholds by kind, from at most `most` distinct credentials of a kind, chosen by a hash from those of all documents.
 
-    Characters are counted in about `sample` documents. Only those credentials and the counts of characters reach the driver.
+    Characters are counted in all documents. Only those credentials and the counts of characters reach the driver.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    many = docs.count()
-    part = docs.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(1, many))).select("text")
+    docs = docs.select(F.col(text_col).alias("text"))
     first = Wd.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    found = docs.select("text").mapInArrow(_labelled, "kind string, value string").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("kind", "value").collect()
-    counts = {r[0]: r[1] for r in part.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n")).collect()}
+    found = docs.mapInArrow(_labelled, "kind string, value string").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("kind", "value").collect()
+    counts = {r[0]: r[1] for r in docs.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n")).collect()}
     total = sum(counts.values()) + 64
     usual = {c: log((counts.get(c, 0) + 1) / total) for c in {*counts, *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."}}
     out = {"usual": usual, "kinds": []}

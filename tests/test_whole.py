@@ -80,3 +80,9 @@ def test_description_is_the_whole_text_and_masks_come_first(spark, tokens):
     digits = F.size(F.filter("tokens", lambda w: w.rlike("^[0-9]+$")))
     counts = [df.agg(F.sum(digits)).first()[0] for df in (plain, hidden)]
     assert counts[0] > 100 and counts[1] < counts[0] / 10
+
+
+def test_characters_of_all_documents_are_counted(spark):
+    docs = spark.range(8000, numPartitions=4).withColumnRenamed("id", "doc_id").withColumn("text", F.when(F.col("doc_id") == 0, None).otherwise("aé0"))
+    n = secrets.train(docs)["usual"]
+    assert n["a"] == n["0"] == pytest.approx(log(8000 / (2 * 7999 + 64)), abs=1e-12)
