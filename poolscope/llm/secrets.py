@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import partial
-from math import log, sqrt
+from math import inf, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("pass", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "grammar")
-#: What the automata score: a run of such characters that is long enough and has a digit and a letter.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-#: Credentials of a kind, confidence of the merging test, counts added to every step, share of labelled ones that may score below the threshold.
-CREDENTIALS, ALPHA, ADDED, BELOW = 800, 0.05, 0.1, 0.05
+#: Credentials of a kind, confidence of the merging test, observations that a state adds and those of a class it has not seen, share of labelled ones that
+#: may score below the threshold.
+CREDENTIALS, ALPHA, PRIOR, ADDED, BELOW = 800, 0.05, 10.0, 0.1, 0.05
+#: Observations of a state below which the test says little, and the overlap of lengths still to come that two such states must have.
+EVIDENCE, OVERLAP = 30, 0.5
 #: Nats a character by which a format must beat ordinary text.
 MARGIN = 0.5
 
@@ -32,7 +33,7 @@ def symbol(c: str) -> str:
     return "U" if "A" <= c <= "Z" else "X" if "a" <= c <= "f" else "L" if "a" <= c <= "z" else "D" if "0" <= c <= "9" else c
 
 
-SIZES = {"U": 26, "X": 6, "L": 20, "D": 10}
+CLASSES = {"U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "X": "abcdef", "L": "ghijklmnopqrstuvwxyz", "D": "0123456789"}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -47,106 +48,181 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def candidates(text: str):
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s):
-            yield m.start(), m.end(), s
-
-
 class Automaton:
     """A probabilistic automaton over character classes, inferred by merging the states of a prefix tree.
 
-    States are taken in breadth-first order; each merges into the first state kept so far whose shares of endings and of next symbols don't differ beyond
-    Hoeffding's bound, nor do those of what follows; else it is kept. A merge folds the subtree.
+    Every state counts its characters, its endings, and how many characters its words still have to come. States are taken by depth, the most frequent
+    first; each is merged into a state kept so far if the two are compatible, one of the same depth first, else it is kept. A merge folds the subtree.
+
+    Compatible are states whose endings, characters and lengths to come differ by no more than Hoeffding's bound, as must those of what follows. The bound
+    says nothing of a few observations, and a tree over random characters has few at each of its states: so states of unlike depth, one of them with fewer
+    than EVIDENCE observations, must also share more than OVERLAP of their lengths to come. Words of one length thus keep a state for each place, and
+    words of many lengths get loops.
     """
 
     def __init__(self, words: list[str], alpha: float = ALPHA):
-        self.bound = sqrt(0.5 * log(2 / alpha))
-        self.next: list[dict[str, int]] = [{}]
-        self.steps: list[Counter] = [Counter()]
-        self.ends = [0]
+        self.bound, self.shortest = sqrt(0.5 * log(2 / alpha)), min(map(len, words))
+        self.next: list[dict[str, int]] = []
+        self.chars: list[Counter] = []
+        self.ends: list[int] = []
+        self.left: list[Counter] = []
+        self.depth: list[int] = []
+        self._state(0)
         for w in words:
             q = 0
-            for c in map(symbol, w):
-                self.steps[q][c] += 1
-                if c not in self.next[q]:
-                    self.next[q][c] = len(self.next)
-                    self.next.append({})
-                    self.steps.append(Counter())
-                    self.ends.append(0)
-                q = self.next[q][c]
+            self.left[q][len(w)] += 1
+            for i, c in enumerate(w, 1):
+                self.chars[q][c] += 1
+                x = symbol(c)
+                if x not in self.next[q]:
+                    self.next[q][x] = self._state(i)
+                q = self.next[q][x]
+                self.left[q][len(w) - i] += 1
             self.ends[q] += 1
-        kept, waiting = [0], [(0, c) for c in sorted(self.next[0])]
-        while waiting:
-            p, c = waiting.pop(0)
-            q = self.next[p][c]
-            if q in kept:
-                continue
-            to = next((r for r in kept if self._alike(r, q)), None)
+        kept, is_kept = [0], {0}
+        while True:
+            blue = {to for q in kept for to in self.next[q].values() if to not in is_kept}
+            if not blue:
+                break
+            q = min(blue, key=lambda q: (self.depth[q], -self._total(q), q))
+            to = next((r for r in sorted(kept, key=lambda r: (self.depth[r] != self.depth[q], r)) if self._alike(r, q)), None)
             if to is None:
                 kept.append(q)
-                waiting += [(q, x) for x in sorted(self.next[q])]
-            else:
-                self.next[p][c] = to
-                self._fold(to, q)
-                waiting += [(r, x) for r in kept for x in sorted(self.next[r]) if self.next[r][x] not in kept and (r, x) not in waiting]
+                is_kept.add(q)
+                continue
+            for r in kept:
+                for x, old in self.next[r].items():
+                    if old == q:
+                        self.next[r][x] = to
+            self._fold(to, q)
         self.states = kept
 
+    def _state(self, depth: int) -> int:
+        self.next.append({})
+        self.chars.append(Counter())
+        self.ends.append(0)
+        self.left.append(Counter())
+        self.depth.append(depth)
+        return len(self.next) - 1
+
     def _total(self, q: int) -> int:
-        return self.ends[q] + sum(self.steps[q].values())
+        return self.left[q].total()
+
+    def _shared(self, a: int, b: int) -> float:
+        """The share of lengths to come that two states have in common: of the lengths themselves where they repeat, else of their ranges."""
+        la, lb = self.left[a], self.left[b]
+        if 2 * len(la) <= la.total() and 2 * len(lb) <= lb.total():
+            return len(la.keys() & lb.keys()) / len(la.keys() | lb.keys())
+        low, high = (min(la), max(la)), (min(lb), max(lb))
+        return max(0, min(low[1], high[1]) - max(low[0], high[0]) + 1) / (max(low[1], high[1]) - min(low[0], high[0]) + 1)
+
+    def _close(self, a: int, b: int) -> bool:
+        """Whether two states differ by no more than the bound, by themselves."""
+        na, nb = self._total(a), self._total(b)
+        far = self.bound * (1 / sqrt(na) + 1 / sqrt(nb))
+        if abs(self.ends[a] / na - self.ends[b] / nb) > far:
+            return False
+        if any(abs(self.chars[a][c] / na - self.chars[b][c] / nb) > far for c in self.chars[a].keys() | self.chars[b].keys()):
+            return False
+        la, lb, apart = self.left[a], self.left[b], 0.0
+        for n in sorted(la.keys() | lb.keys()):
+            apart += la[n] / na - lb[n] / nb
+            if abs(apart) > far:
+                return False
+        return True
 
     def _alike(self, a: int, b: int) -> bool:
-        stack = [(a, b)]
+        if self.depth[a] != self.depth[b] and min(self._total(a), self._total(b)) < EVIDENCE and self._shared(a, b) <= OVERLAP:
+            return False
+        stack, seen = [(a, b)], set()
         while stack:
             a, b = stack.pop()
-            na, nb = self._total(a), self._total(b)
-            if not na or not nb:
+            if a == b or (a, b) in seen:
                 continue
-            far = self.bound * (1 / sqrt(na) + 1 / sqrt(nb))
-            if abs(self.ends[a] / na - self.ends[b] / nb) > far:
+            seen.add((a, b))
+            if not self._close(a, b):
                 return False
-            for c in self.steps[a].keys() | self.steps[b].keys():
-                if abs(self.steps[a][c] / na - self.steps[b][c] / nb) > far:
-                    return False
-            stack += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c]]
+            stack += [(self.next[a][x], self.next[b][x]) for x in self.next[a].keys() & self.next[b].keys()]
         return True
 
     def _fold(self, a: int, b: int) -> None:
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
+            if a == b:
+                continue
             self.ends[a] += self.ends[b]
-            self.steps[a].update(self.steps[b])
-            for c, q in sorted(self.next[b].items()):
-                if c in self.next[a]:
-                    if self.next[a][c] != q:
-                        stack.append((self.next[a][c], q))
+            self.chars[a].update(self.chars[b])
+            self.left[a].update(self.left[b])
+            for x, q in sorted(self.next[b].items()):
+                if x in self.next[a]:
+                    stack.append((self.next[a][x], q))
                 else:
-                    self.next[a][c] = q
+                    self.next[a][x] = q
 
     def table(self) -> dict:
-        """State -> (log-probability of the end, symbol -> (log-probability of one character, state)); None stands for a step never seen."""
-        out = {}
+        """What scoring needs: alphabet, lengths, and of each state the log-probabilities of its end and of each character, with the state that follows.
+
+        A state's characters are counted on top of PRIOR observations, which have its classes in their shares and all characters of a class alike. A class
+        that it has not seen has ADDED observations and leads where most of its characters lead. A word that stops at a state without endings, or goes on
+        where nothing follows, has probability 0. lengths: least and most characters of a word whose probability is not 0, None for no most; none is shorter
+        than the shortest credential.
+        """
+        classes = {x: CLASSES.get(x, x) for x in sorted({symbol(c) for q in self.states for c in self.chars[q]})}
+        place = {q: i for i, q in enumerate(self.states)}
+        rows, follow = [], []
         for q in self.states:
-            n = self._total(q) + ADDED * 8
-            out[q] = (log((self.ends[q] + ADDED) / n), {c: (log((k + ADDED) / n / SIZES.get(c, 1)), self.next[q][c]) for c, k in self.steps[q].items()}, log(ADDED / n / 26))
-        return out
+            going = sum(self.chars[q].values())
+            n = self.ends[q] + going
+            end, steps = log(self.ends[q] / n) if self.ends[q] else None, {}
+            if going:
+                per = Counter()
+                for c, k in self.chars[q].items():
+                    per[symbol(c)] += k
+                usual = self.next[q][max(sorted(per), key=per.__getitem__)]
+                for x, own in classes.items():
+                    share = (per[x] or ADDED) / (going + ADDED * (len(classes) - len(per))) / len(own)
+                    for c in own:
+                        steps[c] = log(going / n * (self.chars[q][c] + PRIOR * share) / (going + PRIOR)), place[self.next[q].get(x, usual)]
+            rows.append((end, steps))
+            follow.append({to for _, to in steps.values()})
+        here, least, most = {0}, None, 0
+        for n in range(len(rows) * 2 + 1):
+            if any(rows[q][0] is not None for q in here):
+                least, most = n if least is None else least, n
+            here = set().union(*(follow[q] for q in here)) if here else here
+            if not here:
+                break
+        return {"alphabet": "".join(classes.values()), "lengths": (max(least, self.shortest), None if here else most), "states": rows}
 
 
 def score(table: dict, usual: dict[str, float], word: str) -> float:
-    """Log-likelihood of a word's format over that of ordinary text, per character."""
-    q, total, least = 0, 0.0, min(usual.values())
+    """Log-likelihood of a word's format over that of ordinary text, per character; -inf for a word that the automaton does not make."""
+    states, q, total, least = table["states"], 0, 0.0, min(usual.values())
     for c in word:
-        step = table[q][1].get(symbol(c)) if q is not None and q in table else None
+        step = states[q][1].get(c)
         if step is None:
-            total += table[q][2] if q in table else -log(64)
-            q = None
-        else:
-            total += step[0]
-            q = step[1]
-        total -= usual.get(c, least)
-    return (total + (table[q][0] if q in table else log(ADDED))) / (len(word) + 1)
+            return -inf
+        total += step[0] - usual.get(c, least)
+        q = step[1]
+    return -inf if states[q][0] is None else (total + states[q][0]) / (len(word) + 1)
+
+
+def least_score(words: list[str], table: dict, usual: dict[str, float]) -> float:
+    """The score that all but BELOW of the words reach, the lower one of two ways: under their automaton, and each half under the other half's."""
+    def below(scores):
+        own = sorted(x for x in scores if x > -inf)
+        return own[int(len(own) * BELOW)] if own else inf
+
+    halves = [Automaton(words[k::2]).table() for k in (0, 1)] if len(words) > 1 else []
+    return max(MARGIN, min(below(score(table, usual, w) for w in words), below(score(t, usual, w) for k, t in enumerate(halves) for w in words[1 - k :: 2])))
+
+
+def runs_of(table: dict):
+    """A pattern for the whole runs of a format's alphabet whose length its automaton can make; longer and shorter ones have probability 0."""
+    own = "".join(re.escape(c) for c in table["alphabet"])
+    least, most = table["lengths"]
+    return re.compile(rf"(?<![{own}])[{own}]{{{least},{'' if most is None else most}}}(?![{own}])")
 
 
 def _labelled(batches):
@@ -170,7 +246,8 @@ def _characters(batches):
 def train(docs: DataFrame, text_col: str = "text", most: int = CREDENTIALS) -> dict:
     """Automata and thresholds by kind, from at most `most` distinct credentials of a kind, chosen by a hash from those of all documents.
 
-    Characters are counted in all documents. Only those credentials and the counts of characters reach the driver.
+    Characters are counted in all documents. Only those credentials and the counts of characters reach the driver. A kind's threshold is the score that
+    all but BELOW of its own credentials reach (least_score), and at least MARGIN.
     """
     docs = docs.select(F.col(text_col).alias("text"))
     first = Wd.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
@@ -183,17 +260,20 @@ def train(docs: DataFrame, text_col: str = "text", most: int = CREDENTIALS) -> d
         words = sorted(r["value"] for r in found if r["kind"] == kind)
         if words:
             table = Automaton(words).table()
-            own = sorted(score(table, usual, w) for w in words)
-            out["kinds"].append((table, max(MARGIN, own[int(len(own) * BELOW)])))
+            out["kinds"].append((table, least_score(words, table, usual)))
     return out
 
 
-def grammar_spans(model: dict, text: str, base: list) -> list[tuple[str, int, int]]:
-    """Candidates that score over the threshold of some kind's automaton and touch no base span."""
-    taken, out = sorted((a, b) for _, a, b, _ in base), []
-    for a, b, word in candidates(text):
-        if not any(a < y and x < b for x, y in taken) and any(score(t, model["usual"], word) >= least for t, least in model["kinds"]):
+def grammar_spans(patterns: list, model: dict, text: str, base: list) -> list[tuple[str, int, int]]:
+    """Runs that score over the threshold of some kind's automaton and touch no base span; of runs that overlap, the first and longest."""
+    taken, found = [(a, b) for _, a, b, _ in base], set()
+    for pattern, (table, least) in zip(patterns, model["kinds"], strict=True):
+        found |= {m.span() for m in pattern.finditer(text) if score(table, model["usual"], m[0]) >= least}
+    out, last = [], 0
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= last and not any(a < y and x < b for x, y in taken):
             out.append(("grammar", a, b))
+            last = b
     return out
 
 
@@ -202,6 +282,7 @@ ROWS = "doc_id long, kinds array<string>, starts array<long>, ends array<long>"
 
 def _scan(batches, model):
     model = model.value
+    patterns = [runs_of(table) for table, _ in model["kinds"]]
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
@@ -209,7 +290,7 @@ def _scan(batches, model):
             for text in part.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                spans = [x[:3] for x in base] + grammar_spans(model, text, base)
+                spans = [x[:3] for x in base] + grammar_spans(patterns, model, text, base)
                 found.append(sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
             columns = [pa.array([[x[i] for x in s] for s in found], pa.list_(pa.string() if not i else pa.int64())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "kinds", "starts", "ends"])
@@ -218,6 +299,8 @@ def _scan(batches, model):
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kinds, starts, ends of each document's spans, by start and then kind: assign, access, hex, grammar. Offsets are code points, ends exclusive.
 
+    Grammar spans are whole runs of a format's alphabet that its automaton makes, at a likelihood over the threshold; the alphabet and the lengths come from
+    the labelled credentials, so any length that was labelled is scored.
     Text null or empty: no spans. doc_id may be null or repeat. A model without credentials adds no spans. Each row stands alone: nothing is shuffled.
     An empty table gives no rows. Other columns are not read.
     """

@@ -372,6 +372,44 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, []), secrets.train(table(spark, []))).collect() == []
 
 
+LOWER_HEX, UPPER36 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def test_automata_keep_formats():
+    """One state for each place of a format of fixed length, which a histogram of characters has not; loops for formats of many lengths."""
+    rng = random.Random(4)
+    key = lambda n, s: "".join(rng.choice(s) for _ in range(n))
+    usual = {c: np.log(0.02 if c.islower() else 0.002) for c in UPPER36 + UPPER36.lower() + "+/_=-."}
+    formats = [(lambda: key(40, LOWER_HEX), 41), (lambda: "AKIA" + key(16, UPPER36), 21), (lambda: key(rng.choice([16, 24, 40]), UPPER36), 41)]
+    wrong = [[key(39, LOWER_HEX), key(41, LOWER_HEX), key(40, UPPER36), "e" * 40], ["AKIA" + key(15, UPPER36), "AKIA" + key(17, UPPER36), key(20, "BCDEFGH")], [key(17, UPPER36), key(41, UPPER36)]]
+    for (make, states), bad in zip(formats, wrong, strict=True):
+        words = sorted(make() for _ in range(400))
+        own = secrets.Automaton(words)
+        table = own.table()
+        least = secrets.least_score(words, table, usual)
+        assert len(own.states) == states
+        assert sum(secrets.score(table, usual, make()) >= least for _ in range(300)) >= 270
+        assert not any(secrets.score(table, usual, w) >= least for w in bad)
+    loops = secrets.Automaton(sorted(key(rng.randint(8, 60), UPPER36) for _ in range(400))).table()
+    assert len(loops["states"]) < 60 and secrets.score(loops, usual, key(33, UPPER36)) > 0.5
+
+
+def test_planted_credentials_are_found(spark):
+    """Recall and precision of grammar spans: free-standing credentials of labelled formats, among words, wrong lengths and other alphabets."""
+    rng = random.Random(6)
+    key = lambda n, s: "".join(rng.choice(s) for _ in range(n))
+    mixed = UPPER36 + UPPER36.lower() + "/+"
+    labelled = [f"secret = {key(40, mixed)}" if k % 3 else f"password: {key(12, UPPER36)}" for k in range(300)]
+    planted = [key(40, mixed) if k % 2 else key(12, UPPER36) for k in range(200)]
+    other = [key(39, mixed) if k % 3 == 0 else key(13, UPPER36) if k % 3 == 1 else f"{rng.choice(['internationalisation', 'SHOUTINGWORD', 'aaaaaaaaaaaa'])}" for k in range(200)]
+    texts = [f"some words. {x} and more of them {'as prose would have it, ' * 30}" for x in labelled + planted + other]
+    df = table(spark, texts)
+    got = {r["doc_id"]: [x for x in r["kinds"] if x == "grammar"] for r in secrets.scan(df, secrets.train(df)).collect()}
+    found, false = (sum(bool(got[i]) for i in range(a, a + 200)) for a in (300, 500))
+    assert found >= 180 and false <= 0.1 * found
+    assert not any(got[i] for i in range(300))
+
+
 def test_word_hashes_agree_with_words():
     texts = sample_texts(7)
     known = {}
