@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -10,19 +11,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import Scratch
 
 U = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bins of a document's MinHash for each of its shingles, at least, as a power of two.
-DENSITY = 3
-#: Items of which fewer shingles than this must be found are searched among all shingles, not MinHash values.
-SMALL = 9
+#: MinHash values that the smallest item of a partition has on average, and the chance of losing a document that holds just enough of an item.
+SKETCH, MISSED = 12, 1e-6
 #: Words of the items that one pass over the documents searches; also bounds what each task holds.
 PASS_WORDS = 200_000
 
 
+def partition_of(sizes: np.ndarray) -> np.ndarray:
+    """Items of 2^p to 2^(p+1)-1 shingles make up partition p."""
+    return np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+
+
+def bound_of(p: np.ndarray) -> np.ndarray:
+    """Hash values below the bound are a set's MinHash in partition p: SKETCH of 2^p shingles on average, all where there are no more.
+
+    The bound is the same for items and documents, so the sketch of a document of any length holds the values that it shares with an item's, which a fixed
+    number of minima of a long document would not.
+    """
+    share = np.minimum(1.0, SKETCH / 2.0**p)
+    return np.where(share < 1, (share * 2.0**64).astype(np.float64), 2.0**64)
+
+
+def least_found(size: int, need: int, kept: int, missed: float = MISSED) -> int:
+    """How many of an item's `kept` MinHash values a document has that holds `need` of its `size` shingles, but for a chance of `missed`; 1 at least.
+
+    Which shingles have the smallest hashes is chance, so the number found is hypergeometric. A document that holds more has more of them.
+    """
+    total, below = comb(size, kept), 0
+    for k in range(max(0, kept - (size - need)), kept + 1):
+        below += comb(need, k) * comb(size - need, kept - k)
+        if below > missed * total:
+            return max(1, k)
+    return max(1, kept)
+
+
+def lower(h: np.ndarray, bound: float) -> np.ndarray:
+    """Which hashes lie below a bound of at most 2^64."""
+    return np.ones(len(h), bool) if bound >= 2.0**64 else h < U(bound)
+
+
+def below(h: np.ndarray, bound: float) -> np.ndarray:
+    return h[lower(h, bound)]
+
+
 class Items:
-    """Benchmark items, their shingles by hash, and their shingles as words."""
+    """Benchmark items: their MinHash values by hash, how many of them make a candidate, and their shingles as words."""
 
     def __init__(self, ids: list, texts: list[str | None], k: int, percent: int):
         self.k, self.percent = k, percent
@@ -34,13 +71,18 @@ class Items:
         full = [i for i, s in enumerate(own) if len(s)]
         self.ids = np.array([ids[i] for i in full], np.int64)
         self.sizes = np.array([len(own[i]) for i in full], np.int64)
-        self.need = -(-self.sizes * percent // 100)
+        bounds = bound_of(partition_of(self.sizes))
+        self.bound = float(bounds.max(initial=0.0))
+        sketches = [below(own[i], x) for i, x in zip(full, bounds, strict=True)]
+        self.least = np.array([least_found(n, -(-n * percent // 100), len(s)) for n, s in zip(self.sizes.tolist(), sketches, strict=True)], np.int64)
+        # an item whose sketch is empty by chance is sought by its smallest value
+        sketches = [s if len(s) else own[i][:1] for s, i in zip(sketches, full, strict=True)]
         self.sets = []
         for i in full:
             w = texts[i].encode().lower().split()
             self.sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))})
-        flat = np.concatenate([own[i] for i in full]) if full else np.zeros(0, U)
-        item = np.repeat(np.arange(len(full)), self.sizes)
+        flat = np.concatenate(sketches) if full else np.zeros(0, U)
+        item = np.repeat(np.arange(len(full)), [len(s) for s in sketches])
         order = np.argsort(flat, kind="stable")
         self.hashes, start = np.unique(flat[order], return_index=True)
         self.start, self.item = np.append(start, len(flat)), item[order]
@@ -63,59 +105,41 @@ class Items:
 def search(items: Items, column: pa.Array):
     """(text, item, shingles shared) of each text of a column that holds at least items.percent of an item's shingles.
 
-    Documents are partitioned by size: one of 2^(p-1) to 2^p shingles has a MinHash of 2^(p+DENSITY) bins, so that a shingle is its bin's minimum with a
-    known and high probability, in short and in long documents. Values that equal an item's shingle are counted; the item is a candidate if as many are
-    found as 6 standard deviations below the count that the containment makes likely. Candidates are verified on the words themselves.
+    A document's shingles are reduced to its MinHash under the largest bound of the items' partitions, without repeats, and only that is looked up. An
+    item's values lie below its own partition's bound, so what is found of it is what the two sketches share there. Items of which enough values are found
+    for their size (least_found) are candidates, and candidates are verified on the words themselves.
     """
     for a, b, h, first in W.texts(column, True):
         s, d = W.shingles(h, first, items.k)
-        place_all = items.hits(s)
-        sets, at = W.distinct(s, d, b - a)
-        n = np.diff(at)
-        doc = np.repeat(np.arange(b - a), n)
-        p = np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + DENSITY
-        bins = sets >> (64 - p).astype(U)[doc]
-        least = np.ones(len(sets), bool)
-        least[1:] = (bins[1:] != bins[:-1]) | (doc[1:] != doc[:-1])
-        place = items.hits(sets)
-        found = place >= 0
-        m = 2.0**p
-        chance = np.minimum(1.0, m / np.maximum(n, 1) * -np.expm1(n * np.log1p(-1 / m)))
-        out = []
-        for use, small in ((found & least, False), (found, True)):
-            x, item, count = items.counted(place[use], doc[use])
-            need = items.need[item]
-            mean = need * chance[x]
-            low = np.maximum(1, np.ceil(mean - 6 * np.sqrt(mean * (1 - chance[x])))) if not small else need
-            ok = (count >= low) & ((need < SMALL) == small)
-            out += zip(x[ok].tolist(), item[ok].tolist(), strict=True)
-        by: dict[int, list[int]] = {}
-        for x, item in sorted(out):
-            by.setdefault(x, []).append(item)
-        if not by:
+        keep = np.flatnonzero(lower(s, items.bound))
+        place = items.hits(s[keep])
+        keep, place = keep[place >= 0], place[place >= 0]
+        if not len(keep):
             continue
+        n = max(1, len(items.hashes))
+        once = np.unique(d[keep] * n + place)
+        x, item, count = items.counted(once % n, once // n)
+        ok = count >= items.least[item]
+        by: dict[int, list[int]] = {}
+        for i, j in zip(x[ok].tolist(), item[ok].tolist(), strict=True):
+            by.setdefault(i, []).append(j)
         data = column.slice(a, b - a)
-        bounds = np.searchsorted(d[: len(d)], np.arange(b - a + 1)) if not (np.diff(d) < 0).any() else None
-        for x, those in by.items():
-            w = data[x].as_py().encode().lower().split()
-            if bounds is not None and len(w) >= items.k:
-                own = slice(bounds[x], bounds[x + 1])
-                spots = np.flatnonzero(place_all[own] >= 0).tolist()
-                shared = {tuple(w[i : i + items.k]) for i in spots}
-            else:
-                shared = {tuple(w[i : i + items.k]) for i in range(max(1, len(w) - items.k + 1))}
-            for item in those:
-                both = len(items.sets[item] & shared)
-                if 100 * both >= items.percent * items.sizes[item]:
-                    yield a + x, item, both
+        for i, those in by.items():
+            w = data[i].as_py().encode().lower().split()
+            wanted = set().union(*(items.sets[j] for j in those))
+            shared = {t for p in range(max(1, len(w) - items.k + 1)) if (t := tuple(w[p : p + items.k])) in wanted}
+            for j in those:
+                both = len(items.sets[j] & shared)
+                if 100 * both >= items.percent * items.sizes[j]:
+                    yield a + i, j, both
 
 
 def _pairs(batches, items):
     items = items.value
     for batch in batches:
-        found = list(search(items, batch.column(1)))
+        found = list(search(items, batch.column(2)))
         x, item, both = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x)), pa.array(items.ids[item]), pa.array(both), pa.array(items.sizes[item])], ["doc_id", "item_id", "n_shared", "n_item"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x)), batch.column(1).take(pa.array(x)), pa.array(items.ids[item]), pa.array(both), pa.array(items.sizes[item])], ["doc_id", "t", "item_id", "n_shared", "n_item"])
 
 
 def _clean(batches, items):
@@ -127,33 +151,54 @@ def _clean(batches, items):
         yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(keep))
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, k: int, percent: int):
-    """The items in parts of about PASS_WORDS words, each sent to the tasks once."""
+def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The items, and in how many parts of about PASS_WORDS words they are searched."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     total = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()[0]
-    parts = max(1, -(-total // PASS_WORDS))
+    return rows, max(1, -(-total // PASS_WORDS))
+
+
+def _part(rows: DataFrame, i: int, parts: int, k: int, percent: int):
+    """Part i of the items, sent to the tasks once; its size is bounded by PASS_WORDS, but for an item that is longer by itself."""
+    own = rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id").collect()
+    return rows.sparkSession.sparkContext.broadcast(Items([r[0] for r in own], [r[1] for r in own], k, percent))
+
+
+def _found(docs: DataFrame, items: DataFrame, parts: int, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """contaminated() over rows (doc_id, text, and t, a hash of the text); a pass ends, and its items go, before the next begins."""
+    out, schema = None, "doc_id long, t long, item_id long, n_shared long, n_item long"
     for i in range(parts):
-        part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([r[0] for r in part], [r[1] for r in part], k, percent))
+        sent = _part(items, i, parts, k, percent)
+        part = docs.mapInArrow(partial(_pairs, items=sent), schema)
+        if parts > 1:
+            part = scratch.keep(part, f"pass-{i}")
+            sent.unpersist()
+        out = part if out is None else out.union(part)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item): documents that hold at least percent of an item's distinct lower-cased k-word shingles.
 
-    Items are searched in passes of bounded size; a pass is one scan of the documents, without a shuffle, whatever their skew. An item of fewer than k words
-    has its whole sequence as one shingle, as a document has. Text null, empty or without words, in either table: no rows. item_id null: not searched.
-    doc_id may be null or repeat: each row is searched. An empty table gives no rows. Other columns are not read.
+    Items are partitioned by size, and their MinHash values sought in the documents' (search()), in passes over parts of bounded size; a pass is one scan
+    of the documents, without a shuffle, whatever their skew. A document that holds just enough of an item is missed with a chance of MISSED.
+    An item of fewer than k words has its whole sequence as one shingle, as a document has. Text null, empty or without words, in either table: no rows.
+    item_id null: not searched. doc_id may be null or repeat: each row is searched. An empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for items in _passes(benchmark, item_col, item_text_col, k, percent):
-        part = rows.mapInArrow(partial(_pairs, items=items), "doc_id long, item_id long, n_shared long, n_item long")
-        out = part if out is None else out.union(part)
-    return out
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    items, parts = _parts(benchmark, item_col, item_text_col)
+    return _found(rows, items, parts, k, percent, Scratch(docs.sparkSession, "decontamination")).drop("t")
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, that contaminated() would not name.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, that contaminated() would not name."""
-    for items in _passes(benchmark, item_col, item_text_col, k, percent):
-        docs = docs.select(docs[text_col].alias("_text"), *(docs[c] for c in docs.columns)).mapInArrow(partial(_clean, items=items), docs.schema)
-    return docs
+    Where the items fit in one pass, rows are dropped as they are read. Else each pass writes the ids and text hashes of what it finds, and the rows
+    that have them leave by one join. doc_id may be null or repeat: a row goes by its own text.
+    """
+    items, parts = _parts(benchmark, item_col, item_text_col)
+    if parts == 1:
+        return docs.select(docs[text_col].alias("_text"), *(docs[c] for c in docs.columns)).mapInArrow(partial(_clean, items=_part(items, 0, 1, k, percent)), docs.schema)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("text"))
+    gone = _found(rows, items, parts, k, percent, Scratch(docs.sparkSession, "decontamination")).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left_anti")

@@ -243,9 +243,32 @@ def test_decontamination(spark):
 
 def test_decontamination_in_passes(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    one = {tuple(r) for r in decontam.contaminated(docs, bench).collect()}
+    docs = docs.union(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    one, clean = Counter(tuple(r) for r in decontam.contaminated(docs, bench).collect()), Counter(tuple(r) for r in decontam.decontaminate(docs, bench).collect())
     monkeypatch.setattr(decontam, "PASS_WORDS", 300)
-    assert {tuple(r) for r in decontam.contaminated(docs, bench).collect()} == one
+    assert Counter(tuple(r) for r in decontam.contaminated(docs, bench).collect()) == one and one
+    assert Counter(tuple(r) for r in decontam.decontaminate(docs, bench).collect()) == clean
+
+
+def test_containment_search_has_recall():
+    """Items of many sizes, in long documents, whole and in parts, together and apart: the sketch is a part of a long item, and finds all the same."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [" ".join(word() for _ in range(n)) for n in (6, 9, 20, 40, 90, 400, 3000) for _ in range(12)]
+    docs = []
+    for t in items:
+        w, filler = t.split(), [word() for _ in range(4000)]
+        cut = len(w) // 2
+        docs += [" ".join(filler[:1000] + w + filler[1000:]), " ".join(filler[:500] + w[:cut] + filler[500:900] + w[cut:] + filler[900:]), " ".join(w[: len(w) * 7 // 10] + filler)]
+    index = decontam.Items(list(range(len(items))), items, 5, 75)
+    assert len(index.hashes) < sum(index.sizes) / 8
+    sets = [set(zip(*(t.encode().split()[i:] for i in range(5)), strict=False)) for t in docs]
+    want = {(i, j) for i, s in enumerate(sets) for j, q in enumerate(index.sets) if 100 * len(s & q) >= 75 * len(q)}
+    got = {(i, j) for i, j, _ in decontam.search(index, pa.array(docs))}
+    assert got == want and len(want) > 120
+    size, need, kept = 200, 150, 24
+    draws = np.random.default_rng(0).hypergeometric(need, size - need, kept, 200_000)
+    assert (draws < decontam.least_found(size, need, kept, 1e-3)).mean() <= 1.3e-3 and decontam.least_found(8, 6, 8) == 6
 
 
 def brute_forward(p, pieces, word):
