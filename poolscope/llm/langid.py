@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import partial
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -17,6 +19,10 @@ U = np.uint64
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Training documents of a language (about; chosen by a hash of the id), rounds of expectation-maximisation, counts added to every piece.
 SAMPLE, ROUNDS, ADDED = 500, 4, 0.05
+#: Characters of a stretch of a word to learn from, and distinct stretches of a language at most, chosen by a hash.
+STRETCH, STRETCHES = 32, 300_000
+#: Characters from which a word is scored by _long(), and those that it takes at a time.
+LONG, CHUNK = 512, 1 << 15
 #: Words whose likelihoods one task remembers.
 REMEMBERED = 200_000
 MARK = "▁"
@@ -62,10 +68,10 @@ class Pieces:
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """[word, end, length]: the piece that ends there with so many characters. A single character without a piece is the unknown one (count + 1)."""
-        n, wide = len(words), max(map(len, words)) + 1
+        n, wide = len(words), max(map(len, words))
         text = np.zeros((n, wide), np.int64)
         for i, w in enumerate(words):
-            text[i, 0], text[i, 1 : len(w) + 1] = ord(MARK), np.frombuffer(w.encode("utf-32-le"), np.uint32)
+            text[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
         sums = np.zeros((n, wide + 1), U)
         np.cumsum(W.mix(text.astype(U)) * _powers(Q, wide)[:wide], axis=1, dtype=U, out=sums[:, 1:])
         back = _powers(Q_BACK, wide)
@@ -89,15 +95,58 @@ def _groups(words: list[str], most: int = 4096):
         a = b
 
 
+def _long(pieces: Pieces, p: np.ndarray, word: str) -> np.ndarray:
+    """forward() of one word of any length, in time and memory that are small for each of its characters.
+
+    A step needs the sums at the last `longest` places only and is linear in them, so a run of steps is a matrix. A chunk is cut into about as many segments
+    as a segment has characters; all segments' matrices are built side by side, and then applied to the sums one after another.
+    """
+    wide, langs = pieces.longest, p.shape[1]
+    v, logs, lags = np.zeros((wide, langs)), np.zeros(langs), np.arange(wide)
+    v[0] = 1  # v[m]: the sum m places back
+    for begin in range(0, len(word), CHUNK):
+        n, before = min(CHUNK, len(word) - begin), min(begin, wide)
+        at = pieces.lattice([word[begin - before : begin + n]])[0][before:]
+        many = isqrt(n)
+        step = n // many
+        m, scale = np.zeros((many, wide, wide, langs)), np.zeros((many, langs))
+        m[:, lags, (-lags) % wide] = 1  # [segment, place back that began with 1, place modulo wide]
+        ends = np.arange(many) * step
+        for j in range(1, step + 1):
+            own = p[at[ends + j]][:, (j - 1 - lags) % wide]  # by place modulo wide
+            m[:, :, j % wide] = np.einsum("smkl,skl->sml", m, own)
+            if j % 16 == 0 or j == step:
+                top = np.maximum(m.max((1, 2)), 1e-300)
+                m /= top[:, None, None]
+                scale += np.log(top)
+        m = m[:, :, (step - lags) % wide]
+        for s in range(many):
+            v = np.einsum("ml,mkl->kl", v, m[s])
+            top = np.maximum(v.max(0), 1e-300)
+            v, logs = v / top, logs + scale[s] + np.log(top)
+        for j in range(many * step + 1, n + 1):
+            new = (v * p[at[j]]).sum(0)
+            v = np.concatenate([new[None], v[:-1]])
+            if j % 16 == 0 or j == n:
+                top = np.maximum(v.max(0), 1e-300)
+                v, logs = v / top, logs + np.log(top)
+    return np.log(np.maximum(v[0], 1e-300)) + logs
+
+
 def forward(pieces: Pieces, p: np.ndarray, words: list[str], expected: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
-    """[word, language]: log-probability of each word, summed over all its segmentations. p: [piece, language], with zeros at pieces.count and
-    the unknown character's after it. With expected, weight[word, language] times each piece's posterior count is added to it."""
+    """[word, language]: log-probability of each word, with its mark where it has one, summed over all its segmentations. p: [piece, language], with zeros
+    at pieces.count and the unknown character's after it. With expected, weight[word, language] times each piece's posterior count is added to it; words
+    have STRETCH characters at most then."""
     out = np.empty((len(words), p.shape[1]))
-    for group in _groups(words):
+    short = [i for i, w in enumerate(words) if len(w) < LONG]
+    for i in set(range(len(words))) - set(short):
+        out[i] = _long(pieces, p, words[i])
+    for group in _groups([words[i] for i in short]):
+        group = [short[i] for i in group]
         own = [words[i] for i in group]
         at = pieces.lattice(own)
         n, wide, longest = at.shape
-        lens = np.array([len(w) + 1 for w in own])
+        lens = np.array([len(w) for w in own])
         a, scale = np.zeros((n, wide, p.shape[1])), np.zeros((n, wide, p.shape[1]))
         a[:, 0] = 1
         found = np.ascontiguousarray((at != pieces.count).transpose(1, 2, 0))
@@ -107,8 +156,8 @@ def forward(pieces: Pieces, p: np.ndarray, words: list[str], expected: np.ndarra
                 has = np.flatnonzero(found[j, k - 1])
                 if len(has):
                     x = a[has, j - k] * p[at[has, j, k - 1]]
-                    s[has] += x * np.exp(scale[has, j - k] - scale[has, j - 1]) if j > 32 else x
-            if j >= 32:  # long words: each position has a scale of its own
+                    s[has] += x * np.exp(scale[has, j - k] - scale[has, j - 1]) if j > STRETCH else x
+            if j > STRETCH:  # long words: each position has a scale of its own
                 top = np.maximum(s, 1e-300)
                 a[:, j], scale[:, j] = s / top, scale[:, j - 1] + np.log(top)
             else:
@@ -116,7 +165,7 @@ def forward(pieces: Pieces, p: np.ndarray, words: list[str], expected: np.ndarra
         rows = np.arange(n)
         end = a[rows, lens]
         out[group] = np.log(np.maximum(end, 1e-300)) + scale[rows, lens]
-        if expected is not None and wide <= 32:
+        if expected is not None:
             b = np.zeros_like(a)
             b[rows, lens] = weight[group] / np.maximum(end, 1e-300)
             for j in range(wide - 1, 0, -1):
@@ -138,10 +187,19 @@ def _alphabetic(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
+def stretches(word: str) -> list[str]:
+    """A word with its mark, in parts of at most STRETCH characters."""
+    word = MARK + word
+    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
+
+
 def _counted(batches):
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = Counter(w for x in letters_of(text or "") if (w := _alphabetic(x)))
+            words, c = Counter(w for x in letters_of(text or "") if (w := _alphabetic(x))), Counter()
+            for w, n in words.items():
+                for x in stretches(w):
+                    c[x] += n
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
 
@@ -154,10 +212,12 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
     return sorted(p for p in found if (rest := p.removeprefix(MARK)).isalpha() and rest == rest.lower() or p == MARK)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS, most: int = STRETCHES) -> dict:
     """Piece probabilities of each language, from about `sample` of its documents, chosen by a hash of the id.
 
-    Only the sample's word counts reach the driver. Documents without a language don't count; without any, the model has no language.
+    All letters of those documents count. A word longer than STRETCH is learned from in stretches, so that only pieces across their ends are not seen;
+    scoring knows no stretches. The counts of at most `most` distinct stretches of a language, chosen by a hash, reach the driver. Documents without a
+    language don't count; without any, the model has no language.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
     many = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
@@ -168,7 +228,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return model
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / many[lang]))])
     chosen = docs.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("k", F.row_number().over(Wd.partitionBy("lang").orderBy(F.xxhash64("word"), "word"))).filter(F.col("k") <= most).toPandas()
     rows = rows.sort_values(["word", "lang"])
     words = sorted(set(rows["word"]))
     place = {w: i for i, w in enumerate(words)}
@@ -199,7 +260,7 @@ class Scorer:
         some = [i for i, w in enumerate(bare) if w]
         value = np.full((len(words), len(self.langs)), np.nan)
         if some:
-            value[some] = forward(self.pieces, self.p, [bare[i] for i in some])
+            value[some] = forward(self.pieces, self.p, [MARK + bare[i] for i in some])
         self.known.update(zip(words, range(len(self.table), len(self.table) + len(words)), strict=True))
         self.table = np.concatenate([self.table, value])
 
@@ -240,7 +301,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
     """The columns of `keep` (all, if None) with lang_pred and score.
 
     A text's words are its runs of letters, in lower case. Each is scored under each language's piece probabilities by the forward algorithm, which sums
-    over all segmentations into pieces; a text's likelihood is the product over its words, and score the share of the best language in the sum over
+    over all segmentations into pieces, of a word of any length; a text's likelihood is the product over its words, and score the share of the best language in the sum over
     languages. Text null or without a letter, or a model without languages: und, 0.0. Equal likelihoods: the first by code point.
     An empty table gives no rows. Columns named lang_pred or score are replaced.
     """

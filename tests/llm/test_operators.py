@@ -6,6 +6,7 @@ import io
 import random
 import re
 import tarfile
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -288,11 +289,42 @@ def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(0)
     p = rng.random((len(pieces) + 2, 2)) / 10
     p[-2] = 0
-    got = langid.forward(langid.Pieces(pieces), p, ["abab", "a", "bxba", "ab" * 40, "b" * 33])
-    for i, w in enumerate(["abab", "a", "bxba", "ab" * 40, "b" * 33]):
+    words = ["abab", "a", "bxba", "ab" * 40, "b" * 33]
+    got = langid.forward(langid.Pieces(pieces), p, [langid.MARK + w for w in words])
+    for i, w in enumerate(words):
         assert np.allclose(got[i], [brute_forward(p[:, k], pieces, w) for k in range(2)], rtol=1e-9)
 
 
+def test_words_of_any_length(spark, monkeypatch):
+    """Long words: the same sums in chunks and segments, all letters in training, and a run of 2,000,000 letters in seconds."""
+    pieces = sorted([langid.MARK, langid.MARK + "a", "a", "b", "ab", "ba", "aba", langid.MARK + "ab"])
+    p = np.random.default_rng(0).random((len(pieces) + 2, 2)) / 4
+    p[-2] = 0
+    index, rng = langid.Pieces(pieces), random.Random(2)
+    words = [langid.MARK + "".join(rng.choice("abx") for _ in range(n)) for n in (5, 40, 300, 497, 1000)]
+    plain = langid.forward(index, p, words)
+    monkeypatch.setattr(langid, "LONG", 4)
+    for chunk in (1 << 15, 64, 7):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(langid.forward(index, p, words), plain, rtol=1e-9)
+    monkeypatch.undo()
+    own = {}
+    for w in ("a" * 25, "a" * 31, "ab" * 4000):
+        for x in langid.stretches(w):
+            own[x] = own.get(x, 0) + 1
+    assert sum(len(x) * n for x, n in own.items()) == 25 + 31 + 8000 + 3
+    uniform, counts = np.full((len(pieces) + 2, 1), 0.1), np.zeros((len(pieces) + 2, 1))
+    uniform[-2] = 0
+    langid.forward(index, uniform, list(own), counts, np.array(list(own.values()), float)[:, None])
+    lengths = np.array([len(x) for x in pieces])
+    assert abs((counts[:-2, 0] * lengths).sum() - (25 + 31 + 8000 + 3)) < 1e-6
+    docs = spark.createDataFrame([(1, "the house of words", "en", "s", 1), (2, "x" * 2_000_000, "en", "s", 1), (3, "das haus der worte", "de", "s", 1)], SCHEMA)
+    began = time.time()
+    assert langid.train(docs)["langs"] == ["de", "en"]
+    got = langid.identify(docs, langid.train(docs.filter("doc_id <> 2"))).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got][::2] == ["en", "de"] and got[1]["lang_pred"] != "und" and time.time() - began < 60
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(langid.learnable(docs), sample=100, rounds=2)
