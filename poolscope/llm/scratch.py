@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, as a full URI. Where the setting is absent (tests), a temporary folder becomes it."""
+    """The folder named by spark.checkpoint.dir, as a full URI. Where the setting is absent and all tasks run on this machine, as in tests, a temporary
+    folder becomes it; on a cluster that is an error, since executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     jvm = spark._jvm
@@ -23,6 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+#: Folders made since the innermost collect() began, if one is open.
+_made: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def collect():
+    """Within it, folders are noted, and deleted at its end: for callers that have written what they need of the results."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for scratch in _made.pop():
+            scratch.drop("")
+
+
 class Scratch:
     """A folder of tables for one run of an operator.
 
@@ -32,6 +52,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+        if _made:
+            _made[-1].append(self)
 
     def path(self, name: str) -> str:
         return posixpath.join(self.root, name)
@@ -49,9 +71,13 @@ class Scratch:
                 conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def again(self, name: str, schema: str) -> DataFrame:
+        """A table that keep() has written."""
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables and files that no later step reads; "" stands for the whole folder."""
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,6 +9,7 @@ import uuid
 import zlib
 from datetime import UTC, datetime
 from functools import partial
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +39,8 @@ def _member(data: bytes) -> bytes:
 
 
 def _field(text: str | None) -> str:
-    """A header value that holds no white space or control characters; what is not allowed is percent-encoded."""
-    return "".join(c if "!" <= c else f"%{ord(c):02X}" for c in text) if text else "-"
+    """A header value without white space or control characters of any script; those are percent-encoded as UTF-8."""
+    return "".join(quote(c, safe="") if c.isspace() or not c.isprintable() else c for c in text) if text else "-"
 
 
 def http_response(page_id: int | None, payload: bytes) -> bytes:
@@ -48,7 +49,9 @@ def http_response(page_id: int | None, payload: bytes) -> bytes:
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes, dict[bytes, bytes]]:
-    """Head with its blank line, body, and headers by lower-case name."""
+    """Head with its blank line, body, and headers by lower-case name; of a block that is no HTTP message, all is body."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block, {}
     head, mark, body = block.partition(b"\r\n\r\n")
     headers = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]))
     return head + mark, body, headers
@@ -99,44 +102,71 @@ def _write_arc(batches, folder: str, date: str):
     yield out.table()
 
 
+class Damaged(ValueError):
+    """An archive that can't be read on from here."""
+
+
 def parse_arc(raw):
     """(fields by name, block) of each record of an uncompressed ARC stream after its version block.
 
-    The version block's own lines tell the version and the fields of every header line; a record's bytes are counted by its declared length, so what the
-    block holds doesn't matter.
+    The version block's own lines tell the version and the fields of every header line; a line is split at spaces from its end, so that a URL may hold
+    some. A record's bytes are counted by its declared length, so what the block holds doesn't matter. What can't be so read raises Damaged, since
+    nothing then tells where the next record begins.
     """
     first = raw.readline().split()
-    if not first or not first[0].startswith(b"filedesc:"):
-        raise ValueError("an ARC file begins with its filedesc record")
+    if not first or not first[0].startswith(b"filedesc:") or not first[-1].isdigit():
+        raise Damaged("an ARC file begins with its filedesc record")
     head = raw.read(int(first[-1])).split(b"\n")
-    version, names = int(head[0].split()[0]), head[1].decode().split()
-    if ARC_FIELDS.get(version) != " ".join(names):
-        raise ValueError(f"version {version} with fields {names}")
+    version, names = head[0].split()[:1], head[1].decode("utf-8", "replace").split() if len(head) > 1 else []
+    if not version or not version[0].isdigit() or ARC_FIELDS.get(int(version[0])) != " ".join(names):
+        raise Damaged(f"version {version} with fields {names}")
     while line := raw.readline():
         if not line.strip():
             continue
-        values = line.decode().split()
+        values = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(names) - 1)
         if len(values) != len(names):
-            raise ValueError(f"{len(values)} fields where {len(names)} are declared")
+            raise Damaged(f"{len(values)} fields where {len(names)} are declared")
         fields = dict(zip(names, values, strict=True))
+        if not fields["Archive-length"].isdecimal():
+            raise Damaged(f"the length {fields['Archive-length'][:40]!r}")
         block = raw.read(int(fields["Archive-length"]))
         if len(block) != int(fields["Archive-length"]):
-            raise ValueError("a record ends before its declared length")
+            raise Damaged("a record ends before its declared length")
         yield fields, block
 
 
+def readable(path: str):
+    """(place, fields, block, error) of each record of an ARC file; where it is damaged, a last one that has the error alone."""
+    k = -1
+    try:
+        with gzip.open(files.stream(path)) as raw:
+            for k, (fields, block) in enumerate(parse_arc(raw)):
+                yield k, fields, block, None
+    except (Damaged, EOFError, gzip.BadGzipFile, zlib.error) as e:
+        yield k + 1, None, None, f"{type(e).__name__}: {e}"
+
+
+def page_of(headers: dict[bytes, bytes]) -> int | None:
+    value = headers.get(ID_HEADER.lower(), b"")
+    return int(value) if value.removeprefix(b"-").isdigit() else None
+
+
+INDEX = "path string, k long, page_id long, payload_bytes long, digest string, error string"
+
+
 def _index_arc(batches):
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         for path in batch.column(0).to_pylist():
             rows = []
-            with gzip.open(files.stream(path)) as raw:
-                for k, (_, block) in enumerate(parse_arc(raw)):
+            for k, _, block, error in readable(path):
+                if error:
+                    rows.append((path, k, None, None, None, error))
+                else:
                     _, payload, headers = split_http(block)
-                    page = headers.get(ID_HEADER.lower())
-                    rows.append((path, k, None if page is None else int(page), len(payload), sha1(payload)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "k", "page_id", "payload_bytes", "digest"])
+                    rows.append((path, k, page_of(headers), len(payload), sha1(payload), None))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
 
 
 def record_id(path: str, k: int) -> str:
@@ -148,16 +178,26 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def warc_date(date: str) -> str:
+    """An ARC date of 14 digits, or fewer of an earlier part; what is no date becomes the beginning of 1970."""
+    try:
+        return datetime.strptime((date + "00000101000000"[len(date) :])[:14], "%Y%m%d%H%M%S").replace(tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        return "1970-01-01T00:00:00Z"
+
+
 def to_warc(path: str, k: int, fields: dict, block: bytes, refers_to: str | None) -> bytes:
-    """The WARC record of an ARC record: a response, or with refers_to a revisit, which keeps the HTTP head alone."""
+    """The WARC record of an ARC record: a response of an HTTP message, a resource of anything else (dns, ftp), under its declared type, or with refers_to
+    a revisit, which keeps the HTTP head alone."""
     head, payload, _ = split_http(block)
-    date = datetime.strptime(fields["Archive-date"], "%Y%m%d%H%M%S").replace(tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     kept = block if refers_to is None else head
-    headers = [("WARC-Record-ID", f"<urn:uuid:{record_id(path, k)}>"), ("WARC-Date", date), ("WARC-Target-URI", fields["URL"]), ("WARC-IP-Address", fields["IP-address"])]
-    headers += [("WARC-Payload-Digest", f"sha1:{sha1(payload)}"), ("WARC-Block-Digest", f"sha1:{sha1(kept)}"), ("Content-Type", "application/http;msgtype=response")]
+    kind = "revisit" if refers_to is not None else "response" if head else "resource"
+    content = "application/http;msgtype=response" if head else _field(fields["Content-type"])
+    headers = [("WARC-Record-ID", f"<urn:uuid:{record_id(path, k)}>"), ("WARC-Date", warc_date(fields["Archive-date"])), ("WARC-Target-URI", _field(fields["URL"])), ("WARC-IP-Address", _field(fields["IP-address"]))]
+    headers += [("WARC-Payload-Digest", f"sha1:{sha1(payload)}"), ("WARC-Block-Digest", f"sha1:{sha1(kept)}"), ("Content-Type", content)]
     if refers_to is not None:
         headers += [("WARC-Refers-To", f"<urn:uuid:{refers_to}>"), ("WARC-Profile", REVISIT_PROFILE)]
-    return warc_record("response" if refers_to is None else "revisit", headers, kept)
+    return warc_record(kind, headers, kept)
 
 
 def _info(name: str) -> bytes:
@@ -170,8 +210,8 @@ def _convert(batches, folder: str):
     for batch in batches:
         for path, revisits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             refers = {x["k"]: record_id(x["to_path"], x["to_k"]) for x in revisits or ()}
-            with gzip.open(files.stream(path)) as raw:
-                for k, (fields, block) in enumerate(parse_arc(raw)):
+            for k, fields, block, error in readable(path):
+                if not error:
                     out.add(to_warc(path, k, fields, block, refers.get(k)))
     yield out.table()
 
@@ -182,7 +222,7 @@ def parse_warc(raw):
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError("a WARC record begins with its version")
+            raise Damaged("a WARC record begins with its version")
         headers = {}
         while (line := raw.readline()).strip():
             k, _, v = line.decode().partition(":")
@@ -201,14 +241,16 @@ def _read_warc(batches):
             with gzip.open(files.stream(path)) as raw:
                 for headers, block in parse_warc(raw):
                     kind = headers["WARC-Type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "revisit", "resource"):
                         continue
                     _, payload, http = split_http(block)
                     digest = headers["WARC-Payload-Digest"].partition(":")[2]
-                    if kind == "response" and (own := sha1(payload)) != digest:
+                    if kind != "revisit" and (own := sha1(payload)) != digest:
                         raise ValueError(f"the payload's digest is {own}, declared {digest}")
-                    page, size = http.get(ID_HEADER.lower()), len(payload) if kind == "response" else int(http[b"content-length"])
-                    rows.append((bare(headers["WARC-Record-ID"]), kind, bare(headers.get("WARC-Refers-To")), headers["WARC-Target-URI"], headers["WARC-Date"], None if page is None else int(page), size, digest))
+                    # what a revisit leaves out is as long as its HTTP head says
+                    length = http.get(b"content-length", b"")
+                    size = len(payload) if kind != "revisit" else int(length) if length.isdigit() else None
+                    rows.append((bare(headers["WARC-Record-ID"]), kind, bare(headers.get("WARC-Refers-To")), headers["WARC-Target-URI"], headers["WARC-Date"], page_of(http), size, digest))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string()]
             names = ["record_id", "record_type", "refers_to_id", "url", "date", "page_id", "payload_bytes", "payload_digest"]
@@ -227,33 +269,44 @@ def arc_to_warc(arcs: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     Header lines are parsed by the version that a file's first record declares, blocks by their declared lengths. Identifiers come from the place of a
     record, dates, types and digests from its fields and bytes. Of records with equal payloads of at least `least` bytes, that with the smallest page id
     (nulls last, then by place) is the response; the others revisit it. Groups of equal payloads meet as digests only, after a partial aggregation.
+    A damaged file is converted up to its damage; damaged() has a row for it.
     """
     many = 2 * max(1, arcs.count())  # files are dealt by number: their names say nothing of their sizes
     paths = arcs.select("path").repartition(many, "path")
-    index = scratch.keep(paths.mapInArrow(_index_arc, "path string, k long, page_id long, payload_bytes long, digest string"), "arc-index")
+    index = scratch.keep(paths.mapInArrow(_index_arc, INDEX), "arc-index")
+    whole = index.filter("error is null").drop("error")
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "k")
-    first = scratch.keep(index.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.min(place).alias("to"), F.count("*").alias("n")).filter("n > 1"), "responses")
-    revisits = index.join(first, ["digest", "payload_bytes"]).filter("path <> to.path or k <> to.k")
+    first = scratch.keep(whole.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.min(place).alias("to"), F.count("*").alias("n")).filter("n > 1"), "responses")
+    # all rows of a common payload meet its one response: a join of its own, whose large keys can be split
+    revisits = whole.hint("merge").join(first, ["digest", "payload_bytes"]).filter("path <> to.path or k <> to.k")
     revisits = revisits.groupBy("path").agg(F.collect_list(F.struct("k", F.col("to.path").alias("to_path"), F.col("to.k").alias("to_k"))).alias("revisits"))
     work = paths.join(revisits, "path", "left").repartition(many, "path")
     return scratch.keep(work.mapInArrow(partial(_convert, folder=scratch.path("warc")), "path string, records long"), "warc-files")
 
 
+def damaged(scratch: Scratch) -> DataFrame:
+    """path, k, error: the files that arc_to_warc() could not read to their end, and how many records came before."""
+    return scratch.again("arc-index", INDEX).filter("error is not null").select("path", "k", "error")
+
+
 def read_warc(warcs: DataFrame) -> DataFrame:
-    """One row per response or revisit of the WARC files in column path; a response's digest is checked against its payload."""
+    """One row per response, resource or revisit of the WARC files in column path; a response's digest is checked against its payload."""
     return warcs.select("path").repartition(2 * max(1, warcs.count()), "path").mapInArrow(_read_warc, WARC_ROWS)
 
 
 def archive(pages: DataFrame, least: int = 0, **columns) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, read back from the WARC files that its ARC record was converted to.
 
-    html null: an empty payload. url null: "-"; white space in it is percent-encoded. page_id null: the record has none, and counts as the largest.
+    html null: an empty payload. url null or empty: "-"; white space and control characters in it are percent-encoded. page_id null: the record has none, and counts as the largest.
     Rows that repeat a page_id are records of their own. An empty table gives no rows. Other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "archive")
     warcs = arc_to_warc(write_arc(pages, scratch, **columns), scratch, least)
-    scratch.drop("arc", "arc-index")
+    broken = damaged(scratch).count()
+    if broken:
+        raise OSError(f"{broken} of the archives just written are damaged")
     rows = scratch.keep(read_warc(warcs), "records")
+    scratch.drop("arc", "arc-files", "arc-index", "responses", "warc", "warc-files")
     responses = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     plain, linked = rows.filter("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long")), rows.filter("refers_to_id is not null").join(responses, "refers_to_id")
     return plain.unionByName(linked).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")

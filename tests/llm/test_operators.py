@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -9,6 +10,7 @@ import tarfile
 import time
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -367,6 +369,50 @@ def test_both_arc_versions():
             list(warc.parse_arc(io.BytesIO(raw[:-20])))
 
 
+def test_records_are_members_of_one_gzip_file(spark):
+    scratch = Scratch(spark, "members")
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(3)], "page_id long, url string, html string").coalesce(1)
+    (row,) = warc.arc_to_warc(warc.write_arc(pages, scratch), scratch).collect()
+    with open(row["path"].removeprefix("file:"), "rb") as f:
+        raw, members = f.read(), []
+    while raw:
+        one = zlib.decompressobj(31)
+        members.append(one.decompress(raw))
+        raw = one.unused_data
+    assert [m[:8] for m in members] == [b"WARC/1.1"] * 4
+
+
+def test_archives_of_any_url(spark):
+    urls = ["http://a/\u00a0b", "http://a/\x85", "http://a/\u2028x\u3000", "\t", "é ö", "", "http://a/\u200b\x00\x1f", "dns:x y"]
+    rows = [(i, u, "same") for i, u in enumerate(urls)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(urls))) and sum(r["record_type"] == "response" for r in got) == 1
+    assert {unquote(r["url"]): r["page_id"] for r in got} == {u or "-": i for i, u in enumerate(urls)}
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Records that are no HTTP message, URLs with spaces, and damage of all kinds: what comes before it is converted, and it is reported."""
+    http = warc.http_response(None, b"body")
+    line = lambda url, kind, n: f"{url} 1.2.3.4 20210203 {kind} {n}\n".encode()
+    good = line("http://a b/c", "text/html", len(http)) + http + b"\n" + line("dns:a", "text/dns", 5) + b"1 2 3" + b"\n"
+    head = warc.arc_head(1, "20200101000000", "f")
+    bad = {"fields": b"two fields\n", "length": line("http://x", "text/html", "many"), "short": line("http://x", "text/html", 99) + b"x", "utf8": line("http://x", "text/html", "\u0663")}
+    for name, tail in {"good": b"", **bad}.items():
+        (tmp_path / f"{name}.arc.gz").write_bytes(gzip.compress(head + good + tail))
+    (tmp_path / "cut.arc.gz").write_bytes(gzip.compress(head + good)[:-30])
+    (tmp_path / "none.arc.gz").write_bytes(b"no archive")
+    (tmp_path / "empty.arc.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "version.arc.gz").write_bytes(gzip.compress(b"filedesc://f 0.0.0.0 1 text/plain 4\n9 0\n"))
+    arcs = spark.createDataFrame([(f"file:{p}",) for p in sorted(tmp_path.iterdir())], "path string")
+    scratch = Scratch(spark, "foreign")
+    rows = warc.read_warc(warc.arc_to_warc(arcs, scratch)).collect()
+    found = Counter((r["record_type"], r["url"], r["payload_bytes"], r["date"]) for r in rows)
+    assert {k[:2] for k in found} == {("response", "http://a%20b/c"), ("revisit", "http://a%20b/c"), ("resource", "dns:a"), ("revisit", "dns:a")}
+    assert all(k[3] == "2021-02-03T00:00:00Z" for k in found) and sum(n for k, n in found.items() if k[0] == "response") == 1
+    errors = {r["path"].rsplit("/", 1)[1].split(".")[0]: r["k"] for r in warc.damaged(scratch).collect()}
+    assert {k: errors[k] for k in bad} == dict.fromkeys(bad, 2) and set(errors) == {*bad, "cut", "none", "empty", "version"}
+
+
 def test_media(spark):
     texts = [None, "", "a", "x" * 64, "é" * 33, "long " * 50_000, "a", "a"]
     scratch = Scratch(spark, "media-test")
