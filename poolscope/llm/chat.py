@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,48 +19,70 @@ LAYOUTS = [
     {"name": "instruction", "fields": [("system", "system"), ("user", "instruction"), ("assistant", "output")], "optional": ["system"]},
     {"name": "prompt", "fields": [("user", "prompt"), ("assistant", "completion")], "optional": []},
 ]
-#: Fields of a record that belong to no turn.
-OWN = {"conversation_id", "part"}
 #: Turns and characters of a part of a conversation.
 PART_TURNS, PART_CHARS = 64, 1 << 20
 
 
 def paths(value, at: str = "") -> set[str]:
-    """The paths of all fields of a record; [] stands for any element of a list."""
+    """The paths of all fields of a record, nested ones and those that hold them; [] stands for any element of a list."""
+    own = {at} if at else set()
     if isinstance(value, dict):
-        return set().union({at} if at and not value else set(), *(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        return own.union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
     if isinstance(value, list):
-        return set().union({f"{at}[]"}, *(paths(v, f"{at}[]") for v in value))
-    return {at}
+        return own.union({f"{at}[]"}, *(paths(v, f"{at}[]") for v in value))
+    return own
 
 
 def fingerprint(found: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found - OWN)).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def registry(layouts: list[dict] = LAYOUTS) -> dict[str, dict]:
-    """Layouts by the fingerprints of the records that they describe."""
-    out = {}
-    for x in layouts:
-        if "list" in x:
-            top = f"{x['list']}[]"
-            out[fingerprint({top})] = x
-            out[fingerprint({top, f"{top}.{x['role']}", f"{top}.{x['text']}"})] = x
-        else:
-            names = [name for _, name in x["fields"]]
-            for absent in [set(), *({o} for o in x["optional"])]:
-                out[fingerprint(set(names) - absent)] = x
-    return out
+class Registry:
+    """Layouts by the fingerprints of the field paths that they read.
+
+    A record's paths are reduced to those that some layout reads, so that ids and other fields beside the turns don't matter, and the hash of what is left
+    selects the layout. A record that has the paths of several layouts is of the first that it has all of.
+    """
+
+    def __init__(self, layouts: list[dict] = LAYOUTS):
+        self.known: dict[str, dict] = {}
+        self.own: list[tuple[set[str], list[set[str]], dict]] = []
+        for x in layouts:
+            if "list" in x:
+                top = f"{x['list']}[]"
+                sets = [{top, f"{top}.{x['role']}", f"{top}.{x['text']}"}, {top}]
+            else:
+                names = {name for _, name in x["fields"]}
+                sets = [names - set(absent) for n in range(len(x["optional"]) + 1) for absent in combinations(x["optional"], n)]
+            self.own.append((set().union(*sets), sets, x))
+            for own in sets:
+                self.known.setdefault(fingerprint(own), x)
+        self.used = set().union(*(own for own, _, _ in self.own))
+
+    def layout(self, record: dict) -> dict | None:
+        found = paths(record) & self.used
+        exact = self.known.get(fingerprint(found))
+        if exact is not None:
+            return exact
+        for own, _, x in self.own:
+            if fingerprint(found & own) in self.known and self.known[fingerprint(found & own)] is x:
+                return x
+        return None
+
+
+def _text(value) -> str:
+    """A role or text as a string; null counts as empty, and what is no string stands as JSON."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
 def turns(record: dict, layout: dict) -> list[tuple[str, str]]:
-    """(role, text) of each turn; null counts as empty."""
+    """(role, text) of each turn; a turn without a role or text has an empty one."""
     if "list" in layout:
         value = record
         for k in layout["list"].split("."):
             value = value[k]
-        return [(x[layout["role"]] or "", x[layout["text"]] or "") for x in value]
-    return [(role, record[name] or "") for role, name in layout["fields"] if name in record]
+        return [(_text(x.get(layout["role"])), _text(x.get(layout["text"]))) for x in value]
+    return [(role, _text(record[name])) for role, name in layout["fields"] if name in record]
 
 
 #: What marks a turn. None of these can stand in an escaped text, which holds no <, >, [ or ].
@@ -110,29 +133,51 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-FORMATTED = "conversation_id long, part long, layout string, n_turns long, formatted string, loss array<struct<a:long,b:long>>"
+FORMATTED = "conversation_id long, part long, layout string, n_turns long, formatted string, problem string, loss array<struct<a:long,b:long>>"
+
+
+def _whole(value) -> int | None:
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63 else None
+
+
+def formatted(text: str | None, known: Registry) -> tuple:
+    """A row of FORMATTED."""
+    if not text:
+        return (None,) * 5 + ("no record", None)
+    try:
+        record = json.loads(text)
+    except (ValueError, RecursionError):
+        return (None,) * 5 + ("not JSON", None)
+    if not isinstance(record, dict):
+        return (None,) * 5 + ("not an object", None)
+    own_id = _whole(record.get("conversation_id")), _whole(record.get("part"))
+    try:
+        layout = known.layout(record)
+        own = turns(record, layout) if layout else None
+    except (TypeError, AttributeError, KeyError, RecursionError):
+        return (*own_id, None, None, None, "turns of mixed kinds", None)
+    if layout is None:
+        return (*own_id, None, None, None, "unknown layout", None)
+    out, spans = render([(role.encode("utf-8", "replace").decode(), said.encode("utf-8", "replace").decode()) for role, said in own])
+    return (*own_id, layout["name"], len(own), out, None, [{"a": a, "b": b} for a, b in spans])
 
 
 def _format(batches, layouts):
-    known = registry(layouts)
+    known = Registry(layouts)
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
     for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            record = json.loads(text) if text else {}
-            layout = known.get(fingerprint(paths(record)))
-            own = turns(record, layout) if layout else None
-            formatted, spans = render(own) if layout else (None, None)
-            rows.append((record.get("conversation_id"), record.get("part"), layout and layout["name"], len(own) if layout else None, formatted, spans and [{"a": a, "b": b} for a, b in spans] if layout else None))
+        rows = [formatted(text, known) for text in batch.column(0).to_pylist()]
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FORMATTED.split(", ", 5)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FORMATTED.split(", ", 6)])
 
 
 def format_records(records: DataFrame, column: str = "record", layouts: list[dict] = LAYOUTS) -> DataFrame:
-    """conversation_id, part, layout, n_turns, formatted, loss of each JSON record.
+    """conversation_id, part, layout, n_turns, formatted, problem, loss of each JSON record.
 
-    The paths of a record's nested fields are hashed, and the hash selects the layout that maps it to turns. A record of an unknown layout, an empty or a
-    null one has null but for its id. Null roles and texts count as empty. Rows keep their order; no row depends on another. Other columns are not read.
+    The paths of a record's nested fields are hashed, and the hash selects the layout that maps it to turns (Registry); fields that no layout reads don't
+    matter. Null or absent roles and texts count as empty; what is no string stands as JSON, half a surrogate pair as ?. Ids that are no integers of 64 bits
+    are null. A record that is null, empty, not JSON, no object, of an unknown layout, or whose turns are of mixed kinds has its ids, if any, and a problem,
+    else null. Rows keep their order; no row depends on another. Other columns are not read.
     """
     from functools import partial
 
@@ -195,7 +240,10 @@ class _Digest:
         self.conv, self.n, self.loss, self.chars = conv, 0, 0, 0
         self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str, spans: list[dict]) -> None:
+    def add(self, formatted: str | None, spans: list[dict] | None) -> None:
+        if formatted is None or self.n is None:
+            self.n = None
+            return
         for role, text in parse(formatted):
             self.turns.update(f"{role}\n{text}\n".encode())
             self.n += 1
@@ -206,6 +254,8 @@ class _Digest:
         self.chars += len(formatted)
 
     def row(self) -> tuple:
+        if self.n is None:
+            return (self.conv, *[None] * 5)
         return self.conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.chars
 
 
@@ -231,6 +281,7 @@ def _digests(batches):
 def read_back(formatted: DataFrame) -> DataFrame:
     """What format_records() made of each conversation, read from its output: turns, their digest, the text under the loss mask and its digest.
 
+    A conversation with a part that has no format is null but for its id.
     formatted must hold a conversation's parts in order, in one partition, as as_records() leaves them; a conversation of any length is read as a stream.
     """
     return formatted.select("conversation_id", "formatted", "loss").mapInArrow(_digests, BACKREAD)

@@ -451,11 +451,31 @@ def test_chat(spark):
         assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), len(said), hashlib.sha256(said.encode()).hexdigest())
     layouts = {r["layout"] for r in chat.format_records(records).collect()}
     assert len(layouts) >= 4 and None not in layouts
-    odd = spark.createDataFrame([('{"a": 1}',), (None,), ('{"messages": []}',)], "record string")
-    assert [(r["layout"], r["n_turns"]) for r in chat.format_records(odd).collect()] == [(None, None), (None, None), ("messages", 0)]
     assert chat.read_back(chat.format_records(chat.as_records(df.limit(0)))).collect() == []
 
 
+def test_malformed_chats(spark):
+    """A defined result for every record: what is wrong is said, fields beside the turns don't matter, and what is no string is text."""
+    said = [
+        (None, None, "no record"), ("", None, "no record"), ("{", None, "not JSON"), ("[" * 100_000, None, "not JSON"), ("[1]", None, "not an object"), ("null", None, "not an object"),
+        ('{"a": 1}', None, "unknown layout"), ('{"messages": "x"}', None, "unknown layout"), ('{"messages": null}', None, "unknown layout"),
+        ('{"messages": [1, {"role": "user", "content": "x"}]}', None, "turns of mixed kinds"), ('{"dialog": [{"turns": []}]}', None, "unknown layout"),
+        ('{"messages": []}', [], None), ('{"messages": [{"role": "user", "content": "x"}], "id": 7, "meta": {"prompts": [1]}}', [("user", "x")], None),
+        ('{"messages": [{"role": "user"}, {"role": 3, "content": ["a", {"b": null}]}]}', [("user", ""), ("3", '["a", {"b": null}]')], None),
+        ('{"messages": [{"role": "user", "content": "x", "name": "n"}], "prompt": "p"}', [("user", "x")], None),
+        ('{"prompt": true, "completion": 1.5, "conversation_id": "7", "part": 1e99}', [("user", "true"), ("assistant", "1.5")], None),
+        ('{"instruction": "i", "output": null, "conversation_id": 99999999999999999999}', [("user", "i"), ("assistant", "")], None),
+        ('{"prompt": "\\ud800", "completion": "b", "conversation_id": 5, "part": true}', [("user", "?"), ("assistant", "b")], None),
+    ]
+    rows = spark.createDataFrame([(r,) for r, _, _ in said], "record string").coalesce(1)
+    got = chat.format_records(rows).collect()
+    assert [r["problem"] for r in got] == [p for _, _, p in said]
+    assert [None if r["formatted"] is None else chat.parse(r["formatted"]) for r in got] == [t for _, t, _ in said]
+    assert [r["conversation_id"] for r in got] == [None] * 17 + [5] and all(r["part"] is None for r in got)
+    back = chat.read_back(spark.createDataFrame([(1, None, None), (2, chat.render([("user", "x")])[0], []), (2, None, None), (3, "", [])], "conversation_id long, formatted string, loss array<struct<a:long,b:long>>").coalesce(1)).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in back] == [(1, None), (2, None), (3, 0)]
+
+
 def test_secrets(spark):
     rng = random.Random(1)
     key = lambda n, s: "".join(rng.choice(s) for _ in range(n))
