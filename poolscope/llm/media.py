@@ -136,32 +136,37 @@ def _read(batches, content: bool):
         source.close()
 
 
-def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, digest, shard, offset, length: each text as UTF-8, padded, in an image in a tar shard.
+def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(index, addresses). index: doc_id, n_bytes, digest, one row per document. addresses: digest, shard, offset, length, one row per content.
 
-    A task stores a content once; contents that several tasks stored have one address, the smallest, so equal texts have equal rows. The table of
-    addresses is grouped by digest after a partial aggregation; no text is shuffled.
+    Each text, as UTF-8 and padded, is an image in a tar shard. A task stores a content once; contents that several tasks stored have one address, the
+    smallest, so equal texts have equal rows, and the other copies stay unread in their shards. The addresses are grouped by digest after a partial
+    aggregation; no text is shuffled.
     Text null: empty, 64 bytes 0. doc_id may be null or repeat. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     index = scratch.keep(rows.mapInArrow(partial(_store, folder=scratch.path("shards")), INDEX), "stored")
     address = scratch.keep(index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "addresses")
-    return index.select("doc_id", "n_bytes", "digest").join(address, "digest")
+    return index.select("doc_id", "n_bytes", "digest"), address
 
 
-def _distinct(index: DataFrame) -> DataFrame:
-    rows = index.select("digest", "shard", "offset", "length").distinct()
+def described(index: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each row of an index with the facts of its content. The one join by digest: a content that very many rows share, as the empty one, can be split."""
+    return index.join(facts.hint("merge"), "digest")
+
+
+def _dealt(addresses: DataFrame) -> DataFrame:
     # a slice of a shard is a task's work: dealt by number, since the rows themselves are small
-    slices = rows.withColumn("slice", F.floor(F.col("offset") / SLICE_BYTES))
+    slices = addresses.select("digest", "shard", "offset", "length").withColumn("slice", F.floor(F.col("offset") / SLICE_BYTES))
     many = 2 * max(1, slices.select("shard", "slice").distinct().count())
     return slices.repartition(many, "shard", "slice").drop("slice").sortWithinPartitions("shard", "offset")
 
 
-def metadata(index: DataFrame) -> DataFrame:
+def metadata(addresses: DataFrame) -> DataFrame:
     """digest, width, height, bits: from range reads of the images' first bytes alone."""
-    return _distinct(index).mapInArrow(partial(_read, content=False), METADATA)
+    return _dealt(addresses).mapInArrow(partial(_read, content=False), METADATA)
 
 
-def contents(index: DataFrame) -> DataFrame:
+def contents(addresses: DataFrame) -> DataFrame:
     """metadata() and what the stored bytes hold: payload and media sizes and digests, and features; each content is read once."""
-    return _distinct(index).mapInArrow(partial(_read, content=True), f"{METADATA}, {CONTENT}")
+    return _dealt(addresses).mapInArrow(partial(_read, content=True), f"{METADATA}, {CONTENT}")

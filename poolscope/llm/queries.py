@@ -42,8 +42,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = media.store(_table(spark, sf_dir, "documents"), Scratch(spark, "media"))
-    rows = index.select("doc_id", "n_bytes", "digest").join(media.contents(index), "digest")
+    scratch = Scratch(spark, "media")
+    index, addresses = media.store(_table(spark, sf_dir, "documents"), scratch)
+    rows = media.described(index, scratch.keep(media.contents(addresses), "contents"))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 

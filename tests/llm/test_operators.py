@@ -416,8 +416,8 @@ def test_foreign_archives(spark, tmp_path):
 def test_media(spark):
     texts = [None, "", "a", "x" * 64, "é" * 33, "long " * 50_000, "a", "a"]
     scratch = Scratch(spark, "media-test")
-    index = media.store(table(spark, texts).withColumn("digest", F.lit("?")).repartition(3), scratch)
-    rows = {r["doc_id"]: r for r in index.join(media.contents(index), "digest").collect()}
+    index, addresses = media.store(table(spark, texts).withColumn("digest", F.lit("?")).repartition(3), scratch)
+    rows = {r["doc_id"]: r for r in media.described(index, media.contents(addresses).join(addresses, "digest")).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = media.padded(raw)
@@ -430,8 +430,8 @@ def test_media(spark):
     with tarfile.open(rows[2]["shard"].removeprefix("file:")) as tar:
         member = tar.getmember(rows[2]["digest"] + ".png")
         assert member.offset_data == rows[2]["offset"] and tar.extractfile(member).read() == media.encode(media.padded(b"a"))
-    assert {r["digest"]: r["height"] for r in media.metadata(index).collect()} == {r["digest"]: r["height"] for r in rows.values()}
-    assert media.contents(media.store(table(spark, []), scratch.__class__(spark, "none"))).collect() == []
+    assert {r["digest"]: r["height"] for r in media.metadata(addresses).collect()} == {r["digest"]: r["height"] for r in rows.values()}
+    assert media.contents(media.store(table(spark, []), Scratch(spark, "none"))[1]).collect() == []
 
 
 def test_chat(spark):
