@@ -38,8 +38,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix draws them, with copy, shard and position in the shard."""
-    _, draws = mix(docs)
-    return mixed_rows(docs, draws)
+    own = mix(docs)
+    return mixed_rows(docs, own.draws, own.shards)
 
 
 STAGES = [

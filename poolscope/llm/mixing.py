@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import ceil, log2
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
@@ -13,11 +16,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: A source is repeated so many times at most.
 MOST = 3
-#: Documents of a block on average, output shards as a power of two, and blocks whose words are summed together first.
-BLOCK, LEVELS, GROUP = 256, 6, 1024
+#: Documents of a block on average, words of an output shard at most on average, least number of shards as a power of two, and blocks whose words are
+#: summed together first.
+BLOCK, SHARD_WORDS, LEAST_LEVELS, GROUP = 256, 16 << 20, 3, 1024
+#: Levels of the tree that one task splits; the nodes below are dealt over all tasks.
+TRUNK = 10
 SEED = 17
 
 
+class Mix(NamedTuple):
+    rows: DataFrame
+    draws: DataFrame
+    shards: int
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per source: source, sid (rank by code point, null last), words, n, weight, target.
 
@@ -79,7 +91,7 @@ def _hypergeometric(hits: Column, total: Column, drawn: Column, u: Column) -> Co
     return _let(_let(_let(p, limits), walk), found)
 
 
-def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, levels: int = LEAST_LEVELS, seed: int = SEED) -> DataFrame:
     """(sid, quota) to (shard, sid, blocks): a binary tree whose every node deals its blocks to its two halves by a multivariate hypergeometric draw.
 
     A node's row is the vector of its quotas; sources are drawn one after another from what is left. Sums over shards are the quotas, exactly, and
@@ -97,7 +109,8 @@ def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> D
     left = F.aggregate("q", start, draw)["out"]
     side = lambda k, q: F.struct((F.col("node") * 2 + k).alias("node"), q.alias("q"))
     halves = F.explode(F.array(side(0, F.col("left")), side(1, F.zip_with("q", "left", lambda q, x: q - x)))).alias("x")
-    for _ in range(levels):
+    for level in range(levels):
+        node = node.repartition("node") if level == TRUNK else node
         node = node.select("node", "q", left.alias("left")).select(halves).select("x.node", "x.q")
     return node.select((F.col("node") - 2**levels).alias("shard"), F.posexplode("q").alias("sid", "blocks")).withColumn("blocks", F.col("blocks").cast("long"))
 
@@ -109,13 +122,14 @@ def _rank(block: Column, epoch: Column, bits: Column, sid: Column, seed: int) ->
     return (block.bitwiseXOR(h(1).bitwiseAND(mask)) * (h(2).bitwiseAND(F.lit(0xFFFFFFFE)) + 1) + h(3).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(mask)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, levels: int = LEVELS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, draws). rows: doc_id, source, size, source_size, target, one per document. draws: doc_id, source, copy, shard, position, one per drawn copy.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> Mix:
+    """rows: doc_id, source, size, source_size, target, one per document. draws: doc_id, source, copy, shard, position, one per drawn copy. shards: how many,
+    a power of two, from the mix's words over shard_words.
 
     1. A source's target is met by whole epochs over it and a part of one more. Documents are dealt to blocks by a hash of their id, and an epoch has
        the blocks in a permutation of its own. The part is the beginning of its epoch: its last block is found from sums of groups of blocks, and of
        that block (of about `block` documents) comes each document that still fits, the longest first, and the next if that is nearer.
-    2. The numbers of blocks so fixed are split over 2^levels shards (split_quotas), and each shard takes the next blocks of each source's sequence:
+    2. The numbers of blocks so fixed are split over the shards (split_quotas), and each shard takes the next blocks of each source's sequence:
        shards' blocks are disjoint, and shards are as mixed as chance makes them.
     3. position orders a shard's rows at random.
 
@@ -130,6 +144,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = sources.withColumn("full", F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words") + 1e-12)).otherwise(0).cast("long"))
     sources = sources.withColumn("part", F.greatest(F.lit(0.0), F.col("target") - F.col("full") * F.col("words")))
     sources = scratch.keep(sources.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / block))).cast("int")), "sources")
+    words = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    levels = max(LEAST_LEVELS, ceil(log2(max(1.0, words / shard_words))))
     here = sizes.alias("d").join(sources.alias("s"), F.expr("d.source <=> s.source")).select("d.*", *(f"s.{c}" for c in ("sid", "words", "target", "full", "part", "bits")))
     rows = here.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target")
     units = here.groupBy("doc_id", "sid", "full", "bits", "part").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
@@ -167,11 +183,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = copies.filter("copies > 0").select("*", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
     drawn = drawn.withColumn("place", F.col("copy") * F.expr("shiftleft(1L, bits)") + _rank(F.col("block"), F.col("copy"), F.col("bits"), F.col("sid"), seed))
     draws = drawn.join(dealt, ["sid", "place"]).select("doc_id", "source", "copy", "shard", F.xxhash64(F.lit(seed + 5), "doc_id", "copy", "sid").alias("position"))
-    return rows, draws
+    return Mix(rows, draws, 2**levels)
 
 
-def mixed_rows(docs: DataFrame, draws: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mix itself: docs' rows, once per draw, with copy, shard and position; each shard in one partition, in the order of position."""
+def mixed_rows(docs: DataFrame, draws: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mix itself: docs' rows, once per draw, with copy, shard and position, which replace columns of these names; partition i has shard i, in the order of position."""
     own = draws.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copy", "shard", "position")
     out = docs.drop("copy", "shard", "position").join(own, (docs[id_col].cast("long").eqNullSafe(F.col("_id"))) & docs[source_col].cast("string").eqNullSafe(F.col("_source"))).drop("_id", "_source")
-    return out.repartition(2**LEVELS, "shard").sortWithinPartitions("shard", "position")
+    return out.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("position")

@@ -20,10 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, draws = mix(_table(spark, sf_dir, "documents"))
-    drawn = draws.groupBy("doc_id", "source").agg(F.count("*").alias("copies"))
+    rows, draws, _ = mix(_table(spark, sf_dir, "documents"))
+    drawn = draws.groupBy("doc_id", "source").agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("shard")).alias("shards"))
     both = rows.alias("r").join(drawn.alias("d"), F.expr("r.doc_id <=> d.doc_id and r.source <=> d.source"), "left")
-    return both.select("r.doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"))
+    return both.select("r.doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"), "shards")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

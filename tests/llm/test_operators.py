@@ -178,7 +178,7 @@ def brute_targets(size, most=3):
 def test_mixing(spark):
     texts = [t for k in range(8) for t in sample_texts(k)]
     df = table(spark, texts).withColumn("copy", F.lit(0)).withColumn("size", F.lit(9))
-    rows, draws = (x.collect() for x in mixing.mix(df))
+    rows, draws = (x.collect() for x in mixing.mix(df)[:2])
     size = defaultdict(int)
     for r in df.collect():
         size[r["source"]] += len(WORDS.findall(r["text"] or ""))
@@ -194,19 +194,33 @@ def test_mixing(spark):
     assert len({(r["doc_id"], r["copy"]) for r in draws}) == len(draws)
     assert {(r["doc_id"], r["copy"], r["shard"]) for r in draws} == {(r["doc_id"], r["copy"], r["shard"]) for r in mixing.mix(df)[1].collect()}
     # small blocks: as near as half the longest text
-    draws = mixing.mix(df, block=8)[1].persist()
+    own = mixing.mix(df, block=8, shard_words=4000)
+    draws = own.draws.persist()
     words_of = {r["doc_id"]: r["size"] for r in rows}
     for s in size:
         some = draws.filter(F.col("source").eqNullSafe(s)).collect()
         assert abs(sum(words_of[r["doc_id"]] for r in some) - target[s]) <= 3000
-    mixed = mixing.mixed_rows(df.drop("size"), draws)
-    assert mixed.count() == draws.count()
+    mixed = mixing.mixed_rows(df.drop("size"), draws, own.shards)
+    parts = mixed.select(F.spark_partition_id().alias("p"), "shard", "position").rdd.glom().collect()
+    assert own.shards > 8 and len(parts) == own.shards and sum(map(len, parts)) == draws.count()
+    for i, part in enumerate(parts):
+        assert all(r["p"] == r["shard"] == i for r in part) and [r["position"] for r in part] == sorted(r["position"] for r in part)
+    # shards are like the whole: no shard lacks the largest source, none has much of it
+    share = {s: sum(r["source"] == s for r in draws.collect()) for s in size}
+    for part in parts:
+        assert len(part) > 0
+    largest = max(share, key=share.get)
+    counts = Counter(r["shard"] for r in draws.filter(F.col("source").eqNullSafe(largest)).collect())
+    assert len(counts) > 0.8 * own.shards and max(counts.values()) < 5 * share[largest] / own.shards
+    again = Counter(tuple(r) for r in mixing.mixed_rows(df, draws, own.shards).drop("position").collect())
+    assert sum(again.values()) == draws.count() and "copy" in df.columns
     empty = mixing.mix(table(spark, []))
     assert empty[0].collect() == [] and empty[1].collect() == []
 
 
-def test_quotas_split_exactly(spark):
+def test_quotas_split_exactly(spark, monkeypatch):
     quotas = spark.createDataFrame([(0, 700), (1, 0), (2, 41), (3, 3)], "sid int, quota long")
+    monkeypatch.setattr(mixing, "TRUNK", 2)
     rows = mixing.split_quotas(quotas, 4).collect()
     by = defaultdict(int)
     for r in rows:
