@@ -17,12 +17,14 @@ from .scratch import Scratch
 U = np.uint64
 #: Registers of a sketch, base of their exponential spacing, rate of the hash values.
 REGISTERS, BASE, RATE = 256, 1.001, 20.0
-#: Registers in a band. At similarity 0.75, no band of the 51 agrees for 1 pair in 900,000.
+#: Registers in a band. At similarity 0.75, no band of the 51 agrees for 1 pair in 900,000, if registers are independent, as they are of large sets.
 ROWS = 5
+#: Sets of up to so many shingles have few independent registers; pairs with one of them meet by shingles too, which loses none.
+EXACT = 16
 #: A pair goes on to the exact check unless its likelihood at every similarity over the threshold is below exp(-SLACK) of its best.
 SLACK = 12.0
-#: Pairs of a document that are checked before any components are known, and documents of a tile.
-FIRST, TILE = 4, 1024
+#: Pairs of a document that are checked before any components are known, documents of a tile, and their shingles together.
+FIRST, TILE, TILE_SHINGLES = 4, 1024, 4 << 20
 SEED = W.odd(4, 21)
 BAND = W.odd(8, 22)
 
@@ -67,7 +69,17 @@ def _bands(registers: np.ndarray, rows: int) -> np.ndarray:
 SKETCH = "doc_id long, n int, d1 long, d2 long, registers binary, bands array<long>"
 
 
-def _sketch(batches, k: int, rows: int):
+def _prefixes(s: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the small sets, and how many each set has: the smallest of its hashes, as many as leave fewer than a linked set must share. Two linked sets
+    have one of them in common."""
+    n = np.diff(at)
+    small = (n > 0) & (n * percent <= EXACT * 100)
+    many = np.where(small, n - -(-n * percent // 100) + 1, 0)
+    place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[:-1], many)
+    return W.mix(s[place] ^ BAND[6]), many
+
+
+def _sketch(batches, k: int, rows: int, percent: int):
     for batch in batches:
         ids = batch.column(0)
         for a, b, h, first in W.texts(batch.column(1), True):
@@ -75,9 +87,12 @@ def _sketch(batches, k: int, rows: int):
             registers = setsketch(s, at)
             sums = [np.concatenate([[U(0)], np.cumsum(W.mix(s ^ x))]) for x in SEED[2:4]]
             full = np.diff(at) > 0
-            bands = W.signed(_bands(registers, rows))
-            lists = lambda x: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * x.shape[1])]).astype(np.int32), x[full].ravel())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), *(pa.array(W.signed(c[at[1:]] - c[at[:-1]])) for c in sums), pa.array([r.tobytes() if f else None for r, f in zip(registers, full, strict=True)], pa.binary()), lists(bands)], ["doc_id", "n", "d1", "d2", "registers", "bands"])
+            bands = _bands(registers, rows)[full]
+            keys, many = _prefixes(s, at, percent)
+            owner = np.concatenate([np.repeat(np.flatnonzero(full), bands.shape[1]), np.repeat(np.arange(b - a), many)])
+            keys = np.concatenate([bands.ravel(), keys])[np.argsort(owner, kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), *(pa.array(W.signed(c[at[1:]] - c[at[:-1]])) for c in sums), pa.array([r.tobytes() if f else None for r, f in zip(registers, full, strict=True)], pa.binary()), pa.ListArray.from_arrays(ends, W.signed(keys))], ["doc_id", "n", "d1", "d2", "registers", "bands"])
 
 
 def likelihood(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +115,26 @@ def likelihood(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, t
     return out, loss
 
 
+def _chance(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """The least share of agreeing registers that a pair may have: 4 standard deviations below the threshold for small sets, whose registers are as
+    few as their shingles, and 7 for others."""
+    n = np.minimum(na, nb)
+    return threshold - np.where(n <= EXACT, 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(n, 1)), 0.2)
+
+
+def plausible(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The most likely similarity of each pair, and whether the exact check must decide."""
+    j, loss = likelihood(ka, kb, na, nb, threshold)
+    small = np.minimum(na, nb) <= EXACT
+    return j, np.where(small, (ka == kb).mean(1) >= _chance(na, nb, threshold), loss <= SLACK)
+
+
 def _likely(batches, threshold: float):
     for batch in batches:
         a, b, na, nb = (batch.column(i) for i in range(4))
         ka, kb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-        j, loss = likelihood(ka, kb, na.to_numpy().astype(float), nb.to_numpy().astype(float), threshold)
-        keep = pa.array(loss <= SLACK)
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(j)], ["a", "b", "j"]).filter(keep)
+        j, keep = plausible(ka, kb, na.to_numpy().astype(float), nb.to_numpy().astype(float), threshold)
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(j)], ["a", "b", "j"]).filter(pa.array(keep))
 
 
 class _Union:
@@ -137,10 +165,10 @@ def _meet(table: pa.Table, threshold: float) -> pa.Table:
         y = np.arange(x + 1, len(ids))
         y = y[(root[y] != root[x]) & (n[y] >= threshold * n[x]) & (n[x] >= threshold * n[y]) & (same | (t[y] != t[x]))]
         if len(y):
-            # agreeing registers beyond any doubt too few for the threshold: 7 standard deviations
-            y = y[(registers[y] == registers[x]).mean(1) >= threshold - 0.2]
+            # agreeing registers beyond any doubt too few for the threshold
+            y = y[(registers[y] == registers[x]).mean(1) >= _chance(n[x], n[y], threshold)]
         if len(y):
-            ok = likelihood(registers[[x] * len(y)], registers[y], n[[x] * len(y)].astype(float), n[y].astype(float), threshold)[1] <= SLACK
+            ok = plausible(registers[[x] * len(y)], registers[y], n[[x] * len(y)].astype(float), n[y].astype(float), threshold)[1]
             new = [(ids[x], ids[i]) for i in y[ok] if joined.join(int(number[x]), int(number[i]))]
             if new:
                 out += new
@@ -182,6 +210,18 @@ def _sets(batches, k: int):
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(at.astype(np.int32), W.signed(s))], ["id", "s"])
 
 
+def _open(rows: DataFrame, within: list[str], part: str, percent: int) -> DataFrame:
+    """The ids of rows (id, within, part, s) that may be linked with a row of another part: of those, enough shingles occur in another part.
+
+    A document that is linked with another shares at least percent of its own shingles with it. So one that shares fewer with all documents of other parts
+    together has no such link, and pages of one template with a body of their own go here, however many they are, without being compared.
+    """
+    one = rows.select(*within, "id", part, F.size("s").alias("n"), F.explode("s").alias("x"))
+    shared = one.groupBy(*within, "x").agg(F.min(part).alias("low"), F.max(part).alias("high")).filter("low < high").select(*within, "x")
+    found = one.join(shared.hint("merge"), [*within, "x"]).groupBy("id").agg(F.count("*").alias("many"), F.first("n").alias("n"))
+    return found.filter(f"100 * many >= {percent} * n").select("id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -194,7 +234,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        as many returned as join the same clusters. So a cluster holds every pair that shares a bucket and may be linked: no bucket is capped.
     3. Of each document's pairs the likeliest few are checked on full sets; links give components.
     4. In a cluster that is more than one component, every document outside the largest is compared with all others on full sets, by counting shared
-       shingles, and as many links returned as join the same components. Large buckets and clusters are dealt over tiles; rows never grow with pairs.
+       shingles, and as many links returned as join the same components.
+    Where several clusters meet in a bucket (2), or several components in a cluster (4), only documents with enough shingles in common with the others
+    together are compared (_open), dealt over tiles of bounded size. Rows grow with the square of a group only where so many documents are made of one
+    another's shingles for at least percent, and yet are not linked.
 
     Text null, empty or without words: n_shingles 0, linked with nothing, kept. doc_id null: component_id null, kept, linked with nothing. Rows that repeat
     a doc_id are one document's: each row is returned, with that id's component. An empty table gives no rows. Other columns are not read.
@@ -202,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = scratch.keep(docs.mapInArrow(partial(_sketch, k=words, rows=rows), SKETCH), "sketch")
+    sketch = scratch.keep(docs.mapInArrow(partial(_sketch, k=words, rows=rows, percent=percent), SKETCH), "sketch")
     alike = ["d1", "d2", "n"]
     classes = scratch.keep(sketch.filter("n > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep")), "classes")
     wide = sketch.join(classes.select(*(F.col(c).alias(f"c_{c}") for c in alike), F.col("rep").alias("c_rep")).hint("merge"), F.expr("doc_id = c_rep and d1 = c_d1 and d2 = c_d2 and n = c_n"), "left_semi").withColumnRenamed("doc_id", "id")
@@ -218,44 +261,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(partial(_likely, threshold=percent / 100), "a long, b long, j double")
 
-    order = Wd.partitionBy("b").orderBy(F.desc("j"), "a")
-    likeliest = scratch.keep(likely(star).withColumn("k", F.row_number().over(order)), "likely")
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(docs.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(partial(_sets, k=words), "id long, s array<long>"), name)
+
+    likeliest = scratch.keep(likely(star), "likely")
     clusters = scratch.keep(connected(scratch, likeliest.select(F.col("a").alias("u"), F.col("b").alias("v")), "near"), "clusters")
     # buckets in which several clusters meet
     placed = members.select("h", "id").join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).hint("merge"), "id", "left")
     placed = scratch.keep(placed.withColumn("cluster", F.coalesce("cluster", "id")), "placed")
-    mixed = placed.groupBy("h").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("many")).filter("least < most")
-    mixed = scratch.keep(mixed.select("h", F.ceil(F.col("many") / TILE).cast("int").alias("tiles")), "mixed")
-    meeting = placed.join(mixed.hint("merge"), "h").join(wide.select("id", "n", "registers").hint("merge"), "id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+
+    def mixed(rows: DataFrame, name: str) -> DataFrame:
+        """The rows of the buckets that hold several clusters."""
+        found = rows.groupBy("h").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("many")).filter("least < most")
+        found = scratch.keep(found.select("h", F.ceil(F.col("many") / TILE).cast("int").alias("tiles")), name)
+        return rows.join(found.hint("merge"), "h")
+
+    first = scratch.keep(mixed(placed, "mixed").select("h", "id", "cluster"), "meeting")
+    ids = first.select("id", "cluster").distinct()
+    able = scratch.keep(_open(ids.join(sets_of(ids, "mixed-sets").hint("merge"), "id"), [], "cluster", percent), "able")
+    meeting = mixed(first.join(able.hint("merge"), "id", "left_semi"), "mixed-able")
+    meeting = meeting.join(wide.select("id", "n", "registers").hint("merge"), "id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     meeting = meeting.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).select("h", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "cluster", "n", "registers")
     met = scratch.keep(meeting.groupBy("h", "i", "j").applyInArrow(lambda t: _meet(t, percent / 100), "u long, v long"), "met")
     if not met.isEmpty():
         near = likeliest.select(F.col("a").alias("u"), F.col("b").alias("v")).union(met)
         clusters = scratch.keep(connected(scratch, near, "nearer"), "all-clusters")
-    sets = scratch.keep(docs.join(clusters.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(partial(_sets, k=words), "id long, s array<long>"), "sets")
+    sets = sets_of(clusters.select(F.col("node").alias("id")), "sets")
     # each document and its likeliest partners, on full sets
     side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")).hint("merge")
-    tried = likeliest.filter(f"k <= {FIRST}").select("a", "b").join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    # each task keeps the first few of a document before they meet, so a document with very many partners is no large group
+    top = likeliest.withColumn("k", F.row_number().over(Wd.partitionBy("b").orderBy(F.desc("j"), "a"))).filter(F.col("k") <= FIRST).select("a", "b")
+    tried = top.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     links = scratch.keep(tried.filter(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     parts = scratch.keep(connected(scratch, links, "linked"), "parts")
     # clusters that are not yet one component: what is outside the largest component against everything
     inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(parts.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     inside = scratch.keep(inside.withColumn("component", F.coalesce("component", "id")), "inside")
-    most = inside.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("x"), F.sum("n").alias("n")).filter("x.n < n")
-    most = scratch.keep(most.select("cluster", F.col("x.component").alias("main"), F.col("x.n").alias("n"), (F.col("n") - F.col("x.n")).alias("strays")), "split")
-    open_ = inside.join(most.hint("merge"), "cluster").withColumn("stray", F.col("component") != F.col("main"))
-    open_ = open_.withColumn("ts", F.ceil(F.col("strays") / TILE).cast("int")).withColumn("tm", F.ceil(F.col("n") / TILE).cast("int"))
+    several = inside.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("cluster")
+    apart = scratch.keep(inside.join(several.hint("merge"), "cluster", "left_semi").join(sets.hint("merge"), "id"), "apart")
+    able = scratch.keep(_open(apart, ["cluster"], "component", percent), "able-apart")
+    apart = scratch.keep(apart.join(able.hint("merge"), "id", "left_semi"), "open")
+    size = F.size("s").cast("long")
+    most = apart.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(size).alias("m")).groupBy("cluster").agg(F.max(F.struct("n", "component", "m")).alias("x"), F.sum("n").alias("n"), F.sum("m").alias("m")).filter("x.n < n")
+    tiles = lambda n, m: F.ceil(F.greatest(n / TILE, m / TILE_SHINGLES)).cast("int")
+    most = scratch.keep(most.select("cluster", F.col("x.component").alias("main"), tiles(F.col("n") - F.col("x.n"), F.col("m") - F.col("x.m")).alias("ts"), tiles(F.col("n"), F.col("m")).alias("tm")), "split")
+    open_ = apart.drop("s").join(most.hint("merge"), "cluster").withColumn("stray", F.col("component") != F.col("main"))
     open_ = open_.withColumn("t", F.when(F.col("stray"), F.pmod(F.xxhash64("id"), F.col("ts"))).otherwise(F.col("ts") + F.pmod(F.xxhash64("id"), F.col("tm"))).cast("int"))
     role = lambda i, j, probe: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(probe).alias("probe"))
     asked = F.transform(F.expr("sequence(0, ts - 1)"), lambda i: role(i, F.col("t"), False))
     asking = F.transform(F.expr("sequence(0, ts + tm - 1)"), lambda j: role(F.col("t"), j, True))
     # a stray that asks in its own tile stands there once
     both = F.when(F.col("stray"), F.concat(asking, F.filter(asked, lambda x: x["i"] != F.col("t")))).otherwise(asked)
-    open_ = open_.select("cluster", "id", "component", F.explode(both).alias("x")).select("cluster", "id", "component", "x.*").join(sets.hint("merge"), "id")
+    open_ = open_.select("cluster", "id", "component", F.explode(both).alias("x")).select("cluster", "id", "component", "x.*").join(apart.select("id", "s").hint("merge"), "id")
     more = scratch.keep(open_.groupBy("cluster", "i", "j").applyInArrow(lambda t: _check(t, percent), "u long, v long"), "more-links")
     if not more.isEmpty():
         parts = scratch.keep(connected(scratch, links.union(more), "all"), "all-parts")
-    scratch.drop("representatives", "buckets", "members", "star", "likely", "placed", "mixed", "met", "clusters", "all-clusters", "sets", "inside", "split")
+    scratch.drop("representatives", "buckets", "members", "star", "likely", "placed", "mixed", "meeting", "mixed-sets", "able", "mixed-able", "met", "clusters", "all-clusters", "sets", "inside", "apart", "able-apart", "open", "split")
     out = sketch.select("doc_id", *alike).join(classes, alike, "left")
     out = out.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))

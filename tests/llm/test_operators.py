@@ -71,6 +71,7 @@ def brute_near(texts, k=5, percent=75):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 8)  # several tiles in a group of a few dozen
+    monkeypatch.setattr(neardup, "TILE_SHINGLES", 500)
     monkeypatch.setattr(neardup, "FIRST", 1)
     texts = sample_texts(1)
     df = table(spark, texts).withColumn("kept", F.lit("x")).withColumn("n", F.lit(1)).withColumn("id", F.lit(2))
@@ -79,6 +80,43 @@ def test_near_duplicates(spark, monkeypatch):
         assert got[i] == (n, c, i == c)
 
 
+def test_small_sets_lose_no_link(spark):
+    """Texts of few words, just at the threshold, and just below it."""
+    rows, want = [], {}
+    for k in range(1500):
+        w = [f"{k}w{i}" for i in range(26)]
+        more, less = ((8, 7), (12, 10), (9, 8), (24, 19))[k % 4]  # 3 of 4 shingles, 6 of 8, 4 of 5, 15 of 20
+        rows += [(3 * k, " ".join(w[:more])), (3 * k + 1, " ".join(w[:less])), (3 * k + 2, " ".join(w[: less - 1]))]
+        linked = 100 * (less - 5) >= 75 * (less - 4)
+        want |= {3 * k: 3 * k, 3 * k + 1: 3 * k, 3 * k + 2: 3 * k if linked or 100 * (less - 5) >= 75 * (more - 4) else 3 * k + 2}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_templates_are_not_compared(spark, monkeypatch):
+    """Pages of one template with a body of their own meet in buckets, and go before any pair is compared; copies among them are found."""
+    rng = random.Random(9)
+    page = [f"t{i}" for i in range(120)]
+    bodies = [[f"b{k}x{i}" for i in range(40)] for k in range(150)]
+    texts = [" ".join(page + b) for b in bodies] + [" ".join(page + bodies[k][:37] + ["y"] * 3) for k in range(0, 150, 10)]
+    rng.shuffle(texts)
+    made = []
+    monkeypatch.setattr(neardup, "TILE", 16)
+    kept = Scratch.keep
+
+    def keep(self, df, name):
+        out = kept(self, df, name)
+        if name in ("mixed-able", "split"):
+            made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, texts)).collect()}
+    assert got == {i: (n, c) for i, (n, c) in enumerate(brute_near(texts))}
+    assert len({c for _, c in got.values()}) < len(texts)
+    assert dict(made)["mixed-able"] <= 60, made
+
+
 @pytest.mark.parametrize("local", [500_000, 40])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr(components, "LOCAL", local)
