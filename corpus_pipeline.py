@@ -1,4 +1,10 @@
-"""A training corpus from `documents`: language, lines, near duplicates, benchmark passages, mix."""
+"""A training corpus from `documents`: language, lines, near duplicates, benchmark passages, mix.
+
+Every stage takes any table with doc_id, text, lang, source and n_chars. Null and empty texts go with the first stage, since no language can be told.
+doc_id null: such rows stay, as documents that nothing can be compared with. Rows that repeat a doc_id are one document's: they stay or go together as near
+duplicates, and are mixed as one. Other columns pass through, whatever their names, but for copy, shard and position, which the last stage sets.
+An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,25 +16,34 @@ from poolscope.llm.langid import identify, learnable, train
 from poolscope.llm.linededup import dedup_lines
 from poolscope.llm.mixing import mix, mixed_rows
 from poolscope.llm.neardup import near_duplicates
-from poolscope.llm.scratch import Scratch
+from poolscope.llm.scratch import Scratch, collect
+
+
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with columns of these names, which an operator adds, under others."""
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in names if c in docs.columns})
+
+
+def _back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(f"_own_{c}").alias(c) if f"_own_{c}" in docs.columns else F.col(c) for c in columns))
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of which a language can be told; null texts and those without a letter go."""
-    found = identify(docs, train(learnable(docs)))
-    return found.filter(F.col("lang_pred") != "und").select(docs.columns)
+    """Texts of which a language can be told, with that language in lang; null texts and those without a letter go."""
+    found = identify(_aside(docs, "lang_pred", "score"), train(learnable(docs)))
+    return _back(found.filter(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")), docs.columns)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that many documents share; n_chars is that of the new text."""
-    columns = docs.columns
-    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(columns)
+    kept = dedup_lines(_aside(docs, "n_lines", "n_dropped")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return _back(kept, docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's output is written before the next begins; then what its operators left and its input's copy are deleted."""
     scratch = Scratch(spark, "pipeline")
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with collect():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
         if last:
             scratch.drop(last)
         last = name

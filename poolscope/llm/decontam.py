@@ -201,4 +201,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return docs.select(docs[text_col].alias("_text"), *(docs[c] for c in docs.columns)).mapInArrow(partial(_clean, items=_part(items, 0, 1, k, percent)), docs.schema)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("text"))
     gone = _found(rows, items, parts, k, percent, Scratch(docs.sparkSession, "decontamination")).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left_anti")

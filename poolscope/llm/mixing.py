@@ -189,5 +189,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, draws: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mix itself: docs' rows, once per draw, with copy, shard and position, which replace columns of these names; partition i has shard i, in the order of position."""
     own = draws.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copy", "shard", "position")
-    out = docs.drop("copy", "shard", "position").join(own, (docs[id_col].cast("long").eqNullSafe(F.col("_id"))) & docs[source_col].cast("string").eqNullSafe(F.col("_source"))).drop("_id", "_source")
+    rows = docs.drop("copy", "shard", "position")
+    same = rows[id_col].cast("long").eqNullSafe(own["_id"]) & rows[source_col].cast("string").eqNullSafe(own["_source"])
+    out = rows.join(own, same).drop(own["_id"], own["_source"])
     return out.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("position")

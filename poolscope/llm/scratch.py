@@ -7,6 +7,7 @@ import posixpath
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-#: Folders made since the innermost collect() began, if one is open.
-_made: list[list[Scratch]] = []
+#: Folders made since the innermost collect() of this thread or task began, if one is open.
+_made: ContextVar[list[Scratch] | None] = ContextVar("made", default=None)
 
 
 @contextlib.contextmanager
 def collect():
     """Within it, folders are noted, and deleted at its end: for callers that have written what they need of the results."""
-    _made.append([])
+    before = _made.set([])
     try:
         yield
     finally:
-        for scratch in _made.pop():
+        own = _made.get()
+        _made.reset(before)
+        for scratch in own:
             scratch.drop("")
 
 
@@ -52,8 +55,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-        if _made:
-            _made[-1].append(self)
+        if _made.get() is not None:
+            _made.get().append(self)
 
     def path(self, name: str) -> str:
         return posixpath.join(self.root, name)

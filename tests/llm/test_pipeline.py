@@ -1,5 +1,6 @@
 """Each stage of the pipeline on all that the one before kept, against brute force."""
 
+import os
 import re
 
 import corpus_pipeline
@@ -53,4 +54,45 @@ def test_stages(spark):
         assert now.columns == columns
         assert {r["doc_id"]: r["text"] for r in rows} == want
         assert all(r["n_chars"] == len(r["text"]) for r in rows) or k == 0
+        assert all(r["lang"] in ("de", "en", "es", "fr") for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["copy"], r["shard"])
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted(map(key, got.collect())) == sorted(map(key, rows)) and got.columns == [*columns, "copy", "shard", "position"]
+    (left,) = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
+    assert left.startswith("pipeline") and os.listdir(f"{spark.conf.get('spark.checkpoint.dir')}/{left}") == ["mixing"]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, kept boolean, score string, lang_pred string, copy string, size int, text2 string, component_id string, _id string"
+
+
+def odd_rows():
+    words = lambda a, n: " ".join(f"{a}word{i}" for i in range(n))
+    line = "A line that is shared by very many documents of this table"
+    texts = [None, "", "  \n ", "12 34", words("a", 40), words("a", 40), words("a", 40), "x", "é", f"{line}\n{words('b', 9)}", words("long", 30_000), "letters " * 50_000]
+    texts += [f"{line}\n{words(f'c{k}', 12)}" for k in range(6)]
+    out = [(i if i != 8 else None, t, None if i % 3 else "en", [None, "", "s"][i % 3], None, "n", True, "s", "p", "c", i, t, "k", "i") for i, t in enumerate(texts)]
+    return out + [out[4], out[0], out[8], (*out[5][:1], words("other", 8), *out[5][2:])]
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, and columns of the operators' names, through run()."""
+    spark.createDataFrame(odd_rows(), ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing like it at all here"), (None, "x"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path)).persist()
+        assert out.columns == docs.columns and all(r["n_lines"] == "n" and r["score"] == "s" and r["copy"] == "c" for r in out.collect()), name
+        docs = out
+    # 4, its repeated row and 6 have the least id of the group; 5 has other rows of its id
+    assert {r["doc_id"] for r in docs.collect()} == {4, 7, None, 9, 10, 11, 12, 13, 14, 15, 16, 17} and docs.filter("doc_id = 4").count() == 2
+    assert docs.filter("text like '%A line that is shared%'").select("doc_id").collect() == [(17,)]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} <= {(r["doc_id"], r["text"]) for r in docs.collect()} and all(r["n_lines"] == "n" and isinstance(r["copy"], int) for r in got)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
