@@ -22,12 +22,22 @@ def predict(train: DataFrame, hold: DataFrame, columns: list[str], y: str, flag:
     return out.withColumn("prob", vector_to_array("_prob")[1]).drop("_features", "_prob", "_raw", "_class")
 
 
+#: Ranges of probability that are ranked apart.
+RANGES = 4096
+
+
 def auc(df: DataFrame, flag: str, prob: str) -> DataFrame:
-    """One row, auc: the chance that a positive row has the higher probability, ties counting half. Rows are counted per probability first, so the window
-    over probabilities in order has a row for each distinct one, rounded to 9 places."""
-    counts = df.groupBy(F.round(prob, 9).alias("p")).agg(F.sum(F.col(flag).cast("double")).alias("pos"), F.sum(1 - F.col(flag).cast("double")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = counts.withColumn("below", below)
+    """One row, auc: the chance that a positive row has the higher probability, ties counting half.
+
+    Rows are counted per probability first. Negatives below a probability are those of lower ranges, from a window over RANGES totals, and those before
+    it in its own range, from a window in each.
+    """
+    p = F.col(prob).cast("double")
+    counts = df.groupBy(F.floor(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * RANGES).alias("r"), p.alias("p")).agg(F.sum(F.col(flag).cast("double")).alias("pos"), F.sum(1 - F.col(flag).cast("double")).alias("neg"))
+    totals = counts.groupBy("r").agg(F.sum("neg").alias("t"))
+    totals = totals.select("r", F.coalesce(F.sum("t").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("lower"))
+    own = F.coalesce(F.sum("neg").over(W.partitionBy("r").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = counts.withColumn("own", own).join(totals, "r").withColumn("below", F.col("lower") + F.col("own"))
     return ranked.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 

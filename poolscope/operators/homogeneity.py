@@ -2,52 +2,56 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.operators.pools import interval, origin_of, pool, sweep, weight_at
-from poolscope.plans.spec import SPEC, Spec
+from poolscope.operators.pools import _stacked, growth, interval, own, pools, sweep, weighs
+from poolscope.plans.spec import DAY, SPEC, Spec
 
 
-def homogeneity(loans: DataFrame, vectors: DataFrame, kind: str = "current", keys: list[str] | None = None, spec: Spec = SPEC) -> DataFrame:
-    """id, n, h (and v where ages weigh): mean cosine of each listing to its pool; null where the pool is smaller than 1.
+def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: list[str] | None = None, spec: Spec = SPEC) -> DataFrame:
+    """id, and for each kind n_<kind>, h_<kind>, and where ages weigh v_<kind>: mean cosine of each listing to each of its pools; null where a pool is empty.
 
     Each term of each listing enters and leaves a running sum per group and term; a listing's own terms ask for the sums at its time. The sum over terms of
-    own weight times pool sum, less the listing itself, over the pool's size is the mean of all cosines.
+    own weight times pool sum, less the listing itself, over the pool's size is the mean of all cosines. All kinds share one sweep.
     """
     keys = ["sector"] if keys is None else keys
-    enter, leave = interval(kind, spec)
-    weigh = kind in ("recent", "completed")
-    origin = origin_of(loans) if weigh else 0
-    age = weight_at(origin, spec) if weigh else F.lit(1.0)
-    rows = loans.select("id", *keys, "u0", enter.alias("enter"), leave.alias("leave"), age.alias("g"))
-    own = (F.col("enter") <= F.col("u0")) & (F.col("u0") < F.col("leave")) & F.lit(spec.exclude_self)
-    rows = rows.withColumn("own", own.cast("double")).join(vectors, "id")
-    live = F.col("enter") < F.col("leave")
-    x = F.when(live, F.col("w") * F.col("g")).otherwise(0.0)
-    one = lambda at, v, asks: F.struct(at.alias("at"), v.alias("x"), F.lit(asks).alias("asks"))
-    events = rows.select("id", *keys, "term", "w", "g", "own", F.explode(F.array(one(F.col("enter"), x, False), one(F.col("leave"), -x, False), one(F.col("u0"), F.lit(0.0), True))).alias("e"))
-    run = sweep(events.select("*", "e.*").drop("e"), [*keys, "term"], ["x"])
-    dots = run.groupBy("id").agg(F.sum(F.col("w") * (F.col("x") - F.col("own") * F.col("w") * F.col("g")) / F.col("g")).alias("dot"))
-    sizes = pool(loans, kind, keys, spec)
-    size = F.col("v") if weigh else F.col("n").cast("double")
-    out = sizes.join(dots, "id", "left")
-    h = F.when(F.col("n") > 0, F.coalesce("dot", F.lit(0.0)) / size)
-    return out.select("id", "n", *(["v"] if weigh else []), h.alias("h"))
+    rows = loans.select("id", *keys, "u0", "u1").join(vectors, "id")
+    at = [*keys, "term"]
+    moves = _stacked(rows, at, [({}, {f"x_{k}": F.col("w")}, k) if weighs(k) else ({f"x_{k}": F.col("w")}, {}, k) for k in kinds], spec)
+    run = sweep(moves, rows.select("id", *at, F.col("u0").alias("at"), "u0", "u1", "w"), at, [f"x_{k}" for k in kinds if not weighs(k)], [f"x_{k}" for k in kinds if weighs(k)], spec)
+    sums = {k: F.col(f"x_{k}") / growth(F.col("u0"), F.col("u0"), spec) if weighs(k) else F.col(f"x_{k}") for k in kinds}
+    dots = run.groupBy("id").agg(*(F.sum(F.col("w") * (sums[k] - own(k, spec) * F.col("w"))).alias(f"dot_{k}") for k in kinds))
+    out = pools(loans, kinds, keys, replace(spec, log_volume=False)).join(dots, "id", "left")
+    columns = []
+    for k in kinds:
+        size = F.col(f"v_{k}") if weighs(k) else F.col(f"n_{k}").cast("double")
+        h = F.when(F.col(f"n_{k}") > 0, F.coalesce(f"dot_{k}", F.lit(0.0)) / size)
+        columns += [F.col(f"n_{k}"), h.alias(f"h_{k}")]
+        if weighs(k):
+            columns.append((F.log1p(f"v_{k}") if spec.log_volume else F.col(f"v_{k}")).alias(f"v_{k}"))
+    return out.select("id", *columns)
+
+
+def homogeneity(loans: DataFrame, vectors: DataFrame, kind: str = "current", keys: list[str] | None = None, spec: Spec = SPEC) -> DataFrame:
+    """id, n, h (and v where ages weigh): similarities() of one kind."""
+    out = similarities(loans, vectors, [kind], keys, spec)
+    return out.select("id", F.col(f"n_{kind}").alias("n"), *([F.col(f"v_{kind}").alias("v")] if weighs(kind) else []), F.col(f"h_{kind}").alias("h"))
 
 
 def pairwise(loans: DataFrame, vectors: DataFrame, focal: DataFrame, kind: str = "current", keys: list[str] | None = None, spec: Spec = SPEC) -> DataFrame:
     """The same by pairs, for the focal ids alone: an audit."""
     keys = ["sector"] if keys is None else keys
     enter, leave = interval(kind, spec)
-    weigh = kind in ("recent", "completed")
-    g = weight_at(origin_of(loans), spec) if weigh else F.lit(1.0)
-    pools = loans.select(F.col("id").alias("other"), *keys, enter.alias("enter"), leave.alias("leave"), g.alias("g"))
-    asked = loans.join(focal.select("id"), "id", "left_semi").select("id", *keys, "u0", g.alias("own_g"))
-    pairs = asked.join(pools, keys).filter("enter <= u0 and u0 < leave" + (" and id <> other" if spec.exclude_self else ""))
+    age = F.pow(F.lit(2.0), (F.col("their_u0") - F.col("u0")) / F.lit(spec.half_life_days * DAY)) if weighs(kind) else F.lit(1.0)
+    pool = loans.select(F.col("id").alias("other"), *keys, enter.alias("enter"), leave.alias("leave"), F.col("u0").alias("their_u0"))
+    asked = loans.join(focal.select("id"), "id", "left_semi").select("id", *keys, "u0")
+    pairs = asked.join(pool, keys).filter("enter <= u0 and u0 < leave" + (" and id <> other" if spec.exclude_self else "")).select("id", "other", age.alias("g"))
     theirs = vectors.select(F.col("id").alias("other"), "term", F.col("w").alias("w2"))
-    sizes = pairs.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("g") / F.col("own_g")).alias("v"))
-    dots = pairs.join(vectors, "id").join(theirs, ["other", "term"]).groupBy("id").agg(F.sum(F.col("w") * F.col("w2") * F.col("g") / F.col("own_g")).alias("dot"))
+    sizes = pairs.groupBy("id").agg(F.count("*").alias("n"), F.sum("g").alias("v"))
+    dots = pairs.join(vectors, "id").join(theirs, ["other", "term"]).groupBy("id").agg(F.sum(F.col("w") * F.col("w2") * F.col("g")).alias("dot"))
     return sizes.join(dots, "id", "left").select("id", "n", (F.coalesce("dot", F.lit(0.0)) / F.col("v")).alias("h"))
 
 

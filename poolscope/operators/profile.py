@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +30,8 @@ def lag_gap(loans: DataFrame, spec: Spec = SPEC) -> DataFrame:
     return p95.select(F.round("p95", 6).alias("p95_hours"), F.ceil(F.col("p95") / 24).cast("long").alias("gap_days"))
 
 
-def non_negative(df: DataFrame, begin: str, end: str) -> DataFrame:
-    return df.filter(F.col(end) >= F.col(begin))
+def non_negative(begin: str, end: str) -> Column:
+    return F.col(end) >= F.col(begin)
 
 
 def crosstab(df: DataFrame, row: str, flag: Column, yes: str, no: str) -> DataFrame:
@@ -48,15 +46,22 @@ def fast(spec: Spec = SPEC, c: str = "hours") -> Column:
     return (F.col(c) <= spec.fast_hours).cast("int")
 
 
-def followed(df: DataFrame, hours: float) -> DataFrame:
-    """Rows listed at least so many hours before the last listing."""
-    last = df.agg(F.max("u0").alias("last"))
-    return df.crossJoin(F.broadcast(last)).filter(F.col("u0") <= F.col("last") - F.lit(int(hours * 3_600_000_000))).drop("last")
+def followed(hours: float, last: str = "last") -> Column:
+    """Whether a row was listed at least so many hours before the last listing, whose time is in column `last`."""
+    return F.col("u0") <= F.col(last) - F.lit(int(hours * 3_600_000_000))
+
 
+def with_last(df: DataFrame, **only: Column) -> DataFrame:
+    """df with the time of its last listing, and by name of the last one that a condition holds for: one row of them, joined to all."""
+    one = df.agg(F.max("u0").alias("last"), *(F.max(F.when(c, F.col("u0"))).alias(name) for name, c in only.items()))
+    return df.crossJoin(F.broadcast(one))
 
-def sample_flow(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("step"), F.lit(name).alias("stage"), "n") for k, (name, df) in enumerate(stages)]
-    return reduce(DataFrame.unionByName, parts)
+
+def sample_flow(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
+    """step, stage, n: how many rows each condition leaves, from one aggregation."""
+    one = df.agg(*(F.count_if(c).alias(f"s{k}") for k, (_, c) in enumerate(stages)))
+    rows = [F.struct(F.lit(k).alias("step"), F.lit(name).alias("stage"), F.col(f"s{k}").alias("n")) for k, (name, _) in enumerate(stages)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:

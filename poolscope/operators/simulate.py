@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscope.plans.spec import DAY
@@ -16,13 +16,18 @@ def truth(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TRUTH.items()), "term string, truth double")
 
 
+def draw(seed: int, k: int, *columns: str) -> Column:
+    """A number from 0 to 1 by the MD5 of seed, k and columns: the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), *(F.col(c).cast("string") for c in columns))), 1, 13), 16, 10).cast("double") / 2.0**52
+
+
 def listings(spark: SparkSession, n: int = 20_000, days: int = 730, seed: int = 1) -> DataFrame:
     """id, u0, sector, country, activity, partner, template, shock, use, speed, unfunded_draw: listings before their outcome.
 
     A partner's template share and its speed are linked; the share of templates rises over the years; a shock of sector and week drives both how many
     listings a cell has and how long they take. All draws are hashes of ids and the seed, so any partitioning gives the same rows.
     """
-    u = lambda k, *c: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *(c or ("id",))), 11).cast("double") / 2.0**53)
+    u = lambda k, *c: draw(seed, k, *(c or ("id",)))
     rows = spark.range(n).select("id")
     rows = rows.select("id", F.floor(u(1) * PARTNERS).cast("int").alias("partner"), F.floor(u(2) * SECTORS).cast("int").alias("s"), u(3).alias("when"))
     rows = rows.withColumn("u0", F.floor(F.col("when") * days * DAY).cast("long")).withColumn("week", F.floor(F.col("u0") / (7 * DAY)).cast("int"))

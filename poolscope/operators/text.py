@@ -44,7 +44,8 @@ def char_ngrams(c: Column, n: int = SPEC.char_gram) -> Column:
 
 
 def hashed(term: Column, buckets: int = SPEC.hash_buckets) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    """A bucket by the MD5 of a term, which is the same in any engine."""
+    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
 def term_counts(df: DataFrame, terms: Column, key: str = "id") -> DataFrame:

@@ -4,6 +4,8 @@ LOAN = """
 loan AS (
     SELECT o_orderkey AS id, epoch_us(o_orderdate) AS u0, (24 + floor(o_totalprice)::BIGINT % 800) AS hours,
         epoch_us(o_orderdate) + (24 + floor(o_totalprice)::BIGINT % 800) * 3600000000 AS u1,
+        (isodow(o_orderdate) - 1)::INT AS weekday, hour(o_orderdate)::INT AS hour, CASE WHEN (o_orderkey // 7) % 3 < 2 THEN 'female' ELSE 'male' END AS gender,
+        (o_orderkey // 3) % 4 + 1 AS borrowers, o_orderkey % 19 + 6 AS term,
         c_mktsegment AS sector, n_name AS country, o_orderpriority AS activity, o_totalprice AS amount, o_orderstatus AS status, year(o_orderdate) AS year
     FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 )"""
@@ -20,24 +22,28 @@ CURRENT = "s.u0 <= f.u0 AND f.u0 < s.u1"
 RECENT = f"f.u0 - s.u0 >= {35 * DAY} AND f.u0 - s.u0 < {65 * DAY}"
 AGE = f", round(coalesce(sum(pow(2.0, -(f.u0 - s.u0) / (7.0 * {DAY}))), 0), 9) AS v"
 
-TEXTED = f"""{LOAN},
-nd AS (SELECT count(*) AS nd FROM documents),
-doc AS (SELECT doc_id, list_slice({TOKENS.format("text")}, 1, 30) AS tokens FROM documents),
-texted AS (SELECT loan.*, tokens FROM loan, nd, doc WHERE doc_id = loan.id % nd),
-tf AS (SELECT id, year, term, count(*) AS tf FROM (SELECT id, year, unnest(tokens) AS term FROM texted) GROUP BY ALL),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM texted WHERE year <= 2000)) / (1.0 + count(*))) + 1 AS idf FROM tf WHERE year <= 2000 GROUP BY term),
-x AS (SELECT id, term, tf * idf AS x FROM tf JOIN idf USING (term)),
-vec AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM x)"""
+def _texted(texts: str) -> str:
+    """Listings with a whole text each, and the similarity of each two texts. texts: SQL of (place, text) with place from 0 upwards."""
+    return f"""{LOAN},
+doc AS (SELECT place, {TOKENS.format("text")} AS tokens FROM ({texts})),
+nd AS (SELECT count(*) AS nd FROM doc),
+texted AS (SELECT loan.*, place, tokens FROM loan, nd, doc WHERE place = loan.id % nd),
+known AS (SELECT place, count(*) AS k FROM texted WHERE year <= 2000 GROUP BY place),
+tf AS (SELECT place, word, count(*) AS tf FROM (SELECT place, unnest(tokens) AS word FROM doc) GROUP BY ALL),
+idf AS (SELECT word, ln((1 + (SELECT sum(k) FROM known)) / (1.0 + sum(k))) + 1 AS idf FROM tf JOIN known USING (place) GROUP BY word),
+x AS (SELECT place, word, tf * idf AS x FROM tf JOIN idf USING (word)),
+vec AS (SELECT place, word, x / sqrt(sum(x * x) OVER (PARTITION BY place)) AS w FROM x),
+alike AS (SELECT a.place AS i, b.place AS j, sum(a.w * b.w) AS dot FROM vec a JOIN vec b ON a.word = b.word GROUP BY ALL)"""
+
+
+TEXTED = _texted("SELECT conv_id AS place, text FROM conversations WHERE turn = 0")
+DESCRIBED = _texted("SELECT doc_id AS place, text FROM documents")
 
 
 def _homogeneity(name: str, condition: str, weight: str) -> str:
-    return f"""{name}_p AS (SELECT f.id, s.id AS other, {weight} AS g FROM loan f JOIN loan s ON f.sector = s.sector AND s.id <> f.id AND {condition}),
-{name}_n AS (SELECT id, count(*) AS n, sum(g) AS v FROM {name}_p GROUP BY id),
-{name}_d AS (SELECT p.id, sum(a.w * b.w * g) AS dot FROM {name}_p p JOIN vec a ON a.id = p.id JOIN vec b ON b.id = p.other AND b.term = a.term GROUP BY p.id),
-{name} AS (
-    SELECT loan.id, coalesce(n, 0)::BIGINT AS n, coalesce(v, 0) AS v, CASE WHEN n > 0 THEN coalesce(dot, 0) / v END AS h
-    FROM loan LEFT JOIN {name}_n k ON k.id = loan.id LEFT JOIN {name}_d d ON d.id = loan.id
-)"""
+    return f"""{name}_p AS (SELECT f.id, f.place AS i, s.place AS j, {weight} AS g FROM texted f JOIN texted s ON f.sector = s.sector AND s.id <> f.id AND {condition}),
+{name}_d AS (SELECT id, count(*) AS n, sum(g) AS v, sum(g * coalesce(dot, 0)) AS dot FROM {name}_p p LEFT JOIN alike a ON a.i = p.i AND a.j = p.j GROUP BY id),
+{name} AS (SELECT loan.id, coalesce(n, 0)::BIGINT AS n, coalesce(v, 0) AS v, dot / v AS h FROM loan LEFT JOIN {name}_d d ON d.id = loan.id)"""
 
 
 CUR = _homogeneity("cur", CURRENT, "1.0")
@@ -50,12 +56,61 @@ z AS (SELECT m.*, (c - mc) / sc AS z_c, (h - mh) / sh AS z_h, (v - mv) / sv AS z
 FIXED = f"""{LOAN}, f AS (
     SELECT *, ln(1 + hours) AS y, (hours > 400)::INT AS slow, 5.0 + (id % 7) / 10.0 AS pred, 0.3 + (id % 5) / 10.0 AS prob FROM loan WHERE year > 2000
 )"""
-DOCS = f"doc AS (SELECT doc_id AS id, list_slice({TOKENS.format('text')}, 1, 30) AS tokens FROM documents)"
+DOCS = f"doc AS (SELECT doc_id AS id, {TOKENS.format('text')} AS tokens FROM documents)"
 PHRASES = f"""tok AS (SELECT doc_id AS id, source, {TOKENS.format("text")} AS t FROM documents),
 gram AS (SELECT id, source, i, array_to_string(t[i : i + 4], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM tok WHERE len(t) >= 5)),
 phrases AS (SELECT phrase, count(DISTINCT id)::BIGINT AS docs, count(DISTINCT source)::BIGINT AS countries FROM gram GROUP BY phrase HAVING count(DISTINCT id) >= 4 AND count(DISTINCT source) >= 3)"""
 
 
+#: Two slopes within countries, by the inverse of a 2 x 2 matrix; scores summed by country, week and both.
+WITHIN = f"""WITH p AS ({_pool(CURRENT, ", any_value(f.amount) AS amount, any_value(f.hours) AS hours, any_value(f.country) AS country, any_value(f.u0) AS u0")}),
+r AS (SELECT n / 10.0::DOUBLE AS x1, ln(1 + amount) AS x2, ln(1 + hours) AS y, country, u0 // {7 * DAY} AS week FROM p),
+c AS (SELECT country, week, x1 - avg(x1) OVER g AS x1, x2 - avg(x2) OVER g AS x2, y - avg(y) OVER g AS y FROM r WINDOW g AS (PARTITION BY country)),
+s AS (SELECT sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS d, sum(x1 * y) AS e, sum(x2 * y) AS f FROM c),
+i AS (SELECT d / (a * d - b * b) AS i11, -b / (a * d - b * b) AS i12, a / (a * d - b * b) AS i22, e, f FROM s),
+t AS (SELECT *, i11 * e + i12 * f AS b1, i12 * e + i22 * f AS b2 FROM i),
+u AS (SELECT country, week, x1 * (y - b1 * x1 - b2 * x2) AS u1, x2 * (y - b1 * x1 - b2 * x2) AS u2 FROM c, t),
+k AS (
+    SELECT 1 AS sign, sum(u1) AS u1, sum(u2) AS u2, 'c' AS kind FROM u GROUP BY country UNION ALL SELECT 1, sum(u1), sum(u2), 'w' FROM u GROUP BY week
+    UNION ALL SELECT -1, sum(u1), sum(u2), 'cw' FROM u GROUP BY country, week
+), g AS (SELECT kind, sign * count(*) / (count(*) - 1.0) AS z, sum(u1 * u1) AS m11, sum(u1 * u2) AS m12, sum(u2 * u2) AS m22 FROM k GROUP BY kind, sign),
+m AS (SELECT sum(z * m11) AS m11, sum(z * m12) AS m12, sum(z * m22) AS m22 FROM g),
+h AS (SELECT *, i11 * m11 + i12 * m12 AS p11, i11 * m12 + i12 * m22 AS p12, i12 * m11 + i22 * m12 AS p21, i12 * m12 + i22 * m22 AS p22 FROM t, m),
+v AS (SELECT b1, b2, p11 * i11 + p12 * i12 AS v11, p11 * i12 + p12 * i22 AS v12, p21 * i12 + p22 * i22 AS v22 FROM h)
+SELECT 'n' AS term, round(b1, 6) AS value, round(sqrt(v11), 6) AS se FROM v UNION ALL SELECT 'log_amount', round(b2, 6), round(sqrt(v22), 6) FROM v
+UNION ALL SELECT 'contrast', round(b1 + 2 * b2, 6), round(sqrt(v11 + 4 * v12 + 4 * v22), 6) FROM v
+UNION ALL SELECT 'wald', round((b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) / (v11 * v22 - v12 * v12) / 2, 6), NULL FROM v"""
+
+
+def _draw(k: int, *columns: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '1', '{k}', {', '.join(columns or ('id',))})), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+def _shock() -> str:
+    return f"sqrt(-2 * ln({_draw(4, 's', 'week')} + 1e-12::DOUBLE)) * cos(2 * 3.141592653589793::DOUBLE * {_draw(5, 's', 'week')})"
+
+
+SIMULATED = f"""base AS (SELECT id, floor({_draw(1)} * 72)::INT AS partner, floor({_draw(2)} * 6)::INT AS s, {_draw(3)} AS t FROM range(20000) r(id)),
+timed AS (SELECT *, floor(t * 730::DOUBLE * {DAY}::DOUBLE)::BIGINT AS u0 FROM base),
+weekly AS (SELECT * EXCLUDE (u0), u0 AS first, u0 // {7 * DAY} AS week FROM timed),
+moved AS (SELECT * EXCLUDE (week), first + CASE WHEN {_shock()} < 0 AND {_draw(6)} < 0.5 THEN {7 * DAY} ELSE 0 END AS u0 FROM weekly),
+again AS (SELECT *, u0 // {7 * DAY} AS week FROM moved),
+sim AS (SELECT s, u0, week, {_shock()} AS shock, ({_draw(8)} < {_draw(7, "partner")} * (0.4::DOUBLE + 0.6::DOUBLE * t))::INT AS template, ({_draw(32)} < 0.089::DOUBLE)::INT AS unfunded FROM again)"""
+
+_PER_ROW = {
+    "id is known": "id IS NULL", "sector is known": "sector IS NULL", "country is known": "country IS NULL", "activity is known": "activity IS NULL", "status is known": "status IS NULL",
+    "split is complete": "year IS NULL", "no negative duration": "u1 < u0", "duration agrees with hours": "u1 - u0 <> hours * 3600000000", "amount is positive": "amount IS NULL OR amount <= 0",
+    "outcome is finite": "ln(1 + hours) IS NULL OR isnan(ln(1 + hours))", "flag agrees with hours": "((hours <= 72)::INT = 1) <> (hours <= 72)", "weekday is 0 to 6": "weekday NOT BETWEEN 0 AND 6",
+    "hour is 0 to 23": "hour NOT BETWEEN 0 AND 23", "gender is known": "gender NOT IN ('female', 'male')", "borrowers and term are positive": "borrowers < 1 OR term < 1", "pool is known": "n IS NULL",
+    "pool is not negative": "n < 0", "pool is smaller than its sector": "n >= count(*) OVER (PARTITION BY sector)", "text is known": "words IS NULL OR words = 0",
+}
+GATES = f"""WITH {TEXTED}, p AS ({_pool(CURRENT, "").split(LOAN)[1]}),
+w AS (SELECT loan.*, p.n, len(tokens) AS words FROM loan LEFT JOIN p ON p.id = loan.id LEFT JOIN texted ON texted.id = loan.id),
+o AS (SELECT {", ".join(f"({c}) AS o{k}" for k, c in enumerate(_PER_ROW.values()))} FROM w)
+""" + " UNION ALL ".join(f"SELECT '{name}' AS gate, count(*) FILTER (WHERE o{k}) = 0 AS passed, count(*) FILTER (WHERE o{k})::BIGINT AS offending FROM o" for k, name in enumerate(_PER_ROW)) + """
+UNION ALL SELECT 'ids are unique', count(*) = 0, count(*)::BIGINT FROM (SELECT id FROM loan GROUP BY id HAVING count(*) > 1)"""
+
+
 def _summary(c: str) -> str:
     return f"SELECT '{c}' AS \"column\", count({c})::BIGINT AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(min({c})::DOUBLE, 6) AS min, round(max({c})::DOUBLE, 6) AS max FROM loan"
 
@@ -97,7 +152,7 @@ ORACLES = {
         x AS (SELECT id, term, tf * idf AS x FROM tf JOIN idf USING (term))
         SELECT id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS w FROM x""",
     "bigram_df": f"WITH {DOCS}, g AS (SELECT DISTINCT id, array_to_string(tokens[i : i + 1], ' ') AS term FROM (SELECT *, unnest(range(1, len(tokens))) AS i FROM doc)) SELECT term, count(*)::BIGINT AS df FROM g GROUP BY term",
-    "char_ngrams": "SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT item_id AS id, substr(lower(text), i::BIGINT, 3) AS term FROM (SELECT *, unnest(range(1, length(text) - 1)) AS i FROM benchmark)) GROUP BY ALL",
+    "char_ngrams": "SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id AS id, substr(lower(text), i::BIGINT, 3) AS term FROM (SELECT *, unnest(range(1, length(text) - 1)) AS i FROM documents)) GROUP BY ALL",
     "recurring_phrases": f"WITH {PHRASES} SELECT * FROM phrases",
     "residual_text": f"""WITH {PHRASES}, cov AS (SELECT DISTINCT id, unnest(range(i, i + 5)) AS p FROM gram WHERE phrase IN (SELECT phrase FROM phrases)),
         w AS (SELECT id, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS p FROM tok),
@@ -105,7 +160,19 @@ ORACLES = {
         SELECT tok.id, coalesce(n_left, 0)::BIGINT AS n_left, md5(coalesce(s, '')) AS residual_md5 FROM tok LEFT JOIN k ON k.id = tok.id""",
     "public_ngrams": f"""WITH {DOCS}, g AS (SELECT DISTINCT id, unnest(tokens) AS term FROM doc UNION SELECT DISTINCT id, array_to_string(tokens[i : i + 1], ' ') FROM (SELECT *, unnest(range(1, len(tokens))) AS i FROM doc))
         SELECT term, count(*)::BIGINT AS df FROM g GROUP BY term HAVING count(*) >= 20""",
-    "redacted_paths": "SELECT event_id, 'see <PRIVATE_PATH> and <PRIVATE_PATH>' AS line FROM events",
+    "redacted_paths": r"""WITH l AS (
+            SELECT 'pages' AS origin, page_id AS id, coalesce(html, '') AS t FROM pages UNION ALL SELECT 'events', event_id, coalesce(props, '') FROM events
+        ), p AS (SELECT origin, id, t || CASE WHEN id % 3 = 0 THEN ' see "/home/user' || id::VARCHAR || '/notes.txt" and C:\Users\me\a.csv' ELSE '' END AS t FROM l),
+        r AS (SELECT origin, id, regexp_replace(t, '(?:[A-Za-z]:\\Users\\|/home/|/Users/|/root/)[^\s"''<>|]*', '<PRIVATE_PATH>', 'g') AS t FROM p)
+        SELECT origin, id, len(regexp_extract_all(t, '<PRIVATE_PATH>'))::BIGINT AS redactions, md5(t) AS line_md5 FROM r""",
+    "hashed_terms": f"""WITH {DOCS}, g AS (SELECT id, unnest(tokens) AS term FROM doc UNION ALL SELECT id, array_to_string(tokens[i : i + 1], ' ') FROM (SELECT *, unnest(range(1, len(tokens))) AS i FROM doc))
+        SELECT id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 131072)::INT AS bucket, count(*)::BIGINT AS tf FROM g GROUP BY ALL""",
+    "focal_homogeneity_description": f"WITH {DESCRIBED}, {CUR} SELECT id, n, round(h, 6) AS h FROM cur",
+    "recent_homogeneity_description": f"WITH {DESCRIBED}, {REC} SELECT id, n, round(v, 9) AS v, round(h, 6) AS h FROM rec",
+    "homogeneity_audit": f"WITH {LOAN}, focal AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS k FROM loan) " + " UNION ALL ".join(
+        f"SELECT '{name}' AS pool, count(DISTINCT f.id)::BIGINT AS checks, true AS passed FROM focal f JOIN loan s ON f.sector = s.sector AND s.id <> f.id AND {condition} WHERE f.k <= {many}"
+        for name, condition, many in (("current", CURRENT, 200), ("recent", RECENT, 200), ("mirror14d", f"s.u0 <= f.u0 AND f.u0 - s.u0 < {14 * DAY}", 200), ("description_current", CURRENT, 50), ("description_recent", RECENT, 50))
+    ),
     "focal_homogeneity": f"WITH {TEXTED}, {CUR} SELECT id, n, round(h, 6) AS h FROM cur",
     "recent_homogeneity": f"WITH {TEXTED}, {REC} SELECT id, n, round(v, 9) AS v, round(h, 6) AS h FROM rec",
     "dense_mean_cosine": """WITH u AS (
@@ -114,11 +181,12 @@ ORACLES = {
         ) SELECT a.vec_id, count(b.vec_id)::BIGINT AS n, round(avg(list_dot_product(a.u, b.u)), 6) AS h FROM u a LEFT JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id""",
     "zscore_interactions": f"WITH {MEASURES} SELECT id, round(z_c, 4) + 0.0 AS z_c, round(z_h, 4) + 0.0 AS z_h, round(z_v, 4) + 0.0 AS z_v, round(z_g, 4) + 0.0 AS z_g, round(z_c * z_h, 4) + 0.0 AS z_ch, round(z_v * z_g, 4) + 0.0 AS z_vg FROM z",
     "scenario_quantiles": f"WITH {MEASURES} " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, round(quantile_cont({c}, 0.25), 6) AS low, round(quantile_cont({c}, 0.75), 6) AS high FROM m WHERE year <= 2000" for c in "chvg"),
-    "support_count": f"""WITH {LOAN}, p AS (SELECT f.id, f.year, f.hours, count(s.id) AS n FROM loan f LEFT JOIN loan s ON f.sector = s.sector AND s.id <> f.id AND {CURRENT} GROUP BY ALL),
-        t AS (SELECT * FROM p WHERE year <= 2000),
-        q AS (SELECT quantile_cont(n, 0.25)::DOUBLE AS a, quantile_cont(n, 0.75)::DOUBLE AS b, quantile_cont(hours, 0.25)::DOUBLE AS c, quantile_cont(hours, 0.75)::DOUBLE AS d FROM t)
-        SELECT 'low' AS endpoint, count(*)::BIGINT AS n FROM t, q WHERE abs(t.n - a) <= 0.1 * (b - a) AND abs(hours - c) <= 0.1 * (d - c)
-        UNION ALL SELECT 'high', count(*)::BIGINT FROM t, q WHERE abs(t.n - b) <= 0.1 * (b - a) AND abs(hours - d) <= 0.1 * (d - c)""",
+    "support_count": f"WITH {MEASURES}, t AS (SELECT * FROM m WHERE year <= 2000) " + " UNION ALL ".join(
+        f"""SELECT '{channel}' AS channel, '{end}' AS endpoint, count(*)::BIGINT AS n FROM t, (
+            SELECT quantile_cont({x}, 0.25) AS x1, quantile_cont({x}, 0.75) AS x2, quantile_cont({y}, 0.25) AS y1, quantile_cont({y}, 0.75) AS y2 FROM t
+        ) WHERE abs({x} - x{k}) <= 0.1 * (x2 - x1) AND abs({y} - y{k}) <= 0.1 * (y2 - y1)"""
+        for channel, x, y in (("current", "c", "h"), ("recent", "v", "g")) for k, end in ((1, "low"), (2, "high"))
+    ),
     "regime_by_year": f"WITH {MEASURES} SELECT year::INT AS year, count(*)::BIGINT AS n, round(avg(c), 6) AS mean_c, round(avg(h), 6) AS mean_h FROM m GROUP BY year",
     "fe_ols_gram": f"""WITH p AS ({_pool(CURRENT, ", any_value(f.hours) / 100.0 AS hours")}), r AS (SELECT 1.0 AS one, n::DOUBLE AS n, hours FROM p)
         """ + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a}::DOUBLE * {b}::DOUBLE), 3) AS s FROM r" for a, b in (("one", "one"), ("one", "n"), ("one", "hours"), ("n", "n"), ("n", "hours"), ("hours", "hours"))),
@@ -132,5 +200,10 @@ ORACLES = {
         UNION ALL SELECT 'mae_hours', round(avg(abs((exp(y) - 1) - (exp(pred) - 1))), 6) FROM f UNION ALL SELECT 'brier', round(avg((prob - slow) ** 2), 6) FROM f
         UNION ALL SELECT 'log_loss', round(avg(-(slow * ln(prob) + (1 - slow) * ln(1 - prob))), 6) FROM f
         UNION ALL SELECT 'auc', round(avg(CASE WHEN pp > qp THEN 1.0 WHEN pp = qp THEN 0.5 ELSE 0.0 END), 6) FROM r""",
+    "within_fit": WITHIN,
+    "simulated_shares": f"""WITH {SIMULATED} SELECT u0 // {365 * DAY} AS period, round(avg(template), 6) AS templates, round(avg(unfunded), 6) AS unfunded FROM sim GROUP BY 1""",
+    "shock_cells": f"""WITH {SIMULATED} SELECT 'sector' || s AS sector, week::INT AS week, count(*)::BIGINT AS n, round(avg(shock), 6) AS shock FROM sim GROUP BY ALL""",
+    "qa_gates": GATES,
+    "sink_round_trips": f"WITH {LOAN} " + " UNION ALL ".join(f"SELECT '{x}' AS sink, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids, sum(hours)::BIGINT AS hours, count(DISTINCT sector)::BIGINT AS sectors, max(year)::INT AS last_year FROM loan" for x in ("shards", "csv", "json")),
     "calibration": f"WITH {FIXED} SELECT sector, count(*)::BIGINT AS n, round(avg(prob) - avg(slow), 6) AS gap FROM f GROUP BY sector",
 }

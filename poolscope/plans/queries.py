@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from poolscope.sources import sinks
 from poolscope.sources.tables import is_train, loans, micros, table, texted
 
 R = 6
-EFFECTS, CLUSTERS = ["country", "activity", "week"], ["country", "week"]
+EFFECTS, CLUSTERS = ["country", "activity", "week", "gender", "interval", "weekday", "hour"], ["country", "week"]
 CHANNELS = {"current": ("z_c", "z_h", "z_ch"), "recent": ("z_v", "z_g", "z_vg")}
 
 
@@ -42,8 +45,7 @@ def lag_gap_days(spark: SparkSession, d: str) -> DataFrame:
 
 def negative_duration(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    kept = profile.non_negative(rows, "o_orderdate", "l_shipdate")
-    return profile.sample_flow([("all", rows), ("kept", kept)])
+    return profile.sample_flow(rows, [("all", F.lit(True)), ("kept", profile.non_negative("o_orderdate", "l_shipdate"))])
 
 
 def status_crosstab(spark: SparkSession, d: str) -> DataFrame:
@@ -55,9 +57,9 @@ def fast_funding_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_flow(spark: SparkSession, d: str) -> DataFrame:
-    rows = loans(spark, d)
-    hold = rows.filter(~is_train())
-    return profile.sample_flow([("all", rows), ("valid", profile.non_negative(rows, "u0", "u1")), ("followed_72h", profile.followed(rows, 72)), ("train", rows.filter(is_train())), ("holdout", hold), ("holdout_35d", profile.followed(hold, 35 * 24))])
+    rows = profile.with_last(loans(spark, d), last_hold=~is_train())
+    stages = [("all", F.lit(True)), ("valid", profile.non_negative("u0", "u1")), ("followed_72h", profile.followed(72)), ("train", is_train())]
+    return profile.sample_flow(rows, [*stages, ("holdout", ~is_train()), ("holdout_35d", ~is_train() & profile.followed(35 * 24, "last_hold"))])
 
 
 def median_by_year(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +132,8 @@ def platform_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def platform_volume_7d(spark: SparkSession, d: str) -> DataFrame:
-    return pools.platform_volume(table(spark, d, "events").select(micros("ts").alias("u0")))
+    events = table(spark, d, "events")
+    return pools.platform_volume(events.select(micros(events, "ts").alias("u0")))
 
 
 # text
@@ -156,7 +159,7 @@ def bigram_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("t"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"))
     return text.term_counts(docs, text.char_ngrams(F.col("t")))
 
 
@@ -167,7 +170,7 @@ def hashed_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def _phrases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"), F.col("source").alias("country"))
-    return docs, text.recurring_phrases(docs, "tokens", 4, SPEC.phrase_countries)
+    return docs, text.recurring_phrases(docs, "tokens", SPEC.least_phrase, SPEC.phrase_countries)
 
 
 def recurring_phrases(spark: SparkSession, d: str) -> DataFrame:
@@ -185,8 +188,13 @@ def public_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redacted_paths(spark: SparkSession, d: str) -> DataFrame:
-    path = F.concat(F.lit("see /home/user"), F.col("e_id"), F.lit("/notes.txt and C:\\Users\\me\\a.csv"))
-    return table(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("e_id")).select("event_id", sinks.redacted(path).alias("line"))
+    """Pages and event properties with private paths replaced; every third row has one added, as the fixtures have none."""
+    path = lambda key: F.when(F.col(key) % 3 == 0, F.concat(F.lit(' see "/home/user'), F.col(key).cast("string"), F.lit('/notes.txt" and C:\\Users\\me\\a.csv'))).otherwise("")
+    parts = []
+    for name, key, column in (("pages", "page_id", "html"), ("events", "event_id", "props")):
+        line = sinks.redacted(F.concat(F.coalesce(column, F.lit("")), path(key)))
+        parts.append(table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("id"), F.regexp_count(line, F.lit(sinks.PLACEHOLDER)).cast("long").alias("redactions"), F.md5(line).alias("line_md5")))
+    return parts[0].unionByName(parts[1])
 
 
 # similarity to the pool
@@ -196,27 +204,42 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return text.vectors(rows, F.col("tokens"), is_train())
 
 
+def _homogeneity(spark: SparkSession, d: str, kind: str, field: str) -> DataFrame:
+    rows = texted(spark, d, field=field)
+    out = hom.homogeneity(rows, _vectors(rows), kind)
+    return rounded(out.withColumn("v", F.round("v", 9)) if "v" in out.columns else out, "h")
+
+
 def focal_homogeneity(spark: SparkSession, d: str) -> DataFrame:
-    rows = texted(spark, d)
-    return rounded(hom.homogeneity(rows, _vectors(rows)), "h")
+    return _homogeneity(spark, d, "current", "use")
 
 
 def recent_homogeneity(spark: SparkSession, d: str) -> DataFrame:
-    rows = texted(spark, d)
-    return rounded(hom.homogeneity(rows, _vectors(rows), "recent").withColumn("v", F.round("v", 9)), "h")
+    return _homogeneity(spark, d, "recent", "use")
+
+
+def focal_homogeneity_description(spark: SparkSession, d: str) -> DataFrame:
+    return _homogeneity(spark, d, "current", "description")
+
+
+def recent_homogeneity_description(spark: SparkSession, d: str) -> DataFrame:
+    return _homogeneity(spark, d, "recent", "description")
 
 
 def homogeneity_audit(spark: SparkSession, d: str) -> DataFrame:
     """Sweep against pairs: 200 focal listings by use in three pools, 50 by description in two."""
-    parts = {}
-    for field, many, kinds in (("use", 200, ("current", "recent", "mirror14d")), ("description", 50, ("current", "recent"))):
+    out = []
+    for field, many, kinds in (("use", 200, ["current", "recent", "mirror14d"]), ("description", 50, ["current", "recent"])):
         rows = texted(spark, d, field=field)
-        vectors = _vectors(rows)
-        focal = rows.orderBy(F.xxhash64("id"), "id").limit(many)
+        vectors = _vectors(rows).persist()
+        focal = rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(many).select("id").persist()
+        swept = hom.similarities(rows, vectors, kinds).join(focal, "id", "left_semi").persist()
         for kind in kinds:
-            swept, paired = hom.homogeneity(rows, vectors, kind), hom.pairwise(rows, vectors, focal, kind)
-            parts[kind if field == "use" else f"{field}_{kind}"] = hom.audit(swept, paired).select("checks", (F.col("max_error") < 1e-9).alias("passed"))
-    return effects.labelled(parts, "pool")
+            one = hom.audit(swept.select("id", F.col(f"h_{kind}").alias("h")), hom.pairwise(rows, vectors, focal, kind)).first()
+            out.append((kind if field == "use" else f"{field}_{kind}", one["checks"], one["checks"] == 0 or one["max_error"] < 1e-9))
+        for df in (swept, focal, vectors):
+            df.unpersist()
+    return spark.createDataFrame(out, "pool string, checks long, passed boolean")
 
 
 def dense_mean_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -226,23 +249,27 @@ def dense_mean_cosine(spark: SparkSession, d: str) -> DataFrame:
 # features
 
 
-def model_rows(spark: SparkSession, d: str, kind: str = "recent", tokens: str = "tokens") -> DataFrame:
-    """id, the four measures, their z-scores and products, outcome, flag and effects; rows with an empty pool have null measures."""
-    rows = texted(spark, d)
-    rows = rows.withColumn("tokens", F.col(tokens))
-    vectors = _vectors(rows)
-    now = hom.homogeneity(rows, vectors).select("id", pools.saturation().alias("c"), "h")
-    lag = hom.homogeneity(rows, vectors, kind)
-    lag = lag.select("id", (F.col("v") if "v" in lag.columns else F.col("n").cast("double")).alias("v"), F.col("h").alias("g"))
-    return _finished(rows.join(now, "id").join(lag, "id"))
+def _measured(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """rows with n, v and h of each pool, and the platform's 7-day volume."""
+    out = rows.join(hom.similarities(rows, _vectors(rows), kinds), "id")
+    volume = pools.platform_volume(rows).select("day", F.log1p(F.col("volume").cast("double")).alias("log_volume"))
+    return out.withColumn("day", F.floor(F.col("u0") / DAY).cast("long")).join(volume, "day").drop("day", "tokens")
 
 
-def _finished(rows: DataFrame) -> DataFrame:
+def _finished(rows: DataFrame, kind: str = "recent") -> DataFrame:
+    """Measures of the current and of one lagged pool, their z-scores and products, outcome, flag and controls."""
+    v = F.col(f"v_{kind}") if pools.weighs(kind) else F.col(f"n_{kind}").cast("double")
+    rows = rows.select("*", pools.saturation("n_current").alias("c"), F.col("h_current").alias("h"), v.alias("v"), F.col(f"h_{kind}").alias("g"))
     rows = rows.withColumn("week", profile.week_of()).withColumn("y", profile.log_hours()).withColumn("fast", profile.fast()).withColumn("log_amount", F.log1p("amount"))
     rows = features.standardised(rows, ["c", "h", "v", "g"], is_train())
     return rows.withColumn("z_ch", features.interaction("z_c", "z_h")).withColumn("z_vg", features.interaction("z_v", "z_g"))
 
 
+def model_rows(spark: SparkSession, d: str, kind: str = "recent", field: str = "use", mask: bool = False) -> DataFrame:
+    """id, the four measures, their z-scores and products, outcome, flag and effects; rows with an empty pool have null measures."""
+    return _finished(_measured(texted(spark, d, field=field, mask=mask), ["current", kind]), kind)
+
+
 def zscore_interactions(spark: SparkSession, d: str) -> DataFrame:
     names = ["z_c", "z_h", "z_v", "z_g", "z_ch", "z_vg"]
     return model_rows(spark, d).select("id", *(F.round(c, 4).alias(c) for c in names))
@@ -266,7 +293,8 @@ def regime_by_year(spark: SparkSession, d: str) -> DataFrame:
 
 # estimation
 
-SLOPES = ["z_c", "z_h", "z_ch", "z_v", "z_g", "z_vg", "log_amount"]
+CONTROLS = ["log_amount", "borrowers", "term", "log_volume"]
+SLOPES = ["z_c", "z_h", "z_ch", "z_v", "z_g", "z_vg", *CONTROLS]
 
 
 def _fitted(rows: DataFrame, y: str = "y") -> hdfe.Fit:
@@ -278,6 +306,16 @@ def fe_ols_gram(spark: SparkSession, d: str) -> DataFrame:
     return hdfe.gram(rows, ["one", "n", "hours"]).select("a", "b", F.round("s", 3).alias("s"))
 
 
+def within_fit(spark: SparkSession, d: str) -> DataFrame:
+    """A model that SQL can solve: two slopes, one absorbed effect, errors clustered by country and week, a contrast of both slopes and their joint test."""
+    rows = loans(spark, d).join(pools.pool(loans(spark, d)), "id")
+    rows = rows.select((F.col("n") / 10.0).alias("n"), F.log1p("amount").alias("log_amount"), profile.log_hours().alias("y"), "country", profile.week_of().alias("week"))
+    f = hdfe.fit(rows, "y", ["n", "log_amount"], ["country"], CLUSTERS)
+    value, se, _, _ = f.contrast(np.array([1.0, 2.0]))
+    out = [(r[0], r[1], r[2]) for r in f.table()] + [("contrast", value, se), ("wald", f.joint(["n", "log_amount"])[0], None)]
+    return rounded(spark.createDataFrame(out, "term string, value double, se double"), "value", "se")
+
+
 def hdfe_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = model_rows(spark, d).persist()
     parts = {y: hdfe.coefficients(spark, _fitted(rows, y)) for y in ("y", "fast")}
@@ -328,17 +366,17 @@ def group_effects(spark: SparkSession, d: str) -> DataFrame:
 def robustness(spark: SparkSession, d: str) -> DataFrame:
     """The interaction under other pools and texts: recent, 14 and 16 days, completed only, recurring language removed, masked use and masked description."""
     rows = texted(spark, d)
-    masked = {field: texted(spark, d, field=field, mask=True) for field in ("use", "description")}
-    phrases = text.recurring_phrases(rows, "tokens", 30, SPEC.phrase_countries)
-    plain = rows.join(text.residual(rows, "tokens", phrases), "id")
+    least = max(SPEC.least_phrase, ceil(SPEC.phrase_share * rows.filter(is_train()).count()))
+    phrases = text.recurring_phrases(rows.filter(is_train()), "tokens", least, SPEC.phrase_countries)
+    plain = rows.join(text.residual(rows, "tokens", phrases), "id").drop("tokens").withColumnRenamed("residual", "tokens")
+    mirrors = [f"mirror{days}d" for days in SPEC.mirror_days]
+    bases = [(rows, {k: k for k in ("recent", *mirrors, "completed")}), (plain, {"residual": "recent"})]
+    bases += [(texted(spark, d, field=field, mask=True), {f"masked_{field}": "recent"}) for field in ("use", "description")]
     out = {}
-    for name, base, kind in (("recent", rows, "recent"), ("mirror14d", rows, "mirror14d"), ("mirror16d", rows, "mirror16d"), ("completed", rows, "completed"), ("residual", plain.drop("tokens").withColumnRenamed("residual", "tokens"), "recent"), ("masked_use", masked["use"], "recent"), ("masked_description", masked["description"], "recent")):
-        vectors = _vectors(base)
-        now = hom.homogeneity(base, vectors).select("id", pools.saturation().alias("c"), "h")
-        lag = hom.homogeneity(base, vectors, kind)
-        lag = lag.select("id", (F.col("v") if "v" in lag.columns else F.col("n").cast("double")).alias("v"), F.col("h").alias("g"))
-        own = _finished(base.join(now, "id").join(lag, "id")).persist()
-        out[name] = hdfe.coefficients(spark, _fitted(own)).filter(F.col("term").isin("z_ch", "z_vg"))
+    for base, variants in bases:
+        own = _measured(base, ["current", *variants.values()]).persist()
+        for name, kind in variants.items():
+            out[name] = hdfe.coefficients(spark, _fitted(_finished(own, kind))).filter(F.col("term").isin("z_ch", "z_vg"))
         own.unpersist()
     return effects.meaningful(effects.labelled(out), 0.01)
 
@@ -378,7 +416,7 @@ def holdout_comparison(spark: SparkSession, d: str) -> DataFrame:
     rows = model_rows(spark, d).withColumn("slow", (F.col("hours") > 400).cast("int")).persist()
     train, hold = rows.filter(is_train()), rows.filter(~is_train())
     out = {}
-    for name, columns in (("controls", ["log_amount"]), ("narrative", ["log_amount", "z_c", "z_h", "z_ch", "z_v", "z_g", "z_vg"])):
+    for name, columns in (("controls", CONTROLS), ("narrative", SLOPES)):
         out[name] = holdout.metrics(holdout.predict(train, hold, columns, "y", "slow"), "y", "pred", "slow", "prob")
     both = effects.labelled(out, "model")
     return both
@@ -387,13 +425,11 @@ def holdout_comparison(spark: SparkSession, d: str) -> DataFrame:
 # simulation
 
 
-def _simulated(spark: SparkSession, n: int = 4000) -> DataFrame:
+def _simulated(spark: SparkSession, n: int = 20_000) -> DataFrame:
     """Listings with measures, and outcomes that follow from them, the cell's shock and the partner."""
-    rows = simulate.listings(spark, n, days=365).withColumn("year", F.lit(0)).withColumn("u1", F.col("u0") + 10 * DAY)
-    vectors = text.vectors(rows, F.col("tokens"), F.lit(True))
-    now = hom.homogeneity(rows, vectors).select("id", pools.saturation().alias("c"), "h")
-    lag = hom.homogeneity(rows, vectors, "recent").select("id", "v", F.col("h").alias("g"))
-    rows = rows.join(now, "id").join(lag, "id")
+    rows = simulate.listings(spark, n).withColumn("u1", F.col("u0") + 10 * DAY)
+    both = hom.similarities(rows, text.vectors(rows, F.col("tokens"), F.lit(True)), ["current", "recent"])
+    rows = rows.join(both.select("id", pools.saturation("n_current").alias("c"), F.col("h_current").alias("h"), F.col("v_recent").alias("v"), F.col("h_recent").alias("g")), "id")
     rows = features.standardised(rows, ["c", "h", "v", "g"], F.lit(True))
     rows = rows.withColumn("z_ch", features.interaction("z_c", "z_h")).withColumn("z_vg", features.interaction("z_v", "z_g"))
     return simulate.outcomes(rows, list(simulate.TRUTH))
@@ -412,35 +448,55 @@ def truth_scoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simulated_shares(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.template_share(simulate.listings(spark, 20_000))
+    return rounded(simulate.template_share(simulate.listings(spark)), "templates", "unfunded")
 
 
 def shock_cells(spark: SparkSession, d: str) -> DataFrame:
-    rows = simulate.listings(spark, 20_000)
-    return rows.groupBy("sector", "week").agg(F.count("*").alias("n"), F.avg("shock").alias("shock"))
+    return rounded(simulate.listings(spark).groupBy("sector", "week").agg(F.count("*").alias("n"), F.avg("shock").alias("shock")), "shock")
 
 
 # audit
 
 
 def qa_gates(spark: SparkSession, d: str) -> DataFrame:
+    """20 gates: of listings with their pools and texts, of ids, and of the lag."""
     rows = loans(spark, d)
-    n = pools.pool(rows)
-    return qa.gates(
-        {
-            "ids are unique": profile.duplicate_ids(rows, "id"),
-            "no negative duration": rows.filter("u1 < u0"),
-            "no missing sector": rows.filter("sector is null"),
-            "pools are not negative": n.filter("n < 0"),
-            "every listing has a pool size": rows.join(n, "id", "left_anti"),
-            "outcome is finite": rows.filter(F.isnan(profile.log_hours()) | profile.log_hours().isNull()),
-            "split is complete": rows.filter("year is null"),
-        }
-    )
+    sizes = rows.groupBy("sector").agg(F.count("*").alias("sector_size"))
+    words = texted(spark, d).select("id", F.size("tokens").alias("words"))
+    whole = rows.join(pools.pool(rows), "id", "left").join(sizes, "sector", "left").join(words, "id", "left")
+    y, c = profile.log_hours(), F.col
+    per_row = {
+        "id is known": c("id").isNull(), "sector is known": c("sector").isNull(), "country is known": c("country").isNull(), "activity is known": c("activity").isNull(),
+        "status is known": c("status").isNull(), "split is complete": c("year").isNull(), "no negative duration": c("u1") < c("u0"),
+        "duration agrees with hours": c("u1") - c("u0") != c("hours") * 3_600_000_000, "amount is positive": c("amount").isNull() | (c("amount") <= 0),
+        "outcome is finite": y.isNull() | F.isnan(y), "flag agrees with hours": (profile.fast() == 1) != (c("hours") <= SPEC.fast_hours), "weekday is 0 to 6": ~c("weekday").between(0, 6),
+        "hour is 0 to 23": ~c("hour").between(0, 23), "gender is known": ~c("gender").isin("female", "male"), "borrowers and term are positive": (c("borrowers") < 1) | (c("term") < 1),
+        "pool is known": c("n").isNull(), "pool is not negative": c("n") < 0, "pool is smaller than its sector": c("n") >= c("sector_size"), "text is known": c("words").isNull() | (c("words") == 0),
+    }
+    ids = rows.groupBy("id").agg(F.count("*").alias("k"))
+    return qa.gates([(whole, per_row), (ids, {"ids are unique": c("k") > 1})])
 
 
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.manifest(spark, f"{d}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+    return sinks.manifest(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+
+
+def sink_round_trips(spark: SparkSession, d: str) -> DataFrame:
+    """Listings through each sink and back: rows, and sums over them."""
+    rows = loans(spark, d).select("id", "hours", "sector", "year")
+    folder, kinds = sinks.shared_dir(spark), "id long, hours long, sector string, year int"
+    sinks.write_shards(rows, f"{folder}/shards")
+    sinks.write_csv(rows, f"{folder}/csv")
+    sinks.write_json(rows, f"{folder}/json")
+    back = {"shards": spark.read.schema(kinds).parquet(f"{folder}/shards"), "csv": spark.read.schema(kinds).option("header", True).csv(f"{folder}/csv"), "json": spark.read.schema(kinds).json(f"{folder}/json")}
+    files = {"shards": 30, "csv": 1}
+    parts = {}
+    for name, df in back.items():
+        many = len(df.inputFiles())
+        if many != files.get(name, many):
+            raise OSError(f"{name} has {many} files")
+        parts[name] = df.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("hours").alias("hours"), F.count_distinct("sector").alias("sectors"), F.max("year").alias("last_year"))
+    return effects.labelled(parts, "sink")
 
 
 QUERIES = {
@@ -449,9 +505,10 @@ QUERIES = {
         null_profile, duplicate_ids, duration_quantiles, lag_gap_days, negative_duration, status_crosstab, fast_funding_rate, sample_flow, median_by_year,
         top_countries, eligible_sectors, data_profile, calendar_parts, privacy_projection, structure_sample, frozen_spec, current_pool, recent_pool,
         completed_lag_pool, mirror_pool_14d, mirror_pool_16d, min_pool_filter, platform_pool, platform_volume_7d, masked_text, tfidf_terms, bigram_df,
-        char_ngrams, hashed_terms, recurring_phrases, residual_text, public_ngrams, redacted_paths, focal_homogeneity, recent_homogeneity, homogeneity_audit,
-        dense_mean_cosine, zscore_interactions, scenario_quantiles, support_count, regime_by_year, fe_ols_gram, hdfe_fit, scenario_contrast, joint_wald,
+        char_ngrams, hashed_terms, recurring_phrases, residual_text, public_ngrams, redacted_paths, focal_homogeneity, recent_homogeneity,
+        focal_homogeneity_description, recent_homogeneity_description, homogeneity_audit,
+        dense_mean_cosine, zscore_interactions, scenario_quantiles, support_count, regime_by_year, fe_ols_gram, within_fit, hdfe_fit, scenario_contrast, joint_wald,
         year_effects, group_effects, robustness, placebo, market_trigger, holdout_metrics, calibration, holdout_comparison, truth_scoring, simulated_shares,
-        shock_cells, qa_gates, file_manifest,
+        shock_cells, qa_gates, file_manifest, sink_round_trips,
     )
 }

@@ -20,9 +20,9 @@ class Spec:
     half_life_days: float = 7.0
     mirror_days: tuple = (14, 16)
     least_pool: tuple = (5, 20)
-    use_tokens: int = 30
     phrase_words: int = 5
     phrase_share: float = 0.00053
+    least_phrase: int = 4
     phrase_countries: int = 3
     hash_buckets: int = 1 << 17
     char_gram: int = 3
@@ -32,7 +32,6 @@ class Spec:
     top_countries: int = 15
     least_sector: int = 2000
     exclude_self: bool = True
-    completed_only: bool = False
     log_volume: bool = False
 
     def table(self, spark: SparkSession) -> DataFrame:

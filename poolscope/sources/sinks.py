@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +38,38 @@ def write_report(df: DataFrame, path: str, rows: int = 100) -> str:
     return "\n".join(lines)
 
 
-def write_spec(spec: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(spec, indent=1, sort_keys=True))
+#: Bytes of a file that a task holds at a time.
+STEP = 8 << 20
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """path, bytes and SHA-256 of each file below a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def _hashed(batches):
+    for batch in batches:
+        sums = []
+        for path in batch.column(0).to_pylist():
+            store, own = fs.FileSystem.from_uri(path)
+            total = hashlib.sha256()
+            with store.open_input_stream(own, compression=None) as source:
+                while part := source.read(STEP):
+                    total.update(part)
+            sums.append(total.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+
+
+def manifest(spark: SparkSession, folder: str, tasks: int = 64) -> DataFrame:
+    """path, bytes and SHA-256 of each file below a folder.
+
+    Spark lists the files, without reading them; tasks then read each as a stream, so that a file may have any size. The store must be one that pyarrow knows.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    return found.repartition(tasks).mapInArrow(_hashed, "path string, bytes long, sha256 string")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that all tasks can write to: in spark.checkpoint.dir, or where that is unset and all tasks run here, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{named or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
 
 
 def redacted(c: Column) -> Column:

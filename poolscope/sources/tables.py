@@ -13,13 +13,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def micros(c: str | Column) -> Column:
-    """Microseconds since 1970 in UTC; exact for window arithmetic."""
-    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 in UTC; exact for window arithmetic. A time without a zone is a time in UTC, whatever the session's zone."""
+    c = F.col(column)
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        c = F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+    return F.unix_micros(c.cast("timestamp"))
 
 
 def loans(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order: id, u0 (listed), u1 (funded), hours, sector, country, activity, amount, status, year.
+    """One row per order: id, u0 (listed), u1 (funded), hours, sector, country, activity, amount, status, year, weekday, hour, and gender, interval, borrowers and
+    term, which the fixtures lack and arithmetic on the key makes up.
 
     customer and nation are joined on their keys; the planner broadcasts them where their size allows.
     """
@@ -27,9 +31,10 @@ def loans(spark: SparkSession, folder: str) -> DataFrame:
     hours = F.lit(24) + F.floor("o_totalprice") % 800
     rows = orders.join(customer.select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    part = lambda by, of: F.floor(F.col("o_orderkey") / by) % of
     rows = rows.select(
         F.col("o_orderkey").alias("id"),
-        micros("o_orderdate").alias("u0"),
+        micros(orders, "o_orderdate").alias("u0"),
         hours.cast("long").alias("hours"),
         F.col("c_mktsegment").alias("sector"),
         F.col("n_name").alias("country"),
@@ -37,20 +42,28 @@ def loans(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_totalprice").alias("amount"),
         F.col("o_orderstatus").alias("status"),
         F.year("o_orderdate").alias("year"),
+        F.weekday("o_orderdate").alias("weekday"),
+        F.hour("o_orderdate").alias("hour"),
+        F.when(part(7, 3) < 2, "female").otherwise("male").alias("gender"),
+        F.element_at(F.array(*map(F.lit, ("monthly", "bullet", "irregular"))), (part(11, 3) + 1).cast("int")).alias("interval"),
+        (part(3, 4) + 1).cast("long").alias("borrowers"),
+        (part(1, 19) + 6).cast("long").alias("term"),
     )
     return rows.withColumn("u1", F.col("u0") + F.col("hours") * F.lit(3_600_000_000))
 
 
-def texted(spark: SparkSession, folder: str, spec: Spec = SPEC, field: str = "use", mask: bool = False) -> DataFrame:
-    """loans() with tokens of the text at id modulo the number of texts: its first words as use, all of them as description; masked before it is split."""
-    if field not in ("use", "description"):
+def texted(spark: SparkSession, folder: str, field: str = "use", mask: bool = False) -> DataFrame:
+    """loans() with tokens of a whole text: as the short `use`, the opening message of the conversation at id modulo their number, as the long `description`
+    the document at id modulo theirs. mask: masked before it is split."""
+    if field == "use":
+        texts = table(spark, folder, "conversations").filter("turn = 0").select(F.col("conv_id").alias("at"), "text")
+    elif field == "description":
+        texts = table(spark, folder, "documents").select(F.col("doc_id").alias("at"), "text")
+    else:
         raise ValueError(field)
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    many = docs.count()
+    many = texts.count()
     words = tokens(masked(F.col("text")) if mask else F.col("text"))
-    own = docs.select("doc_id", (F.slice(words, 1, spec.use_tokens) if field == "use" else words).alias("tokens"))
-    rows = loans(spark, folder)
-    return rows.join(own, F.pmod("id", F.lit(many)) == F.col("doc_id")).drop("doc_id")
+    return loans(spark, folder).join(texts.select("at", words.alias("tokens")), F.pmod("id", F.lit(many)) == F.col("at")).drop("at")
 
 
 def is_train(spec: Spec = SPEC) -> Column:

@@ -1,25 +1,29 @@
+import hashlib
 import os
+from dataclasses import replace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from poolscope.functions.tails import chi2_upper, f_upper, t_quantile, t_two_sided
-from poolscope.operators import effects, features, hdfe, pools, profile, text
+from poolscope.operators import effects, features, hdfe, holdout, pools, profile, qa, text
 from poolscope.operators import homogeneity as hom
 from poolscope.plans.oracles import ORACLES
 from poolscope.plans.queries import QUERIES
 from poolscope.plans.spec import DAY, SPEC
 from poolscope.sources import sinks
+from poolscope.sources.tables import micros
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["null_profile", "duplicate_ids", "lag_gap_days", "sample_flow", "current_pool", "recent_pool", "completed_lag_pool", "mirror_pool_14d", "platform_pool", "tfidf_terms", "recurring_phrases", "residual_text", "focal_homogeneity", "dense_mean_cosine", "support_count", "holdout_metrics"]
+QUICK = [n for n in ORACLES if n not in ("residual_text", "homogeneity_audit", "recent_homogeneity_description", "zscore_interactions", "regime_by_year", "market_trigger")]
 
 
 def plain(df):
     out = df[sorted(df.columns)].copy()
-    rows = [tuple(None if v is None or v != v else f"{v + 0.0:.6g}" if isinstance(v, float) else str(v) for v in r) for r in out.itertuples(index=False)]
+    rows = [tuple(None if pd.isna(v) else f"{v + 0.0:.6g}" if isinstance(v, float) else str(v) for v in r) for r in out.itertuples(index=False)]
     return sorted(rows, key=str)
 
 
@@ -54,6 +58,39 @@ def test_sweep_over_many_blocks(spark):
         assert got[i] == sum(s == t and j != i and x <= a < x + y for j, x, y, t in rows)
 
 
+def test_weights_hold_over_any_span(spark):
+    """Listings decades apart, in the same and in other groups, change nothing for the rest."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 200)), float(rng.integers(1, 60)), "ab"[int(rng.integers(2))]) for i in range(120)]
+    far = [(1000 + k, a + 365.25 * years, 20.0, s) for k, (years, a, s) in enumerate([(-50, 0, "c"), (-50, 0, "a"), (-50, 40, "a"), (40, 3, "a"), (40, 45, "a"), (90, 1, "b")])]
+    for kind in ("recent", "completed"):
+        alone, both = ({r["id"]: (r["n"], round(r["v"], 9)) for r in pools.pool(listing(spark, x), kind).collect()} for x in (rows, rows + far))
+        assert {i: both[i] for i in alone} == alone
+        for i, a, _, s in rows + far:
+            ages = [a - x for j, x, y, t in rows + far if t == s and j != i and 35 <= a - x < 65 and (kind == "recent" or x + y <= a)]
+            assert both[i] == (len(ages), pytest.approx(sum(2 ** (-g / 7) for g in ages), abs=1e-9))
+    words = spark.createDataFrame([(r[0], [f"t{int(x)}" for x in rng.integers(0, 40, 9)]) for r in rows + far], "id long, tokens array<string>")
+    df = listing(spark, rows + far)
+    vectors = text.vectors(words, F.col("tokens"), F.lit(True)).persist()
+    one = hom.audit(hom.homogeneity(df, vectors, "recent"), hom.pairwise(df, vectors, df, "recent")).first()
+    assert one["checks"] > 40 and one["max_error"] < 1e-9
+    slow = replace(SPEC, half_life_days=400.0)
+    got = {r["id"]: r["v"] for r in pools.pool(df, "recent", spec=slow).collect()}
+    for i, a, _, s in rows + far:
+        assert got[i] == pytest.approx(sum(2 ** (-(a - x) / 400) for j, x, y, t in rows + far if t == s and j != i and 35 <= a - x < 65), abs=1e-9)
+
+
+def test_kinds_share_a_sweep(spark):
+    rng = np.random.default_rng(5)
+    rows = listing(spark, [(i, float(rng.integers(0, 150)), float(rng.integers(0, 60)), "ab"[int(rng.integers(2))]) for i in range(150)])
+    kinds = ["current", "recent", "completed", "mirror14d"]
+    together = {r["id"]: r for r in pools.pools(rows, kinds).collect()}
+    for kind in kinds:
+        for r in pools.pool(rows, kind).collect():
+            assert r["n"] == together[r["id"]][f"n_{kind}"]
+            assert "v" not in r or r["v"] == pytest.approx(together[r["id"]][f"v_{kind}"], abs=1e-12)
+
+
 def test_homogeneity_equals_pairs(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(rng.integers(0, 200)), float(rng.integers(1, 60)), "abc"[int(rng.integers(3))]) for i in range(200)]
@@ -73,7 +110,9 @@ def panel(seed=3, n=400):
     return x1, x2, g, w, y
 
 
-def test_fixed_effects_equal_dummies(spark):
+@pytest.mark.parametrize("most", [2000, 5])
+def test_fixed_effects_equal_dummies(spark, monkeypatch, most):
+    monkeypatch.setattr(hdfe, "MOST_LEVELS", most)  # 5: absorbed by the cluster
     x1, x2, g, w, y = panel()
     df = spark.createDataFrame([(float(a), float(b), int(c), int(d), float(e)) for a, b, c, d, e in zip(x1, x2, g, w, y, strict=True)], "x1 double, x2 double, g int, w int, y double")
     df = df.withColumn("same", F.col("g"))  # a collinear effect
@@ -92,6 +131,8 @@ def test_fixed_effects_equal_dummies(spark):
         cov += sign * s.T @ s * len(groups) / (len(groups) - 1)
     assert np.allclose(fit.cov, bread @ cov @ bread, atol=1e-8)
     assert fit.df == 7
+    plain = hdfe.fit(df, "y", ["x1", "x2"], [], ["g"])
+    assert np.allclose(plain.beta, np.linalg.lstsq(np.column_stack([x, np.ones(len(y))]), y, rcond=None)[0][:2], atol=1e-8)
     f, k, p = fit.joint(["x1", "x2"])
     assert k == 2 and f > 0 and 0 <= p <= 1
 
@@ -136,4 +177,33 @@ def test_verdicts_and_sinks(spark, tmp_path):
     assert sinks.manifest(spark, str(tmp_path / "j")).filter("length(sha256) = 64").count() >= 1
     assert "low" in sinks.write_report(rows, str(tmp_path / "r.txt"))
     assert profile.duplicate_ids(spark.createDataFrame([(1,), (1,), (2,)], "k int"), "k").first()["n"] == 2
+    (tmp_path / "big.bin").write_bytes(b"ab" * 10_000_000)
+    found = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in sinks.manifest(spark, str(tmp_path)).collect()}
+    assert found["big.bin"] == (20_000_000, hashlib.sha256(b"ab" * 10_000_000).hexdigest())
     assert SPEC.table(spark).count() > 10
+
+
+def test_auc_counts_ties_half(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 2)), float(rng.integers(0, 40)) / 40 if k % 2 else float(rng.random())) for k in range(300)] + [(1, 1.0), (0, 0.0), (0, 1.0)]
+    pos, neg = ([p for y, p in rows if y == k] for k in (1, 0))
+    want = np.mean([[1.0 if a > b else 0.5 if a == b else 0.0 for b in neg] for a in pos])
+    assert abs(holdout.auc(spark.createDataFrame(rows, "flag int, prob double"), "flag", "prob").first()[0] - want) < 1e-12
+
+
+def test_times_without_zone_are_utc(spark):
+    df = spark.sql("select timestamp_ntz'2021-07-01 12:00:00' as a, timestamp'2021-07-01 12:00:00' as b")
+    want = 1625140800000000
+    assert [df.select(micros(df, c)).first()[0] for c in "ab"] == [want, want]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert spark.sql("select timestamp_ntz'2021-07-01 12:00:00' as a").select(micros(df, "a")).first()[0] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_gates_count_what_offends(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "id int, n int")
+    got = {r["gate"]: (r["passed"], r["offending"]) for r in qa.gates([(rows, {"known": F.col("n").isNull(), "positive": F.col("n") < 0, "small": F.col("id") > 9})]).collect()}
+    assert got == {"known": (False, 1), "positive": (False, 1), "small": (True, 0)}
+    assert QUERIES["qa_gates"](spark, SF).count() == 20

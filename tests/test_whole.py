@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from poolscope.llm import secrets
 from poolscope.plans.queries import QUERIES, model_rows
 from poolscope.sources.tables import table, texted
 
@@ -52,16 +51,6 @@ def test_tfidf_covers_whole_texts(spark, tokens):
         assert got[i] == pytest.approx({w: v / norm for w, v in x.items()}, abs=2e-6)
 
 
-def test_rare_credentials_are_learned(spark):
-    """A format in documents that a sample of 4,000 by hash would leave out."""
-    docs = spark.range(8000, numPartitions=4).withColumnRenamed("id", "doc_id")
-    out = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) >= 500_000
-    key = F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)))
-    docs = docs.withColumn("text", F.when(out & (F.col("doc_id") % 100 == 0), F.concat(F.lit("key "), key, F.lit(" here"))).otherwise("plain words here"))
-    assert 20 < docs.filter("text like '%AKIA%'").count() < 60
-    assert len(secrets.train(docs)["kinds"]) == 1
-
-
 def test_support_is_of_volume_and_similarity(spark):
     rows = [r for r in model_rows(spark, SF).select("year", "c", "h", "v", "g").collect() if r["year"] <= 2000]
     want = {}
@@ -73,16 +62,11 @@ def test_support_is_of_volume_and_similarity(spark):
     assert {(r["channel"], r["endpoint"]): r["n"] for r in got} == want and len(got) == 4 and sum(want.values()) > 0
 
 
-def test_description_is_the_whole_text_and_masks_come_first(spark, tokens):
+def test_texts_are_whole_and_masks_come_first(spark, tokens):
     assert {r["id"] % len(tokens): r["tokens"] for r in texted(spark, SF, field="description").collect()} == {i: t for i, t in tokens.items()}
-    assert all(r["tokens"] == tokens[r["id"] % len(tokens)][:30] for r in texted(spark, SF).collect())
+    said = [r[0] for r in table(spark, SF, "conversations").filter("turn = 0").orderBy("conv_id").select("text").collect()]
+    assert all(r["tokens"] == [w for w in re.split(r"[\W_]+", said[r["id"] % len(said)].lower()) if w] for r in texted(spark, SF).collect())
     plain, hidden = (texted(spark, SF, field="description", mask=m).select("tokens") for m in (False, True))
     digits = F.size(F.filter("tokens", lambda w: w.rlike("^[0-9]+$")))
     counts = [df.agg(F.sum(digits)).first()[0] for df in (plain, hidden)]
     assert counts[0] > 100 and counts[1] < counts[0] / 10
-
-
-def test_characters_of_all_documents_are_counted(spark):
-    docs = spark.range(8000, numPartitions=4).withColumnRenamed("id", "doc_id").withColumn("text", F.when(F.col("doc_id") == 0, None).otherwise("aé0"))
-    n = secrets.train(docs)["usual"]
-    assert n["a"] == n["0"] == pytest.approx(log(8000 / (2 * 7999 + 64)), abs=1e-12)
