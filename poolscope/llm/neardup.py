@@ -210,16 +210,19 @@ def _sets(batches, k: int):
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(at.astype(np.int32), W.signed(s))], ["id", "s"])
 
 
-def _open(rows: DataFrame, within: list[str], part: str, percent: int) -> DataFrame:
+def _open(scratch: Scratch, name: str, rows: DataFrame, within: list[str], part: str, percent: int) -> DataFrame:
     """The ids of rows (id, within, part, s) that may be linked with a row of another part: of those, enough shingles occur in another part.
 
     A document that is linked with another shares at least percent of its own shingles with it. So one that shares fewer with all documents of other parts
-    together has no such link, and pages of one template with a body of their own go here, however many they are, without being compared.
+    together has no such link, and pages of one template with a body of their own go here, however many they are, without being compared. The shared
+    shingles are written before they are joined, so that one in very many documents is split by the join.
     """
     one = rows.select(*within, "id", part, F.size("s").alias("n"), F.explode("s").alias("x"))
-    shared = one.groupBy(*within, "x").agg(F.min(part).alias("low"), F.max(part).alias("high")).filter("low < high").select(*within, "x")
+    shared = scratch.keep(one.groupBy(*within, "x").agg(F.min(part).alias("low"), F.max(part).alias("high")).filter("low < high").select(*within, "x"), f"{name}-shared")
     found = one.join(shared.hint("merge"), [*within, "x"]).groupBy("id").agg(F.count("*").alias("many"), F.first("n").alias("n"))
-    return found.filter(f"100 * many >= {percent} * n").select("id")
+    found = scratch.keep(found.filter(f"100 * many >= {percent} * n").select("id"), name)
+    scratch.drop(f"{name}-shared")
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5, rows: int = ROWS) -> DataFrame:
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = scratch.keep(mixed(placed, "mixed").select("h", "id", "cluster"), "meeting")
     ids = first.select("id", "cluster").distinct()
-    able = scratch.keep(_open(ids.join(sets_of(ids, "mixed-sets").hint("merge"), "id"), [], "cluster", percent), "able")
+    able = _open(scratch, "able", ids.join(sets_of(ids, "mixed-sets").hint("merge"), "id"), [], "cluster", percent)
     meeting = mixed(first.join(able.hint("merge"), "id", "left_semi"), "mixed-able")
     meeting = meeting.join(wide.select("id", "n", "registers").hint("merge"), "id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     meeting = meeting.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).select("h", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "cluster", "n", "registers")
@@ -298,8 +301,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(parts.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     inside = scratch.keep(inside.withColumn("component", F.coalesce("component", "id")), "inside")
     several = inside.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("cluster")
+    several = scratch.keep(several, "several")  # written, so that the join can split a large cluster
     apart = scratch.keep(inside.join(several.hint("merge"), "cluster", "left_semi").join(sets.hint("merge"), "id"), "apart")
-    able = scratch.keep(_open(apart, ["cluster"], "component", percent), "able-apart")
+    able = _open(scratch, "able-apart", apart, ["cluster"], "component", percent)
     apart = scratch.keep(apart.join(able.hint("merge"), "id", "left_semi"), "open")
     size = F.size("s").cast("long")
     most = apart.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(size).alias("m")).groupBy("cluster").agg(F.max(F.struct("n", "component", "m")).alias("x"), F.sum("n").alias("n"), F.sum("m").alias("m")).filter("x.n < n")
@@ -316,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scratch.keep(open_.groupBy("cluster", "i", "j").applyInArrow(lambda t: _check(t, percent), "u long, v long"), "more-links")
     if not more.isEmpty():
         parts = scratch.keep(connected(scratch, links.union(more), "all"), "all-parts")
-    scratch.drop("representatives", "buckets", "members", "star", "likely", "placed", "mixed", "meeting", "mixed-sets", "able", "mixed-able", "met", "clusters", "all-clusters", "sets", "inside", "apart", "able-apart", "open", "split")
+    scratch.drop("representatives", "buckets", "members", "star", "likely", "placed", "mixed", "meeting", "mixed-sets", "able", "mixed-able", "met", "clusters", "all-clusters", "sets", "inside", "several", "apart", "able-apart", "open", "split")
     out = sketch.select("doc_id", *alike).join(classes, alike, "left")
     out = out.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
