@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "grammar")
 #: may score below the threshold.
 CREDENTIALS, ALPHA, PRIOR, ADDED, BELOW = 800, 0.05, 10.0, 0.1, 0.05
 #: Observations of a state below which the test says little, and the overlap of lengths still to come that two such states must have.
-EVIDENCE, OVERLAP = 30, 0.5
+EVIDENCE, OVERLAP = 200, 0.5
 #: Nats a character by which a format must beat ordinary text.
 MARGIN = 0.5
 

@@ -563,6 +563,8 @@ def test_automata_keep_formats():
         assert len(own.states) == states
         assert sum(secrets.score(table, usual, make()) >= least for _ in range(300)) >= 270
         assert not any(secrets.score(table, usual, w) >= least for w in bad)
+    few = secrets.Automaton(sorted(key(rng.choice([16, 24, 40]), UPPER36) for _ in range(60))).table()  # little evidence, and still no loops
+    assert few["lengths"] == (16, 40) and secrets.score(few, usual, key(17, UPPER36)) == -np.inf and secrets.score(few, usual, key(24, UPPER36)) > 0.5
     loops = secrets.Automaton(sorted(key(rng.randint(8, 60), UPPER36) for _ in range(400))).table()
     assert len(loops["states"]) < 60 and secrets.score(loops, usual, key(33, UPPER36)) > 0.5
 
