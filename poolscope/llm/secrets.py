@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
+from . import words as W
+
 #: Base patterns, in this order; assign needs a value of 6 characters.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -218,6 +220,26 @@ def least_score(words: list[str], table: dict, usual: dict[str, float]) -> float
     return max(MARGIN, min(below(score(table, usual, w) for w in words), below(score(t, usual, w) for k, t in enumerate(halves) for w in words[1 - k :: 2])))
 
 
+def candidates(table: dict, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end byte of the whole runs of a format's alphabet whose length its automaton can make; longer and shorter ones have probability 0."""
+    inside = np.zeros(256, bool)
+    inside[np.frombuffer(table["alphabet"].encode(), np.uint8)] = True
+    starts, ends, _ = W.bounds(data, at, inside)
+    least, most = table["lengths"]
+    fits = (ends - starts >= least) & (ends - starts <= (len(data) if most is None else most))
+    return np.searchsorted(at, starts[fits], "right") - 1, starts[fits], ends[fits]
+
+
+def least_score(words: list[str], table: dict, usual: dict[str, float]) -> float:
+    """The score that all but BELOW of the words reach, the lower one of two ways: under their automaton, and each half under the other half's."""
+    def below(scores):
+        own = sorted(x for x in scores if x > -inf)
+        return own[int(len(own) * BELOW)] if own else inf
+
+    halves = [Automaton(words[k::2]).table() for k in (0, 1)] if len(words) > 1 else []
+    return max(MARGIN, min(below(score(table, usual, w) for w in words), below(score(t, usual, w) for k, t in enumerate(halves) for w in words[1 - k :: 2])))
+
+
 def runs_of(table: dict):
     """A pattern for the whole runs of a format's alphabet whose length its automaton can make; longer and shorter ones have probability 0."""
     own = "".join(re.escape(c) for c in table["alphabet"])
@@ -264,16 +286,25 @@ def train(docs: DataFrame, text_col: str = "text", most: int = CREDENTIALS) -> d
     return out
 
 
-def grammar_spans(patterns: list, model: dict, text: str, base: list) -> list[tuple[str, int, int]]:
-    """Runs that score over the threshold of some kind's automaton and touch no base span; of runs that overlap, the first and longest."""
-    taken, found = [(a, b) for _, a, b, _ in base], set()
-    for pattern, (table, least) in zip(patterns, model["kinds"], strict=True):
-        found |= {m.span() for m in pattern.finditer(text) if score(table, model["usual"], m[0]) >= least}
+def grammar_runs(model: dict, data: np.ndarray, at: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+    """By text, the start and end bytes of the candidates that score over the threshold of some kind's automaton."""
+    out: dict[int, set[tuple[int, int]]] = {}
+    for table, least in model["kinds"]:
+        for x, a, b in zip(*(c.tolist() for c in candidates(table, data, at)), strict=True):
+            if score(table, model["usual"], data[a:b].tobytes().decode()) >= least:
+                out.setdefault(x, set()).add((a, b))
+    return out
+
+
+def grammar_spans(found: set[tuple[int, int]], raw: bytes, base: list) -> list[tuple[str, int, int]]:
+    """Runs of one text, in characters, that touch no base span; of runs that overlap, the first and longest."""
     out, last = [], 0
     for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
-        if a >= last and not any(a < y and x < b for x, y in taken):
-            out.append(("grammar", a, b))
-            last = b
+        begin = len(raw[:a].decode())
+        end = begin + b - a
+        if begin >= last and not any(begin < y and x < end for _, x, y, _ in base):
+            out.append(("grammar", begin, end))
+            last = end
     return out
 
 
@@ -282,18 +313,18 @@ ROWS = "doc_id long, kinds array<string>, starts array<long>, ends array<long>"
 
 def _scan(batches, model):
     model = model.value
-    patterns = [runs_of(table) for table, _ in model["kinds"]]
     for batch in batches:
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
-            found = []
-            for text in part.column(1):
-                text = text.as_py() or ""
-                base = base_spans(text)
-                spans = [x[:3] for x in base] + grammar_spans(patterns, model, text, base)
+        data, at = W.utf8(batch.column(1))
+        for a, b in W.blocks(data, at):
+            part, where = data[at[a] : at[b]], at[a : b + 1] - at[a]
+            runs, found = grammar_runs(model, part, where), []
+            for i in range(b - a):
+                raw = part[where[i] : where[i + 1]].tobytes()
+                base = base_spans(raw.decode())
+                spans = [x[:3] for x in base] + grammar_spans({(p - int(where[i]), q - int(where[i])) for p, q in runs.get(i, ())}, raw, base)
                 found.append(sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
             columns = [pa.array([[x[i] for x in s] for s in found], pa.list_(pa.string() if not i else pa.int64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "kinds", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "kinds", "starts", "ends"])
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

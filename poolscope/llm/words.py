@@ -52,11 +52,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the number of the first word of each text (one more entry than texts)."""
+def bounds(data: np.ndarray, at: np.ndarray, inside: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of the first word of each text (one more entry than texts). inside: which bytes make up words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    word = ~SPACE[data]
+    word = inside[data]
     edge = np.empty(len(word), bool)
     edge[0] = word[0]
     np.greater(word[1:], word[:-1], out=edge[1:])
