@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a block on average, words of an output shard at most on average, least number of shards as a power of two, and blocks whose words are
 #: summed together first.
-BLOCK, SHARD_WORDS, LEAST_LEVELS, GROUP = 256, 16 << 20, 3, 1024
+BLOCK, SHARD_WORDS, LEAST_LEVELS, GROUP = 256, 8 << 20, 3, 1024
 #: Levels of the tree that one task splits; the nodes below are dealt over all tasks.
 TRUNK = 10
 SEED = 17

@@ -141,6 +141,21 @@ def test_near_duplicates_edges(spark):
     assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("2", 0, 2, True), ("None", 2, None, True)]
 
 
+def test_very_long_documents(spark):
+    """Near copies of 200,000 words, one of which shares its last fifth with a short text."""
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    near, far = list(w), w[:120_000] + [f"v{i}" for i in range(80_000)]
+    for i in range(0, len(near), 100):
+        near[i] = "changed"
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(w[-40_000:])), (5, " ".join(w[-40_000:] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    left = {r["doc_id"]: r["n_words"] - r["n_removed"] for r in substring.remove_repeats(df).collect()}
+    assert left == {1: 400, 2: 2000, 3: 80_000, 4: 0, 5: 1}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     for share in (0.3, 0.75, 0.95):

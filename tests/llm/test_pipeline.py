@@ -64,7 +64,7 @@ def test_stages(spark):
     assert left.startswith("pipeline") and os.listdir(f"{spark.conf.get('spark.checkpoint.dir')}/{left}") == ["mixing"]
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, kept boolean, score string, lang_pred string, copy string, size int, text2 string, component_id string, _id string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, kept boolean, score string, lang_pred string, copy string, size int, text2 string, component_id string, _id string, _text string"
 
 
 def odd_rows():
@@ -72,7 +72,7 @@ def odd_rows():
     line = "A line that is shared by very many documents of this table"
     texts = [None, "", "  \n ", "12 34", words("a", 40), words("a", 40), words("a", 40), "x", "é", f"{line}\n{words('b', 9)}", words("long", 30_000), "letters " * 50_000]
     texts += [f"{line}\n{words(f'c{k}', 12)}" for k in range(6)]
-    out = [(i if i != 8 else None, t, None if i % 3 else "en", [None, "", "s"][i % 3], None, "n", True, "s", "p", "c", i, t, "k", "i") for i, t in enumerate(texts)]
+    out = [(i if i != 8 else None, t, None if i % 3 else "en", [None, "", "s"][i % 3], None, "n", True, "s", "p", "c", i, t, "k", "i", "u") for i, t in enumerate(texts)]
     return out + [out[4], out[0], out[8], (*out[5][:1], words("other", 8), *out[5][2:])]
 
 
