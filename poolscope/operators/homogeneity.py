@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.operators.pools import _stacked, growth, interval, own, pools, sweep, weighs
+from poolscope.operators.pools import _stacked, at_once, growth, interval, own, pools, sweep, weighs
 from poolscope.plans.spec import DAY, SPEC, Spec
 
 
@@ -21,7 +21,7 @@ def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: l
     rows = loans.select("id", *keys, "u0", "u1").join(vectors, "id")
     at = [*keys, "term"]
     moves = _stacked(rows, at, [({}, {f"x_{k}": F.col("w")}, k) if weighs(k) else ({f"x_{k}": F.col("w")}, {}, k) for k in kinds], spec)
-    run = sweep(moves, rows.select("id", *at, F.col("u0").alias("at"), "u0", "u1", "w"), at, [f"x_{k}" for k in kinds if not weighs(k)], [f"x_{k}" for k in kinds if weighs(k)], spec)
+    run = sweep(moves, rows.select("id", *at, F.col("u0").alias("at"), "u0", "u1", "w"), at, [f"x_{k}" for k in kinds if not weighs(k)], [f"x_{k}" for k in kinds if weighs(k)], any(map(at_once, kinds)), spec)
     sums = {k: F.col(f"x_{k}") / growth(F.col("u0"), F.col("u0"), spec) if weighs(k) else F.col(f"x_{k}") for k in kinds}
     dots = run.groupBy("id").agg(*(F.sum(F.col("w") * (sums[k] - own(k, spec) * F.col("w"))).alias(f"dot_{k}") for k in kinds))
     out = pools(loans, kinds, keys, replace(spec, log_volume=False)).join(dots, "id", "left")

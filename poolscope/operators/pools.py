@@ -32,16 +32,19 @@ def growth(u0: Column, at: Column, spec: Spec = SPEC, block: int = BLOCK) -> Col
     return F.pow(F.lit(2.0), (u0 - block_of(at, block) * F.lit(block)) / F.lit(spec.half_life_days * DAY))
 
 
-def sweep(moves: DataFrame, asks: DataFrame, keys: list[str], sums: list[str], fading: list[str] = (), spec: Spec = SPEC, block: int = BLOCK) -> DataFrame:
+def sweep(moves: DataFrame, asks: DataFrame, keys: list[str], sums: list[str], fading: list[str] = (), covered: bool = False, spec: Spec = SPEC, block: int = BLOCK) -> DataFrame:
     """asks (keys, at, and others) with the sums of the moves (keys, at, sums and fading) up to and including `at`.
 
     Moves of one instant are added up first, so that no window has more rows than there are instants, however many listings share one. Sums before a
     block come from the totals of the blocks, of which there are few; sums inside a block from a window over its instants. Columns in `fading` are
     multiples of growth(), each from its block's beginning: totals of earlier blocks fade by the half-lives that lie between, and are forgotten after 64.
+    covered: every row of asks has a move at its own instant; else its instant is added.
     """
     values = [*sums, *fading]
-    zero = [F.lit(0).cast(moves.schema[v].dataType).alias(v) for v in values]
-    steps = moves.select(*keys, "at", *values).union(asks.select(*keys, "at", *zero)).groupBy(*keys, block_of(F.col("at"), block).alias("block"), "at").agg(*(F.sum(v).alias(v) for v in values))
+    steps = moves.select(*keys, "at", *values)
+    if not covered:
+        steps = steps.union(asks.select(*keys, "at", *(F.lit(0).cast(moves.schema[v].dataType).alias(v) for v in values)))
+    steps = steps.groupBy(*keys, block_of(F.col("at"), block).alias("block"), "at").agg(*(F.sum(v).alias(v) for v in values))
     totals = steps.groupBy(*keys, "block").agg(*(F.sum(v).alias(v) for v in values))
     earlier = W.partitionBy(*keys).orderBy("block")
     before = [F.coalesce(F.sum(v).over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"b_{v}") for v in sums]
@@ -77,6 +80,11 @@ def weighs(kind: str) -> bool:
     return kind in ("recent", "completed")
 
 
+def at_once(kind: str) -> bool:
+    """Whether a listing enters a pool as it is listed."""
+    return kind == "current" or kind.startswith("mirror")
+
+
 def own(kind: str, spec: Spec = SPEC) -> Column:
     """1 where a listing would be in its own pool at its own time, else 0."""
     enter, leave = interval(kind, spec)
@@ -106,6 +114,7 @@ def pools(loans: DataFrame, kinds: list[str], keys: list[str] | None = None, spe
 
     Intervals are half open; listings of the same instant are in each other's pool where the pool begins at listing; a listing is not in its own
     (spec.exclude_self), also not one that is funded at its own instant. An empty pool has size 0. keys: the groups that compete; [] for all together.
+    Listings without a key or a time are in no pool and have none.
     """
     keys = ["sector"] if keys is None else keys
     rows = loans.select("id", *keys, "u0", "u1")
@@ -114,7 +123,7 @@ def pools(loans: DataFrame, kinds: list[str], keys: list[str] | None = None, spe
     per = [({f"n_{k}": F.lit(1).cast("long")}, {f"v_{k}": F.lit(1.0)} if weighs(k) else {}, k) for k in kinds]
     moves = _stacked(rows, keys, per, spec)
     asks = rows.select("id", *keys, F.col("u0").alias("at"), "u0", "u1")
-    out = sweep(moves, asks, keys, [f"n_{k}" for k in kinds], [f"v_{k}" for k in kinds if weighs(k)], spec)
+    out = sweep(moves, asks, keys, [f"n_{k}" for k in kinds], [f"v_{k}" for k in kinds if weighs(k)], any(map(at_once, kinds)), spec)
     columns = []
     for k in kinds:
         n = F.col(f"n_{k}") - own(k, spec)

@@ -20,8 +20,9 @@ def masked(c: Column, names: list[str] = ()) -> Column:
     """A text without dates, amounts and numbers, and without the given names or places (a small list)."""
     for pattern, mark in MASKS:
         c = F.regexp_replace(c, pattern, mark)
-    for name in names:
-        c = F.regexp_replace(c, rf"(?i)\b\Q{name}\E\b", "<NAME>")
+    if names:
+        any_of = "|".join(rf"\Q{name}\E" for name in sorted(names, key=lambda x: (-len(x), x)))
+        c = F.regexp_replace(c, rf"(?i)\b(?:{any_of})\b", "<NAME>")
     return c
 
 
@@ -70,7 +71,7 @@ def unit_vectors(counts: DataFrame, weights: DataFrame, key: str = "id") -> Data
 def recurring_phrases(df: DataFrame, toks: str, least_docs: int, least_countries: int, n: int = SPEC.phrase_words, key: str = "id") -> DataFrame:
     """(phrase, docs, countries): runs of n words in at least so many documents and countries."""
     rows = df.select(key, "country", F.explode(F.array_distinct(ngrams(F.col(toks), n))).alias("phrase"))
-    found = rows.groupBy("phrase").agg(F.count("*").alias("docs"), F.size(F.collect_set("country")).cast("long").alias("countries"))
+    found = rows.groupBy("phrase", "country").agg(F.count("*").alias("docs")).groupBy("phrase").agg(F.sum("docs").alias("docs"), F.count("country").alias("countries"))
     return found.filter((F.col("docs") >= least_docs) & (F.col("countries") >= least_countries))
 
 

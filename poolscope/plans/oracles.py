@@ -148,7 +148,7 @@ ORACLES = {
     "masked_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b', '<DATE>', 'g'),
         '[$€£]\s?\d[\d.,]*|\b\d[\d.,]*\s?(?:USD|EUR|GBP)\b', '<AMOUNT>', 'g'), '\b\d[\d.,]*\b', '<NUMBER>', 'g')) AS masked_md5 FROM documents""",
     "tfidf_terms": f"""WITH {DOCS}, tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM doc) GROUP BY ALL),
-        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM doc WHERE id % 10 <> 0)) / (1.0 + count(*))) + 1 AS idf FROM tf WHERE id % 10 <> 0 GROUP BY term),
+        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM doc)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
         x AS (SELECT id, term, tf * idf AS x FROM tf JOIN idf USING (term))
         SELECT id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS w FROM x""",
     "bigram_df": f"WITH {DOCS}, g AS (SELECT DISTINCT id, array_to_string(tokens[i : i + 1], ' ') AS term FROM (SELECT *, unnest(range(1, len(tokens))) AS i FROM doc)) SELECT term, count(*)::BIGINT AS df FROM g GROUP BY term",

@@ -52,9 +52,14 @@ def loans(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("u1", F.col("u0") + F.col("hours") * F.lit(3_600_000_000))
 
 
+def places(spark: SparkSession, folder: str) -> list[str]:
+    """Names of nations and regions: two tables that don't grow."""
+    return [r[0] for name, column in (("nation", "n_name"), ("region", "r_name")) for r in table(spark, folder, name).select(column).orderBy(column).collect()]
+
+
 def texted(spark: SparkSession, folder: str, field: str = "use", mask: bool = False) -> DataFrame:
     """loans() with tokens of a whole text: as the short `use`, the opening message of the conversation at id modulo their number, as the long `description`
-    the document at id modulo theirs. mask: masked before it is split."""
+    the document at id modulo theirs. mask: without dates, amounts, numbers and places before it is split."""
     if field == "use":
         texts = table(spark, folder, "conversations").filter("turn = 0").select(F.col("conv_id").alias("at"), "text")
     elif field == "description":
@@ -62,7 +67,7 @@ def texted(spark: SparkSession, folder: str, field: str = "use", mask: bool = Fa
     else:
         raise ValueError(field)
     many = texts.count()
-    words = tokens(masked(F.col("text")) if mask else F.col("text"))
+    words = tokens(masked(F.col("text"), places(spark, folder)) if mask else F.col("text"))
     return loans(spark, folder).join(texts.select("at", words.alias("tokens")), F.pmod("id", F.lit(many)) == F.col("at")).drop("at")
 
 

@@ -160,6 +160,11 @@ def test_phrases_and_residual(spark):
     assert left == {0: ["x0"], 1: ["x1"], 2: ["x2"], 9: [], 10: ["z"]}
 
 
+def test_masks_hide_names(spark):
+    rows = spark.createDataFrame([("In new york and York on 2020-01-02, $5.00 or 12 of Yorkshire.",)], "t string")
+    assert rows.select(text.masked(F.col("t"), ["York", "New York"])).first()[0] == "In <NAME> and <NAME> on <DATE>, <AMOUNT> or <NUMBER> of Yorkshire."
+
+
 def test_standardised_uses_training_rows(spark):
     rows = spark.createDataFrame([(1.0, True), (3.0, True), (100.0, False)], "a double, train boolean")
     z = [r["z_a"] for r in features.standardised(rows, ["a"], F.col("train")).orderBy("a").collect()]

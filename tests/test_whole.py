@@ -39,14 +39,14 @@ def test_document_terms_cover_whole_texts(spark, tokens):
 
 
 def test_tfidf_covers_whole_texts(spark, tokens):
-    fitted = [t for i, t in tokens.items() if i % 10]
+    fitted = list(tokens.values())
     df = Counter(w for t in fitted for w in set(t))
     idf = {w: log((1 + len(fitted)) / (1 + n)) + 1 for w, n in df.items()}
     got = defaultdict(dict)
     for r in QUERIES["tfidf_terms"](spark, SF).collect():
         got[r["id"]][r["term"]] = r["w"]
     for i, t in tokens.items():
-        x = {w: n * idf[w] for w, n in Counter(t).items() if w in idf}
+        x = {w: n * idf[w] for w, n in Counter(t).items()}
         norm = sqrt(sum(v * v for v in x.values()))
         assert got[i] == pytest.approx({w: v / norm for w, v in x.items()}, abs=2e-6)
 
