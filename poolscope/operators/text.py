@@ -40,8 +40,10 @@ def unigrams_and_bigrams(c: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = SPEC.char_gram) -> Column:
-    """All runs of n characters."""
-    return F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All runs of n characters. A text is split into characters once; substrings by place would be sought from its beginning each time."""
+    grams = lambda own: F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.concat(*(F.get(own, i + k) for k in range(n))))
+    split = F.transform(F.array(F.split(c, "")), lambda own: F.when(F.size(own) >= n, grams(own)))
+    return F.when(F.char_length(c) >= n, F.get(split, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def hashed(term: Column, buckets: int = SPEC.hash_buckets) -> Column:

@@ -160,6 +160,13 @@ def test_phrases_and_residual(spark):
     assert left == {0: ["x0"], 1: ["x1"], 2: ["x2"], 9: [], 10: ["z"]}
 
 
+def test_char_ngrams_of_any_text(spark):
+    texts = [None, "", "ab", "abc", "é😀b😀", "x" * 300_000 + "yz"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r["id"]: r["g"] for r in rows.select("id", text.char_ngrams(F.col("t")).alias("g")).collect()}
+    assert got == {i: [t[k : k + 3] for k in range(len(t or "") - 2)] if t else [] for i, t in enumerate(texts)}
+
+
 def test_masks_hide_names(spark):
     rows = spark.createDataFrame([("In new york and York on 2020-01-02, $5.00 or 12 of Yorkshire.",)], "t string")
     assert rows.select(text.masked(F.col("t"), ["York", "New York"])).first()[0] == "In <NAME> and <NAME> on <DATE>, <AMOUNT> or <NUMBER> of Yorkshire."
