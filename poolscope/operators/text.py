@@ -88,8 +88,11 @@ def residual(df: DataFrame, toks: str, phrases: DataFrame, n: int = SPEC.phrase_
 
 
 def vectors(df: DataFrame, terms: Column, train: Column, key: str = "id") -> DataFrame:
-    """Unit vectors of all rows under weights that are fitted on the training rows."""
-    counts = term_counts(df, terms, key)
+    """Unit vectors of all rows, one row per key, under weights that are fitted on the training rows.
+
+    Rows are dealt by key before their terms are exploded, so that counts, norms and a later join by key need no other shuffle of terms. A training row's
+    distinct terms are counted where it is read.
+    """
     training = df.filter(train)
-    weights = idf(counts.join(training.select(key), key, "left_semi"), training)
-    return unit_vectors(counts, weights, key)
+    weights = idf(training.select(key, F.explode(F.array_distinct(terms)).alias("term")), training)
+    return unit_vectors(term_counts(df.select(key, terms.alias("_terms")).repartition(key), F.col("_terms"), key), weights, key)
