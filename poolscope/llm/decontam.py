@@ -198,7 +198,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items, parts = _parts(benchmark, item_col, item_text_col)
     if parts == 1:
-        return docs.select(docs[text_col].alias("_text"), *(docs[c] for c in docs.columns)).mapInArrow(partial(_clean, items=_part(items, 0, 1, k, percent)), docs.schema)
+        own = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]  # whatever names they have, they are told apart
+        clean = docs.select(docs[text_col].alias("text"), *own).mapInArrow(partial(_clean, items=_part(items, 0, 1, k, percent)), docs.select(*own).schema)
+        return clean.toDF(*docs.columns)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("text"))
     gone = _found(rows, items, parts, k, percent, Scratch(docs.sparkSession, "decontamination")).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left_anti")

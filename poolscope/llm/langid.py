@@ -307,10 +307,11 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
     """
     spark: SparkSession = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    rest = docs.select(*(docs[c] for c in keep))
-    schema = rest.schema.add("lang_pred", "string").add("score", "double")
+    own = [docs[c].alias(f"c{i}") for i, c in enumerate(keep)]  # whatever names they have, they are told apart
+    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double")
     # The model has a fixed size: the vocabulary's pieces times the languages.
-    return docs.select(docs[text_col].alias("_text"), *(docs[c] for c in keep)).mapInArrow(partial(_predicted, model=spark.sparkContext.broadcast(model)), schema)
+    found = docs.select(docs[text_col].alias("text"), *own).mapInArrow(partial(_predicted, model=spark.sparkContext.broadcast(model)), schema)
+    return found.toDF(*keep, "lang_pred", "score")
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
