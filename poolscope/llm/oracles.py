@@ -2,6 +2,70 @@
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: crc32 of a text in SQL: TABLE has the 256 remainders as a list, crc() goes on from byte to byte.
+CRC_TABLE = """crctab AS (SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def _crc(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8; needs crctab in FROM."""
+    codes = f"list_transform(range(1, length(hex(encode({text}))), 2), lambda p: ('0x' || substr(hex(encode({text})), p, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Runs are numbered by distinct document and run, so that a checksum is taken once; variants by one deleted or masked code point bring near words together.
+VARIANTS = f"""WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+summed AS (SELECT run, k, {_crc("doc_id::VARCHAR || ':' || run")} AS h FROM runs, crctab),
+spelled AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM summed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+masked AS (SELECT word, n, unnest(list_distinct(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || '?' || substr(word, i + 1)))) AS v FROM words),
+cut AS (SELECT DISTINCT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) AS v FROM words),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM masked a JOIN masked b ON a.v = b.v AND a.word <> b.word
+    UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.v UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.v),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS best, max(m) AS m FROM pairs GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * w.n THEN best END AS form, CASE WHEN m >= 10 * w.n THEN m END::BIGINT AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (SELECT word, word AS root, 0 AS d FROM formed UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(root, d) AS root FROM chain GROUP BY word) c ON c.word = f.word"""
+
+_STOP = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which you la le les de des du et un une est que qui dans pour pas sur au en il elle ce ne der die das und ist von den mit zu dem des ein eine nicht auch auf für im sich es el los las una y por con no su para como más pero al lo se del"
+_W = r"\x20\x09-\x0D"
+RULES = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+a AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_W}]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_W}]')) AS l FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM a WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE (doc_id, k) IN (SELECT doc_id, k FROM g GROUP BY ALL HAVING count(*) > 1)) GROUP BY doc_id),
+c AS (
+    SELECT a.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha,
+        len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in sorted(set(_STOP.split())))}))) AS n_stop,
+        length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS capitals, len(l) AS n_lines,
+        len(list_filter(l, lambda x: regexp_matches(x, '^[{_W}]*[\x{{2022}}\x{{2023}}*\x{{B7}}-]'))) AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[{_W}]*$'))) AS cut
+    FROM a LEFT JOIN r ON r.doc_id = a.doc_id
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
+    AND coalesce(word_chars / n_words BETWEEN 2 AND 12 AND n_symbols / n_words <= 0.1 AND n_alpha / n_words >= 0.7 AND n_stop / n_words >= 0.05, true)
+    AND (letters = 0 OR capitals / letters <= 0.5) AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.3 AND bullets / n_lines <= 0.9 AND cut / n_lines <= 0.3) AS kept FROM b"""
+
+_HOUR = 3_600_000_000
+#: What a stream writes, from the batches alone: the first in which a pane is due, and closed.
+PANES = f"""WITH {CRC_TABLE},
+once AS (SELECT DISTINCT ON (click_id) click_id, epoch_us(ts) AS ts, epoch_us(coalesce(arrived_at, ts)) // {24 * _HOUR} AS d, coalesce(kind, 'none') AS kind, coalesce(floor(100 * value + 0.5), 0)::BIGINT AS cents
+    FROM clicks WHERE ts IS NOT NULL ORDER BY click_id, arrived_at NULLS FIRST, ts, kind NULLS FIRST, value NULLS FIRST),
+e AS (SELECT click_id, kind, cents, least(7, d % 8 + greatest(0, {_crc("click_id::VARCHAR")} % 30 - 23))::BIGINT AS batch, ts - (d - d % 8) * {24 * _HOUR} AS event FROM once, crctab),
+x AS (SELECT *, floor(event / {_HOUR}.0)::BIGINT AS hour FROM e),
+b AS (SELECT range AS batch, (SELECT max(event) FROM x WHERE x.batch < range) AS w FROM range(8)),
+p AS (SELECT hour, kind, (SELECT min(batch) FROM b WHERE w >= (hour + 7) * {_HOUR}) AS due, (SELECT min(batch) FROM b WHERE w >= (hour + 97) * {_HOUR}) AS closed FROM (SELECT DISTINCT hour, kind FROM x)),
+y AS (SELECT x.*, due, closed, coalesce(batch >= closed, false) AS late FROM x JOIN p ON p.hour = x.hour AND p.kind = x.kind),
+s AS (SELECT hour, kind, batch, any_value(due) AS due, count(*) AS n, sum(cents) AS c FROM y WHERE NOT late GROUP BY ALL),
+v AS (SELECT *, sum(n) OVER o AS tn, sum(c) OVER o AS tc, min(batch) OVER (PARTITION BY hour, kind) AS first FROM s WINDOW o AS (PARTITION BY hour, kind ORDER BY batch)),
+z AS (SELECT *, CASE WHEN due IS NOT NULL THEN greatest(due, first) END AS emitted FROM v)
+SELECT batch, hour, click_id, 1::BIGINT AS n_rows, cents, 'late' AS record, kind FROM y WHERE late
+UNION ALL SELECT any_value(emitted)::BIGINT, hour, -1::BIGINT, sum(n)::BIGINT, sum(c)::BIGINT, 'emit', kind FROM z WHERE batch <= emitted GROUP BY hour, kind
+UNION ALL SELECT batch, hour, -1, (tn - n)::BIGINT, (tc - c)::BIGINT, 'retract', kind FROM z WHERE batch > emitted
+UNION ALL SELECT batch, hour, -1, tn::BIGINT, tc::BIGINT, 'replace', kind FROM z WHERE batch > emitted
+UNION ALL SELECT 7, hour, -1, sum(n)::BIGINT, sum(c)::BIGINT, 'final', kind FROM z WHERE due IS NULL GROUP BY hour, kind"""
+
 ORACLES = {
     "op9_minhash_near_dedup": rf"""
         WITH RECURSIVE w AS (
@@ -77,4 +141,7 @@ ORACLES = {
             sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 11 + m END)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op11_spelling_variants": VARIANTS,
+    "op12_quality_rules": RULES,
+    "op13_window_panes": PANES,
 }

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, secrets, warc
+from . import chat, media, panes, secrets, warc
 from .decontam import contaminated
 from .langid import identify, learnable, train
 from .linededup import dedup_lines
 from .mixing import mix
 from .neardup import near_duplicates
+from .quality import quality
 from .scratch import Scratch
 from .substring import remove_repeats
+from .variants import spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), spoil=31)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.revised(panes.dealt(_table(spark, sf_dir, "clicks")))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
@@ -90,4 +105,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_window_panes": op13_window_panes,
 }
