@@ -19,7 +19,13 @@ HOUR = 3_600_000_000
 DAY = 24 * HOUR
 #: How long after its end a pane is due, and closed.
 DUE, KEEP = 6 * HOUR, 4 * DAY
-STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores: changes are saved as a log, and no file gets its space before it is needed.
+STORES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 RESULT = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 #: Panes that a task of the combiner gathers before it gives them on.
 GATHERED = 100_000
@@ -160,11 +166,11 @@ def revised(rows: DataFrame, batches: int = 8, due: int = DUE, keep: int = KEEP,
     rows.select("batch", "click_id", "event", "hour", "kind", "cents").write.partitionBy("batch").parquet(scratch.path("dealt"))
     # a session of its own keeps the settings of state stores to this query
     spark = rows.sparkSession.newSession()
-    for name, value in {"providerClass": STATE, "rocksdb.changelogCheckpointing.enabled": "true"}.items():
-        spark.conf.set(f"spark.sql.streaming.stateStore.{name}", value)
+    shards = shards or max(16, 2 * spark.sparkContext.defaultParallelism)
+    for name, value in {**STORES, "spark.sql.shuffle.partitions": str(shards)}.items():
+        spark.conf.set(name, value)
     schema = "click_id long, event long, hour long, kind string, cents long, batch long"
     tops = {r[0]: r[1] for r in spark.read.schema(schema).parquet(scratch.path("dealt")).groupBy("batch").agg(F.max("event")).collect()}
-    shards = shards or max(16, 2 * spark.sparkContext.defaultParallelism)
     out, w = scratch.path("out"), None
     for b in range(batches):
         _move(spark, scratch.path(f"dealt/batch={b}"), scratch.path(f"clicks/batch={b}"))
