@@ -24,6 +24,8 @@ KINDS = ("assign", "access", "hex", "grammar")
 #: Credentials of a kind, confidence of the merging test, observations that a state adds and those of a class it has not seen, share of labelled ones that
 #: may score below the threshold.
 CREDENTIALS, ALPHA, PRIOR, ADDED, BELOW = 800, 0.05, 10.0, 0.1, 0.05
+#: Characters of a credential beyond which none is learned from: states grow with the length, and comparisons with its square.
+LONGEST = 128
 #: Observations of a state below which the test says little, and the overlap of lengths still to come that two such states must have.
 EVIDENCE, OVERLAP = 200, 0.5
 #: Nats a character by which a format must beat ordinary text.
@@ -230,28 +232,11 @@ def candidates(table: dict, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return np.searchsorted(at, starts[fits], "right") - 1, starts[fits], ends[fits]
 
 
-def least_score(words: list[str], table: dict, usual: dict[str, float]) -> float:
-    """The score that all but BELOW of the words reach, the lower one of two ways: under their automaton, and each half under the other half's."""
-    def below(scores):
-        own = sorted(x for x in scores if x > -inf)
-        return own[int(len(own) * BELOW)] if own else inf
-
-    halves = [Automaton(words[k::2]).table() for k in (0, 1)] if len(words) > 1 else []
-    return max(MARGIN, min(below(score(table, usual, w) for w in words), below(score(t, usual, w) for k, t in enumerate(halves) for w in words[1 - k :: 2])))
-
-
-def runs_of(table: dict):
-    """A pattern for the whole runs of a format's alphabet whose length its automaton can make; longer and shorter ones have probability 0."""
-    own = "".join(re.escape(c) for c in table["alphabet"])
-    least, most = table["lengths"]
-    return re.compile(rf"(?<![{own}])[{own}]{{{least},{'' if most is None else most}}}(?![{own}])")
-
-
-def _labelled(batches):
+def _labelled(batches, longest):
     for batch in batches:
         rows = []
         for text in batch.column(0).to_pylist():
-            rows += {(kind, value) for kind, _, _, value in base_spans(text or "")}
+            rows += {(kind, value) for kind, _, _, value in base_spans(text or "") if len(value) <= longest}
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
 
 
@@ -265,15 +250,18 @@ def _characters(batches):
     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["c", "n"])
 
 
-def train(docs: DataFrame, text_col: str = "text", most: int = CREDENTIALS) -> dict:
+def train(docs: DataFrame, text_col: str = "text", most: int = CREDENTIALS, longest: int = LONGEST) -> dict:
     """Automata and thresholds by kind, from at most `most` distinct credentials of a kind, chosen by a hash from those of all documents.
 
+    Credentials of more than `longest` characters, such as certificates, are not learned from, so what is learned is bounded in number and in length; where
+    they are labelled, base patterns find them whole.
+
     Characters are counted in all documents. Only those credentials and the counts of characters reach the driver. A kind's threshold is the score that
     all but BELOW of its own credentials reach (least_score), and at least MARGIN.
     """
     docs = docs.select(F.col(text_col).alias("text"))
     first = Wd.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    found = docs.mapInArrow(_labelled, "kind string, value string").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("kind", "value").collect()
+    found = docs.mapInArrow(partial(_labelled, longest=longest), "kind string, value string").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("kind", "value").collect()
     counts = {r[0]: r[1] for r in docs.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n")).collect()}
     total = sum(counts.values()) + 64
     usual = {c: log((counts.get(c, 0) + 1) / total) for c in {*counts, *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."}}

@@ -600,6 +600,20 @@ def test_planted_credentials_are_found(spark):
     assert not any(got[i] for i in range(300))
 
 
+def test_very_long_credentials(spark):
+    """A value of a megabyte costs seconds, is found whole, and teaches nothing; shorter ones beside it do."""
+    rng = random.Random(5)
+    value = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [f"see token={value(40)} here" for _ in range(300)] + [f"token={value(n)}" for n in (129, 2000, 100_000, 1_000_000)] + [f"secret: {value(n)}" for n in range(64, 128)]
+    docs = table(spark, texts)
+    began = time.time()
+    model = secrets.train(docs)
+    found = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    assert time.time() - began < 60
+    assert [found[303][c] for c in ("kinds", "starts", "ends")] == [["assign"], [0], [1_000_006]]
+    assert model["kinds"] and model["kinds"][0][0]["lengths"][0] <= 40
+
+
 def test_rare_credentials_are_learned(spark):
     """A format in documents that a sample of 4,000 by hash would leave out."""
     docs = spark.range(8000, numPartitions=4).withColumnRenamed("id", "doc_id")
