@@ -29,9 +29,15 @@ def _back(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of which a language can be told, with that language in lang; null texts and those without a letter go."""
-    found = identify(_aside(docs, "lang_pred", "score"), train(learnable(docs)))
-    return _back(found.filter(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")), docs.columns)
+    """Texts of which a language can be told; null texts and those without a letter go. lang keeps what it says, and where it is null is what was predicted.
+
+    Where no language could be learned, since no row that may be learned from has one, every text with a letter stays, and lang as it is.
+    """
+    model = train(learnable(docs))
+    if not model["langs"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = identify(_aside(docs, "lang_pred", "score"), model).filter(F.col("lang_pred") != "und")
+    return _back(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

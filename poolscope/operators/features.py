@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.operators.quantiles import quantiles
 from poolscope.plans.spec import SPEC, Spec
 
 
@@ -22,14 +23,15 @@ def interaction(a: str, b: str) -> Column:
 
 def scenario_quantiles(df: DataFrame, columns: list[str], train: Column, spec: Spec = SPEC) -> DataFrame:
     """dimension, low, high: quartiles of the training rows, exact."""
-    own = df.filter(train).agg(*(F.percentile(c, F.array(F.lit(spec.low), F.lit(spec.high))).alias(c) for c in columns))
-    return own.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in columns))).alias("x")).select("x.*")
-
-
-def support(df: DataFrame, x: str, y: str, train: Column, spec: Spec = SPEC) -> DataFrame:
-    """endpoint, n: training rows within spec.support interquartile ranges of the low and of the high point, on both dimensions."""
-    q = df.filter(train).agg(*(F.percentile(c, F.array(F.lit(spec.low), F.lit(spec.high))).alias(f"q_{c}") for c in (x, y)))
-    both = df.filter(train).select(x, y).crossJoin(F.broadcast(q))
-    near = lambda c, k: F.abs(F.col(c) - F.col(f"q_{c}")[k]) <= spec.support * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0])
-    one = both.agg(*(F.count_if(near(x, k) & near(y, k)).alias(name) for k, name in enumerate(("low", "high"))))
-    return one.unpivot([], ["low", "high"], "endpoint", "n")
+    found = quantiles(df.filter(train), {c: [spec.low, spec.high] for c in columns})
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], "dimension string, low double, high double")
+
+
+def support(df: DataFrame, pairs: dict[str, tuple[str, str]], train: Column, spec: Spec = SPEC) -> DataFrame:
+    """channel, endpoint, n: training rows within spec.support interquartile ranges of the low and of the high point, on both dimensions of each channel."""
+    rows = df.filter(train)
+    q = quantiles(rows, {c: [spec.low, spec.high] for pair in pairs.values() for c in pair})
+    near = lambda c, k: F.abs(F.col(c) - F.lit(q[c][k])) <= spec.support * (F.lit(q[c][1]) - F.lit(q[c][0]))
+    cells = {(channel, name): F.count_if(near(x, k) & near(y, k)) for channel, (x, y) in pairs.items() for k, name in enumerate(("low", "high"))}
+    one = rows.agg(*(n.alias(f"n{i}") for i, n in enumerate(cells.values())))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(channel).alias("channel"), F.lit(name).alias("endpoint"), F.col(f"n{i}").alias("n")) for i, (channel, name) in enumerate(cells)))).alias("x")).select("x.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,24 +41,26 @@ def auc(df: DataFrame, flag: str, prob: str) -> DataFrame:
     return ranked.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
-def metrics(df: DataFrame, y: str, pred: str, flag: str, prob: str) -> DataFrame:
-    """metric, value: R2, MAE and RMSE of log hours, MAE of hours, and Brier score, log-loss and AUC of the flag."""
+def metrics(df: DataFrame, y: str, pred: str, flag: str, prob: str, hours_if: Column | None = None, flag_if: Column | None = None) -> DataFrame:
+    """metric, value: R2, MAE and RMSE of log hours, MAE of hours, and Brier score, log-loss and AUC of the flag; each over the rows that a condition, if given,
+    holds for, such as those that were followed long enough."""
     p = F.least(F.greatest(F.col(prob), F.lit(1e-15)), F.lit(1 - 1e-15))
-    label = F.col(flag).cast("double")
-    error = F.col(y) - F.col(pred)
-    mean = df.agg(F.avg(y).alias("mean_y"))
-    one = df.crossJoin(F.broadcast(mean)).agg(
+    label, error = F.col(flag).cast("double"), F.col(y) - F.col(pred)
+    timed, flagged = (df if c is None else df.filter(c) for c in (hours_if, flag_if))
+    mean = timed.agg(F.avg(y).alias("mean_y"))
+    one = timed.crossJoin(F.broadcast(mean)).agg(
         (1 - F.sum(error * error) / F.nullif(F.sum((F.col(y) - F.col("mean_y")) * (F.col(y) - F.col("mean_y"))), F.lit(0.0))).alias("r2"),
         F.avg(F.abs(error)).alias("mae_log"),
         F.sqrt(F.avg(error * error)).alias("rmse_log"),
         F.avg(F.abs(F.expm1(y) - F.expm1(pred))).alias("mae_hours"),
-        F.avg((F.col(prob) - label) * (F.col(prob) - label)).alias("brier"),
-        F.avg(-(label * F.log(p) + (1 - label) * F.log(1 - p))).alias("log_loss"),
     )
-    one = one.crossJoin(F.broadcast(auc(df, flag, prob)))
+    two = flagged.agg(F.avg((F.col(prob) - label) * (F.col(prob) - label)).alias("brier"), F.avg(-(label * F.log(p) + (1 - label) * F.log(1 - p))).alias("log_loss"))
+    one = one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(auc(flagged, flag, prob)))
     return one.unpivot([], one.columns, "metric", "value")
 
 
-def calibration(df: DataFrame, group: str, flag: str, prob: str) -> DataFrame:
-    """group, n, gap: mean probability less the share of positive rows."""
-    return df.groupBy(group).agg(F.count("*").alias("n"), (F.avg(prob) - F.avg(F.col(flag).cast("double"))).alias("gap"))
+def calibration(df: DataFrame, groups: list[str], flag: str, prob: str) -> DataFrame:
+    """dimension, grp, n, gap: mean probability less the share of positive rows, by each value of each group's column."""
+    each = F.explode(F.array(*(F.struct(F.lit(g).alias("dimension"), F.col(g).cast("string").alias("grp")) for g in groups))).alias("x")
+    rows = df.select(each, F.col(prob).alias("_p"), F.col(flag).cast("double").alias("_f")).select("x.*", "_p", "_f")
+    return rows.groupBy("dimension", "grp").agg(F.count("*").alias("n"), (F.avg("_p") - F.avg("_f")).alias("gap"))

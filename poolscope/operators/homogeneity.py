@@ -3,28 +3,127 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.operators.pools import _stacked, at_once, growth, interval, own, pools, sweep, weighs
+from poolscope.operators.pools import interval, own, pools, weighs
 from poolscope.plans.spec import DAY, SPEC, Spec
 
 
+def _events(rows: DataFrame, keys: list[str], kinds: list[str], spec: Spec) -> DataFrame:
+    """What happens to each piece of a vector, with its instant: it moves in or out of pools (role 0, a sign per kind), or asks (role 1).
+
+    Pools that a listing enters or leaves at one instant share an event. A listing that is in no pool by then has no event for it.
+    """
+    at: dict[str, tuple] = {}
+    for k in kinds:
+        enter, leave = interval(k, spec)
+        for when, sign in ((enter, 1), (leave, -1)):
+            own = at.setdefault(str(when), (when, {}))[1]
+            own[k] = F.when(enter < leave, F.lit(sign)).otherwise(F.lit(0)).cast("byte")
+    none = F.lit(0).cast("byte")
+    structs = [F.struct(when.alias("at"), F.lit(0).alias("role"), *(signs.get(k, none).alias(f"s_{k}") for k in kinds)) for when, signs in at.values()]
+    structs.append(F.struct(F.col("u0").alias("at"), F.lit(1).alias("role"), *(none.alias(f"s_{k}") for k in kinds)))
+    rows = rows.select("id", *keys, "u0", "shard", "slots", "weights", F.explode(F.array(*structs)).alias("e"))
+    rows = rows.select("id", *keys, "u0", "shard", "slots", "weights", "e.*")
+    return rows.filter("at is not null and (role = 1 or " + " or ".join(f"s_{k} <> 0" for k in kinds) + ")")
+
+
+#: Terms that a step of a sweep takes at once, and half-lives that it may span; both keep running sums exact to 1e-12 or so.
+STEP, SPAN = 1 << 18, 8
+
+
+class _Sums:
+    """Running sums of one group and shard, per kind and slot; those of kinds whose ages weigh are as of `ref`."""
+
+    def __init__(self, kinds: list[str], half_life: float):
+        self.kinds, self.half_life, self.ref = kinds, half_life, None
+        self.sums = np.zeros((len(kinds), 0))
+
+    def step(self, at, u0, role, signs, lens, slots, weights) -> np.ndarray:
+        """The dot product of each row with the sums at its place, by kind; rows are in order, and moves come before what asks at their instant."""
+        if self.ref is None:
+            self.ref = int(at[0])
+        top = int(slots.max(initial=-1)) + 1
+        if top > self.sums.shape[1]:
+            self.sums = np.pad(self.sums, ((0, 0), (0, max(top, 2 * self.sums.shape[1]) - self.sums.shape[1])))
+        fades = [weighs(k) for k in self.kinds]
+        if any(fades):
+            self.sums[fades] *= 2.0 ** ((self.ref - int(at[0])) / self.half_life)
+            self.ref = int(at[0])
+        row = np.repeat(np.arange(len(at)), lens)
+        order = np.argsort(slots, kind="stable")
+        slots, row, weights = slots[order], row[order], weights[order]
+        first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        own = slots[first]
+        size = np.diff(np.append(first, len(slots)))
+        asks = role[row] == 1
+        out = np.zeros((len(self.kinds), len(at)))
+        for k, kind in enumerate(self.kinds):
+            sign = signs[k][row] * weights
+            if fades[k]:
+                sign *= np.exp2((u0 - self.ref) / self.half_life)[row]
+            run = np.cumsum(sign)
+            before = np.concatenate([[0.0], run])[first]
+            total = run[first + size - 1] - before
+            held = run - np.repeat(before - self.sums[k][own], size)
+            self.sums[k][own] += total
+            dot = np.bincount(row[asks], held[asks] * weights[asks], minlength=len(at))
+            out[k] = dot * np.exp2((self.ref - at) / self.half_life) if fades[k] else dot
+        return out
+
+
+def _dots(batches, keys: int, kinds: list[str], half_life: float):
+    """(id, norm, dot per kind) of each row that asks, from rows sorted by group, shard, instant and role. A task holds one group's sums in one shard, and a step's terms."""
+    now, sums = None, None
+    for batch in batches:
+        group = list(zip(*(batch.column(i + 1).to_pylist() for i in range(keys)), batch["shard"].to_pylist(), strict=True))
+        at, u0, role = (batch[c].to_numpy(zero_copy_only=False) for c in ("at", "u0", "role"))
+        signs = [batch[f"s_{k}"].to_numpy(zero_copy_only=False).astype(float) for k in kinds]
+        offsets = np.asarray(batch["slots"].offsets)
+        slots, weights = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("slots", "weights"))
+        offsets = offsets - offsets[0]
+        a = 0
+        while a < len(at):
+            b = a + 1
+            while b < len(at) and group[b] == group[a] and offsets[b + 1] - offsets[a] <= STEP and at[b] - at[a] <= SPAN * half_life:
+                b += 1
+            if group[a] != now:
+                now, sums = group[a], _Sums(kinds, half_life)
+            own = slice(offsets[a], offsets[b])
+            dots = sums.step(at[a:b], u0[a:b], role[a:b], [s[a:b] for s in signs], np.diff(offsets[a : b + 1]), slots[own], weights[own])
+            ask = np.flatnonzero(role[a:b] == 1)
+            row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+            norm = np.bincount(row, weights[own] ** 2, minlength=b - a)
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a).take(pa.array(ask)), pa.array(norm[ask]), *(pa.array(d[ask]) for d in dots)], ["id", "norm", *(f"dot_{k}" for k in kinds)])
+            a = b
+
+
 def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: list[str] | None = None, spec: Spec = SPEC) -> DataFrame:
     """id, and for each kind n_<kind>, h_<kind>, and where ages weigh v_<kind>: mean cosine of each listing to each of its pools; null where a pool is empty.
 
-    Each term of each listing enters and leaves a running sum per group and term; a listing's own terms ask for the sums at its time. The sum over terms of
-    own weight times pool sum, less the listing itself, over the pool's size is the mean of all cosines. All kinds share one sweep.
+    vectors: packed_vectors() by text_id, which loans has too. A listing's vector is cut by shard of terms; the pieces move in and out of all pools and ask, in
+    order of time, in one task per group and shard, which keeps running sums per term (_Sums). Own weight times sum, less the listing itself, over the
+    pool's size is the mean of all cosines. Pieces are shuffled once, as arrays; dot products are added up by id.
     """
     keys = ["sector"] if keys is None else keys
-    rows = loans.select("id", *keys, "u0", "u1").join(vectors, "id")
-    at = [*keys, "term"]
-    moves = _stacked(rows, at, [({}, {f"x_{k}": F.col("w")}, k) if weighs(k) else ({f"x_{k}": F.col("w")}, {}, k) for k in kinds], spec)
-    run = sweep(moves, rows.select("id", *at, F.col("u0").alias("at"), "u0", "u1", "w"), at, [f"x_{k}" for k in kinds if not weighs(k)], [f"x_{k}" for k in kinds if weighs(k)], any(map(at_once, kinds)), spec)
-    sums = {k: F.col(f"x_{k}") / growth(F.col("u0"), F.col("u0"), spec) if weighs(k) else F.col(f"x_{k}") for k in kinds}
-    dots = run.groupBy("id").agg(*(F.sum(F.col("w") * (sums[k] - own(k, spec) * F.col("w"))).alias(f"dot_{k}") for k in kinds))
-    out = pools(loans, kinds, keys, replace(spec, log_volume=False)).join(dots, "id", "left")
+    rows = loans.select("id", "text_id", *keys, "u0", "u1").filter(" and ".join(f"{c} is not null" for c in ("u0", *keys)))
+    if not keys:
+        rows, keys = rows.withColumn("everyone", F.lit(0)), ["everyone"]
+        grouped = []
+    else:
+        grouped = keys
+    events = _events(rows.join(vectors, "text_id"), keys, kinds, spec)
+    events = events.repartition(*keys, "shard").sortWithinPartitions(*keys, "shard", "at", "role").select("id", *keys, "shard", "at", "u0", "role", *(f"s_{k}" for k in kinds), "slots", "weights")
+    schema = f"id {loans.schema['id'].dataType.simpleString()}, norm double, " + ", ".join(f"dot_{k} double" for k in kinds)
+    found = events.mapInArrow(partial(_dots, keys=len(keys), kinds=kinds, half_life=spec.half_life_days * DAY), schema)
+    found = found.groupBy("id").agg(F.sum("norm").alias("norm"), *(F.sum(f"dot_{k}").alias(f"dot_{k}") for k in kinds))
+    dots = rows.join(found, "id").select("id", *((F.col(f"dot_{k}") - own(k, spec) * F.col("norm")).alias(f"dot_{k}") for k in kinds))
+    out = pools(loans, kinds, grouped, replace(spec, log_volume=False)).join(dots, "id", "left")
     columns = []
     for k in kinds:
         size = F.col(f"v_{k}") if weighs(k) else F.col(f"n_{k}").cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.operators.quantiles import quantiles as selected
 from poolscope.plans.spec import DAY, SPEC, Spec
 from poolscope.sources.tables import is_train
 
@@ -21,12 +22,12 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, at: list[float], names: list[str]) -> DataFrame:
     """Exact interpolated quantiles as one row."""
-    return df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("q")).select(*(F.col("q")[i].alias(n) for i, n in enumerate(names)))
+    return df.sparkSession.createDataFrame([tuple(selected(df, {column: at})[column])], ", ".join(f"{n} double" for n in names))
 
 
 def lag_gap(loans: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """Days after which nearly all training listings are complete: the 95th percentile of their duration, rounded up."""
-    p95 = loans.filter(is_train(spec)).agg(F.percentile("hours", F.lit(0.95)).alias("p95"))
+    p95 = quantiles(loans.filter(is_train(spec)), "hours", [0.95], ["p95"])
     return p95.select(F.round("p95", 6).alias("p95_hours"), F.ceil(F.col("p95") / 24).cast("long").alias("gap_days"))
 
 

@@ -54,8 +54,8 @@ par AS (SELECT avg(c) AS mc, stddev_samp(c) AS sc, avg(h) AS mh, stddev_samp(h)
 z AS (SELECT m.*, (c - mc) / sc AS z_c, (h - mh) / sh AS z_h, (v - mv) / sv AS z_v, (g - mg) / sg AS z_g FROM m, par)"""
 
 FIXED = f"""{LOAN}, f AS (
-    SELECT *, ln(1 + hours) AS y, (hours > 400)::INT AS slow, 5.0 + (id % 7) / 10.0 AS pred, 0.3 + (id % 5) / 10.0 AS prob FROM loan WHERE year > 2000
-)"""
+    SELECT *, ln(1 + hours) AS y, (hours <= 72)::INT AS fast, 5.0 + (id % 7) / 10.0 AS pred, 0.05 + (id % 5) / 10.0 AS prob, max(u0) OVER () AS last FROM loan WHERE year > 2000
+), f35 AS (SELECT * FROM f WHERE u0 <= last - 35 * 86400000000), f72 AS (SELECT * FROM f WHERE u0 <= last - 72 * 3600000000)"""
 DOCS = f"doc AS (SELECT doc_id AS id, {TOKENS.format('text')} AS tokens FROM documents)"
 PHRASES = f"""tok AS (SELECT doc_id AS id, source, {TOKENS.format("text")} AS t FROM documents),
 gram AS (SELECT id, source, i, array_to_string(t[i : i + 4], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM tok WHERE len(t) >= 5)),
@@ -193,17 +193,17 @@ ORACLES = {
     "market_trigger": f"""WITH {MEASURES}, cell AS (SELECT sector, (u0 // {7 * DAY})::BIGINT AS week, avg(c * h) AS state, max((year <= 2000)::INT) AS train FROM m GROUP BY ALL HAVING avg(c * h) IS NOT NULL),
         q AS (SELECT quantile_cont(state, 0.75) AS b FROM cell WHERE train = 1)
         SELECT sector, week, round(state, 6) AS state, round(state, 6) > round(b, 6) AS flagged FROM cell, q""",
-    "holdout_metrics": f"""WITH {FIXED}, a AS (SELECT avg(y) AS m FROM f),
-        r AS (SELECT p.id AS i, q.id AS j, p.prob AS pp, q.prob AS qp FROM f p JOIN f q ON p.slow = 1 AND q.slow = 0)
-        SELECT 'r2' AS metric, round(1 - sum((y - pred) ** 2) / sum((y - m) ** 2), 6) AS value FROM f, a
-        UNION ALL SELECT 'mae_log', round(avg(abs(y - pred)), 6) FROM f UNION ALL SELECT 'rmse_log', round(sqrt(avg((y - pred) ** 2)), 6) FROM f
-        UNION ALL SELECT 'mae_hours', round(avg(abs((exp(y) - 1) - (exp(pred) - 1))), 6) FROM f UNION ALL SELECT 'brier', round(avg((prob - slow) ** 2), 6) FROM f
-        UNION ALL SELECT 'log_loss', round(avg(-(slow * ln(prob) + (1 - slow) * ln(1 - prob))), 6) FROM f
+    "holdout_metrics": f"""WITH {FIXED}, a AS (SELECT avg(y) AS m FROM f35),
+        r AS (SELECT p.prob AS pp, q.prob AS qp FROM f72 p JOIN f72 q ON p.fast = 1 AND q.fast = 0)
+        SELECT 'r2' AS metric, round(1 - sum((y - pred) ** 2) / sum((y - m) ** 2), 6) AS value FROM f35, a
+        UNION ALL SELECT 'mae_log', round(avg(abs(y - pred)), 6) FROM f35 UNION ALL SELECT 'rmse_log', round(sqrt(avg((y - pred) ** 2)), 6) FROM f35
+        UNION ALL SELECT 'mae_hours', round(avg(abs((exp(y) - 1) - (exp(pred) - 1))), 6) FROM f35 UNION ALL SELECT 'brier', round(avg((prob - fast) ** 2), 6) FROM f72
+        UNION ALL SELECT 'log_loss', round(avg(-(fast * ln(prob) + (1 - fast) * ln(1 - prob))), 6) FROM f72
         UNION ALL SELECT 'auc', round(avg(CASE WHEN pp > qp THEN 1.0 WHEN pp = qp THEN 0.5 ELSE 0.0 END), 6) FROM r""",
     "within_fit": WITHIN,
     "simulated_shares": f"""WITH {SIMULATED} SELECT u0 // {365 * DAY} AS period, round(avg(template), 6) AS templates, round(avg(unfunded), 6) AS unfunded FROM sim GROUP BY 1""",
     "shock_cells": f"""WITH {SIMULATED} SELECT 'sector' || s AS sector, week::INT AS week, count(*)::BIGINT AS n, round(avg(shock), 6) AS shock FROM sim GROUP BY ALL""",
     "qa_gates": GATES,
     "sink_round_trips": f"WITH {LOAN} " + " UNION ALL ".join(f"SELECT '{x}' AS sink, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids, sum(hours)::BIGINT AS hours, count(DISTINCT sector)::BIGINT AS sectors, max(year)::INT AS last_year FROM loan" for x in ("shards", "csv", "json")),
-    "calibration": f"WITH {FIXED} SELECT sector, count(*)::BIGINT AS n, round(avg(prob) - avg(slow), 6) AS gap FROM f GROUP BY sector",
+    "calibration": f"WITH {FIXED} " + " UNION ALL ".join(f"SELECT '{g}' AS dimension, {g} AS grp, count(*)::BIGINT AS n, round(avg(prob) - avg(fast), 6) AS gap FROM f72 GROUP BY {g}" for g in ("sector", "gender")),
 }

@@ -12,7 +12,7 @@ from poolscope.operators import effects, features, hdfe, holdout, pools, profile
 from poolscope.operators import homogeneity as hom
 from poolscope.plans.spec import DAY, SPEC
 from poolscope.sources import sinks
-from poolscope.sources.tables import is_train, loans, micros, table, texted
+from poolscope.sources.tables import is_train, loans, micros, table, texted, with_texts
 
 R = 6
 EFFECTS, CLUSTERS = ["country", "activity", "week", "gender", "interval", "weekday", "hour"], ["country", "week"]
@@ -200,13 +200,14 @@ def redacted_paths(spark: SparkSession, d: str) -> DataFrame:
 # similarity to the pool
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    return text.vectors(rows, F.col("tokens"), is_train())
+def _packed(rows: DataFrame, texts: DataFrame, train=None) -> DataFrame:
+    """Unit vectors of texts under weights of the training rows that have them."""
+    return text.packed_vectors(texts, (rows if train is None else rows.filter(train)).groupBy("text_id").agg(F.count("*").alias("n")))
 
 
 def _homogeneity(spark: SparkSession, d: str, kind: str, field: str) -> DataFrame:
-    rows = texted(spark, d, field=field)
-    out = hom.homogeneity(rows, _vectors(rows), kind)
+    rows, texts = with_texts(spark, d, field)
+    out = hom.homogeneity(rows, _packed(rows, texts, is_train()), kind)
     return rounded(out.withColumn("v", F.round("v", 9)) if "v" in out.columns else out, "h")
 
 
@@ -230,10 +231,10 @@ def homogeneity_audit(spark: SparkSession, d: str) -> DataFrame:
     """Sweep against pairs: 200 focal listings by use in three pools, 50 by description in two."""
     out = []
     for field, many, kinds in (("use", 200, ["current", "recent", "mirror14d"]), ("description", 50, ["current", "recent"])):
-        rows = texted(spark, d, field=field)
-        vectors = _vectors(rows).persist()
+        rows, texts = with_texts(spark, d, field)
+        vectors = text.vectors(rows.join(texts, "text_id"), F.col("tokens"), is_train()).persist()
         focal = rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(many).select("id").persist()
-        swept = hom.similarities(rows, vectors, kinds).join(focal, "id", "left_semi").persist()
+        swept = hom.similarities(rows, _packed(rows, texts, is_train()), kinds).join(focal, "id", "left_semi").persist()
         for kind in kinds:
             one = hom.audit(swept.select("id", F.col(f"h_{kind}").alias("h")), hom.pairwise(rows, vectors, focal, kind)).first()
             out.append((kind if field == "use" else f"{field}_{kind}", one["checks"], one["checks"] == 0 or one["max_error"] < 1e-9))
@@ -249,25 +250,32 @@ def dense_mean_cosine(spark: SparkSession, d: str) -> DataFrame:
 # features
 
 
-def _measured(rows: DataFrame, kinds: list[str]) -> DataFrame:
+def _measured(rows: DataFrame, texts: DataFrame, kinds: list[str]) -> DataFrame:
     """rows with n, v and h of each pool, and the platform's 7-day volume."""
-    out = rows.join(hom.similarities(rows, _vectors(rows), kinds), "id")
+    out = rows.join(hom.similarities(rows, _packed(rows, texts, is_train()), kinds), "id")
     volume = pools.platform_volume(rows).select("day", F.log1p(F.col("volume").cast("double")).alias("log_volume"))
-    return out.withColumn("day", F.floor(F.col("u0") / DAY).cast("long")).join(volume, "day").drop("day", "tokens")
+    return out.withColumn("day", F.floor(F.col("u0") / DAY).cast("long")).join(volume, "day").drop("day")
+
+
+def _volume(kind: str):
+    return F.col(f"v_{kind}") if pools.weighs(kind) else F.col(f"n_{kind}").cast("double")
+
+
+def _outcomes(rows: DataFrame) -> DataFrame:
+    """rows with outcome, flag and controls."""
+    return rows.withColumn("week", profile.week_of()).withColumn("y", profile.log_hours()).withColumn("fast", profile.fast()).withColumn("log_amount", F.log1p("amount"))
 
 
 def _finished(rows: DataFrame, kind: str = "recent") -> DataFrame:
     """Measures of the current and of one lagged pool, their z-scores and products, outcome, flag and controls."""
-    v = F.col(f"v_{kind}") if pools.weighs(kind) else F.col(f"n_{kind}").cast("double")
-    rows = rows.select("*", pools.saturation("n_current").alias("c"), F.col("h_current").alias("h"), v.alias("v"), F.col(f"h_{kind}").alias("g"))
-    rows = rows.withColumn("week", profile.week_of()).withColumn("y", profile.log_hours()).withColumn("fast", profile.fast()).withColumn("log_amount", F.log1p("amount"))
-    rows = features.standardised(rows, ["c", "h", "v", "g"], is_train())
+    rows = rows.select("*", pools.saturation("n_current").alias("c"), F.col("h_current").alias("h"), _volume(kind).alias("v"), F.col(f"h_{kind}").alias("g"))
+    rows = features.standardised(_outcomes(rows), ["c", "h", "v", "g"], is_train())
     return rows.withColumn("z_ch", features.interaction("z_c", "z_h")).withColumn("z_vg", features.interaction("z_v", "z_g"))
 
 
 def model_rows(spark: SparkSession, d: str, kind: str = "recent", field: str = "use", mask: bool = False) -> DataFrame:
     """id, the four measures, their z-scores and products, outcome, flag and effects; rows with an empty pool have null measures."""
-    return _finished(_measured(texted(spark, d, field=field, mask=mask), ["current", kind]), kind)
+    return _finished(_measured(*with_texts(spark, d, field, mask), ["current", kind]), kind)
 
 
 def zscore_interactions(spark: SparkSession, d: str) -> DataFrame:
@@ -282,9 +290,9 @@ def scenario_quantiles(spark: SparkSession, d: str) -> DataFrame:
 def support_count(spark: SparkSession, d: str) -> DataFrame:
     """channel, endpoint, n: support around the scenario endpoints of volume and similarity, by channel."""
     rows = model_rows(spark, d).select("year", "c", "h", "v", "g").persist()
-    out = [(channel, *r) for channel, (x, y) in {"current": ("c", "h"), "recent": ("v", "g")}.items() for r in features.support(rows, x, y, is_train()).collect()]
+    out = spark.createDataFrame(features.support(rows, {"current": ("c", "h"), "recent": ("v", "g")}, is_train()).collect(), "channel string, endpoint string, n long")
     rows.unpersist()
-    return spark.createDataFrame(out, "channel string, endpoint string, n long")
+    return out
 
 
 def regime_by_year(spark: SparkSession, d: str) -> DataFrame:
@@ -317,23 +325,26 @@ def within_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hdfe_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows = model_rows(spark, d).persist()
-    parts = {y: hdfe.coefficients(spark, _fitted(rows, y)) for y in ("y", "fast")}
-    rows.unpersist()
-    return effects.labelled(parts, "outcome")
+    found = hdfe.fits(model_rows(spark, d).filter(is_train()), {"": (["y", "fast"], SLOPES)}, EFFECTS, CLUSTERS)
+    return effects.labelled({y: hdfe.coefficients(spark, found.one("", y)) for y in ("y", "fast")}, "outcome")
+
+
+def _points(rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """The low and the high point of each measure, by training rows."""
+    return {r["dimension"]: (r["low"], r["high"]) for r in features.scenario_quantiles(rows, ["z_c", "z_h", "z_v", "z_g"], is_train()).collect()}
 
 
 def scenario_contrast(spark: SparkSession, d: str) -> DataFrame:
     rows = model_rows(spark, d).persist()
-    q = {r["dimension"]: (r["low"], r["high"]) for r in features.scenario_quantiles(rows, ["z_c", "z_h", "z_v", "z_g"], is_train()).collect()}
-    out = []
+    points, out = _points(rows), []
+    found = hdfe.fits(rows.filter(is_train()), {"": (["y", "fast"], SLOPES)}, EFFECTS, CLUSTERS)
+    rows.unpersist()
     for y in ("y", "fast"):
-        f = _fitted(rows, y)
-        for channel, (a, b, ab) in CHANNELS.items():
-            value, se, low, high = hdfe.scenario(f, a, b, ab, (q[a][0], q[b][0]), (q[a][1], q[b][1]))
-            unit = hdfe.percent if y == "y" else lambda x: 100 * x
+        f = found.one("", y)
+        unit = hdfe.percent if y == "y" else lambda x: 100 * x
+        for channel, g in effects.scenarios(f, CHANNELS, points).items():
+            value, se, low, high = f.contrast(g)
             out.append((channel, "percent" if y == "y" else "points", value, se, unit(value), unit(low), unit(high)))
-    rows.unpersist()
     return spark.createDataFrame(out, "channel string, unit string, delta double, se double, effect double, low double, high double")
 
 
@@ -343,50 +354,108 @@ def joint_wald(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_effects(spark: SparkSession, d: str) -> DataFrame:
+    """The scenario contrasts of both channels by training year, with a screen and a test of their difference."""
     rows = model_rows(spark, d).filter(is_train()).persist()
     years = [r[0] for r in rows.select("year").distinct().orderBy("year").collect()]
-    out = effects.indicator_effects(rows, "year", years, "y", SLOPES, EFFECTS, CLUSTERS, "z_ch")
+    out = effects.group_scenarios(rows, "year", years, "y", CHANNELS, _points(rows), CONTROLS, EFFECTS, CLUSTERS)
     rows.unpersist()
     return out
 
 
 def group_effects(spark: SparkSession, d: str) -> DataFrame:
-    """By sector and by the largest countries, with the screen for differences."""
+    """The same by sectors of enough training rows, and by the largest countries."""
     rows = model_rows(spark, d).filter(is_train()).persist()
-    out = {}
-    for group in ("sector", "country"):
-        values = [r[0] for r in profile.top_groups(rows, group, SPEC.top_countries).collect()]
-        out[group] = effects.indicator_effects(rows, group, values, "y", SLOPES, EFFECTS, CLUSTERS, "z_ch")
+    chosen = {"sector": profile.large_groups(rows, "sector", SPEC.least_sector).orderBy("sector"), "country": profile.top_groups(rows, "country", SPEC.top_countries)}
+    points = _points(rows)
+    out = {group: effects.group_scenarios(rows, group, [r[0] for r in df.collect()], "y", CHANNELS, points, CONTROLS, EFFECTS, CLUSTERS) for group, df in chosen.items()}
     rows.unpersist()
-    both = effects.labelled(out, "dimension")
-    screens = {k: effects.q_screen(v) for k, v in out.items()}
-    return both.join(effects.labelled(screens, "dimension").select("dimension", "q", F.col("p").alias("q_p")), "dimension")
+    return effects.labelled(out, "dimension")
+
+
+def _variants(rows: DataFrame, bases: dict[str, DataFrame], variants: dict[str, tuple[str, str]]) -> tuple[DataFrame, dict]:
+    """Rows of all variants (text, lagged pool) side by side, and a model for each: rows have sizes, bases the similarities of each text."""
+    kinds = sorted({"current", *(k for _, k in variants.values())})
+    wide = rows.join(pools.pools(rows, kinds), "id")
+    for base, h in bases.items():
+        wide = wide.join(h.select("id", *(F.col(f"h_{k}").alias(f"h_{base}_{k}") for k in kinds if f"h_{k}" in h.columns)), "id", "left")
+    volume = pools.platform_volume(rows).select("day", F.log1p(F.col("volume").cast("double")).alias("log_volume"))
+    wide = _outcomes(wide.withColumn("day", F.floor(F.col("u0") / DAY).cast("long")).join(volume, "day").drop("day"))
+    wide = wide.withColumn("c", pools.saturation("n_current"))
+    for name, (base, kind) in variants.items():
+        wide = wide.withColumn(f"h:{name}", F.col(f"h_{base}_current")).withColumn(f"v:{name}", _volume(kind)).withColumn(f"g:{name}", F.col(f"h_{base}_{kind}"))
+    wide = features.standardised(wide, ["c", *(f"{x}:{name}" for name in variants for x in "hvg")], is_train())
+    models = {}
+    for name in variants:
+        wide = wide.withColumn(f"z_ch:{name}", features.interaction("z_c", f"z_h:{name}")).withColumn(f"z_vg:{name}", features.interaction(f"z_v:{name}", f"z_g:{name}"))
+        models[name] = (["y"], ["z_c", *(f"{x}:{name}" for x in ("z_h", "z_ch", "z_v", "z_g", "z_vg")), *CONTROLS])
+    return wide, models
+
+
+def _residual_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts without the language that recurs in training rows."""
+    train = rows.filter(is_train())
+    least = max(SPEC.least_phrase, ceil(SPEC.phrase_share * train.count()))
+    phrases = text.recurring_phrases(train.join(texts, "text_id"), "tokens", least, SPEC.phrase_countries)
+    return text.residual(texts, "tokens", phrases, key="text_id").withColumnRenamed("residual", "tokens")
+
+
+def _similar(rows: DataFrame, texts: DataFrame, kinds: list[str]) -> DataFrame:
+    return hom.similarities(rows, _packed(rows, texts, is_train()), kinds)
 
 
 def robustness(spark: SparkSession, d: str) -> DataFrame:
-    """The interaction under other pools and texts: recent, 14 and 16 days, completed only, recurring language removed, masked use and masked description."""
-    rows = texted(spark, d)
-    least = max(SPEC.least_phrase, ceil(SPEC.phrase_share * rows.filter(is_train()).count()))
-    phrases = text.recurring_phrases(rows.filter(is_train()), "tokens", least, SPEC.phrase_countries)
-    plain = rows.join(text.residual(rows, "tokens", phrases), "id").drop("tokens").withColumnRenamed("residual", "tokens")
+    """The interaction under other pools and texts: recent, 14 and 16 days, completed only, recurring language removed, masked use and masked description.
+    All variants are fitted together."""
+    rows, texts = with_texts(spark, d)
     mirrors = [f"mirror{days}d" for days in SPEC.mirror_days]
-    bases = [(rows, {k: k for k in ("recent", *mirrors, "completed")}), (plain, {"residual": "recent"})]
-    bases += [(texted(spark, d, field=field, mask=True), {f"masked_{field}": "recent"}) for field in ("use", "description")]
-    out = {}
-    for base, variants in bases:
-        own = _measured(base, ["current", *variants.values()]).persist()
-        for name, kind in variants.items():
-            out[name] = hdfe.coefficients(spark, _fitted(_finished(own, kind))).filter(F.col("term").isin("z_ch", "z_vg"))
-        own.unpersist()
-    return effects.meaningful(effects.labelled(out), 0.01)
+    variants = {k: ("use", k) for k in ("recent", *mirrors, "completed")} | {b: (b, "recent") for b in ("residual", "masked_use", "masked_description")}
+    bases = {"use": _similar(rows, texts, ["current", "recent", *mirrors, "completed"]), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"])}
+    for field in ("use", "description"):
+        bases[f"masked_{field}"] = _similar(*with_texts(spark, d, field, mask=True), ["current", "recent"])
+    wide, models = _variants(rows, bases, variants)
+    found = hdfe.fits(wide.filter(is_train()), models, EFFECTS, CLUSTERS)
+    out = {name: hdfe.coefficients(spark, found.one(name, "y")) for name in models}
+    out = effects.labelled({name: df.filter(F.col("term").rlike("^z_(ch|vg):")).withColumn("term", F.split("term", ":")[0]) for name, df in out.items()})
+    return effects.meaningful(out, 0.01)
+
+
+def representation_test(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the interactions differ between two texts, the raw one and that without recurring language: each coefficient under both, the difference with its
+    error from the joint covariance of both models, its p, and the joint test of no difference."""
+    rows, texts = with_texts(spark, d)
+    bases = {"raw": _similar(rows, texts, ["current", "recent"]), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"])}
+    wide, models = _variants(rows, bases, {b: (b, "recent") for b in bases})
+    found = hdfe.fits(wide.filter(is_train()), models, EFFECTS, CLUSTERS)
+    raw, residual = ({r[0].split(":")[0]: r for r in found.one(b, "y").table()} for b in bases)
+    terms = ["z_ch", "z_vg"]
+    pair = lambda t: (("raw", "y", f"{t}:raw"), ("residual", "y", f"{t}:residual"))
+    each, f, df1, p = found.equal([pair(t) for t in terms])
+    out = []
+    for t, (difference, se) in zip(terms, each, strict=True):
+        out.append((t, raw[t][1], residual[t][1], difference, se, found.equal([pair(t)])[3], f, df1, p))
+    return spark.createDataFrame(out, "term string, raw double, residual double, difference double, se double, p double, joint_f double, joint_df long, joint_p double")
+
+
+#: Deals of the placebo.
+DEALS = 19
 
 
 def placebo(spark: SparkSession, d: str) -> DataFrame:
-    rows = model_rows(spark, d).persist()
-    dealt = effects.permuted(rows.filter(is_train()).select("id", "y", *SLOPES, *EFFECTS, "year"), "z_h", ["week"]).withColumn("z_ch", features.interaction("z_c", "z_h"))
-    out = hdfe.coefficients(spark, hdfe.fit(dealt, "y", SLOPES, EFFECTS, CLUSTERS)).filter(F.col("term").isin("z_h", "z_ch"))
+    """The interaction when similarity is dealt anew among the listings of each week: its coefficient as observed, the law of it over the deals, and p."""
+    rows = model_rows(spark, d).filter(is_train()).select("id", "y", *SLOPES, *EFFECTS).dropna().persist()
+    wide, models = effects.permuted(rows, "z_h", ["week"], DEALS), {"observed": (["y"], SLOPES)}
+    for k in range(DEALS):
+        h = F.get("dealt", F.lit(k))
+        wide = wide.withColumn(f"z_h:{k}", h).withColumn(f"z_ch:{k}", F.col("z_c") * h)
+        models[str(k)] = (["y"], ["z_c", f"z_h:{k}", f"z_ch:{k}", *SLOPES[3:]])
+    found = hdfe.fits(wide, models, EFFECTS, CLUSTERS)
     rows.unpersist()
-    return effects.meaningful(out, 0.01)
+    out = []
+    for i, term in ((1, "z_h"), (2, "z_ch")):
+        beta = [float(found.one(name, "y").beta[i]) for name in models]
+        law = np.array(beta[1:])
+        out.append((term, beta[0], DEALS, float(law.mean()), float(law.std(ddof=1)), int((np.abs(law) >= abs(beta[0])).sum()), float((1 + (np.abs(law) >= abs(beta[0])).sum()) / (1 + DEALS))))
+    return spark.createDataFrame(out, "term string, observed double, deals long, mean double, sd double, as_large long, p double")
 
 
 def market_trigger(spark: SparkSession, d: str) -> DataFrame:
@@ -399,27 +468,40 @@ def market_trigger(spark: SparkSession, d: str) -> DataFrame:
 def _fixed(spark: SparkSession, d: str) -> DataFrame:
     """A predictor by a fixed formula, so that SQL can repeat it."""
     rows = loans(spark, d).filter(~is_train())
-    rows = rows.withColumn("y", profile.log_hours()).withColumn("slow", (F.col("hours") > 400).cast("int"))
-    return rows.withColumn("pred", 5.0 + (F.col("id") % 7) / 10.0).withColumn("prob", 0.3 + (F.col("id") % 5) / 10.0)
+    rows = rows.withColumn("y", profile.log_hours()).withColumn("fast", profile.fast())
+    return rows.withColumn("pred", 5.0 + (F.col("id") % 7) / 10.0).withColumn("prob", 0.05 + (F.col("id") % 5) / 10.0)
 
 
 def holdout_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(holdout.metrics(_fixed(spark, d), "y", "pred", "slow", "prob"), "value")
+    """Hours over listings followed for 35 days, the 72-hour flag over those followed for 72 hours."""
+    rows = profile.with_last(_fixed(spark, d))
+    return rounded(holdout.metrics(rows, "y", "pred", "fast", "prob", *_followed()), "value")
 
 
 def calibration(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(holdout.calibration(_fixed(spark, d), "sector", "slow", "prob"), "gap")
+    return rounded(holdout.calibration(profile.with_last(_fixed(spark, d)).filter(_followed()[1]), ["sector", "gender"], "fast", "prob"), "gap")
 
 
-def holdout_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Controls alone against controls with the narrative measures, trained on earlier years."""
-    rows = model_rows(spark, d).withColumn("slow", (F.col("hours") > 400).cast("int")).persist()
+def _followed() -> tuple:
+    """Follow-up of what is measured in hours, and of the 72-hour flag."""
+    return profile.followed(35 * 24), profile.followed(72)
+
+
+def _predicted(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Held-out listings with the predictions of each model, trained on earlier years: controls alone, and controls with the narrative measures."""
+    rows = profile.with_last(model_rows(spark, d), last_hold=~is_train()).withColumn("last", F.col("last_hold")).persist()
     train, hold = rows.filter(is_train()), rows.filter(~is_train())
-    out = {}
-    for name, columns in (("controls", CONTROLS), ("narrative", SLOPES)):
-        out[name] = holdout.metrics(holdout.predict(train, hold, columns, "y", "slow"), "y", "pred", "slow", "prob")
-    both = effects.labelled(out, "model")
-    return both
+    return {name: holdout.predict(train, hold, columns, "y", "fast") for name, columns in (("controls", CONTROLS), ("narrative", SLOPES))}
+
+
+def holdout_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Controls alone against controls with the narrative measures, on held-out listings that were followed long enough."""
+    return effects.labelled({name: holdout.metrics(df, "y", "pred", "fast", "prob", *_followed()) for name, df in _predicted(spark, d).items()}, "model")
+
+
+def subgroup_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """How far each fitted model's 72-hour probabilities are off, by sector and gender of held-out listings."""
+    return effects.labelled({name: holdout.calibration(df.filter(_followed()[1]), ["sector", "gender"], "fast", "prob") for name, df in _predicted(spark, d).items()}, "model")
 
 
 # simulation
@@ -428,7 +510,8 @@ def holdout_comparison(spark: SparkSession, d: str) -> DataFrame:
 def _simulated(spark: SparkSession, n: int = 20_000) -> DataFrame:
     """Listings with measures, and outcomes that follow from them, the cell's shock and the partner."""
     rows = simulate.listings(spark, n).withColumn("u1", F.col("u0") + 10 * DAY)
-    both = hom.similarities(rows, text.vectors(rows, F.col("tokens"), F.lit(True)), ["current", "recent"])
+    rows = rows.withColumn("text_id", F.col("id"))
+    both = hom.similarities(rows, _packed(rows, rows.select("text_id", "tokens")), ["current", "recent"])
     rows = rows.join(both.select("id", pools.saturation("n_current").alias("c"), F.col("h_current").alias("h"), F.col("v_recent").alias("v"), F.col("h_recent").alias("g")), "id")
     rows = features.standardised(rows, ["c", "h", "v", "g"], F.lit(True))
     rows = rows.withColumn("z_ch", features.interaction("z_c", "z_h")).withColumn("z_vg", features.interaction("z_v", "z_g"))
@@ -508,7 +591,7 @@ QUERIES = {
         char_ngrams, hashed_terms, recurring_phrases, residual_text, public_ngrams, redacted_paths, focal_homogeneity, recent_homogeneity,
         focal_homogeneity_description, recent_homogeneity_description, homogeneity_audit,
         dense_mean_cosine, zscore_interactions, scenario_quantiles, support_count, regime_by_year, fe_ols_gram, within_fit, hdfe_fit, scenario_contrast, joint_wald,
-        year_effects, group_effects, robustness, placebo, market_trigger, holdout_metrics, calibration, holdout_comparison, truth_scoring, simulated_shares,
+        year_effects, group_effects, robustness, representation_test, placebo, market_trigger, holdout_metrics, calibration, holdout_comparison, subgroup_gaps, truth_scoring, simulated_shares,
         shock_cells, qa_gates, file_manifest, sink_round_trips,
     )
 }

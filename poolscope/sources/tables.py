@@ -57,18 +57,28 @@ def places(spark: SparkSession, folder: str) -> list[str]:
     return [r[0] for name, column in (("nation", "n_name"), ("region", "r_name")) for r in table(spark, folder, name).select(column).orderBy(column).collect()]
 
 
-def texted(spark: SparkSession, folder: str, field: str = "use", mask: bool = False) -> DataFrame:
-    """loans() with tokens of a whole text: as the short `use`, the opening message of the conversation at id modulo their number, as the long `description`
-    the document at id modulo theirs. mask: without dates, amounts, numbers and places before it is split."""
+def with_texts(spark: SparkSession, folder: str, field: str = "use", mask: bool = False) -> tuple[DataFrame, DataFrame]:
+    """loans() with text_id, and (text_id, tokens) of whole texts, which several listings may share: as the short `use`, the opening message of the
+    conversation at id modulo their number, as the long `description` the document at id modulo theirs. mask: without dates, amounts, numbers and places
+    before it is split. A listing whose text is not there is an error."""
     if field == "use":
-        texts = table(spark, folder, "conversations").filter("turn = 0").select(F.col("conv_id").alias("at"), "text")
+        texts = table(spark, folder, "conversations").filter("turn = 0").select(F.col("conv_id").alias("text_id"), "text")
     elif field == "description":
-        texts = table(spark, folder, "documents").select(F.col("doc_id").alias("at"), "text")
+        texts = table(spark, folder, "documents").select(F.col("doc_id").alias("text_id"), "text")
     else:
         raise ValueError(field)
     many = texts.count()
     words = tokens(masked(F.col("text"), places(spark, folder)) if mask else F.col("text"))
-    return loans(spark, folder).join(texts.select("at", words.alias("tokens")), F.pmod("id", F.lit(many)) == F.col("at")).drop("at")
+    rows = loans(spark, folder).withColumn("_at", F.pmod("id", F.lit(many)))
+    rows = rows.join(texts.select("text_id"), F.col("_at") == F.col("text_id"), "left")
+    known = F.when(F.col("text_id").isNull(), F.raise_error(F.concat(F.lit(f"no {field} at "), F.col("_at").cast("string"))).cast("long")).otherwise(F.col("text_id"))
+    return rows.withColumn("text_id", known).drop("_at"), texts.select("text_id", words.alias("tokens"))
+
+
+def texted(spark: SparkSession, folder: str, field: str = "use", mask: bool = False) -> DataFrame:
+    """with_texts() in one table, each listing with its tokens."""
+    rows, texts = with_texts(spark, folder, field, mask)
+    return rows.join(texts, "text_id")
 
 
 def is_train(spec: Spec = SPEC) -> Column:

@@ -72,7 +72,7 @@ def test_weights_hold_over_any_span(spark):
     words = spark.createDataFrame([(r[0], [f"t{int(x)}" for x in rng.integers(0, 40, 9)]) for r in rows + far], "id long, tokens array<string>")
     df = listing(spark, rows + far)
     vectors = text.vectors(words, F.col("tokens"), F.lit(True)).persist()
-    one = hom.audit(hom.homogeneity(df, vectors, "recent"), hom.pairwise(df, vectors, df, "recent")).first()
+    one = hom.audit(hom.homogeneity(own_texts(df), packed(words), "recent"), hom.pairwise(df, vectors, df, "recent")).first()
     assert one["checks"] > 40 and one["max_error"] < 1e-9
     slow = replace(SPEC, half_life_days=400.0)
     got = {r["id"]: r["v"] for r in pools.pool(df, "recent", spec=slow).collect()}
@@ -80,6 +80,19 @@ def test_weights_hold_over_any_span(spark):
         assert got[i] == pytest.approx(sum(2 ** (-(a - x) / 400) for j, x, y, t in rows + far if t == s and j != i and 35 <= a - x < 65), abs=1e-9)
 
 
+def test_packed_vectors_weigh_copies(spark):
+    """Texts that several training rows share count for each of them, and terms that no training row has are left out."""
+    texts = {1: ["a", "b", "a"], 2: ["b", "c"], 3: ["z"], 4: []}
+    copies = [1, 1, 1, 2, 4]
+    rows = spark.createDataFrame([(k, i, texts[i]) for k, i in enumerate([*copies, 3])], "id long, text_id long, tokens array<string>")
+    want = {(r["id"], r["term"]): r["w"] for r in text.vectors(rows, F.col("tokens"), F.col("id") < len(copies)).collect()}
+    words = rows.select("text_id", "tokens").dropDuplicates(["text_id"])
+    got = text.packed_vectors(words, rows.filter(F.col("id") < len(copies)).groupBy("text_id").agg(F.count("*").alias("n"))).collect()
+    for k, i in enumerate([*copies, 3]):
+        assert sorted(round(w, 12) for r in got if r["text_id"] == i for w in r["weights"]) == sorted(round(w, 12) for (j, _), w in want.items() if j == k)
+    assert all(len(set(r["slots"])) == len(r["slots"]) for r in got)
+
+
 def test_kinds_share_a_sweep(spark):
     rng = np.random.default_rng(5)
     rows = listing(spark, [(i, float(rng.integers(0, 150)), float(rng.integers(0, 60)), "ab"[int(rng.integers(2))]) for i in range(150)])
@@ -91,15 +104,29 @@ def test_kinds_share_a_sweep(spark):
             assert "v" not in r or r["v"] == pytest.approx(together[r["id"]][f"v_{kind}"], abs=1e-12)
 
 
-def test_homogeneity_equals_pairs(spark):
+def own_texts(df):
+    return df.withColumn("text_id", F.col("id"))
+
+
+def packed(words):
+    return text.packed_vectors(words.select(F.col("id").alias("text_id"), "tokens"), words.select(F.col("id").alias("text_id"), F.lit(1).alias("n")))
+
+
+@pytest.mark.parametrize("step", [1 << 20, 7])
+def test_homogeneity_equals_pairs(spark, monkeypatch, step):
+    kinds = ("current", "recent", "completed", "mirror14d")
     rng = np.random.default_rng(2)
     rows = [(i, float(rng.integers(0, 200)), float(rng.integers(1, 60)), "abc"[int(rng.integers(3))]) for i in range(200)]
     words = spark.createDataFrame([(i, [f"t{int(x)}" for x in rng.integers(0, 60, 12)]) for i in range(200)], "id long, tokens array<string>")
     df = listing(spark, rows)
     vectors = text.vectors(words, F.col("tokens"), F.lit(True)).persist()
-    for kind in ("current", "recent"):
-        one = hom.audit(hom.homogeneity(df, vectors, kind), hom.pairwise(df, vectors, df, kind)).first()
-        assert one["checks"] > 20 and one["max_error"] < 1e-9
+    monkeypatch.setattr(hom, "STEP", step)
+    together = hom.similarities(own_texts(df), packed(words), list(kinds)).persist()
+    for kind in kinds:
+        pairs = hom.pairwise(df, vectors, df, kind).persist()
+        for one in (hom.homogeneity(own_texts(df), packed(words), kind), together.select("id", F.col(f"h_{kind}").alias("h"))):
+            found = hom.audit(one, pairs).first()
+            assert found["checks"] > 20 and found["max_error"] < 1e-9
 
 
 def panel(seed=3, n=400):
@@ -146,7 +173,7 @@ def test_tails():
 
 def test_scenario_and_percent():
     fit = hdfe.Fit(["a", "b", "ab"], np.array([0.1, 0.2, 0.3]), np.eye(3) * 0.01, 10, 5)
-    value, *_ = hdfe.scenario(fit, "a", "b", "ab", (-1.0, -2.0), (1.0, 3.0))
+    value, *_ = fit.contrast(effects.scenarios(fit, {"": ("a", "b", "ab")}, {"a": (-1.0, 1.0), "b": (-2.0, 3.0)})[""])
     assert abs(value - (0.1 * 2 + 0.2 * 5 + 0.3 * (3 - 2))) < 1e-12
     assert abs(hdfe.percent(np.log(2)) - 100) < 1e-9
 
