@@ -146,9 +146,17 @@ def readable(path: str):
         yield k + 1, None, None, f"{type(e).__name__}: {e}"
 
 
+def _number(text: str | bytes | None) -> int | None:
+    """A decimal number of 64 bits; None for anything else."""
+    text = text.decode("latin-1") if isinstance(text, bytes) else text or ""
+    sign = text.startswith("-")
+    if not (text[sign:].isascii() and text[sign:].isdigit()) or len(text) > 20:
+        return None
+    return n if -(2**63) <= (n := int(text)) < 2**63 else None
+
+
 def page_of(headers: dict[bytes, bytes]) -> int | None:
-    value = headers.get(ID_HEADER.lower(), b"")
-    return int(value) if value.removeprefix(b"-").isdigit() else None
+    return _number(headers.get(ID_HEADER.lower()))
 
 
 INDEX = "path string, k long, page_id long, payload_bytes long, digest string, error string"
@@ -194,7 +202,7 @@ def to_warc(path: str, k: int, fields: dict, block: bytes, refers_to: str | None
     kind = "revisit" if refers_to is not None else "response" if head else "resource"
     content = "application/http;msgtype=response" if head else _field(fields["Content-type"])
     headers = [("WARC-Record-ID", f"<urn:uuid:{record_id(path, k)}>"), ("WARC-Date", warc_date(fields["Archive-date"])), ("WARC-Target-URI", _field(fields["URL"])), ("WARC-IP-Address", _field(fields["IP-address"]))]
-    headers += [("WARC-Payload-Digest", f"sha1:{sha1(payload)}"), ("WARC-Block-Digest", f"sha1:{sha1(kept)}"), ("Content-Type", content)]
+    headers += [("WARC-Payload-Digest", f"sha1:{sha1(payload)}"), (SIZE_HEADER, str(len(payload))), ("WARC-Block-Digest", f"sha1:{sha1(kept)}"), ("Content-Type", content)]
     if refers_to is not None:
         headers += [("WARC-Refers-To", f"<urn:uuid:{refers_to}>"), ("WARC-Profile", REVISIT_PROFILE)]
     return warc_record(kind, headers, kept)
@@ -216,8 +224,12 @@ def _convert(batches, folder: str):
     yield out.table()
 
 
+#: How long a record's payload is, which a revisit leaves out.
+SIZE_HEADER = "Payload-Length"
+
+
 def parse_warc(raw):
-    """(headers, block) of each record of an uncompressed WARC stream."""
+    """(headers, block) of each record of an uncompressed WARC stream; what can't be so read raises Damaged."""
     while line := raw.readline():
         if not line.strip():
             continue
@@ -225,36 +237,52 @@ def parse_warc(raw):
             raise Damaged("a WARC record begins with its version")
         headers = {}
         while (line := raw.readline()).strip():
-            k, _, v = line.decode().partition(":")
+            k, _, v = line.decode("utf-8", "replace").partition(":")
             headers[k.strip()] = v.strip()
-        yield headers, raw.read(int(headers["Content-Length"]))
+        length = _number(headers.get("Content-Length"))
+        if length is None or length < 0:
+            raise Damaged(f"the length {headers.get('Content-Length', '')[:40]!r}")
+        block = raw.read(length)
+        if len(block) != length:
+            raise Damaged("a record ends before its declared length")
+        yield headers, block
 
 
-WARC_ROWS = "record_id string, record_type string, refers_to_id string, url string, date string, page_id long, payload_bytes long, payload_digest string"
+WARC_ROWS = "record_id string, record_type string, refers_to_id string, url string, date string, page_id long, payload_bytes long, payload_digest string, path string, error string"
+
+
+def _warc_row(path: str, headers: dict, block: bytes) -> tuple | None:
+    bare = lambda x: x.strip("<>").removeprefix("urn:uuid:") if x else None
+    kind, error = headers.get("WARC-Type"), None
+    if kind not in ("response", "revisit", "resource"):
+        return None
+    _, payload, http = split_http(block)
+    digest = headers.get("WARC-Payload-Digest", "").partition(":")[2] or None
+    size = len(payload)
+    if kind != "revisit":
+        own = sha1(payload)
+        error = None if digest in (None, own) else f"the payload's digest is {own}, declared {digest}"
+        digest = own
+    else:
+        # what a revisit leaves out is as long as its record says, else its HTTP head, which may be wrong, or silent as of a chunked message
+        size = next((n for x in (headers.get(SIZE_HEADER), http.get(b"content-length")) if (n := _number(x)) is not None and n >= 0), None)
+    return bare(headers.get("WARC-Record-ID")), kind, bare(headers.get("WARC-Refers-To")), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), page_of(http), size, digest, path, error
 
 
 def _read_warc(batches):
-    bare = lambda x: x[len("<urn:uuid:") : -1] if x else None
+    kinds = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string()] * 3
     for batch in batches:
         for path in batch.column(0).to_pylist():
             rows = []
-            with gzip.open(files.stream(path)) as raw:
-                for headers, block in parse_warc(raw):
-                    kind = headers["WARC-Type"]
-                    if kind not in ("response", "revisit", "resource"):
-                        continue
-                    _, payload, http = split_http(block)
-                    digest = headers["WARC-Payload-Digest"].partition(":")[2]
-                    if kind != "revisit" and (own := sha1(payload)) != digest:
-                        raise ValueError(f"the payload's digest is {own}, declared {digest}")
-                    # what a revisit leaves out is as long as its HTTP head says
-                    length = http.get(b"content-length", b"")
-                    size = len(payload) if kind != "revisit" else int(length) if length.isdigit() else None
-                    rows.append((bare(headers["WARC-Record-ID"]), kind, bare(headers.get("WARC-Refers-To")), headers["WARC-Target-URI"], headers["WARC-Date"], page_of(http), size, digest))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string()]
-            names = ["record_id", "record_type", "refers_to_id", "url", "date", "page_id", "payload_bytes", "payload_digest"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            try:
+                with gzip.open(files.stream(path)) as raw:
+                    for headers, block in parse_warc(raw):
+                        if row := _warc_row(path, headers, block):
+                            rows.append(row)
+            except (Damaged, EOFError, gzip.BadGzipFile, zlib.error) as e:
+                rows.append((*[None] * 8, path, f"{type(e).__name__}: {e}"))
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in WARC_ROWS.split(", ")])
 
 
 def write_arc(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20200101000000") -> DataFrame:
@@ -290,7 +318,12 @@ def damaged(scratch: Scratch) -> DataFrame:
 
 
 def read_warc(warcs: DataFrame) -> DataFrame:
-    """One row per response, resource or revisit of the WARC files in column path; a response's digest is checked against its payload."""
+    """One row per response, resource or revisit of the WARC files in column path, own ones or foreign.
+
+    payload_bytes of a revisit: what its record declares, else its HTTP head, null where neither does. payload_digest: of the payload itself, of a revisit
+    as declared. page_id: null where the HTTP head names none of 64 bits. error: where a response's payload has another digest than declared; a file that is
+    damaged has a last row with path and error alone.
+    """
     return warcs.select("path").repartition(2 * max(1, warcs.count()), "path").mapInArrow(_read_warc, WARC_ROWS)
 
 
@@ -306,6 +339,9 @@ def archive(pages: DataFrame, least: int = 0, **columns) -> DataFrame:
     if broken:
         raise OSError(f"{broken} of the archives just written are damaged")
     rows = scratch.keep(read_warc(warcs), "records")
+    wrong = rows.filter("error is not null").select("path", "error").limit(1).collect()
+    if wrong:
+        raise OSError(f"{wrong[0]['path']}, just written: {wrong[0]['error']}")
     scratch.drop("arc", "arc-files", "arc-index", "responses", "warc", "warc-files")
     responses = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     plain, linked = rows.filter("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long")), rows.filter("refers_to_id is not null").join(responses, "refers_to_id")

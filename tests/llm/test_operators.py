@@ -480,6 +480,27 @@ def test_foreign_archives(spark, tmp_path):
     assert {k: errors[k] for k in bad} == dict.fromkeys(bad, 2) and set(errors) == {*bad, "cut", "none", "empty", "version"}
 
 
+def test_foreign_warcs(spark, tmp_path):
+    """Sizes of revisits, ids beyond 64 bits, missing digests, wrong digests, and files that break off."""
+    http = lambda more, body: b"HTTP/1.1 200 OK\r\n" + more + b"\r\n" + body
+    record = lambda kind, block, *more: warc.warc_record(kind, [("WARC-Record-ID", "<urn:uuid:1>"), *more], block)
+    rows = [
+        record("response", http(b"X-Page-Id: 99999999999999999999\r\nContent-Length: 99999999999999999999999\r\n", b"body")),
+        record("response", http(b"X-Page-Id: 7\r\n", b"body"), ("WARC-Payload-Digest", "sha1:WRONG")),
+        record("revisit", http(b"Transfer-Encoding: chunked\r\nX-Page-Id: -5\r\n", b""), ("WARC-Payload-Digest", "sha1:ABC"), ("Payload-Length", "12")),
+        record("revisit", http(b"Content-Length: 99999999999999999999999\r\n", b"")), record("revisit", http(b"Content-Length: 31\r\n", b"")), record("metadata", b"x"), record("resource", b"plain"),
+    ]
+    whole, broken = b"".join(rows), rows[0] + rows[6][:-12]
+    for name, raw in {"whole": gzip.compress(whole), "broken": gzip.compress(broken), "length": gzip.compress(rows[0].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: x", 3)), "cut": gzip.compress(whole)[:60], "other": gzip.compress(b"not a record")}.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(raw)
+    found = defaultdict(list)
+    for r in warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.gz",) for n in ("whole", "broken", "length", "cut", "other")], "path string")).collect():
+        found[r["path"].rsplit("/", 1)[1].split(".")[0]].append(r)
+    assert [(r["record_type"], r["page_id"], r["payload_bytes"], bool(r["error"])) for r in found["whole"]] == [("response", None, 4, False), ("response", 7, 4, True), ("revisit", -5, 12, False), ("revisit", None, None, False), ("revisit", None, 31, False), ("resource", None, 5, False)]
+    assert found["whole"][0]["payload_digest"] == found["whole"][1]["payload_digest"] == base64.b32encode(hashlib.sha1(b"body").digest()).decode() and found["whole"][2]["payload_digest"] == "ABC"
+    assert [bool(r["error"]) for r in found["broken"]] == [False, True] and all(len(found[n]) == 1 and found[n][0]["error"] for n in ("length", "cut", "other"))
+
+
 def test_media(spark):
     texts = [None, "", "a", "x" * 64, "é" * 33, "long " * 50_000, "a", "a"]
     scratch = Scratch(spark, "media-test")
