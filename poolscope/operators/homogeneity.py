@@ -103,12 +103,13 @@ def _dots(batches, keys: int, kinds: list[str], half_life: float):
             a = b
 
 
-def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: list[str] | None = None, spec: Spec = SPEC) -> DataFrame:
+def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: list[str] | None = None, spec: Spec = SPEC, sizes: DataFrame | None = None) -> DataFrame:
     """id, and for each kind n_<kind>, h_<kind>, and where ages weigh v_<kind>: mean cosine of each listing to each of its pools; null where a pool is empty.
 
     vectors: packed_vectors() by text_id, which loans has too. A listing's vector is cut by shard of terms; the pieces move in and out of all pools and ask, in
     order of time, in one task per group and shard, which keeps running sums per term (_Sums). Own weight times sum, less the listing itself, over the
-    pool's size is the mean of all cosines. Pieces are shuffled once, as arrays; dot products are added up by id.
+    pool's size is the mean of all cosines. Pieces are shuffled once, as arrays; dot products are added up by id. sizes: pools() of these kinds without logs,
+    where it is there already.
     """
     keys = ["sector"] if keys is None else keys
     rows = loans.select("id", "text_id", *keys, "u0", "u1").filter(" and ".join(f"{c} is not null" for c in ("u0", *keys)))
@@ -123,7 +124,7 @@ def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: l
     found = events.mapInArrow(partial(_dots, keys=len(keys), kinds=kinds, half_life=spec.half_life_days * DAY), schema)
     found = found.groupBy("id").agg(F.sum("norm").alias("norm"), *(F.sum(f"dot_{k}").alias(f"dot_{k}") for k in kinds))
     dots = rows.join(found, "id").select("id", *((F.col(f"dot_{k}") - own(k, spec) * F.col("norm")).alias(f"dot_{k}") for k in kinds))
-    out = pools(loans, kinds, grouped, replace(spec, log_volume=False)).join(dots, "id", "left")
+    out = (pools(loans, kinds, grouped, replace(spec, log_volume=False)) if sizes is None else sizes).join(dots, "id", "left")
     columns = []
     for k in kinds:
         size = F.col(f"v_{k}") if weighs(k) else F.col(f"n_{k}").cast("double")

@@ -263,14 +263,14 @@ def _volume(kind: str):
 
 def _outcomes(rows: DataFrame) -> DataFrame:
     """rows with outcome, flag and controls."""
-    return rows.withColumn("week", profile.week_of()).withColumn("y", profile.log_hours()).withColumn("fast", profile.fast()).withColumn("log_amount", F.log1p("amount"))
+    return rows.withColumns({"week": profile.week_of(), "y": profile.log_hours(), "fast": profile.fast(), "log_amount": F.log1p("amount")})
 
 
 def _finished(rows: DataFrame, kind: str = "recent") -> DataFrame:
     """Measures of the current and of one lagged pool, their z-scores and products, outcome, flag and controls."""
     rows = rows.select("*", pools.saturation("n_current").alias("c"), F.col("h_current").alias("h"), _volume(kind).alias("v"), F.col(f"h_{kind}").alias("g"))
     rows = features.standardised(_outcomes(rows), ["c", "h", "v", "g"], is_train())
-    return rows.withColumn("z_ch", features.interaction("z_c", "z_h")).withColumn("z_vg", features.interaction("z_v", "z_g"))
+    return rows.withColumns({"z_ch": features.interaction("z_c", "z_h"), "z_vg": features.interaction("z_v", "z_g")})
 
 
 def model_rows(spark: SparkSession, d: str, kind: str = "recent", field: str = "use", mask: bool = False) -> DataFrame:
@@ -372,23 +372,20 @@ def group_effects(spark: SparkSession, d: str) -> DataFrame:
     return effects.labelled(out, "dimension")
 
 
-def _variants(rows: DataFrame, bases: dict[str, DataFrame], variants: dict[str, tuple[str, str]]) -> tuple[DataFrame, dict]:
-    """Rows of all variants (text, lagged pool) side by side, and a model for each: rows have sizes, bases the similarities of each text."""
-    kinds = sorted({"current", *(k for _, k in variants.values())})
-    wide = rows.join(pools.pools(rows, kinds), "id")
+def _variants(rows: DataFrame, sizes: DataFrame, bases: dict[str, DataFrame], variants: dict[str, tuple[str, str]]) -> tuple[DataFrame, dict]:
+    """Rows of all variants (text, lagged pool) side by side, and a model for each: sizes are of the pools, bases have the similarities of each text."""
+    wide = rows.join(sizes, "id")
     for base, h in bases.items():
-        wide = wide.join(h.select("id", *(F.col(f"h_{k}").alias(f"h_{base}_{k}") for k in kinds if f"h_{k}" in h.columns)), "id", "left")
+        wide = wide.join(h.select("id", *(F.col(c).alias(f"{c}:{base}") for c in h.columns if c.startswith("h_"))), "id", "left")
     volume = pools.platform_volume(rows).select("day", F.log1p(F.col("volume").cast("double")).alias("log_volume"))
-    wide = _outcomes(wide.withColumn("day", F.floor(F.col("u0") / DAY).cast("long")).join(volume, "day").drop("day"))
-    wide = wide.withColumn("c", pools.saturation("n_current"))
+    wide = wide.withColumn("day", F.floor(F.col("u0") / DAY).cast("long")).join(volume, "day").drop("day")
+    own = {"c": pools.saturation("n_current")}
     for name, (base, kind) in variants.items():
-        wide = wide.withColumn(f"h:{name}", F.col(f"h_{base}_current")).withColumn(f"v:{name}", _volume(kind)).withColumn(f"g:{name}", F.col(f"h_{base}_{kind}"))
-    wide = features.standardised(wide, ["c", *(f"{x}:{name}" for name in variants for x in "hvg")], is_train())
-    models = {}
-    for name in variants:
-        wide = wide.withColumn(f"z_ch:{name}", features.interaction("z_c", f"z_h:{name}")).withColumn(f"z_vg:{name}", features.interaction(f"z_v:{name}", f"z_g:{name}"))
-        models[name] = (["y"], ["z_c", *(f"{x}:{name}" for x in ("z_h", "z_ch", "z_v", "z_g", "z_vg")), *CONTROLS])
-    return wide, models
+        own |= {f"h:{name}": F.col(f"h_current:{base}"), f"v:{name}": _volume(kind), f"g:{name}": F.col(f"h_{kind}:{base}")}
+    wide = features.standardised(_outcomes(wide).withColumns(own), list(own), is_train())
+    products = {f"z_{x}{y}:{name}": features.interaction("z_c" if x == "c" else f"z_{x}:{name}", f"z_{y}:{name}") for name in variants for x, y in ("ch", "vg")}
+    models = {name: (["y"], ["z_c", *(f"{x}:{name}" for x in ("z_h", "z_ch", "z_v", "z_g", "z_vg")), *CONTROLS]) for name in variants}
+    return wide.withColumns(products), models
 
 
 def _residual_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -399,8 +396,8 @@ def _residual_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return text.residual(texts, "tokens", phrases, key="text_id").withColumnRenamed("residual", "tokens")
 
 
-def _similar(rows: DataFrame, texts: DataFrame, kinds: list[str]) -> DataFrame:
-    return hom.similarities(rows, _packed(rows, texts, is_train()), kinds)
+def _similar(rows: DataFrame, texts: DataFrame, kinds: list[str], sizes: DataFrame) -> DataFrame:
+    return hom.similarities(rows, _packed(rows, texts, is_train()), kinds, sizes=sizes)
 
 
 def robustness(spark: SparkSession, d: str) -> DataFrame:
@@ -409,11 +406,13 @@ def robustness(spark: SparkSession, d: str) -> DataFrame:
     rows, texts = with_texts(spark, d)
     mirrors = [f"mirror{days}d" for days in SPEC.mirror_days]
     variants = {k: ("use", k) for k in ("recent", *mirrors, "completed")} | {b: (b, "recent") for b in ("residual", "masked_use", "masked_description")}
-    bases = {"use": _similar(rows, texts, ["current", "recent", *mirrors, "completed"]), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"])}
+    sizes = pools.pools(rows, ["current", "recent", *mirrors, "completed"]).persist()
+    bases = {"use": _similar(rows, texts, ["current", "recent", *mirrors, "completed"], sizes), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"], sizes)}
     for field in ("use", "description"):
-        bases[f"masked_{field}"] = _similar(*with_texts(spark, d, field, mask=True), ["current", "recent"])
-    wide, models = _variants(rows, bases, variants)
+        bases[f"masked_{field}"] = _similar(*with_texts(spark, d, field, mask=True), ["current", "recent"], sizes)
+    wide, models = _variants(rows, sizes, bases, variants)
     found = hdfe.fits(wide.filter(is_train()), models, EFFECTS, CLUSTERS)
+    sizes.unpersist()
     out = {name: hdfe.coefficients(spark, found.one(name, "y")) for name in models}
     out = effects.labelled({name: df.filter(F.col("term").rlike("^z_(ch|vg):")).withColumn("term", F.split("term", ":")[0]) for name, df in out.items()})
     return effects.meaningful(out, 0.01)
@@ -423,9 +422,11 @@ def representation_test(spark: SparkSession, d: str) -> DataFrame:
     """Whether the interactions differ between two texts, the raw one and that without recurring language: each coefficient under both, the difference with its
     error from the joint covariance of both models, its p, and the joint test of no difference."""
     rows, texts = with_texts(spark, d)
-    bases = {"raw": _similar(rows, texts, ["current", "recent"]), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"])}
-    wide, models = _variants(rows, bases, {b: (b, "recent") for b in bases})
+    sizes = pools.pools(rows, ["current", "recent"]).persist()
+    bases = {"raw": _similar(rows, texts, ["current", "recent"], sizes), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"], sizes)}
+    wide, models = _variants(rows, sizes, bases, {b: (b, "recent") for b in bases})
     found = hdfe.fits(wide.filter(is_train()), models, EFFECTS, CLUSTERS)
+    sizes.unpersist()
     raw, residual = ({r[0].split(":")[0]: r for r in found.one(b, "y").table()} for b in bases)
     terms = ["z_ch", "z_vg"]
     pair = lambda t: (("raw", "y", f"{t}:raw"), ("residual", "y", f"{t}:residual"))
@@ -443,11 +444,9 @@ DEALS = 19
 def placebo(spark: SparkSession, d: str) -> DataFrame:
     """The interaction when similarity is dealt anew among the listings of each week: its coefficient as observed, the law of it over the deals, and p."""
     rows = model_rows(spark, d).filter(is_train()).select("id", "y", *SLOPES, *EFFECTS).dropna().persist()
-    wide, models = effects.permuted(rows, "z_h", ["week"], DEALS), {"observed": (["y"], SLOPES)}
-    for k in range(DEALS):
-        h = F.get("dealt", F.lit(k))
-        wide = wide.withColumn(f"z_h:{k}", h).withColumn(f"z_ch:{k}", F.col("z_c") * h)
-        models[str(k)] = (["y"], ["z_c", f"z_h:{k}", f"z_ch:{k}", *SLOPES[3:]])
+    dealt = {f"z_h:{k}": F.get("dealt", F.lit(k)) for k in range(DEALS)}
+    wide = effects.permuted(rows, "z_h", ["week"], DEALS).withColumns(dealt | {f"z_ch:{k}": F.col("z_c") * h for k, h in enumerate(dealt.values())})
+    models = {"observed": (["y"], SLOPES)} | {str(k): (["y"], ["z_c", f"z_h:{k}", f"z_ch:{k}", *SLOPES[3:]]) for k in range(DEALS)}
     found = hdfe.fits(wide, models, EFFECTS, CLUSTERS)
     rows.unpersist()
     out = []
