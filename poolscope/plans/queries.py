@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil
 
 import numpy as np
@@ -278,21 +280,30 @@ def model_rows(spark: SparkSession, d: str, kind: str = "recent", field: str = "
     return _finished(_measured(*with_texts(spark, d, field, mask), ["current", kind]), kind)
 
 
+@contextmanager
+def _modelled(spark: SparkSession, d: str) -> Iterator[DataFrame]:
+    """model_rows() over measures that are kept until the results that need them several times are there."""
+    measured = _measured(*with_texts(spark, d), ["current", "recent"]).persist()
+    try:
+        yield _finished(measured)
+    finally:
+        measured.unpersist()
+
+
 def zscore_interactions(spark: SparkSession, d: str) -> DataFrame:
     names = ["z_c", "z_h", "z_v", "z_g", "z_ch", "z_vg"]
     return model_rows(spark, d).select("id", *(F.round(c, 4).alias(c) for c in names))
 
 
 def scenario_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.scenario_quantiles(model_rows(spark, d), ["c", "h", "v", "g"], is_train()), "low", "high")
+    with _modelled(spark, d) as rows:
+        return rounded(features.scenario_quantiles(rows, ["c", "h", "v", "g"], is_train()), "low", "high")
 
 
 def support_count(spark: SparkSession, d: str) -> DataFrame:
     """channel, endpoint, n: support around the scenario endpoints of volume and similarity, by channel."""
-    rows = model_rows(spark, d).select("year", "c", "h", "v", "g").persist()
-    out = spark.createDataFrame(features.support(rows, {"current": ("c", "h"), "recent": ("v", "g")}, is_train()).collect(), "channel string, endpoint string, n long")
-    rows.unpersist()
-    return out
+    with _modelled(spark, d) as rows:
+        return spark.createDataFrame(features.support(rows, {"current": ("c", "h"), "recent": ("v", "g")}, is_train()).collect(), "channel string, endpoint string, n long")
 
 
 def regime_by_year(spark: SparkSession, d: str) -> DataFrame:
@@ -305,10 +316,6 @@ CONTROLS = ["log_amount", "borrowers", "term", "log_volume"]
 SLOPES = ["z_c", "z_h", "z_ch", "z_v", "z_g", "z_vg", *CONTROLS]
 
 
-def _fitted(rows: DataFrame, y: str = "y") -> hdfe.Fit:
-    return hdfe.fit(rows.filter(is_train()), y, SLOPES, EFFECTS, CLUSTERS)
-
-
 def fe_ols_gram(spark: SparkSession, d: str) -> DataFrame:
     rows = loans(spark, d).join(pools.pool(loans(spark, d)), "id").select(F.col("n").cast("double").alias("n"), (F.col("hours") / 100.0).alias("hours"), F.lit(1.0).alias("one"))
     return hdfe.gram(rows, ["one", "n", "hours"]).select("a", "b", F.round("s", 3).alias("s"))
@@ -325,7 +332,8 @@ def within_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hdfe_fit(spark: SparkSession, d: str) -> DataFrame:
-    found = hdfe.fits(model_rows(spark, d).filter(is_train()), {"": (["y", "fast"], SLOPES)}, EFFECTS, CLUSTERS)
+    with _modelled(spark, d) as rows:
+        found = hdfe.fits(rows.filter(is_train()), {"": (["y", "fast"], SLOPES)}, EFFECTS, CLUSTERS)
     return effects.labelled({y: hdfe.coefficients(spark, found.one("", y)) for y in ("y", "fast")}, "outcome")
 
 
@@ -335,10 +343,9 @@ def _points(rows: DataFrame) -> dict[str, tuple[float, float]]:
 
 
 def scenario_contrast(spark: SparkSession, d: str) -> DataFrame:
-    rows = model_rows(spark, d).persist()
-    points, out = _points(rows), []
-    found = hdfe.fits(rows.filter(is_train()), {"": (["y", "fast"], SLOPES)}, EFFECTS, CLUSTERS)
-    rows.unpersist()
+    with _modelled(spark, d) as rows:
+        points, out = _points(rows), []
+        found = hdfe.fits(rows.filter(is_train()), {"": (["y", "fast"], SLOPES)}, EFFECTS, CLUSTERS)
     for y in ("y", "fast"):
         f = found.one("", y)
         unit = hdfe.percent if y == "y" else lambda x: 100 * x
@@ -349,31 +356,32 @@ def scenario_contrast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def joint_wald(spark: SparkSession, d: str) -> DataFrame:
-    f = _fitted(model_rows(spark, d))
+    with _modelled(spark, d) as rows:
+        f = hdfe.fit(rows.filter(is_train()), "y", SLOPES, EFFECTS, CLUSTERS)
     return spark.createDataFrame([(c, *f.joint(list(names))) for c, names in CHANNELS.items()], "channel string, f double, df1 long, p double")
 
 
 def year_effects(spark: SparkSession, d: str) -> DataFrame:
     """The scenario contrasts of both channels by training year, with a screen and a test of their difference."""
-    rows = model_rows(spark, d).filter(is_train()).persist()
-    years = [r[0] for r in rows.select("year").distinct().orderBy("year").collect()]
-    out = effects.group_scenarios(rows, "year", years, "y", CHANNELS, _points(rows), CONTROLS, EFFECTS, CLUSTERS)
-    rows.unpersist()
-    return out
+    with _modelled(spark, d) as rows:
+        rows = rows.filter(is_train())
+        years = [r[0] for r in rows.select("year").distinct().orderBy("year").collect()]
+        return effects.group_scenarios(rows, "year", years, "y", CHANNELS, _points(rows), CONTROLS, EFFECTS, CLUSTERS)
 
 
 def group_effects(spark: SparkSession, d: str) -> DataFrame:
     """The same by sectors of enough training rows, and by the largest countries."""
-    rows = model_rows(spark, d).filter(is_train()).persist()
-    chosen = {"sector": profile.large_groups(rows, "sector", SPEC.least_sector).orderBy("sector"), "country": profile.top_groups(rows, "country", SPEC.top_countries)}
-    points = _points(rows)
-    out = {group: effects.group_scenarios(rows, group, [r[0] for r in df.collect()], "y", CHANNELS, points, CONTROLS, EFFECTS, CLUSTERS) for group, df in chosen.items()}
-    rows.unpersist()
+    with _modelled(spark, d) as rows:
+        rows = rows.filter(is_train())
+        chosen = {"sector": profile.large_groups(rows, "sector", SPEC.least_sector).orderBy("sector"), "country": profile.top_groups(rows, "country", SPEC.top_countries)}
+        points = _points(rows)
+        out = {group: effects.group_scenarios(rows, group, [r[0] for r in df.collect()], "y", CHANNELS, points, CONTROLS, EFFECTS, CLUSTERS) for group, df in chosen.items()}
     return effects.labelled(out, "dimension")
 
 
 def _variants(rows: DataFrame, sizes: DataFrame, bases: dict[str, DataFrame], variants: dict[str, tuple[str, str]]) -> tuple[DataFrame, dict]:
-    """Rows of all variants (text, lagged pool) side by side, and a model for each: sizes are of the pools, bases have the similarities of each text."""
+    """Rows of all variants (text, lagged pool) side by side, and a model for each: sizes are of the pools, bases have the similarities of each text, kept
+    where they are read twice."""
     wide = rows.join(sizes, "id")
     for base, h in bases.items():
         wide = wide.join(h.select("id", *(F.col(c).alias(f"{c}:{base}") for c in h.columns if c.startswith("h_"))), "id", "left")
@@ -388,6 +396,16 @@ def _variants(rows: DataFrame, sizes: DataFrame, bases: dict[str, DataFrame], va
     return wide.withColumns(products), models
 
 
+def _variant_fits(rows: DataFrame, sizes: DataFrame, bases: dict[str, DataFrame], variants: dict[str, tuple[str, str]]) -> hdfe.Fits:
+    """All variants fitted together; the similarities, and sizes, are kept as long as that takes."""
+    bases = {base: h.persist() for base, h in bases.items()}
+    wide, models = _variants(rows, sizes, bases, variants)
+    found = hdfe.fits(wide.filter(is_train()), models, EFFECTS, CLUSTERS)
+    for df in (sizes, *bases.values()):
+        df.unpersist()
+    return found
+
+
 def _residual_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Texts without the language that recurs in training rows."""
     train = rows.filter(is_train())
@@ -410,10 +428,8 @@ def robustness(spark: SparkSession, d: str) -> DataFrame:
     bases = {"use": _similar(rows, texts, ["current", "recent", *mirrors, "completed"], sizes), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"], sizes)}
     for field in ("use", "description"):
         bases[f"masked_{field}"] = _similar(*with_texts(spark, d, field, mask=True), ["current", "recent"], sizes)
-    wide, models = _variants(rows, sizes, bases, variants)
-    found = hdfe.fits(wide.filter(is_train()), models, EFFECTS, CLUSTERS)
-    sizes.unpersist()
-    out = {name: hdfe.coefficients(spark, found.one(name, "y")) for name in models}
+    found = _variant_fits(rows, sizes, bases, variants)
+    out = {name: hdfe.coefficients(spark, found.one(name, "y")) for name in variants}
     out = effects.labelled({name: df.filter(F.col("term").rlike("^z_(ch|vg):")).withColumn("term", F.split("term", ":")[0]) for name, df in out.items()})
     return effects.meaningful(out, 0.01)
 
@@ -424,9 +440,7 @@ def representation_test(spark: SparkSession, d: str) -> DataFrame:
     rows, texts = with_texts(spark, d)
     sizes = pools.pools(rows, ["current", "recent"]).persist()
     bases = {"raw": _similar(rows, texts, ["current", "recent"], sizes), "residual": _similar(rows, _residual_texts(rows, texts), ["current", "recent"], sizes)}
-    wide, models = _variants(rows, sizes, bases, {b: (b, "recent") for b in bases})
-    found = hdfe.fits(wide.filter(is_train()), models, EFFECTS, CLUSTERS)
-    sizes.unpersist()
+    found = _variant_fits(rows, sizes, bases, {b: (b, "recent") for b in bases})
     raw, residual = ({r[0].split(":")[0]: r for r in found.one(b, "y").table()} for b in bases)
     terms = ["z_ch", "z_vg"]
     pair = lambda t: (("raw", "y", f"{t}:raw"), ("residual", "y", f"{t}:residual"))
@@ -443,12 +457,12 @@ DEALS = 19
 
 def placebo(spark: SparkSession, d: str) -> DataFrame:
     """The interaction when similarity is dealt anew among the listings of each week: its coefficient as observed, the law of it over the deals, and p."""
-    rows = model_rows(spark, d).filter(is_train()).select("id", "y", *SLOPES, *EFFECTS).dropna().persist()
-    dealt = {f"z_h:{k}": F.get("dealt", F.lit(k)) for k in range(DEALS)}
-    wide = effects.permuted(rows, "z_h", ["week"], DEALS).withColumns(dealt | {f"z_ch:{k}": F.col("z_c") * h for k, h in enumerate(dealt.values())})
-    models = {"observed": (["y"], SLOPES)} | {str(k): (["y"], ["z_c", f"z_h:{k}", f"z_ch:{k}", *SLOPES[3:]]) for k in range(DEALS)}
-    found = hdfe.fits(wide, models, EFFECTS, CLUSTERS)
-    rows.unpersist()
+    with _modelled(spark, d) as rows:
+        rows = rows.filter(is_train()).select("id", "y", *SLOPES, *EFFECTS).dropna()
+        dealt = {f"z_h:{k}": F.get("dealt", F.lit(k)) for k in range(DEALS)}
+        wide = effects.permuted(rows, "z_h", ["week"], DEALS).withColumns(dealt | {f"z_ch:{k}": F.col("z_c") * h for k, h in enumerate(dealt.values())})
+        models = {"observed": (["y"], SLOPES)} | {str(k): (["y"], ["z_c", f"z_h:{k}", f"z_ch:{k}", *SLOPES[3:]]) for k in range(DEALS)}
+        found = hdfe.fits(wide, models, EFFECTS, CLUSTERS)
     out = []
     for i, term in ((1, "z_h"), (2, "z_ch")):
         beta = [float(found.one(name, "y").beta[i]) for name in models]
