@@ -17,7 +17,7 @@ MASKS = [
 
 
 def masked(c: Column, names: list[str] = ()) -> Column:
-    """A text without dates, amounts and numbers, and without the given names or places (a small list)."""
+    """A text without dates, amounts and numbers, and without the given names or places: a small list; dictionary_masked() takes any number."""
     for pattern, mark in MASKS:
         c = F.regexp_replace(c, pattern, mark)
     if names:
@@ -26,6 +26,39 @@ def masked(c: Column, names: list[str] = ()) -> Column:
     return c
 
 
+#: What counts as a word of a name, and what hides a run of them.
+WORD, NAME = r"[\p{L}\p{N}]+", "<NAME>"
+
+
+def dictionary_masked(texts: DataFrame, names: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, text, n_names): texts in which each maximal run of words that names cover, with what stands between them, is one NAME.
+
+    names: one column, of any number of names and places; a name is a sequence of words, whatever their case and what stands between them. Only words that
+    begin a name are looked up further, as runs of the lengths that names with that word have, by joins; so the dictionary may be as large as the texts, and
+    no pattern holds it. Names that overlap or touch hide one run. Text null: null, 0 names. A name without words hides nothing. Keys are unique.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
+    known = names.select(words(F.col(names.columns[0])).alias("w")).filter(F.size("w") > 0).select(F.col("w")[0].alias("first"), F.size("w").alias("n"), F.array_join("w", " ").alias("run")).distinct()
+    lengths = known.groupBy("first").agg(F.collect_set("n").alias("lengths"))
+    longest = known.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    runs = texts.select(key, words(F.col(text)).alias("w"))
+    runs = runs.select(key, F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("first"), F.slice(F.col("w"), i + 1, longest).alias("ahead")))).alias("at", "x")).select(key, "at", "x.*")
+    runs = runs.join(lengths, "first").select(key, "at", "ahead", F.explode("lengths").alias("n")).filter(F.col("n") <= F.size("ahead"))
+    found = runs.select(key, "at", "n", F.array_join(F.slice("ahead", 1, F.col("n")), " ").alias("run")).join(known.select("run").distinct(), "run", "left_semi")
+    hidden = found.groupBy(key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("hidden"))
+    # a text is its words, and what is before, between and behind them
+    parts = texts.select(key, text, F.split(text, WORD).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("own")).join(hidden, key, "left")
+    edge = lambda step: F.filter("hidden", lambda p, i: F.coalesce(F.get("hidden", i + step) != p + step, F.lit(True)))
+    parts = parts.withColumns({"begins": edge(-1), "ends": edge(1)})
+    piece = lambda a, b: F.array_join(F.transform(F.sequence(a, b), lambda j: F.concat(F.get("gaps", j), F.get("own", j))), "")
+    ahead = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1) + 1)
+    kept = lambda i, b: F.concat(F.when(b > ahead(i), piece(ahead(i), b - 1)).otherwise(""), F.get("gaps", b), F.lit(NAME))
+    last = F.element_at("ends", -1) + 1
+    rest = F.concat(F.when(F.size("own") > last, piece(last, F.size("own") - 1)).otherwise(""), F.element_at("gaps", -1))
+    masked_text = F.when(F.col("hidden").isNull(), F.col(text)).otherwise(F.concat(F.array_join(F.transform("begins", lambda b, i: kept(i, b)), ""), rest))
+    return parts.select(key, masked_text.alias(text), F.coalesce(F.size("begins"), F.lit(0)).cast("long").alias("n_names"))
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 

@@ -147,6 +147,17 @@ ORACLES = {
         SELECT a.day, any_value(a.n)::BIGINT AS n, sum(b.n)::BIGINT AS volume FROM d a JOIN d b ON b.day BETWEEN a.day - 6 AND a.day GROUP BY a.day""",
     "masked_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b', '<DATE>', 'g'),
         '[$€£]\s?\d[\d.,]*|\b\d[\d.,]*\s?(?:USD|EUR|GBP)\b', '<AMOUNT>', 'g'), '\b\d[\d.,]*\b', '<NUMBER>', 'g')) AS masked_md5 FROM documents""",
+    "masked_names": r"""WITH t AS (
+            SELECT c_custkey AS id, 'For ' || c_name || ' of ' || n_name || ', ' || lower(n_name) || ': ' || text AS text
+            FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN documents ON doc_id = c_custkey % (SELECT count(*) FROM documents)
+        ), w AS (SELECT id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS g FROM t),
+        d AS (SELECT DISTINCT regexp_extract_all(lower(name), '[\p{L}\p{N}]+') AS d FROM (SELECT c_name AS name FROM customer UNION SELECT n_name FROM nation UNION SELECT r_name FROM region)),
+        n AS (SELECT DISTINCT len(d) AS n FROM d WHERE len(d) > 0), u AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        h AS (SELECT DISTINCT id, unnest(range(i, i + n)) AS p FROM u, n WHERE list_transform(w[i : i + n - 1], lambda x: lower(x)) IN (SELECT d FROM d)),
+        r AS (SELECT w.id, k.i, g[k.i] AS gap, w.w[k.i] AS word, h.p IS NOT NULL AS hidden FROM w JOIN (SELECT id, unnest(range(1, len(w) + 2)) AS i FROM w) k ON k.id = w.id LEFT JOIN h ON h.id = w.id AND h.p = k.i),
+        m AS (SELECT *, coalesce(lag(hidden) OVER (PARTITION BY id ORDER BY i), false) AS before FROM r)
+        SELECT id, count(*) FILTER (WHERE hidden AND NOT before)::BIGINT AS n_names,
+            md5(string_agg(CASE WHEN hidden AND before THEN '' WHEN hidden THEN gap || '<NAME>' ELSE gap || coalesce(word, '') END, '' ORDER BY i)) AS masked_md5 FROM m GROUP BY id""",
     "tfidf_terms": f"""WITH {DOCS}, tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM doc) GROUP BY ALL),
         idf AS (SELECT term, ln((1 + (SELECT count(*) FROM doc)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
         x AS (SELECT id, term, tf * idf AS x FROM tf JOIN idf USING (term))

@@ -14,7 +14,7 @@ from poolscope.operators import effects, features, hdfe, holdout, pools, profile
 from poolscope.operators import homogeneity as hom
 from poolscope.plans.spec import DAY, SPEC
 from poolscope.sources import sinks
-from poolscope.sources.tables import is_train, loans, micros, table, texted, with_texts
+from poolscope.sources.tables import is_train, loans, micros, names, table, texted, with_texts
 
 R = 6
 EFFECTS, CLUSTERS = ["country", "activity", "week", "gender", "interval", "weekday", "hour"], ["country", "week"]
@@ -146,6 +146,16 @@ def masked_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.md5(text.masked(F.col("text"))).alias("masked_md5"))
 
 
+def masked_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names and places hidden in a text about each customer, made of their own and their nation's name, which the documents lack, and a whole document."""
+    docs, customers, nations = (table(spark, d, t) for t in ("documents", "customer", "nation"))
+    many = docs.count()
+    rows = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(docs, F.pmod("c_custkey", F.lit(many)) == F.col("doc_id"))
+    said = F.concat(F.lit("For "), "c_name", F.lit(" of "), "n_name", F.lit(", "), F.lower("n_name"), F.lit(": "), "text")
+    out = text.dictionary_masked(rows.select(F.col("c_custkey").alias("id"), said.alias("text")), names(spark, d))
+    return out.select("id", "n_names", F.md5("text").alias("masked_md5"))
+
+
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"), F.col("lang").alias("country"))
 
@@ -600,7 +610,7 @@ QUERIES = {
     for f in (
         null_profile, duplicate_ids, duration_quantiles, lag_gap_days, negative_duration, status_crosstab, fast_funding_rate, sample_flow, median_by_year,
         top_countries, eligible_sectors, data_profile, calendar_parts, privacy_projection, structure_sample, frozen_spec, current_pool, recent_pool,
-        completed_lag_pool, mirror_pool_14d, mirror_pool_16d, min_pool_filter, platform_pool, platform_volume_7d, masked_text, tfidf_terms, bigram_df,
+        completed_lag_pool, mirror_pool_14d, mirror_pool_16d, min_pool_filter, platform_pool, platform_volume_7d, masked_text, masked_names, tfidf_terms, bigram_df,
         char_ngrams, hashed_terms, recurring_phrases, residual_text, public_ngrams, redacted_paths, focal_homogeneity, recent_homogeneity,
         focal_homogeneity_description, recent_homogeneity_description, homogeneity_audit,
         dense_mean_cosine, zscore_interactions, scenario_quantiles, support_count, regime_by_year, fe_ols_gram, within_fit, hdfe_fit, scenario_contrast, joint_wald,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.operators.text import masked, tokens
+from poolscope.operators.text import dictionary_masked, masked, tokens
 from poolscope.plans.spec import SPEC, Spec
 
 
@@ -52,15 +52,16 @@ def loans(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("u1", F.col("u0") + F.col("hours") * F.lit(3_600_000_000))
 
 
-def places(spark: SparkSession, folder: str) -> list[str]:
-    """Names of nations and regions: two tables that don't grow."""
-    return [r[0] for name, column in (("nation", "n_name"), ("region", "r_name")) for r in table(spark, folder, name).select(column).orderBy(column).collect()]
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of customers, nations and regions."""
+    parts = [table(spark, folder, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("nation", "n_name"), ("region", "r_name"))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def with_texts(spark: SparkSession, folder: str, field: str = "use", mask: bool = False) -> tuple[DataFrame, DataFrame]:
     """loans() with text_id, and (text_id, tokens) of whole texts, which several listings may share: as the short `use`, the opening message of the
-    conversation at id modulo their number, as the long `description` the document at id modulo theirs. mask: without dates, amounts, numbers and places
-    before it is split. A listing whose text is not there is an error."""
+    conversation at id modulo their number, as the long `description` the document at id modulo theirs. mask: without names and places, dates, amounts
+    and numbers before it is split. A listing whose text is not there is an error."""
     if field == "use":
         texts = table(spark, folder, "conversations").filter("turn = 0").select(F.col("conv_id").alias("text_id"), "text")
     elif field == "description":
@@ -68,11 +69,12 @@ def with_texts(spark: SparkSession, folder: str, field: str = "use", mask: bool
     else:
         raise ValueError(field)
     many = texts.count()
-    words = tokens(masked(F.col("text"), places(spark, folder)) if mask else F.col("text"))
+    if mask:
+        texts = dictionary_masked(texts, names(spark, folder), "text_id").withColumn("text", masked(F.col("text")))
     rows = loans(spark, folder).withColumn("_at", F.pmod("id", F.lit(many)))
     rows = rows.join(texts.select("text_id"), F.col("_at") == F.col("text_id"), "left")
     known = F.when(F.col("text_id").isNull(), F.raise_error(F.concat(F.lit(f"no {field} at "), F.col("_at").cast("string"))).cast("long")).otherwise(F.col("text_id"))
-    return rows.withColumn("text_id", known).drop("_at"), texts.select("text_id", words.alias("tokens"))
+    return rows.withColumn("text_id", known).drop("_at"), texts.select("text_id", tokens(F.col("text")).alias("tokens"))
 
 
 def texted(spark: SparkSession, folder: str, field: str = "use", mask: bool = False) -> DataFrame:

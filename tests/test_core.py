@@ -199,6 +199,17 @@ def test_masks_hide_names(spark):
     assert rows.select(text.masked(F.col("t"), ["York", "New York"])).first()[0] == "In <NAME> and <NAME> on <DATE>, <AMOUNT> or <NUMBER> of Yorkshire."
 
 
+def test_dictionary_masks(spark):
+    """Longest runs, overlapping and touching names, any case and separators, nulls, texts without words, names without words."""
+    names = ["New York", "york city", "Ann", "O'Neil", "Zoë", "New", "!!", None, "a b c"]
+    texts = ["In new  YORK city, Ann met o'neil; Anna and York did not.", "Zoë", " zoë-ann ", None, "", "...", "none here", "a b a b c, a b", "NEW new", "x" * 50_000 + " ann"]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id int, text string, w int")
+    got = {r["id"]: (r["text"], r["n_names"]) for r in text.dictionary_masked(rows, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    want = ["In <NAME> met <NAME>; Anna and York did not.", "<NAME>", " <NAME> ", None, "", "...", "none here", "a b <NAME>, a b", "<NAME>", "x" * 50_000 + " <NAME>"]
+    assert {i: t for i, (t, _) in got.items()} == dict(enumerate(want)) and [got[i][1] for i in range(10)] == [2, 1, 1, 0, 0, 0, 0, 1, 1, 1]
+    assert text.dictionary_masked(rows, spark.createDataFrame([], "name string")).filter("n_names > 0").isEmpty()
+
+
 def test_standardised_uses_training_rows(spark):
     rows = spark.createDataFrame([(1.0, True), (3.0, True), (100.0, False)], "a double, train boolean")
     z = [r["z_a"] for r in features.standardised(rows, ["a"], F.col("train")).orderBy("a").collect()]
