@@ -215,6 +215,14 @@ ORACLES = {
     "simulated_shares": f"""WITH {SIMULATED} SELECT u0 // {365 * DAY} AS period, round(avg(template), 6) AS templates, round(avg(unfunded), 6) AS unfunded FROM sim GROUP BY 1""",
     "shock_cells": f"""WITH {SIMULATED} SELECT 'sector' || s AS sector, week::INT AS week, count(*)::BIGINT AS n, round(avg(shock), 6) AS shock FROM sim GROUP BY ALL""",
     "qa_gates": GATES,
+    "sensitive_content": r"""WITH l AS (SELECT translate(text, chr(10) || chr(13), '  ') || ' /home/user' || doc_id::VARCHAR || '/a.txt' AS t FROM documents),
+        o AS (SELECT 'raw' AS output, t FROM l UNION ALL SELECT 'redacted', regexp_replace(t, '(?:[A-Za-z]:\\Users\\|/home/|/Users/|/root/)[^\s"''<>|]*', '<PRIVATE_PATH>', 'g') FROM l),
+        h AS (
+            SELECT output, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}') AS v FROM o
+            UNION ALL SELECT output, 'private_path', regexp_extract_all(t, '(?:[A-Za-z]:\\Users\\|/home/|/Users/|/root/)[^\x00-\x20"''<>|]{0,999}') FROM o
+            UNION ALL SELECT output, 'access_key', regexp_extract_all(t, 'AKIA[A-Z0-9]{16,64}') FROM o
+            UNION ALL SELECT output, 'labelled_secret', regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?[:=]["'']?[A-Za-z0-9+/_.=-]{6,256}') FROM o
+        ) SELECT output, kind, sum(len(v))::BIGINT AS hits, sum(list_sum(list_transform(v, lambda x: strlen(x))))::BIGINT AS bytes FROM h WHERE len(v) > 0 GROUP BY ALL""",
     "sink_round_trips": f"WITH {LOAN} " + " UNION ALL ".join(f"SELECT '{x}' AS sink, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids, sum(hours)::BIGINT AS hours, count(DISTINCT sector)::BIGINT AS sectors, max(year)::INT AS last_year FROM loan" for x in ("shards", "csv", "json")),
     "calibration": f"WITH {FIXED} " + " UNION ALL ".join(f"SELECT '{g}' AS dimension, {g} AS grp, count(*)::BIGINT AS n, round(avg(prob) - avg(fast), 6) AS gap FROM f72 GROUP BY {g}" for g in ("sector", "gender")),
 }

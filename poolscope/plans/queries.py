@@ -587,6 +587,17 @@ def file_manifest(spark: SparkSession, d: str) -> DataFrame:
     return sinks.manifest(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
+def sensitive_content(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be published in whole documents with a private path each, as they are and after paths are redacted: hits and their bytes by kind."""
+    folder, parts = sinks.shared_dir(spark), {}
+    line = F.translate(F.concat_ws(" ", "text", F.concat(F.lit("/home/user"), F.col("doc_id").cast("string"), F.lit("/a.txt"))), "\n\r", "  ")
+    rows = table(spark, d, "documents").select(line.alias("value"))
+    for name, df in (("raw", rows), ("redacted", rows.select(sinks.redacted(F.col("value")).alias("value")))):
+        df.write.text(f"{folder}/{name}")
+        parts[name] = sinks.sensitive(spark, f"{folder}/{name}").groupBy("kind").agg(F.count("*").alias("hits"), F.sum("bytes").alias("bytes"))
+    return effects.labelled(parts, "output")
+
+
 def sink_round_trips(spark: SparkSession, d: str) -> DataFrame:
     """Listings through each sink and back: rows, and sums over them."""
     rows = loans(spark, d).select("id", "hours", "sector", "year")
@@ -615,6 +626,6 @@ QUERIES = {
         focal_homogeneity_description, recent_homogeneity_description, homogeneity_audit,
         dense_mean_cosine, zscore_interactions, scenario_quantiles, support_count, regime_by_year, fe_ols_gram, within_fit, hdfe_fit, scenario_contrast, joint_wald,
         year_effects, group_effects, robustness, representation_test, placebo, market_trigger, holdout_metrics, calibration, holdout_comparison, subgroup_gaps, truth_scoring, simulated_shares,
-        shock_cells, qa_gates, file_manifest, sink_round_trips,
+        shock_cells, qa_gates, file_manifest, sensitive_content, sink_round_trips,
     )
 }

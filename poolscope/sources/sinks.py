@@ -6,6 +6,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+from functools import partial
 from pathlib import Path
 
 import pyarrow as pa
@@ -64,6 +65,66 @@ def manifest(spark: SparkSession, folder: str, tasks: int = 64) -> DataFrame:
     return found.repartition(tasks).mapInArrow(_hashed, "path string, bytes long, sha256 string")
 
 
+#: What outputs must not hold: kind, a pattern over bytes that white space and control characters always end, and how many bytes of it are looked at.
+SENSITIVE = [
+    ("email", rb"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
+    ("private_path", rb"(?:[A-Za-z]:\\Users\\|/home/|/Users/|/root/)[^\x00-\x20\"'<>|]{0,1024}"),
+    ("access_key", rb"AKIA[A-Z0-9]{16,64}"),
+    ("labelled_secret", rb"(?i:password|passwd|secret|token|api_?key)[\"']?[:=][\"']?[A-Za-z0-9+/_.=-]{6,256}"),
+]
+#: Bytes that no hit exceeds.
+LONGEST = 4096
+_END = re.compile(rb"[\x00-\x20]")
+
+
+def _cut(buffer: bytes, done: bool) -> int:
+    """How far a buffer can be searched before more of the file is known: up to its last byte that ends every hit, which is sought among the last LONGEST;
+    where there is none, hits may begin up to there."""
+    if done:
+        return len(buffer)
+    tail = max(0, len(buffer) - LONGEST)
+    ends = [m.end() for m in _END.finditer(buffer, tail)]
+    return ends[-1] if ends else tail
+
+
+def hits_of(source, patterns: list[tuple[str, bytes]], step: int) -> list[tuple[str, int, int]]:
+    """(kind, offset, bytes) of all hits in a stream, leftmost and not overlapping for each kind, whatever the steps it is read in."""
+    found, buffer, base, done = [], b"", 0, False
+    compiled = [(kind, re.compile(p)) for kind, p in patterns]
+    start = dict.fromkeys((kind for kind, _ in patterns), 0)  # where each kind's search goes on, in the file
+    while not done:
+        part = source.read(step)
+        done, buffer = not part, buffer + part
+        cut = _cut(buffer, done)
+        for kind, p in compiled:
+            at = start[kind] - base
+            while (m := p.search(buffer, at)) and (m.start() < cut):
+                found.append((kind, base + m.start(), m.end() - m.start()))
+                at = m.end()
+            start[kind] = base + max(at, cut)
+        keep = min(cut, *(x - base for x in start.values()))
+        buffer, base = buffer[keep:], base + keep
+    return sorted(found, key=lambda x: (x[1], x[0]))
+
+
+def _sensitive(batches, patterns, step):
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, own = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(own, compression=None) as source:
+                rows = hits_of(source, patterns, step)
+            for a in range(0, len(rows), 10_000):
+                kind, at, n = zip(*rows[a : a + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(kind)), pa.array(kind), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["path", "kind", "offset", "bytes"])
+
+
+def sensitive(spark: SparkSession, folder: str, patterns: list[tuple[str, bytes]] = SENSITIVE, tasks: int = 64, step: int = STEP) -> DataFrame:
+    """path, kind, offset, bytes of what the files below a folder must not hold. Files are read as streams, each by one task, in steps; hits across the ends of
+    steps are found once. Offsets count bytes of the file as it is stored, so compressed files are searched as such. Values themselves are not returned."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return found.repartition(tasks).mapInArrow(partial(_sensitive, patterns=patterns, step=step), "path string, kind string, offset long, bytes long")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that all tasks can write to: in spark.checkpoint.dir, or where that is unset and all tasks run here, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)

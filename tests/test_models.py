@@ -1,5 +1,8 @@
 """Estimators against numpy: several models at once, many levels, permutations, group contrasts, selected quantiles."""
 
+import io
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from poolscope.functions.tails import chi2_upper
 from poolscope.operators import effects, features, hdfe, holdout, quantiles
 from poolscope.plans.queries import QUERIES
+from poolscope.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -184,3 +188,22 @@ def test_model_queries_have_whole_results(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert len(rows) == {"hdfe_fit": 20, "scenario_contrast": 4, "joint_wald": 2, "year_effects": 12, "representation_test": 2, "holdout_comparison": 14, "subgroup_gaps": 14}[name]
     assert all(v is not None for r in rows for v in r)
+
+
+@pytest.mark.parametrize("step", [1, 7, 100, 1 << 20])
+def test_sensitive_content_across_blocks(spark, tmp_path, step):
+    """Hits that lie across the ends of steps, runs without white space, and binary files, against one search of the whole."""
+    rng = np.random.default_rng(4)
+    junk = lambda n: bytes(rng.integers(33, 127, n, np.uint8))
+    parts = [b"write to ann@example.org or /home/ann/x.txt,", junk(50), b"password=hunter22 token:'abcdef123'", b"AKIA" + b"ABCDEFGH12345678", junk(9000), b" x@y.z.com AKIA" + b"Q" * 70, bytes(rng.integers(0, 256, 3000, np.uint8)), b"C:\\Users\\me\\a b@c.de"]
+    whole = b" ".join(parts * 3) + b"\n" + b"/root/" + b"k" * 20
+    want = sorted(((kind, m.start(), m.end() - m.start()) for kind, p in sinks.SENSITIVE for m in re.finditer(p, whole)), key=lambda x: (x[1], x[0]))
+    got = sinks.hits_of(io.BytesIO(whole), sinks.SENSITIVE, step) if step > 1 else sinks.hits_of(io.BytesIO(whole[:3000]), sinks.SENSITIVE, 1)
+    assert got == (want if step > 1 else sorted(((kind, m.start(), m.end() - m.start()) for kind, p in sinks.SENSITIVE for m in re.finditer(p, whole[:3000])), key=lambda x: (x[1], x[0])))
+    assert len({k for k, _, _ in want}) == 4
+    if step == 100:
+        (tmp_path / "a").mkdir()
+        (tmp_path / "a" / "one.bin").write_bytes(whole)
+        (tmp_path / "two.txt").write_bytes(b"")
+        rows = sinks.sensitive(spark, str(tmp_path), step=step).collect()
+        assert sorted((r["kind"], r["offset"], r["bytes"]) for r in rows) == sorted(want) and all(r["path"].endswith("one.bin") for r in rows)
