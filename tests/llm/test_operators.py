@@ -315,7 +315,10 @@ def test_decontamination_in_passes(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = docs.union(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
     one, clean = Counter(tuple(r) for r in decontam.contaminated(docs, bench).collect()), Counter(tuple(r) for r in decontam.decontaminate(docs, bench).collect())
+    assert len(decontam._parts(bench, "item_id", "text", 5)[1]) == 1
     monkeypatch.setattr(decontam, "PASS_WORDS", 300)
+    rows, passes = decontam._parts(bench, "item_id", "text", 5)
+    assert len(passes) > 3 and sorted(r["id"] for c in passes for r in rows.filter(c).collect()) == sorted(r["item_id"] for r in bench.collect())
     assert Counter(tuple(r) for r in decontam.contaminated(docs, bench).collect()) == one and one
     assert Counter(tuple(r) for r in decontam.decontaminate(docs, bench).collect()) == clean
 
@@ -331,7 +334,10 @@ def test_containment_search_has_recall():
         cut = len(w) // 2
         docs += [" ".join(filler[:1000] + w + filler[1000:]), " ".join(filler[:500] + w[:cut] + filler[500:900] + w[cut:] + filler[900:]), " ".join(w[: len(w) * 7 // 10] + filler)]
     index = decontam.Items(list(range(len(items))), items, 5, 75)
-    assert len(index.hashes) < sum(index.sizes) / 8
+    assert sum(len(p.hashes) for p in index.parts) < sum(index.sizes) / 8
+    # a partition of large items looks at few of a document's shingles, whatever small items there are beside it
+    bounds = [p.bound / 2.0**64 for p in index.parts]
+    assert bounds == sorted(bounds, reverse=True) and bounds[0] == 1 and bounds[-1] < 0.01 and len(bounds) > 4
     sets = [set(zip(*(t.encode().split()[i:] for i in range(5)), strict=False)) for t in docs]
     want = {(i, j) for i, s in enumerate(sets) for j, q in enumerate(index.sets) if 100 * len(s & q) >= 75 * len(q)}
     got = {(i, j) for i, j, _ in decontam.search(index, pa.array(docs))}
