@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from poolscope.plans.spec import DAY, SPEC, Spec
 
-#: Span of a block of a sweep. A group's sweep is dealt over its blocks, so a large group is no single task.
-BLOCK = 30 * DAY
+#: Span of a block of a sweep, and cells that a block has. A group's sweep is dealt over the cells, so a large group is no single task.
+BLOCK, CELLS = 30 * DAY, 4096
 #: Half-lives after which a weight is below the precision of a double.
 FORGOTTEN = 64
 
@@ -24,6 +24,11 @@ def block_of(at: Column, block: int = BLOCK) -> Column:
     return F.floor(at / F.lit(block)).cast("long")
 
 
+def cell_of(at: Column, block: int = BLOCK) -> Column:
+    """The number of an instant's cell within its block."""
+    return F.floor(F.pmod(at, F.lit(block)) * F.lit(CELLS) / F.lit(block)).cast("int")
+
+
 def growth(u0: Column, at: Column, spec: Spec = SPEC, block: int = BLOCK) -> Column:
     """2^(time / half-life) of a listing's time, from the beginning of the block of `at`; ratios of it within a block are half-life weights.
 
@@ -35,8 +40,9 @@ def growth(u0: Column, at: Column, spec: Spec = SPEC, block: int = BLOCK) -> Col
 def sweep(moves: DataFrame, asks: DataFrame, keys: list[str], sums: list[str], fading: list[str] = (), covered: bool = False, spec: Spec = SPEC, block: int = BLOCK) -> DataFrame:
     """asks (keys, at, and others) with the sums of the moves (keys, at, sums and fading) up to and including `at`.
 
-    Moves of one instant are added up first, so that no window has more rows than there are instants, however many listings share one. Sums before a
-    block come from the totals of the blocks, of which there are few; sums inside a block from a window over its instants. Columns in `fading` are
+    Moves of one instant are added up first, so that no window has more rows than there are instants, however many listings share one. A sum has three
+    parts: the totals of earlier blocks, of which there are few; those of earlier cells of the block, at most CELLS; and a window over the instants of the
+    cell, some ten minutes. So a month of one platform with every listing at its own microsecond is thousands of windows. Columns in `fading` are
     multiples of growth(), each from its block's beginning: totals of earlier blocks fade by the half-lives that lie between, and are forgotten after 64.
     covered: every row of asks has a move at its own instant; else its instant is added.
     """
@@ -44,10 +50,13 @@ def sweep(moves: DataFrame, asks: DataFrame, keys: list[str], sums: list[str], f
     steps = moves.select(*keys, "at", *values)
     if not covered:
         steps = steps.union(asks.select(*keys, "at", *(F.lit(0).cast(moves.schema[v].dataType).alias(v) for v in values)))
-    steps = steps.groupBy(*keys, block_of(F.col("at"), block).alias("block"), "at").agg(*(F.sum(v).alias(v) for v in values))
-    totals = steps.groupBy(*keys, "block").agg(*(F.sum(v).alias(v) for v in values))
+    added = [F.sum(v).alias(v) for v in values]
+    steps = steps.groupBy(*keys, block_of(F.col("at"), block).alias("block"), cell_of(F.col("at"), block).alias("cell"), "at").agg(*added)
+    in_cells = steps.groupBy(*keys, "block", "cell").agg(*added)
+    totals = in_cells.groupBy(*keys, "block").agg(*added)
     earlier = W.partitionBy(*keys).orderBy("block")
-    before = [F.coalesce(F.sum(v).over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"b_{v}") for v in sums]
+    sum_before = lambda v, w: F.coalesce(F.sum(v).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = [sum_before(v, earlier).alias(f"b_{v}") for v in sums]
     if fading:
         each = block / (spec.half_life_days * DAY)
         last = F.collect_list(F.struct("block", *fading)).over(earlier.rangeBetween(-ceil(FORGOTTEN / each) - 1, -1)).alias("last")
@@ -56,9 +65,12 @@ def sweep(moves: DataFrame, asks: DataFrame, keys: list[str], sums: list[str], f
         totals = totals.select(*keys, "block", *(f"b_{v}" for v in sums), *(faded(v).alias(f"b_{v}") for v in fading))
     else:
         totals = totals.select(*keys, "block", *before)
-    inside = W.partitionBy(*keys, "block").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
-    run = steps.select(*keys, "block", "at", *(F.sum(v).over(inside).alias(v) for v in values)).join(totals, [*keys, "block"])
-    run = run.select(*keys, "at", *((F.col(f"b_{v}") + F.col(v)).alias(v) for v in values))
+    cells = W.partitionBy(*keys, "block").orderBy("cell")
+    ahead = in_cells.select(*keys, "block", "cell", *(sum_before(v, cells).alias(f"c_{v}") for v in values)).join(totals, [*keys, "block"])
+    ahead = ahead.select(*keys, "block", "cell", *((F.col(f"b_{v}") + F.col(f"c_{v}")).alias(f"a_{v}") for v in values))
+    inside = W.partitionBy(*keys, "block", "cell").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    run = steps.select(*keys, "block", "cell", "at", *(F.sum(v).over(inside).alias(v) for v in values)).join(ahead, [*keys, "block", "cell"])
+    run = run.select(*keys, "at", *((F.col(f"a_{v}") + F.col(v)).alias(v) for v in values))
     return asks.join(run, [*keys, "at"])
 
 
