@@ -195,8 +195,8 @@ def residual_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def public_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    docs = _doc_tokens(spark, d)
-    return sinks.publishable(text.term_counts(docs, text.unigrams_and_bigrams(F.col("tokens"))).groupBy("term").agg(F.count("*").alias("df")), "df", 20)
+    least = 20
+    return sinks.publishable(text.document_counts(_doc_tokens(spark, d), text.unigrams_and_bigrams(F.col("tokens")), least), "df", least)
 
 
 def redacted_paths(spark: SparkSession, d: str) -> DataFrame:

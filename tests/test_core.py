@@ -1,5 +1,6 @@
 import hashlib
 import os
+from collections import Counter
 from dataclasses import replace
 
 import duckdb
@@ -58,6 +59,26 @@ def test_sweep_over_many_blocks(spark):
         assert got[i] == sum(s == t and j != i and x <= a < x + y for j, x, y, t in rows)
 
 
+@pytest.mark.parametrize("span", [40 * DAY, 3_600_000_000])
+def test_sweep_of_distinct_instants(spark, monkeypatch, span):
+    """Every listing at a microsecond of its own, over a block or crowded into an hour of it, before and after 1970, with blocks of any number of cells."""
+    rng = np.random.default_rng(6)
+    spec = replace(SPEC, lag_from_days=span / DAY / 10, lag_to_days=span / DAY / 3)
+    rows = [(i, int(u), int(u + h), "ab"[int(s)]) for i, (u, h, s) in enumerate(zip(rng.integers(-span // 2, span // 2, 400), rng.integers(0, span // 4, 400), rng.integers(0, 2, 400), strict=True))]
+    df = spark.createDataFrame(rows, "id long, u0 long, u1 long, sector string")
+    found = []
+    for cells in (1, 7, 4096):
+        monkeypatch.setattr(pools, "CELLS", cells)
+        found.append({r["id"]: r for r in pools.pools(df, ["current", "recent", "completed"], [], spec).collect()})
+    low, high = int(span / 10), int(span / 3)
+    for i, u, _, _ in rows:
+        near = [(u - x, y <= u) for j, x, y, _ in rows if j != i and low <= u - x < high]
+        for got in found:
+            assert got[i]["n_current"] == sum(x <= u < y for j, x, y, _ in rows if j != i) and got[i]["n_recent"] == len(near)
+            assert got[i]["n_completed"] == sum(done for _, done in near)
+            assert got[i]["v_recent"] == pytest.approx(sum(2 ** (-g / (7 * DAY)) for g, _ in near), abs=1e-9)
+
+
 def test_weights_hold_over_any_span(spark):
     """Listings decades apart, in the same and in other groups, change nothing for the rest."""
     rng = np.random.default_rng(4)
@@ -187,6 +208,22 @@ def test_phrases_and_residual(spark):
     assert left == {0: ["x0"], 1: ["x1"], 2: ["x2"], 9: [], 10: ["z"]}
 
 
+@pytest.mark.parametrize("counters", [1 << 12, 64])
+def test_sketch_loses_no_frequent_term(spark, monkeypatch, counters):
+    """Exact counts at any size of the sketch, of terms at the threshold, of hot ones, and with null, empty and repeated terms."""
+    monkeypatch.setattr(text, "COUNTERS", counters)
+    rng = np.random.default_rng(7)
+    docs = [["hot", "hot", *(f"t{int(x)}" for x in rng.zipf(1.3, 30) % 5000), f"rare{i}"] for i in range(300)] + [None, [], [None, "", "hot"], ["", ""]]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id long, t array<string>")
+    for least in (1, 5, 40, 1000):
+        want = Counter(w for d in docs for w in set(d or []))
+        got = text.document_counts(rows, F.col("t"), least).collect()
+        assert {r["term"]: r["df"] for r in got} == {w: n for w, n in want.items() if n >= least} and len(got) == len({r["term"] for r in got})
+    passed = text.frequent_terms(rows, F.col("t"), 40, ["id"])
+    assert passed.columns == ["id", "term"] and (counters == 64 or passed.count() < 2 * sum(n for n in want.values() if n >= 40))
+    assert text.document_counts(rows.limit(0), F.col("t"), 1).count() == 0
+
+
 def test_char_ngrams_of_any_text(spark):
     texts = [None, "", "ab", "abc", "é😀b😀", "x" * 300_000 + "yz"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
