@@ -103,40 +103,37 @@ def unit_vectors(counts: DataFrame, weights: DataFrame, key: str = "id") -> Data
     return rows.select(key, "term", (F.col("x") / norm).alias("w"))
 
 
-#: Counters in each of the two rows of a sketch of document counts; a power of two.
-COUNTERS = 1 << 21
+#: Counters of a sketch of document counts; a power of two, 64 or more.
+COUNTERS = 1 << 22
 
 
-def _counters(term: Column) -> list[Column]:
-    """A term's counter in each row of a sketch."""
-    h = F.xxhash64(term)
-    return [h.bitwiseAND(F.lit(COUNTERS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(COUNTERS - 1)) + F.lit(COUNTERS)]
+def _counter(term: Column) -> Column:
+    return F.xxhash64(term).bitwiseAND(F.lit(COUNTERS - 1))
 
 
-def _reached(df: DataFrame, terms: str, least: int) -> DataFrame:
-    """One row, `reached`: a bit per counter of a count-min sketch of document counts, set where the count is `least` or more, in words of 64 bits.
+def _reached(terms: DataFrame, least: int) -> Column:
+    """A bit per counter of a sketch of the rows of `term`, set where `least` rows or more share the counter, in words of 64 bits.
 
-    terms: an array column of a document's distinct terms. Counts are added up per task, so a task sends two rows of COUNTERS numbers at most.
+    Tasks add up their own counts, so each sends COUNTERS numbers at most; the bits are one value of a fixed size.
     """
-    numbers = df.select(F.explode(F.flatten(F.transform(terms, lambda t: F.array(*_counters(t))))).alias("counter"))
-    full = numbers.groupBy("counter").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    full = terms.groupBy(_counter(F.col("term")).alias("counter")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     words = full.groupBy(F.shiftright("counter", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(counter & 63 as int))")).alias("bits"))
-    words = df.sparkSession.range(2 * COUNTERS // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda w: w["bits"]).alias("reached"))
+    words = terms.sparkSession.range(COUNTERS // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda w: w["bits"])).scalar()
 
 
 def frequent_terms(df: DataFrame, terms: Column, least: int, keep: list[str] = ()) -> DataFrame:
     """(keep, term): a row for each distinct term of a document, of those terms that may be in `least` documents or more; no term that is, is missing.
 
-    A first pass counts documents in a count-min sketch of a fixed size; a term is left out where one of its counters stays below `least`, before it is
-    exploded, so that rare terms, which are most, are never shuffled. With m terms a document the sketch tells them apart while m documents' worth of
-    chance, m * documents / COUNTERS, is below `least`: at any size where `least` is a share of the documents, else as far as that goes. Terms that it lets
-    through beyond these are for the caller's exact count to drop. Rows whose terms are null have none.
+    A first pass counts documents per hash of a term, in a sketch of a fixed size whose counts are never too low; a term is left out where its counter stays
+    below `least`, so that rare terms, which are most, are never shuffled. With m terms a document the sketch tells them apart while m * documents / COUNTERS
+    is below `least`: at any size where `least` is a share of the documents, else as far as that goes. Terms that it lets through beyond these are for the
+    caller's exact count to drop. Documents whose terms are null have none; a null among terms is a term.
     """
-    rows = df.select(*keep, F.array_distinct(terms).alias("_terms"))
-    bit = lambda c: F.getbit(F.get("reached", F.shiftright(c, 6).cast("int")), c.bitwiseAND(F.lit(63)).cast("int")) == 1
-    both = lambda t: bit(_counters(t)[0]) & bit(_counters(t)[1])
-    return rows.crossJoin(F.broadcast(_reached(rows, "_terms", least))).select(*keep, F.explode(F.filter("_terms", both)).alias("term"))
+    rows = df.select(*keep, F.explode(F.array_distinct(terms)).alias("term"))
+    counter = _counter(F.col("term"))
+    word = F.get(_reached(rows, least), F.shiftright(counter, 6).cast("int"))
+    return rows.filter(F.getbit(word, counter.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 
 def document_counts(df: DataFrame, terms: Column, least: int) -> DataFrame:

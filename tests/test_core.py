@@ -208,7 +208,7 @@ def test_phrases_and_residual(spark):
     assert left == {0: ["x0"], 1: ["x1"], 2: ["x2"], 9: [], 10: ["z"]}
 
 
-@pytest.mark.parametrize("counters", [1 << 12, 64])
+@pytest.mark.parametrize("counters", [1 << 14, 64])
 def test_sketch_loses_no_frequent_term(spark, monkeypatch, counters):
     """Exact counts at any size of the sketch, of terms at the threshold, of hot ones, and with null, empty and repeated terms."""
     monkeypatch.setattr(text, "COUNTERS", counters)
