@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from poolscope.operators.text import unigrams_and_bigrams
+from poolscope.plans.spec import SPEC
 
 def predict(train: DataFrame, hold: DataFrame, columns: list[str], y: str, flag: str, ridge: float = 1e-6) -> DataFrame:
     """hold with pred (of y) and prob (of flag), by deterministic solvers on the training rows. Rows with a null feature are left out."""
@@ -16,12 +19,41 @@ def predict(train: DataFrame, hold: DataFrame, columns: list[str], y: str, flag:
     train, hold = parts.transform(train), parts.transform(hold)
     line = LinearRegression(featuresCol="_features", labelCol=y, predictionCol="pred", regParam=ridge, solver="normal").fit(train)
     logit = LogisticRegression(featuresCol="_features", labelCol=flag, predictionCol="_class", probabilityCol="_prob", rawPredictionCol="_raw", regParam=ridge).fit(train)
-    from pyspark.ml.functions import vector_to_array
-
     out = logit.transform(line.transform(hold))
     return out.withColumn("prob", vector_to_array("_prob")[1]).drop("_features", "_prob", "_raw", "_class")
 
 
+def text_vectors(texts: DataFrame, train: DataFrame, buckets: int = SPEC.hash_buckets, key: str = "text_id", tokens: str = "tokens") -> DataFrame:
+    """(key, vector): each text's words and pairs of words as a sparse vector of length 1 over hashed buckets, weighed by tf * ln((1 + N) / (1 + df)).
+
+    Document frequencies are of the rows of train (key), so a text that several share counts for each. What every training row has weighs nothing; a text
+    of such terms alone, without words, or null, is a vector of zeros. The number of buckets bounds what is summed and broadcast, whatever the vocabulary.
+    """
+    terms = unigrams_and_bigrams(F.coalesce(tokens, F.array().cast("array<string>")))
+    counts = HashingTF(numFeatures=buckets, inputCol="_terms", outputCol="_tf").transform(texts.select(key, terms.alias("_terms"))).select(key, "_tf")
+    weighed = IDF(inputCol="_tf", outputCol="_weighed").fit(train.select(key).join(counts, key)).transform(counts)
+    return Normalizer(inputCol="_weighed", outputCol="vector").transform(weighed).select(key, "vector")
+
+
+def predict_sparse(train: DataFrame, hold: DataFrame, columns: list[str], vector: str, y: str, flag: str, ridge: float = 1e-4, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
+    """predict() with a sparse vector beside the columns. Rows with a null feature are left out.
+
+    Columns are centred and scaled by the training rows; the vector is taken as it is, and both are penalised alike. Each round is one pass over the sparse
+    training rows, whose gradients are summed in a tree, so the driver holds a few vectors of the features' fixed number and never a matrix of them.
+    """
+    dense = VectorAssembler(inputCols=columns, outputCol="_dense", handleInvalid="skip")
+    both = VectorAssembler(inputCols=["_scaled", vector], outputCol="_features", handleInvalid="skip")
+    train, hold = dense.transform(train), dense.transform(hold)
+    scaler = StandardScaler(withMean=True, inputCol="_dense", outputCol="_scaled").fit(train)
+    train = both.transform(scaler.transform(train)).select("_features", F.col(y).cast("double").alias(y), F.col(flag).cast("double").alias(flag)).persist()
+    shared = {"featuresCol": "_features", "regParam": ridge, "maxIter": rounds, "tol": tol, "standardization": False}
+    line = LinearRegression(labelCol=y, predictionCol="pred", solver="l-bfgs", **shared).fit(train)
+    logit = LogisticRegression(labelCol=flag, predictionCol="_class", probabilityCol="_prob", rawPredictionCol="_raw", family="binomial", **shared).fit(train)
+    train.unpersist()
+    out = logit.transform(line.transform(both.transform(scaler.transform(hold))))
+    return out.withColumn("prob", vector_to_array("_prob")[1]).drop("_dense", "_scaled", "_features", "_prob", "_raw", "_class")
+
+
 #: Ranges of probability that are ranked apart.
 RANGES = 4096
 

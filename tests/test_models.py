@@ -2,6 +2,7 @@
 
 import io
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -183,6 +184,46 @@ def test_followed_rows_alone_count(spark):
     assert {r["metric"]: r["value"] for r in holdout.metrics(rows, "y", "pred", "flag", "prob").collect()}["mae_log"] == pytest.approx(9.5 / 3)
 
 
+def test_sparse_predictor_equals_numpy(spark):
+    """Vectors against counts by hand, and both models against the minimum of their penalised loss, by the normal equations and by Newton's method."""
+    rng = np.random.default_rng(8)
+    words = {i: [f"w{int(x)}" for x in rng.integers(0, 25, int(rng.integers(0, 12)))] for i in range(60)} | {60: [], 61: None}
+    texts = spark.createDataFrame(list(words.items()), "text_id long, tokens array<string>")
+    grams = {i: Counter([*(t or []), *(f"{a} {b}" for a, b in zip(t or [], (t or [])[1:], strict=False))]) for i, t in words.items()}
+    rows = [(k, int(rng.integers(0, 62)), float(rng.normal(3, 2)), k % 3 > 0) for k in range(300)]
+    rows = [(k, i, a, bool(t), 0.3 * a + grams[i]["w1"] + float(rng.normal()), int(0.5 * a + grams[i]["w2"] + rng.normal() > 2)) for k, i, a, t in rows]
+    df = spark.createDataFrame(rows, "id long, text_id long, a double, train boolean, y double, flag int")
+    train = df.filter("train")
+    found = {r["text_id"]: r["vector"].toArray() for r in holdout.text_vectors(texts, train, 1 << 20).collect()}
+    fitted = [r for r in rows if r[3]]
+    n = Counter(g for r in fitted for g in grams[r[1]])
+    for i, own in grams.items():
+        x = {g: c * np.log((1 + len(fitted)) / (1 + n[g])) for g, c in own.items()}
+        norm = np.sqrt(sum(v * v for v in x.values())) or 1.0
+        assert np.allclose(sorted(v for v in found[i] if v), sorted(v / norm for v in x.values() if v), atol=1e-12)
+    vectors = holdout.text_vectors(texts, train, 64)
+    both = df.join(vectors, "text_id")
+    blank = both.limit(1).select("id", "text_id", F.lit(None).cast("double").alias("a"), F.lit(False).alias("train"), "y", "flag", "vector")
+    got = {r["id"]: r for r in holdout.predict_sparse(both.filter("train"), both.filter("not train").union(blank), ["a"], "vector", "y", "flag", 0.01, 200, 1e-9).collect()}
+    assert set(got) == {r[0] for r in rows if not r[3]}
+    vector = {r["text_id"]: r["vector"].toArray() for r in vectors.collect()}
+    a = np.array([r[2] for r in fitted])
+    design = lambda rs: np.column_stack([np.ones(len(rs)), [(r[2] - a.mean()) / a.std(ddof=1) for r in rs], [vector[r[1]] for r in rs]])
+    x, y, flag = design(fitted), np.array([r[4] for r in fitted]), np.array([r[5] for r in fitted])
+    free = np.eye(x.shape[1])
+    free[0, 0] = 0
+    # the penalty of the line is in units of the outcome's deviation
+    line = np.linalg.solve(x.T @ x / len(x) + 0.01 / y.std(ddof=1) * free, x.T @ y / len(x))
+    logit = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ logit))
+        logit -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + 0.01 * free, x.T @ (p - flag) / len(x) + 0.01 * free @ logit)
+    hold = [r for r in rows if not r[3]]
+    z = design(hold)
+    assert np.allclose([got[r[0]]["pred"] for r in hold], z @ line, atol=1e-5)
+    assert np.allclose([got[r[0]]["prob"] for r in hold], 1 / (1 + np.exp(-z @ logit)), atol=1e-5)
+
+
 @pytest.mark.parametrize("name", ["hdfe_fit", "scenario_contrast", "joint_wald", "year_effects", "representation_test", "holdout_comparison", "subgroup_gaps"])
 def test_model_queries_have_whole_results(spark, name):
     rows = QUERIES[name](spark, SF).collect()
