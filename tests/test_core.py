@@ -60,16 +60,13 @@ def test_sweep_over_many_blocks(spark):
 
 
 @pytest.mark.parametrize("span", [40 * DAY, 3_600_000_000])
-def test_sweep_of_distinct_instants(spark, monkeypatch, span):
-    """Every listing at a microsecond of its own, over a block or crowded into an hour of it, before and after 1970, with blocks of any number of cells."""
+def test_sweep_of_distinct_instants(spark, span):
+    """Every listing at a microsecond of its own, over a block or crowded into an hour of it, before and after 1970."""
     rng = np.random.default_rng(6)
     spec = replace(SPEC, lag_from_days=span / DAY / 10, lag_to_days=span / DAY / 3)
     rows = [(i, int(u), int(u + h), "ab"[int(s)]) for i, (u, h, s) in enumerate(zip(rng.integers(-span // 2, span // 2, 400), rng.integers(0, span // 4, 400), rng.integers(0, 2, 400), strict=True))]
     df = spark.createDataFrame(rows, "id long, u0 long, u1 long, sector string")
-    found = []
-    for cells in (1, 7, 4096):
-        monkeypatch.setattr(pools, "CELLS", cells)
-        found.append({r["id"]: r for r in pools.pools(df, ["current", "recent", "completed"], [], spec).collect()})
+    found = [{r["id"]: r for r in pools.pools(df, ["current", "recent", "completed"], [], spec).collect()}]
     low, high = int(span / 10), int(span / 3)
     for i, u, _, _ in rows:
         near = [(u - x, y <= u) for j, x, y, _ in rows if j != i and low <= u - x < high]
