@@ -10,11 +10,15 @@ from poolscope.plans.spec import SPEC, Spec
 
 
 def standardised(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
-    """df with z_<column>, by mean and sample deviation of the training rows; the parameters are one row. A constant column has z null."""
-    own = df.filter(train).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns))
-    both = df.crossJoin(F.broadcast(own))
-    z = [((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0))).alias(f"z_{c}") for c in columns]
-    return both.select(*df.columns, *z)
+    """df with z_<column>, by mean and sample deviation of the training rows. A constant column has z null.
+
+    The parameters are computed once, here: sums of doubles depend on the order in which tasks end, so that every pass over a lazy plan would have z-scores
+    that differ in their last bits, and exact quantiles, which take several passes, would not find their values again.
+    """
+    own = df.filter(train).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
+    known = lambda x: F.lit(x).cast("double")
+    z = [((F.col(f"`{c}`") - known(own[f"m_{c}"])) / F.nullif(known(own[f"s_{c}"]), F.lit(0.0))).alias(f"z_{c}") for c in columns]
+    return df.select("*", *z)
 
 
 def interaction(a: str, b: str) -> Column:
