@@ -214,7 +214,7 @@ def _dots(batches, keys: int, kinds: list[str], half_life: float):
 def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: list[str] | None = None, spec: Spec = SPEC, sizes: DataFrame | None = None) -> DataFrame:
     """id, and for each kind n_<kind>, h_<kind>, and where ages weigh v_<kind>: mean cosine of each listing to each of its pools; null where a pool is empty.
 
-    vectors: packed_vectors() by text_id, which loans has too; they are written once to the folder that all executors share. Listings move in and out of all
+    vectors: packed_vectors() by text_id, which loans has too; both are written once to the folder that all executors share. Listings move in and out of all
     pools and ask, in order of time, in one task per group, block of time and shard of terms, which keeps running sums per term (_Sums). A task has a text's
     vector once, however many listings of its part share it; listings themselves are shuffled without their terms. Own weight times sum, less the listing itself,
     over the pool's size is the mean of all cosines. sizes: pools() of these kinds without logs, where it is there already.
@@ -226,21 +226,24 @@ def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: l
         grouped = []
     else:
         grouped = keys
-    vectors = kept(vectors, "vectors")
+    # read for the parts, the moves, the pools and the result
+    rows, vectors = kept(rows, "listings"), kept(vectors, "vectors")
     block, shards, high = _cuts(rows, vectors, keys, kinds, spec)
     part = [*keys, "block", "shard"]
     events = _events(rows, keys, kinds, block, shards, high, spec)
     needed = events.select("text_id", *part).distinct().join(_pieces(vectors, shards), ["text_id", "shard"])
     blank = lambda names, of: [F.lit(None).cast(of.schema[c].dataType).alias(c) for c in names]
     own = ["id", "at", "u0", "role", *(f"s_{k}" for k in kinds)]
-    both = needed.select(*part, "text_id", *blank(own, events), "slots", "weights").union(events.select(*part, "text_id", *own, *blank(["slots", "weights"], needed)))
+    # empty arrays and not null: the writer of Arrow batches steps through all nulls before a row to tell a batch's size
+    empty = [F.array().cast(needed.schema[c].dataType).alias(c) for c in ("slots", "weights")]
+    both = needed.select(*part, "text_id", *blank(own, events), "slots", "weights").union(events.select(*part, "text_id", *own, *empty))
     both = both.repartition(*part).sortWithinPartitions(*part, "at", "role")
     schema = f"id {loans.schema['id'].dataType.simpleString()}, norm double, " + ", ".join(f"dot_{k} double" for k in kinds)
     found = both.mapInArrow(partial(_dots, keys=len(keys), kinds=kinds, half_life=spec.half_life_days * DAY), schema)
     if shards > 1:
         found = found.groupBy("id").agg(F.sum("norm").alias("norm"), *(F.sum(f"dot_{k}").alias(f"dot_{k}") for k in kinds))
     dots = rows.join(found, "id").select("id", *((F.col(f"dot_{k}") - of_itself(k, spec) * F.col("norm")).alias(f"dot_{k}") for k in kinds))
-    out = (pools(loans, kinds, grouped, replace(spec, log_volume=False)) if sizes is None else sizes).join(dots, "id", "left")
+    out = (pools(rows, kinds, grouped, replace(spec, log_volume=False)) if sizes is None else sizes).join(dots, "id", "left")
     columns = []
     for k in kinds:
         size = F.col(f"v_{k}") if weighs(k) else F.col(f"n_{k}").cast("double")
