@@ -61,3 +61,17 @@ def test_standardised_has_one_set_of_parameters(spark):
     assert first == second
     low = features.scenario_quantiles(z, ["z_a"], F.lit(True), replace(SPEC, low=0.1)).first()
     assert low["low"] == pytest.approx(np.quantile(first, 0.1), rel=1e-12)
+
+
+def test_pairs_by_text_equal_pairs_by_listing(spark):
+    """The audit's vectors have a row per term of a text, not of a listing."""
+    df, words = listings(spark)
+    vectors = text.text_vectors(words, df.filter("id % 2 = 0").groupBy("text_id").agg(F.count("*").alias("n"))).persist()
+    own = text.vectors(df.join(words, "text_id"), F.col("tokens"), F.col("id") % 2 == 0).persist()
+    assert vectors.count() * 10 < own.count()
+    focal = df.filter("id % 5 = 0").select("id")
+    for kind in KINDS:
+        a, b = (f(df, v, focal, kind).persist() for f, v in ((hom.pairwise_texts, vectors), (hom.pairwise, own)))
+        found = hom.audit(a, b).first()
+        assert found["checks"] == a.count() == b.count() > 10 and found["max_error"] < 1e-12
+        assert {(r["id"], r["n"]) for r in a.collect()} == {(r["id"], r["n"]) for r in b.collect()}
