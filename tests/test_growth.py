@@ -75,3 +75,14 @@ def test_pairs_by_text_equal_pairs_by_listing(spark):
         found = hom.audit(a, b).first()
         assert found["checks"] == a.count() == b.count() > 10 and found["max_error"] < 1e-12
         assert {(r["id"], r["n"]) for r in a.collect()} == {(r["id"], r["n"]) for r in b.collect()}
+
+
+def test_phrases_of_shared_texts_equal_phrases_of_listings(spark):
+    """Runs are taken from each text once; documents and countries are counted by the listings that have a text. Texts without listings count for nothing."""
+    texts = spark.createDataFrame([(0, list("abcdefg")), (1, list("bcdefx")), (2, list("abcab")), (3, []), (4, None), (5, list("abcdefg"))], "text_id long, tokens array<string>")
+    rows = spark.createDataFrame([(i, i % 5, f"c{i % 3}" if i % 7 else None) for i in range(60)], "id long, text_id long, country string")
+    copies = rows.groupBy("text_id", "country").agg(F.count("*").alias("n"))
+    for least, countries in ((13, 3), (25, 1)):
+        want = text.recurring_phrases(rows.join(texts, "text_id"), "tokens", least, countries, 3).collect()
+        got = text.shared_phrases(texts, copies, "tokens", least, countries, 3).collect()
+        assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want) and (least == 25 or want)
