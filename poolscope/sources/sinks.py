@@ -22,9 +22,9 @@ def write_shards(df: DataFrame, path: str, shards: int = 30) -> None:
     df.repartition(shards).write.mode("overwrite").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A result table: one file with a header. For small tables."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, whole: bool = True) -> None:
+    """A result table: one file with a header, for small tables; or where whole is false, a file with a header from each task, for tables of any size."""
+    (df.coalesce(1) if whole else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

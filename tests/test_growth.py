@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from poolscope.operators import features, text
 from poolscope.operators import homogeneity as hom
 from poolscope.plans.spec import DAY, SPEC
+from poolscope.sources import sinks
 
 KINDS = ["current", "recent", "completed", "mirror14d"]
 
@@ -86,3 +87,12 @@ def test_phrases_of_shared_texts_equal_phrases_of_listings(spark):
         want = text.recurring_phrases(rows.join(texts, "text_id"), "tokens", least, countries, 3).collect()
         got = text.shared_phrases(texts, copies, "tokens", least, countries, 3).collect()
         assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want) and (least == 25 or want)
+
+
+def test_csv_of_any_size_is_not_written_by_one_task(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 3).withColumn("s", F.when(F.col("id") % 2 == 0, F.lit("a,b")))
+    for whole, files in ((True, 1), (False, 3)):
+        path = str(tmp_path / str(whole))
+        sinks.write_csv(rows, path, whole)
+        back = spark.read.schema("id long, s string").option("header", True).csv(path)
+        assert len(back.inputFiles()) == files and back.exceptAll(rows).isEmpty() and back.count() == 3000
