@@ -18,31 +18,36 @@ from poolscope.plans.spec import DAY, SPEC, Spec
 from poolscope.sources.sinks import kept
 
 
-#: Blocks that a span of time is cut into at least, unless listings stay longer than a block; and bytes of vectors that a task should hold.
-BLOCKS, HELD = 24, 1 << 28
+#: Parts that the work is cut into at least, unless listings stay too long for as many blocks; bytes of vectors that a task should hold; and bytes that a
+#: listing's events take where they are dealt.
+BLOCKS, HELD, EVENTS = 24, 1 << 28, 150
 
 
 def _cuts(rows: DataFrame, vectors: DataFrame, keys: list[str], kinds: list[str], spec: Spec) -> tuple[int, int, int]:
-    """Length of a block of time, shards of terms, and the last question's instant. They are that a task holds some HELD bytes of vectors: those of a
-    group's texts in a block.
+    """Length of a block of time, shards of terms, and the last question's instant. They are that a task holds some HELD bytes of vectors: those of the texts
+    in a block.
 
     Blocks are no shorter than listings stay in a pool on average, since a listing is carried into every block that it stays into; what is too much for
-    such a block is cut by terms.
+    such a block is cut by terms. A block gets each of its texts once, and a shard each listing of its block: of the cuts that are possible, the one that deals
+    fewest bytes is taken, so that texts that many listings share are rather cut by terms, and others by time.
     """
     stays = [F.avg(F.greatest(F.lit(0), leave - enter)).alias(f"stay_{k}") for k in kinds for enter, leave in (interval(k, spec),)]
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("u0").alias("low"), F.max("u0").alias("high"), *stays)
-    found = groups.agg(F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), *(F.max(f"stay_{k}").alias(f"stay_{k}") for k in kinds)).first()
+    found = groups.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), *(F.max(f"stay_{k}").alias(f"stay_{k}") for k in kinds)).first()
     texts = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("slots")), F.lit(0)).alias("terms")).first()
     if not found["n"] or not texts["n"]:
         return DAY, 1, 0
     span, stay = found["high"] - found["low"] + 1, max(1, ceil(max(found[f"stay_{k}"] or 0 for k in kinds)))
-    each = 12 * texts["terms"] / texts["n"]
-    held = lambda block: min(texts["n"], 2 * found["n"] * min(1.0, (block + stay) / span)) * each
-    blocks = BLOCKS
-    while held(span / blocks) > HELD and span / (2 * blocks) >= stay:
-        blocks *= 2
-    block = max(ceil(span / blocks), stay)
-    return block, max(1, ceil(held(block) / HELD)), found["high"]
+    each, most = 12 * texts["terms"] / texts["n"], max(1.0, span / stay)
+
+    def cut(blocks: float) -> tuple[float, float, int]:
+        carried = found["n"] * (1 + blocks / most)
+        held = min(texts["n"], carried / blocks) * each
+        shards = max(ceil(held / HELD), ceil(min(BLOCKS, most) / blocks))
+        return blocks * held + shards * carried * EVENTS, blocks, shards
+
+    _, blocks, shards = min(cut(min(most, BLOCKS * 2.0**k)) for k in range(-2, 9))
+    return max(ceil(span / blocks), stay), shards, found["high"]
 
 
 def _events(rows: DataFrame, keys: list[str], kinds: list[str], block: int, shards: int, high: int, spec: Spec) -> DataFrame:
@@ -68,13 +73,34 @@ def _events(rows: DataFrame, keys: list[str], kinds: list[str], block: int, shar
     return events.select("id", "text_id", *keys, "u0", "block", F.explode(many).alias("shard"), "at", "role", *(f"s_{k}" for k in kinds))
 
 
+def _binary(x: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Numbers as byte strings of so many numbers each."""
+    ends = np.concatenate([[0], np.cumsum(lens) * x.itemsize]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _numbers(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in byte strings, and how many each has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    own = column.buffers()[2]
+    return np.frombuffer(own.slice(int(ends[0]), int(ends[-1] - ends[0])) if own else b"", kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def _cut_up(batches, shards: int):
+    for batch in batches:
+        lens = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        slots, weights = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+        cell = np.repeat(np.arange(len(lens)), lens) * shards + slots % shards
+        order = np.argsort(cell, kind="stable")
+        cell, lens = np.unique(cell, return_counts=True)
+        own = [batch.column(0).take(pa.array(cell // shards)), pa.array((cell % shards).astype(np.int32)), _binary((slots // shards)[order].astype(np.int32), lens), _binary(weights[order], lens)]
+        yield pa.RecordBatch.from_arrays(own, ["text_id", "shard", "slots", "weights"])
+
+
 def _pieces(vectors: DataFrame, shards: int) -> DataFrame:
-    """(text_id, shard, slots, weights): vectors cut by terms; slots of a shard are numbered from 0."""
-    if shards == 1:
-        return vectors.select("text_id", F.lit(0).alias("shard"), "slots", "weights")
-    both = vectors.select("text_id", F.explode(F.array(*(F.lit(s) for s in range(shards)))).alias("shard"), F.arrays_zip("slots", "weights").alias("t"))
-    both = both.select("text_id", "shard", F.filter("t", lambda t: t["slots"] % F.lit(shards) == F.col("shard")).alias("t")).filter(F.size("t") > 0)
-    return both.select("text_id", "shard", F.transform("t", lambda t: F.floor(t["slots"] / F.lit(shards)).cast("int")).alias("slots"), F.transform("t", lambda t: t["weights"]).alias("weights"))
+    """(text_id, shard, slots, weights): vectors cut by terms, their numbers as bytes; slots of a shard are numbered from 0."""
+    kind = vectors.schema["text_id"].dataType.simpleString()
+    return vectors.select("text_id", "slots", "weights").mapInArrow(partial(_cut_up, shards=shards), f"text_id {kind}, shard int, slots binary, weights binary")
 
 
 #: Terms that a step of a sweep takes at once, and half-lives that it may span; both keep running sums exact to 1e-12 or so.
@@ -121,9 +147,11 @@ class _Sums:
             for k in range(len(self.kinds)):
                 if role[a]:
                     out[k, a:b] = np.bincount(row, self.sums[k][slots[own]] * weights[own], minlength=b - a)
-                elif signs[k][a:b].any():
-                    there = signs[k][a:b][row] != 0
-                    np.add.at(self.sums[k], slots[own][there], (sign[k][a:b][row] * weights[own])[there])
+                elif (there := signs[k][a:b] != 0).any():
+                    moved = (sign[k][a:b][row] * weights[own], slots[own])
+                    if not there.all():
+                        moved = tuple(x[there[row]] for x in moved)
+                    np.add.at(self.sums[k], moved[1], moved[0])
         return out
 
     def _by_slot(self, u0, role, signs, lens, slots, weights, fades, runs) -> np.ndarray:
@@ -147,21 +175,27 @@ class _Sums:
 
 
 class _Held:
-    """Vectors of a group's texts in a block and shard."""
+    """Vectors of a block's texts in a shard."""
 
     def __init__(self):
         self.parts, self.texts = [], None
 
     def add(self, batch: pa.RecordBatch) -> None:
-        self.parts.append((batch["text_id"], batch["slots"].value_lengths().to_numpy(zero_copy_only=False), batch["slots"].flatten().to_numpy(zero_copy_only=False), batch["weights"].flatten().to_numpy(zero_copy_only=False)))
+        slots, lens = _numbers(batch["slots"], np.int32)
+        self.parts.append((batch["text_id"], lens, slots, _numbers(batch["weights"], np.float64)[0]))
 
     def close(self) -> None:
         texts, lens, slots, weights = zip(*self.parts, strict=True) if self.parts else ((), (), (), ())
         self.parts, self.texts = [], pa.chunked_array(texts).combine_chunks() if texts else pa.array([])
         self.lens = np.concatenate([*lens, np.zeros(0, np.int64)]).astype(np.int64)
         del lens
-        self.slots, self.weights = np.concatenate([*slots, np.zeros(0, np.int32)]).astype(np.int32, copy=False), np.concatenate([*weights, np.zeros(0)])
+        self.slots, self.weights = np.concatenate([*slots, np.zeros(0, np.int32)]), np.concatenate([*weights, np.zeros(0)])
         self.begin = np.cumsum(self.lens) - self.lens
+        self.order = None
+        if pa.types.is_integer(self.texts.type) and not self.texts.null_count:
+            numbers = self.texts.to_numpy()
+            self.order = np.argsort(numbers)
+            self.numbers = numbers[self.order]
 
     def places(self, texts: pa.Array) -> np.ndarray:
         """The place of each text, or -1 where it has no vector."""
@@ -169,21 +203,37 @@ class _Held:
             self.close()
         if not len(self.texts):
             return np.full(len(texts), -1)
-        return pc.index_in(texts, value_set=self.texts).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if self.order is None or texts.null_count:
+            return pc.index_in(texts, value_set=self.texts).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = texts.to_numpy()
+        at = np.minimum(np.searchsorted(self.numbers, own), len(self.numbers) - 1)
+        return np.where(self.numbers[at] == own, self.order[at], -1)
+
+
+def _runs(columns: list[pa.Array]) -> np.ndarray:
+    """Where rows begin that differ from those before them, null being equal to null."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for column in columns:
+        own = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= own[1:] != own[:-1]
+    return np.flatnonzero(new)
 
 
 def _dots(batches, keys: int, kinds: list[str], half_life: float):
-    """(id, norm, dot per kind) of each row that asks, from rows sorted by group, block, shard, instant and role; a part's vectors come first, without instants.
-    A task holds one part's vectors and sums, and a step's terms."""
+    """(id, norm, dot per kind) of each row that asks, from rows sorted by block, shard, group, instant and role; a part's vectors come first, without group and
+    instant. A task holds one part's vectors, one group's sums, and a step's terms."""
     now, sums, held = None, None, None
     for batch in batches:
-        group = list(zip(*(batch.column(i).to_pylist() for i in range(keys + 2)), strict=True))
-        new = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
-        for begin, end in zip(new[:-1], new[1:], strict=True):
-            if begin == end:
-                continue
-            if group[begin] != now:
-                now, sums, held = group[begin], _Sums(kinds, half_life), _Held()
+        columns = [batch.column(i) for i in range(keys + 2)]
+        new = _runs(columns)
+        for begin, end in zip(new, np.append(new[1:], batch.num_rows), strict=True):
+            begin, end = int(begin), int(end)
+            group = tuple(c[begin].as_py() for c in columns)
+            if now is None or group[:2] != now[:2]:
+                held = _Held()
+            if group != now:
+                now, sums = group, _Sums(kinds, half_life)
             part = batch.slice(begin, end - begin)
             vectors = part["at"].null_count
             if vectors:
@@ -215,8 +265,8 @@ def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: l
     """id, and for each kind n_<kind>, h_<kind>, and where ages weigh v_<kind>: mean cosine of each listing to each of its pools; null where a pool is empty.
 
     vectors: packed_vectors() by text_id, which loans has too; both are written once to the folder that all executors share. Listings move in and out of all
-    pools and ask, in order of time, in one task per group, block of time and shard of terms, which keeps running sums per term (_Sums). A task has a text's
-    vector once, however many listings of its part share it; listings themselves are shuffled without their terms. Own weight times sum, less the listing itself,
+    pools and ask, in order of time, in one task per block of time and shard of terms, which keeps running sums per group and term (_Sums). A task has a text's
+    vector once, however many listings and groups of its part share it; listings themselves are shuffled without their terms. Own weight times sum, less the listing itself,
     over the pool's size is the mean of all cosines. sizes: pools() of these kinds without logs, where it is there already.
     """
     keys = ["sector"] if keys is None else keys
@@ -229,15 +279,17 @@ def similarities(loans: DataFrame, vectors: DataFrame, kinds: list[str], keys: l
     # read for the parts, the moves, the pools and the result
     rows, vectors = kept(rows, "listings"), kept(vectors, "vectors")
     block, shards, high = _cuts(rows, vectors, keys, kinds, spec)
-    part = [*keys, "block", "shard"]
+    part = ["block", "shard"]
     events = _events(rows, keys, kinds, block, shards, high, spec)
-    needed = events.select("text_id", *part).distinct().join(_pieces(vectors, shards), ["text_id", "shard"])
+    there = _events(rows, keys, kinds, block, 1, high, spec).select("text_id", "block").distinct()
+    needed = there.join(_pieces(vectors, shards), "text_id")
     blank = lambda names, of: [F.lit(None).cast(of.schema[c].dataType).alias(c) for c in names]
-    own = ["id", "at", "u0", "role", *(f"s_{k}" for k in kinds)]
-    # empty arrays and not null: the writer of Arrow batches steps through all nulls before a row to tell a batch's size
-    empty = [F.array().cast(needed.schema[c].dataType).alias(c) for c in ("slots", "weights")]
-    both = needed.select(*part, "text_id", *blank(own, events), "slots", "weights").union(events.select(*part, "text_id", *own, *empty))
-    both = both.repartition(*part).sortWithinPartitions(*part, "at", "role")
+    own = [*keys, "id", "at", "u0", "role", *(f"s_{k}" for k in kinds)]
+    # empty bytes and not null: the writer of Arrow batches steps through all nulls before a row to tell a batch's size
+    empty = [F.lit(b"").alias(c) for c in ("slots", "weights")]
+    grouping = [*part, *keys]
+    both = needed.select(*part, *blank(keys, events), "text_id", *blank(own[len(keys) :], events), "slots", "weights").union(events.select(*grouping, "text_id", *own[len(keys) :], *empty))
+    both = both.repartition(*part).sortWithinPartitions(*grouping, "at", "role")
     schema = f"id {loans.schema['id'].dataType.simpleString()}, norm double, " + ", ".join(f"dot_{k} double" for k in kinds)
     found = both.mapInArrow(partial(_dots, keys=len(keys), kinds=kinds, half_life=spec.half_life_days * DAY), schema)
     if shards > 1:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from poolscope.operators.grams import listed
+from poolscope.operators.grams import listed, word_counts
 from poolscope.plans.spec import SPEC, Spec
 from poolscope.sources.sinks import kept
 
@@ -206,13 +212,38 @@ def packed_vectors(texts: DataFrame, copies: DataFrame, key: str = "text_id", to
     those of its terms that training rows know. Weights are tf * idf of idf() over training rows, so a text that many rows share is counted, split and
     weighed once. Texts without known terms have no rows.
     """
-    counts = term_counts(texts.select(key, F.col(tokens).alias("_terms")).repartition(key), F.col("_terms"), key)
+    # read for the weights of terms and for the vectors
+    counts = kept(word_counts(texts, tokens, (1,), key), "counts")
     total = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     known = counts.join(copies, key).groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(total))
     known = known.select("term", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int").alias("shard"), (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
     # terms are numbered by turns of the shards, which are of about one size
     known = known.withColumn("slot", (F.row_number().over(W.partitionBy("shard").orderBy("term")) - 1) * F.lit(SHARDS) + F.col("shard"))
-    rows = counts.join(known, "term").groupBy(key).agg(F.collect_list(F.struct("slot", (F.col("tf") * F.col("idf")).alias("x"))).alias("t"))
-    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, t: a + t["x"] * t["x"]))
-    rows = rows.select(key, "t", norm.alias("norm"))
-    return rows.select(key, F.transform("t", lambda t: t["slot"]).alias("slots"), F.transform("t", lambda t: t["x"] / F.col("norm")).alias("weights"))
+    rows = counts.join(known, "term").select(key, "slot", (F.col("tf") * F.col("idf")).alias("x")).repartition(key).sortWithinPartitions(key, "slot")
+    schema = T.StructType([rows.schema[key], T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(partial(_packed, names=schema.names), schema)
+
+
+def _packed(batches, names):
+    """A row per key, its numbers as lists scaled to length 1, from rows sorted by key; the last key of a batch waits for what follows."""
+    held = None
+
+    def out(rows):
+        keys, x = rows.column(0), rows.column(2).to_numpy()
+        seen = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        ends = np.append(first, len(x)).astype(np.int32)
+        weights = x / np.repeat(np.sqrt(np.add.reduceat(x * x, first)), np.diff(ends))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(first)), pa.ListArray.from_arrays(ends, rows.column(1)), pa.ListArray.from_arrays(ends, pa.array(weights))], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        begin = pc.index(batch.column(0), batch.column(0)[-1]).as_py() if batch.column(0)[-1].is_valid else batch.num_rows - batch.column(0).null_count
+        if begin:
+            yield out(batch.slice(0, begin))
+        held = batch.slice(begin)
+    if held is not None:
+        yield out(held)

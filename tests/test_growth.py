@@ -4,6 +4,7 @@ import time
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,33 @@ def test_csv_of_any_size_is_not_written_by_one_task(spark, tmp_path):
         sinks.write_csv(rows, path, whole)
         back = spark.read.schema("id long, s string").option("header", True).csv(path)
         assert len(back.inputFiles()) == files and back.exceptAll(rows).isEmpty() and back.count() == 3000
+
+
+def test_a_long_text_is_scaled_once(spark):
+    """Its length is summed up once, not for each of its terms: 60,000 distinct ones would be 3.6 billion steps."""
+    words = spark.createDataFrame([(0, ["a", "b", "a"]), (1, [f"t{i}" for i in range(60_000)])], "text_id long, tokens array<string>")
+    copies = words.select("text_id", F.lit(1).alias("n"))
+    text.packed_vectors(words.filter("text_id = 0"), copies).collect()
+    began = time.time()
+    got = {r["text_id"]: r for r in text.packed_vectors(words, copies).collect()}
+    assert time.time() - began < 25
+    assert len(got[1]["slots"]) == len(set(got[1]["slots"])) == 60_000 and np.allclose(got[1]["weights"], 60_000**-0.5)
+    assert sum(w * w for w in got[0]["weights"]) == pytest.approx(1)
+
+
+def test_a_part_has_a_text_once_for_all_groups():
+    """Rows of a part: its vectors first, then the listings of all groups, each group with sums of its own."""
+    vectors = pa.table({"text_id": [7, 8], "slots": pa.array([[0, 1], [1]], pa.list_(pa.int32())), "weights": [[0.6, 0.8], [1.0]]}).to_batches()
+    (pieces,) = hom._cut_up(vectors, 1)
+    n, rows = 2, [("a", 1, 7, 0, 0, 0, 1), ("a", 2, 8, 5, 5, 1, 0), ("b", 3, 8, 0, 0, 0, 1), ("b", 4, 7, 5, 5, 1, 0), ("b", 5, 9, 6, 6, 1, 0)]
+    sector, ids, text_id, at, u0, role, sign = zip(*rows, strict=True)
+    blank = [None] * n
+    batch = pa.table({
+        "block": [0] * 7, "shard": [0] * 7, "sector": pa.array([*blank, *sector]), "text_id": [7, 8, *text_id], "id": pa.array([*blank, *ids], pa.int64()), "at": pa.array([*blank, *at], pa.int64()),
+        "u0": pa.array([*blank, *u0], pa.int64()), "role": pa.array([*blank, *role], pa.int8()), "s_current": pa.array([*blank, *sign], pa.int8()),
+        "slots": pa.array([*pieces["slots"].to_pylist(), *[b""] * 5]), "weights": pa.array([*pieces["weights"].to_pylist(), *[b""] * 5]),
+    }).to_batches()[0]
+    for cuts in ([0, 7], [0, 1, 3, 5, 7]):
+        parts = [batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        got = {i: (norm, dot) for found in hom._dots(parts, 1, ["current"], 1.0) for i, norm, dot in zip(*(c.to_pylist() for c in found.columns), strict=True)}
+        assert got == {2: (pytest.approx(1), pytest.approx(0.8)), 4: (pytest.approx(1), pytest.approx(0.8))}
