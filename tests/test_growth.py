@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from poolscope.operators import features, text
+from poolscope.operators import effects, features, hdfe, text
 from poolscope.operators import homogeneity as hom
 from poolscope.plans.spec import DAY, SPEC
 from poolscope.sources import sinks
@@ -127,3 +127,39 @@ def test_a_part_has_a_text_once_for_all_groups():
         parts = [batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         got = {i: (norm, dot) for found in hom._dots(parts, 1, ["current"], 1.0) for i, norm, dot in zip(*(c.to_pylist() for c in found.columns), strict=True)}
         assert got == {2: (pytest.approx(1), pytest.approx(0.8)), 4: (pytest.approx(1), pytest.approx(0.8))}
+
+
+def test_models_of_the_same_rows_share_them(spark):
+    """A listing is there once for all models that it counts in alike, and not once for each; those of other rows have their own."""
+    rng = np.random.default_rng(4)
+    rows = [(float(y), *(float(x) for x in xs), None if i % 4 else 1.0 * i, "abcde"[i % 5], i % 7) for i, (y, xs) in enumerate(zip(rng.normal(size=80), rng.normal(size=(80, 3)), strict=True))]
+    df = spark.createDataFrame(rows, "y double, x0 double, x1 double, x2 double, rare double, a string, b int")
+    models = {str(k): (["y"], [f"x{k % 3}"]) for k in range(20)} | {"rare": (["y"], ["rare"])}
+    columns = ["y", "x0", "x1", "x2", "rare"]
+    base = hdfe._rows(df, models, columns, ["a"], ["a", "b"])
+    families = hdfe._families(base, models)
+    assert [len(x) for x in families] == [20, 1]
+    wide = hdfe._by_family(base, families, models, columns)
+    assert {r["m"]: r["count"] for r in wide.groupBy("m").count().collect()} == {0: 80, 1: 20}
+    both = hdfe.fits(df, models, ["a"], ["a", "b"], keep=False)
+    for name in ("0", "5", "rare"):
+        alone = hdfe.fit(df, "y", models[name][1], ["a"], ["a", "b"])
+        assert np.allclose(both.one(name, "y").beta, alone.beta) and np.allclose(both.one(name, "y").cov, alone.cov) and both.n[name] == alone.n
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 200])
+def test_deals_shuffle_no_row_for_each_deal(spark, monkeypatch, cell):
+    """Cells of up to CELL rows are dealt where they lie: the plan has no exchange of a row for each deal. Larger ones are dealt by ranks; each way keeps cells."""
+    monkeypatch.setattr(effects, "CELL", cell)
+    rows = [(i, i % 5 if i % 3 else 9, float(i)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, cell int, z double")
+    dealt = effects.permuted(df, "z", ["cell"], 19)
+    assert ("Window" in dealt._jdf.queryExecution().toString()) == (cell == 200)
+    got = {r["id"]: r for r in dealt.collect()}
+    assert len(got) == 1500 and all(len(r["dealt"]) == 19 for r in got.values())
+    for c in (0, 1, 2, 3, 4, 9):
+        own = [r for r in got.values() if r["cell"] == c]
+        assert all(sorted(r["dealt"][k] for r in own) == sorted(r["z"] for r in own) for k in range(19))
+    assert 0 < sum(r["dealt"][0] == r["z"] for r in got.values()) + 1 < 60
+    again = {r["id"]: r["dealt"] for r in effects.permuted(df.repartition(7), "z", ["cell"], 19).collect()}
+    assert again == {i: r["dealt"] for i, r in got.items()}
