@@ -136,7 +136,7 @@ def test_models_of_the_same_rows_share_them(spark):
     df = spark.createDataFrame(rows, "y double, x0 double, x1 double, x2 double, rare double, a string, b int")
     models = {str(k): (["y"], [f"x{k % 3}"]) for k in range(20)} | {"rare": (["y"], ["rare"])}
     columns = ["y", "x0", "x1", "x2", "rare"]
-    base = hdfe._rows(df, models, columns, ["a"], ["a", "b"])
+    base = hdfe._rows(hdfe._flat(df, columns, ["a"], ["a", "b"]), models, columns)
     families = hdfe._families(base, models)
     assert [len(x) for x in families] == [20, 1]
     wide = hdfe._by_family(base, families, models, columns)
